@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import shard_documents
+from .simhash import simhash_digest
 from .storage import table
 
 
@@ -12,8 +13,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
