@@ -10,6 +10,7 @@ from .quality import quality_digest
 from .sharding import shard_documents
 from .simhash import simhash_digest
 from .storage import table
+from .token_output import token_digest
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +33,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_token_output": op10_token_output,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
