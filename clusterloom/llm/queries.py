@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import contamination_digest
 from .mixing import mix_digest
+from .ngram_lm import lm_digest
 from .quality import quality_digest
 from .sharding import shard_documents
 from .simhash import simhash_digest
@@ -17,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
