@@ -8,11 +8,13 @@ from .decontam import contamination_digest
 from .mixing import mix_digest
 from .ngram_lm import lm_digest
 from .quality import quality_digest
+from .secret_scan import secrets_digest
 from .sharding import shard_documents
 from .simhash import simhash_digest
 from .storage import table
 from .token_output import token_digest
 from .topk import top_k_digest
+from .url_filter import url_digest
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +37,18 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_digest(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +65,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_top_k": op5_top_k,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
 }
