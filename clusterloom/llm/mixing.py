@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -184,6 +184,25 @@ def _next_round(seed: int, last: bool):
     return run
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 9) -> DataFrame:
+    """Rows of docs, columns as they are, each as often as mix() takes it.
+
+    Copies are looked up by id, text hash and source; of rows equal in these
+    the copies are shared out in order.
+    """
+    taken = mix(docs, id_col, text_col, source_col, seed).select("doc_id", "source", "text_hash", "copies")
+    same = ["_id", "_source", "_hash"]
+    asked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(F.col(text_col).cast("binary")).alias("_hash"))
+    nth = Window.partitionBy(*same)
+    found = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies")
+    # One key on both sides, so that rows with nulls meet too.
+    key = F.xxhash64(*same, *(F.col(c).isNull() for c in same))
+    found = found.withColumn("_n", F.row_number().over(nth.orderBy(F.desc("copies")))).filter("copies > 0").select(key.alias("_key"), "_n", "copies")
+    numbered = asked.withColumn("_n", F.row_number().over(nth.orderBy("_hash"))).select("row", key.alias("_key"), "_n")
+    times = numbered.join(found, ["_key", "_n"])
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     """The result of the registered query: taken is copies times size."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -53,37 +53,38 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(width: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.zeros(len(batch), np.uint64)
-            held: list[int] = []
-            starts: list[int] = []
-            rows: list[int] = []
-
-            def settle() -> None:
-                if rows:
-                    out[rows] = majority(np.array(held, np.uint64), np.array(starts))
-                held.clear(), starts.clear(), rows.clear()
-
-            for i, text in enumerate(batch["_text"]):
-                found = shingle_hashes(text, width, seed)
-                if found:
-                    rows.append(i)
-                    starts.append(len(held))
-                    held += found
-                if len(held) > 500_000:
-                    settle()
+def text_fingerprints(texts, width: int, seed: int) -> np.ndarray:
+    """SimHash of each text; 0 for a text without words."""
+    out = np.zeros(len(texts), np.uint64)
+    held: list[int] = []
+    starts: list[int] = []
+    rows: list[int] = []
+
+    def settle() -> None:
+        if rows:
+            out[rows] = majority(np.array(held, np.uint64), np.array(starts))
+        held.clear(), starts.clear(), rows.clear()
+
+    for i, text in enumerate(texts):
+        found = shingle_hashes(text, width, seed)
+        if found:
+            rows.append(i)
+            starts.append(len(held))
+            held += found
+        if len(held) > 500_000:
             settle()
-            yield pd.DataFrame({"row": batch["_row"], "fp": out.view(np.int64)})
+    settle()
+    return out
+
 
-    return run
+def fingerprint(text: F.Column, width: int = 3, seed: int = 42) -> F.Column:
+    """SimHash of a text column as a long; 0 where it has no word or is null."""
 
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(text_fingerprints(texts, width, seed).view(np.int64))
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(row, fp long): the id and the SimHash of each text; 0 where it has no word or is null."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_row"), F.col(text_col).cast("binary").alias("_text")).mapInPandas(_fingerprints(width, seed), f"row {kind}, fp long")
+    return run(text.cast("binary"))
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,15 +173,14 @@ class Forest:
         return self.find(np.arange(len(self.parent)))
 
 
-def link_within(points: np.ndarray, n_home: int, radius: int) -> np.ndarray:
-    """Root position of each point, where points at radius or less are linked.
+def near_pairs(points: np.ndarray, own: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (ask, own) of all points at radius or less, in steps.
 
-    The first n_home points form the tree; all points are queries. The tree is
-    built and walked at once: a node halves its points by the distance to a
-    vantage point and passes on the queries that may reach either half.
+    A vantage-point tree is built and walked at once: a node halves its points
+    by the distance to a vantage point and passes on the queries that may reach
+    either half.
     """
-    forest, rng = Forest(len(points)), np.random.default_rng(11)
-    todo = [(np.arange(n_home), np.arange(len(points)))]
+    rng, todo = np.random.default_rng(11), [(own, asks)]
     while todo:
         own, asks = todo.pop()
         if not len(own) or not len(asks):
@@ -197,7 +197,14 @@ def link_within(points: np.ndarray, n_home: int, radius: int) -> np.ndarray:
         for i in range(0, len(asks), size):
             part = asks[i : i + size]
             q, p = np.nonzero(hamming(points[part][:, None], points[own][None, :]) <= radius)
-            forest.link(part[q], own[p])
+            yield part[q], own[p]
+
+
+def link_within(points: np.ndarray, n_home: int, radius: int) -> np.ndarray:
+    """Root position of each point, where points at radius or less of the first n_home are linked."""
+    forest = Forest(len(points))
+    for a, b in near_pairs(points, np.arange(n_home), np.arange(len(points)), radius):
+        forest.link(a, b)
     return forest.roots()
 
 
@@ -232,11 +239,16 @@ def linked_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
         distinct.select("fp").mapInPandas(deal, "fp long, shard long, home boolean").groupBy("shard").applyInPandas(link, "fp long, root long"),
         "members",
     )
-    one = members.groupBy("fp").agg(F.min("root").alias("root"), F.max("root").alias("last"))
-    apart = one.filter("root < last").select("fp", "root")
-    edges = members.join(apart.withColumnRenamed("root", "v"), "fp").select(F.col("root").alias("u"), "v").filter("u <> v").distinct()
+    return merge_forests(members, "fp")
+
+
+def merge_forests(members: DataFrame, key: str) -> DataFrame:
+    """(key, label) from (key, root) rows of many forests that share keys; equal labels: connected."""
+    one = members.groupBy(key).agg(F.min("root").alias("root"), F.max("root").alias("last"))
+    apart = one.filter("root < last").select(key, F.col("root").alias("v"))
+    edges = members.join(apart, key).select(F.col("root").alias("u"), "v").filter("u <> v").distinct()
     merged = connected_components(edges).select(F.col("node").alias("root"), "component")
-    return one.join(merged, "root", "left").select("fp", F.coalesce("component", "root").alias("label"))
+    return one.join(merged, "root", "left").select(key, F.coalesce("component", "root").alias("label"))
 
 
 def simhash_groups(
@@ -249,7 +261,7 @@ def simhash_groups(
     linked like any other. Each input row gives one row, repeated rows too; a
     null id takes part in linking and gets the smallest other id (null if none).
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width, seed), "prints")
+    prints = materialize(docs.select(F.col(id_col).alias("row"), fingerprint(F.col(text_col), width, seed).alias("fp")), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("row").alias("least")), "distinct")
     linked = linked_fingerprints(distinct, radius)
     labelled = materialize(distinct.join(linked, "fp").select("fp", "least", "label"), "labelled")
