@@ -1,4 +1,9 @@
 """Registered queries over the driver's tables and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import run_queries, trial_queries
+
+_MODULES = (run_queries, trial_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
