@@ -18,16 +18,36 @@ ESCAPE = 15
 _COUNT = np.array([0, *(n for n, _ in LAYOUT), 1])
 
 
-def _choices(values: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Selector with the most values that fit from each position on; left: values up to the block's end."""
-    n = len(values)
-    at = np.arange(n)
-    chosen = np.full(n, ESCAPE, np.uint8)
+#: Bits of each value below 2^16, 1 at least.
+_SHORT = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.uint8)
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value, 1 at least."""
+    most = int(values.max(initial=0)).bit_length()
+    if most <= 16:
+        return _SHORT[values.astype(np.uint16)]
+    out = np.ones(len(values), np.uint8)
+    for bits in range(1, most):
+        out += values >> np.uint64(bits) != 0
+    return out
+
+
+def _choices(widths: np.ndarray) -> np.ndarray:
+    """Selector with the most values that fit, from each position of each block (row) on."""
+    blocks, n = widths.shape
+    padded = np.full((blocks, n + LAYOUT[0][0]), 255, np.uint8)  # nothing fits across a block's end
+    padded[:, :n] = widths
+    chosen = np.full((blocks, n), ESCAPE, np.uint8)
+    widest, have = padded, 1  # the widest of so many values from each position on
     for k in range(len(LAYOUT), 0, -1):
         count, bits = LAYOUT[k - 1]
-        wide = np.where(values >> np.uint64(bits) != 0, at, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        chosen[(next_wide - at >= count) & (left >= count)] = k
+        while have < count:
+            step = min(have, count - have)
+            ahead = np.full_like(widest, 255)
+            ahead[:, :-step] = widest[:, step:]
+            widest, have = np.maximum(widest, ahead), have + step
+        chosen[widest[:, :n] <= bits] = k
     return chosen
 
 
@@ -37,10 +57,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.array([], np.uint64), np.array([], np.int64)
-    at = np.arange(n)
     start = np.arange(0, n, BLOCK)
     end = np.minimum(start + BLOCK, n)
-    chosen = _choices(values, np.minimum(at // BLOCK * BLOCK + BLOCK, n) - at)
+    widths = np.full(len(start) * BLOCK, 255, np.uint8)
+    widths[:n] = _widths(values)
+    chosen = _choices(widths.reshape(-1, BLOCK)).ravel()[:n]
     step = _COUNT[chosen]
     taken, cursor, lane = np.zeros(n, bool), start.copy(), np.arange(len(start))
     while len(lane):  # all blocks walk their chain of words together

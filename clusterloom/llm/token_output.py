@@ -8,11 +8,16 @@ each block of 1,024 ids) hold the ids, documents end to end.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,113 +26,166 @@ from .storage import _hadoop, shared_dir
 
 #: Ids a segment is closed at; a document is never cut.
 SEGMENT_IDS = 1 << 20
-#: Different pieces whose ids a worker remembers.
-CACHE = 600_000
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizers file, remembering the pieces between spaces.
+    """Token ids of whole texts, a batch of texts at a time.
 
     A byte-level pre-tokenizer never joins a character with a space after it,
     so a text may be cut before every space that follows a non-space, and the
-    ids of the pieces put together are those of the text. A text with a space
-    after other white space is encoded as a whole.
+    ids of the pieces put together are those of the text. Arrow cuts the texts
+    and numbers the different pieces of a batch; each of these is encoded once,
+    end to end with others, and told apart by the bytes of its tokens. A text
+    with a space after other white space is encoded as a whole.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, end_id: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.cuttable = self._cuttable()
+        if self.cuttable:
+            #: These are tokens of their own after a letter or digit.
+            self.stops = {c: self.whole(c) for c in ".,"}
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():  # a byte is one character of a token, but in special tokens
+                self.width[i] = len(token.encode()) if token in special else len(token)
 
     def _cuttable(self) -> bool:
-        import json
-
         made = json.loads(self.tokenizer.to_str())
         pre, norm = made.get("pre_tokenizer") or {}, made.get("normalizer")
         special = [t for t in made.get("added_tokens", ()) if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
         return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not norm and not special
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without an end id."""
-        out: list = [None] * len(texts)
-        odd, cut = [], []
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            if not self.cuttable or not all(pieces) or any(map(str.isspace, map(_last, pieces))):
-                odd.append(i)
-            else:
-                cut.append((i, [pieces[0], *(" " + p for p in pieces[1:])]))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        missing = {p for _, pieces in cut for p in pieces if p not in self.known}
-        if len(self.known) + len(missing) > self.cache:
-            self.known.clear()
-            missing = {p for _, pieces in cut for p in pieces}
-        self._learn([*missing])
-        get = self.known.__getitem__
-        for i, pieces in cut:
-            out[i] = np.frombuffer(b"".join(map(get, pieces)), "<u4")
-        return out
-
-
-def _last(piece: str) -> str:
-    return piece[-1]
-
-
-def encoder(path: str, cache: int = CACHE) -> Encoder:
-    if (path, cache) not in _encoders:
-        _encoders[path, cache] = Encoder(path, cache)
-    return _encoders[path, cache]
-
-
-def _chunks(texts: list[str], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def _segment(part: int, seq: int, before: int, docs: list, ids: list[np.ndarray]) -> dict:
-    flat = np.concatenate(ids)
-    words, offsets = simple8b.encode(flat)
-    return {"part": part, "seq": seq, "before": before, "doc_ids": docs, "lengths": np.array([len(x) for x in ids], "<i4").tobytes(), "n_ids": len(flat), "words": words.astype("<u8").tobytes(), "offsets": offsets.astype("<i4").tobytes()}
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _spaced(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """(ids end to end, number of ids of each) of ' ' + piece; no piece is empty or ends in white space."""
+        flat, counts = [], []
+        for i in range(0, len(pieces), 256 * 64):
+            groups = [pieces[j : j + 256] for j in range(i, min(i + 256 * 64, len(pieces)), 256)]
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.cumsum([len(p.encode()) + 1 for p in group])
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+                flat.append(ids)
+                counts.append(np.diff(cuts, prepend=0))
+        return flat, np.concatenate(counts) if counts else np.array([], np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number) of ' ' + piece for each piece; number -1: empty or ending in white space."""
+        stem_of, plain = {}, {}
+        for p in pieces:
+            last = p[-1:]
+            if last in self.stops and p[-2:-1].isalnum():
+                stem_of[p] = plain.setdefault(p[:-1], len(plain))
+            elif last and not last.isspace():
+                plain.setdefault(p, len(plain))
+        flat, counts = self._spaced([*plain])
+        ids = np.concatenate([*flat, np.array([], np.uint32)])
+        ends = np.cumsum(counts)
+        stems = np.fromiter(stem_of.values(), np.int64, len(stem_of))
+        stops = np.array([self.stops[p[-1]][0] for p in stem_of], np.uint32)
+        # Stems followed by their stop go behind the plain pieces.
+        own = counts[stems]
+        at = np.repeat(ends[stems] - own - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        stopped = np.insert(ids[at], np.cumsum(own), stops) if len(stems) else ids[:0]
+        starts = np.concatenate((ends - counts, len(ids) + np.cumsum(own + 1) - own - 1))
+        counts = np.concatenate((counts, own + 1))
+        place = {**plain, **{p: len(plain) + i for i, p in enumerate(stem_of)}}
+        where = np.array([place.get(p, -1) for p in pieces], np.int64)
+        known = where >= 0
+        return np.concatenate((ids, stopped)), np.where(known, starts[where] if len(starts) else 0, 0), np.where(known, counts[where] if len(counts) else 0, -1)
+
+    def __call__(self, texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, last text + 1, ids, ids of each text), closed at `limit` ids; the end id is included."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return
+        if not self.cuttable:
+            rows = [np.append(self.whole(t), self.end) for t in texts.to_pylist()]
+            yield 0, len(rows), np.concatenate(rows), np.array([len(r) for r in rows])
+            return
+        cut = pc.split_pattern(texts, " ")
+        starts, ends = cut.offsets.to_numpy()[:-1].astype(np.int64), cut.offsets.to_numpy()[1:].astype(np.int64)
+        spaced, first = cut.values.dictionary_encode(), cut.values.take(pa.array(starts)).dictionary_encode()
+        ids, at, number = self._pieces(spaced.dictionary.to_pylist())
+        heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(first.dictionary.to_pylist(), add_special_tokens=False)]
+        lengths = np.array([len(h) for h in heads])
+        # Pieces are numbered: between spaces, then first ones, then the end.
+        ids = np.concatenate((ids, *heads, self.end))
+        at = np.concatenate((at, len(ids) - len(self.end) - lengths.sum() + np.cumsum(lengths) - lengths, [len(ids) - len(self.end)]))
+        odd_head = np.array([not h or h[-1].isspace() for h in first.dictionary.to_pylist()])
+        piece = spaced.indices.to_numpy().astype(np.int64)
+        odd = np.add.reduceat((number < 0)[piece], starts) > 0
+        odd |= odd_head[first.indices.to_numpy()] & (ends - starts > 1)
+        number = np.concatenate((np.maximum(number, 0), lengths, [len(self.end)]))
+        piece[starts] = first.indices.to_numpy() + len(spaced.dictionary)
+        piece = np.insert(piece, ends, len(number) - 1)
+        starts, ends = starts + np.arange(len(starts)), ends + np.arange(1, len(starts) + 1)
+        sizes = np.add.reduceat(number[piece], starts)
+        whole = {int(i): np.append(self.whole(texts[int(i)].as_py()), self.end) for i in np.flatnonzero(odd)}
+        for i, x in whole.items():
+            sizes[i] = len(x)
+        edge = np.cumsum(sizes)
+        a = 0
+        while a < len(sizes):
+            z = len(sizes) if limit is None else min(len(sizes), int(np.searchsorted(edge, (edge[a - 1] if a else 0) + limit)) + 1)
+            yield a, z, self._join(piece, starts, ends, a, z, ids, at, number, whole), sizes[a:z]
+            a = z
+
+    @staticmethod
+    def _join(piece, starts, ends, a: int, z: int, ids, at, number, whole: dict) -> np.ndarray:
+        """Ids of the texts a to z."""
+        parts, done = [], a
+        for i in [*(i for i in whole if a <= i < z), z]:
+            if i > done:
+                own = piece[starts[done] : ends[i - 1]]
+                n = number[own]
+                shift = np.repeat(at[own] - (np.cumsum(n) - n), n)
+                shift += np.arange(len(shift))
+                parts.append(ids[shift])
+            if i < z:
+                parts.append(whole[i])
+            done = i + 1
+        return np.concatenate(parts)
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _writer(path: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, before, docs, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        to_ids, end = encoder(path), np.array([end_id], np.uint32)
+        part, seq, before, to_ids = TaskContext.get().partitionId(), 0, 0, encoder(path, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            keys = batch["key"].astype(object).where(batch["key"].notna(), None).tolist()
-            for a, b in _chunks(texts):
-                for key, found in zip(keys[a:b], to_ids(texts[a:b]), strict=True):
-                    docs.append(key)
-                    ids.append(np.concatenate((found, end)))
-                    held += len(ids[-1])
-                    if held >= SEGMENT_IDS:
-                        yield pd.DataFrame([_segment(part, seq, before, docs, ids)])
-                        seq, before, docs, ids, held = seq + 1, before + held, [], [], 0
-        if docs:
-            yield pd.DataFrame([_segment(part, seq, before, docs, ids)])
+            keys = batch.column(0)
+            for a, z, ids, sizes in to_ids(batch.column(1), SEGMENT_IDS):
+                words, offsets = simple8b.encode(ids)
+                own = keys.slice(a, z - a)
+                columns = {
+                    "part": pa.array([part], pa.int32()),
+                    "seq": pa.array([seq], pa.int32()),
+                    "before": pa.array([before], pa.int64()),
+                    "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                    "lengths": pa.array([sizes.astype("<i4").tobytes()], pa.binary()),
+                    "n_ids": pa.array([len(ids)], pa.int64()),
+                    "words": pa.array([words.astype("<u8").tobytes()], pa.binary()),
+                    "offsets": pa.array([offsets.astype("<i4").tobytes()], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+                seq, before = seq + 1, before + len(ids)
 
     return run
 
@@ -142,7 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
-    segments = ordered.mapInPandas(_writer(tokenizer_path, end_id), f"part int, seq int, before long, doc_ids array<{kind}>, lengths binary, n_ids long, words binary, offsets binary")
+    segments = ordered.mapInArrow(_writer(tokenizer_path, end_id), f"part int, seq int, before long, doc_ids array<{kind}>, lengths binary, n_ids long, words binary, offsets binary")
     segments.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
@@ -152,7 +210,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids)
 
 
 def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
@@ -165,7 +223,7 @@ def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                ids = simple8b.decode(np.frombuffer(r.words, "<u8"), np.frombuffer(r.offsets, "<i4"), r.n_ids)
+                ids = simple8b.decode(np.frombuffer(r.words, "<u8"), np.frombuffer(r.offsets, "<i4"), r.n_ids).astype("<u4")
                 sizes = np.frombuffer(r.lengths, "<i4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": r.start + ends - sizes, "n_tokens": sizes, name: [value(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)]})
@@ -176,8 +234,6 @@ def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
 
 def token_digest(docs: DataFrame, tokenizer_path: str, out: str | None = None) -> DataFrame:
     """The result of the registered query, from files written and read back."""
-    import uuid
-
     spark = docs.sparkSession
     if out is None:
         out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
