@@ -52,8 +52,8 @@ def _entropy(text: F.Column) -> F.Column:
     """Shannon entropy of the characters, in bits."""
     n = F.length(text)
     share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    bits = F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), lambda c: -share(c) * F.log2(share(c)))
-    return F.when(n > 0, F.aggregate(bits, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+    shares = F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), share)
+    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
 def _keys() -> dict[str, F.Column]:
@@ -100,8 +100,10 @@ class UrlModel:
             _array(self.stats["extension"])[keys["extension"]],
         ]
 
-    def binned(self) -> list[F.Column]:
-        return [_bin(value, edges) for value, edges in zip(self.features(), self.edges, strict=True)]
+    def binned(self) -> F.Column:
+        """Array of the number of edges below each feature; a lambda variable holds the value, so it is computed once."""
+        edges = F.array(*(_array(e).cast("array<double>") for e in self.edges))
+        return F.transform(F.array(*self.features()), lambda value, i: F.size(F.filter(edges[i], lambda e: e < value)))
 
     def score(self, bins: F.Column) -> F.Column:
         """Log odds of 'block' from an array of bins."""
@@ -111,11 +113,6 @@ class UrlModel:
         return out
 
 
-def _bin(value: F.Column, edges: list[float]) -> F.Column:
-    """Number of edges below a value."""
-    return F.size(F.filter(_array(edges), lambda e: e < value)) if edges else F.lit(0)
-
-
 def _value(tree, bins: F.Column) -> F.Column:
     if isinstance(tree, float):
         return F.lit(tree)
@@ -184,7 +181,7 @@ def fit_urls(labelled: DataFrame, max_training: int = MAX_TRAINING, rounds: int
     measured = sample.select(*(c.alias(n) for n, c in zip(FEATURES, model.features(), strict=True)))
     edges = measured.agg(*(F.percentile_approx(n, cuts, F.lit(10_000)).alias(n) for n in FEATURES)).first()
     model.edges = [sorted({float(e) for e in edges[n]}) for n in FEATURES]
-    rows = materialize(sample.select(F.col("block").cast("double").alias("y"), F.array(*model.binned()).alias("bins")), "bins")
+    rows = materialize(sample.select(F.col("block").cast("double").alias("y"), model.binned().alias("bins")), "bins")
     for _ in range(rounds):
         odds = model.score(F.col("bins"))
         chance = 1 / (1 + F.exp(-odds))
@@ -211,7 +208,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "ruled": verdict})
     model = fit_urls(ruled.filter("rule is not null").select("url", "host", "path", (F.col("ruled") == "block").alias("block")))
-    scored = ruled.withColumn("bins", F.array(*model.binned())).withColumn("chance", 1 / (1 + F.exp(-model.score(F.col("bins")))))
+    scored = ruled.withColumn("bins", model.binned()).withColumn("chance", 1 / (1 + F.exp(-model.score(F.col("bins")))))
     judged = F.coalesce("ruled", F.when(F.col("chance") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", judged.alias("verdict"), "chance")
 
