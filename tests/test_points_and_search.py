@@ -246,3 +246,35 @@ def test_tables_as_bags(spark):
         clouds.merge_tables([a, a.withColumnRenamed("v", "w")])
     with pytest.raises(ValueError, match="ground truth"):
         clouds.assert_label_free(a.withColumn("s", F.struct(F.lit(1).alias("ari"))))
+
+
+def test_patterns_know_their_shapes(spark):
+    from clusterloom.operators import patterns
+
+    rng = np.random.default_rng(0)
+    made = {n: f(rng, 300) for n, f in shapes.SHAPES.items()}
+    score = lambda metric, shape: patterns.partition_score(metric, made[shape], np.zeros(300))
+    assert score("hollow_score", "ring") > score("hollow_score", "blob")
+    assert score("line_straightness", "line") > score("line_straightness", "blob")
+    assert score("arc_circle_fit", "ring") > score("arc_circle_fit", "line")
+    assert score("parabolicity", "arc") > score("parabolicity", "blob")
+    assert score("convexity_ratio", "uniform") > score("convexity_ratio", "ring")
+    assert score("ribbon_thickness", "line") > score("ribbon_thickness", "blob")
+    assert score("radial_uniformity", "blob") > score("radial_uniformity", "ring")
+    assert score("gridness_2d", "grid") > score("gridness_2d", "uniform")
+    assert patterns.parallel_bands(np.concatenate([made["line"] + (0, i) for i in range(4)]), np.repeat(range(4), 300)) > 0.9
+    for name in patterns.PATTERNS:
+        for shape in made:
+            assert score(name, shape) is None or 0 <= score(name, shape) <= 1, (name, shape)
+    df, _ = clouds_of(spark)
+    out = patterns.pattern_indices(df, ["dataset_id"]).toPandas()
+    assert len(out) == len(patterns.POWERS) == 22 - 1 and out["norm"].between(0, 1).all()
+
+
+def test_triangles_cover_the_hull():
+    from clusterloom.operators import patterns
+
+    z = np.random.default_rng(1).uniform(size=(60, 2))
+    t = patterns.triangulation(z)
+    u, v = z[t[:, 1]] - z[t[:, 0]], z[t[:, 2]] - z[t[:, 0]]
+    assert (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2).sum() == pytest.approx(patterns.polygon(patterns.hull(z))[0], rel=1e-2)
