@@ -278,3 +278,35 @@ def test_triangles_cover_the_hull():
     t = patterns.triangulation(z)
     u, v = z[t[:, 1]] - z[t[:, 0]], z[t[:, 2]] - z[t[:, 0]]
     assert (np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2).sum() == pytest.approx(patterns.polygon(patterns.hull(z))[0], rel=1e-2)
+
+
+def test_rasters_know_their_shapes(spark):
+    from clusterloom.operators import rasters
+
+    rng = np.random.default_rng(0)
+    made = {n: rasters.draw(shapes.SHAPES[n](rng, 1500), (0, 1, 0, 1)) for n in ("ring", "blob", "line", "uniform", "parallel_bands", "grid")}
+    score = lambda metric, shape: rasters.RASTERS[metric].kernel(made[shape])
+    assert score("euler_holes_count", "ring") > score("euler_holes_count", "line")
+    assert score("hough_arc_circle_strength", "ring") > score("hough_arc_circle_strength", "line")
+    assert score("hough_line_strength", "line") > score("hough_line_strength", "blob")
+    assert score("connected_components_count", "ring") > score("connected_components_count", "parallel_bands")
+    assert score("convexity_ratio_image_based", "blob") > score("convexity_ratio_image_based", "ring")
+    for name in rasters.RASTERS:
+        for shape in made:
+            assert 0 <= score(name, shape) <= 1 + 1e-9, (name, shape)
+    df, _ = clouds_of(spark)
+    out = rasters.raster_indices(df, ["dataset_id"]).toPandas()
+    assert len(out) == len(rasters.RASTERS) == 24 and out["norm"].between(0, 1).all()
+
+
+def test_image_operations():
+    from clusterloom.operators import rasters
+
+    m = np.zeros((256, 256), bool)
+    m[10:40, 10:40] = True
+    m[20:30, 20:30] = False
+    m[100:103, 50:200] = True
+    assert sorted(rasters.sizes(m).tolist()) == [450, 800] and rasters.holes(m).tolist() == [100]
+    s = rasters.skeleton(m)
+    assert (s & ~m).sum() == 0 and len(rasters.sizes(s)) == 2 and s[100:103].sum() <= 150
+    assert rasters.box_slope(np.ones((256, 256), bool)) == pytest.approx(2)
