@@ -29,9 +29,9 @@ from .storage import materialize
 from .words import split_words
 
 #: Tokens a block is closed at; a document is never cut.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Distinct hashes that a range is meant to get from all blocks.
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 20
 #: One in so many training documents is held out for the mixture weights.
 HELD_OUT_ONE_IN = 8
 #: Context-frequency buckets: 0, then one an octave.
