@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit reads at most, lowest hash of the id first.
-MAX_LABELLED = 40_000
+MAX_LABELLED = 20_000
 #: Preference pairs drawn for a fit.
-PAIRS = 400_000
+PAIRS = 200_000
 #: Score of a document at the threshold quantile.
 CUT = 0.3
 BYTES = {
