@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, indices, metafeatures, neighbours, search, shapes, splits
+from ..operators import agreement, density, descriptors, indices, metafeatures, models, neighbours, patterns, rasters, search, shapes, splits
 from ..sources import clouds
-from .projections import POINTS_SQL, UTILITIES_SQL, points, rounded, table, utilities
+from .projections import POINTS_SQL, TRIALS_SQL, UTILITIES_SQL, points, rounded, table, trial_metrics, utilities
 
 KEY = ["dataset_id"]
 
@@ -27,6 +27,10 @@ def _index(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("dataset_id"), F.col("p_type").alias("stratum"))
 
 
+def _slates(s, d):
+    return trial_metrics(s, d).filter("metric_id = 'm_tax'").select("dataset_id", "candidate", "ari", "valid")
+
+
 def _jobs(s, d):
     plan = '{"components": [{"id": "a", "shape": "blob", "n": 60}, {"id": "b", "shape": "ring", "n": 90, "parents": ["a"]}], "perturb": {"dropout": 0.1, "contamination": 0.05}}'
     return table(s, d, "nation").select(F.col("n_nationkey").alias("dataset_id"), splits.derive_seed(F.lit(42), F.col("n_nationkey")).alias("seed"), F.lit(plan).alias("plan"))
@@ -101,6 +105,12 @@ QUERIES = {
     "hdbscan_constrained_kernel": lambda s, d: search.labels_of(points(s, d), "hdbscan_constrained-3", {}),
     "search_trials": lambda s, d: search.run_trials(points(s, d), search.candidate_table(s, search.random_space(8, 1234))),
     "cluster_pipeline": lambda s, d: search.cluster(points(s, d), search.candidate_table(s, search.random_space(6, 7))),
+    "pattern_indices": lambda s, d: patterns.pattern_indices(points(s, d), KEY),
+    "raster_indices": lambda s, d: rasters.raster_indices(points(s, d), KEY),
+    "density_indices": lambda s, d: density.density_indices(points(s, d), KEY),
+    "meta_descriptors": lambda s, d: descriptors.describe(metafeatures.views(points(s, d)), ["dataset_id", "view_id"]),
+    "candidate_targets": lambda s, d: rounded(models.candidate_targets(_slates(s, d), KEY).select("dataset_id", "candidate", "regret", "rank")),
+    "policy_targets": lambda s, d: rounded(models.policy_targets(_slates(s, d), KEY).select("dataset_id", "candidate", "regret", "centered")),
     "table_fingerprint": lambda s, d: clouds.fingerprint(table(s, d, "nation")),
     "last_wins": lambda s, d: clouds.last_wins(table(s, d, "nation").select("n_nationkey", "n_name"), table(s, d, "nation").filter("n_nationkey < 5").select("n_nationkey", F.lower("n_name").alias("n_name")), ["n_nationkey"]),
     "standardised_components": lambda s, d: clouds.prepare(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"), ["l_quantity", "l_extendedprice", "l_tax"]).select("l_orderkey", "l_linenumber", "x", "y"),
@@ -161,6 +171,9 @@ ORACLE_SQL = {
         r AS (SELECT *, 17 - sum(floor(x)) OVER (PARTITION BY k) AS missing, row_number() OVER (PARTITION BY k ORDER BY x - floor(x) DESC, name) AS rn FROM x) SELECT k, name, CAST(floor(x) + CAST(rn <= missing AS INTEGER) AS BIGINT) AS n FROM r""",
     "expand_jobs": "WITH j AS (SELECT n_nationkey, unnest(range(1, n_nationkey % 3 + 1)) AS local_idx FROM nation WHERE n_nationkey % 3 > 0) SELECT n_nationkey, local_idx, CAST(row_number() OVER (ORDER BY n_nationkey, local_idx) AS INTEGER) AS job_id FROM j",
     "policy_slots": "SELECT p_partkey AS dataset_id, CAST((row_number() OVER (PARTITION BY p_type ORDER BY md5('s|' || p_partkey), p_partkey) - 1) % 10 AS INTEGER) AS slot FROM part",
+    "loso_folds": f"WITH part_ix AS (SELECT p_partkey AS dataset_id, p_type AS stratum FROM part WHERE p_partkey <= 60), split AS (SELECT dataset_id, (row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || dataset_id), dataset_id) - 1 + CAST(('0x' || substr(md5('42:' || stratum), 1, 8)) AS BIGINT) % 4) % 4 + 1 AS s FROM part_ix), f AS (SELECT DISTINCT s AS f FROM split) SELECT CAST(f AS INTEGER) AS fold, CASE WHEN s = f THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM split, f GROUP BY 1, 2",
+    "candidate_targets": f"WITH {TRIALS_SQL} SELECT dataset_id, candidate, round(max(ari) OVER (PARTITION BY dataset_id) - ari, 6) AS regret, CAST(rank() OVER (PARTITION BY dataset_id ORDER BY ari DESC) AS INTEGER) AS rank FROM wide WHERE valid",
+    "policy_targets": f"WITH {TRIALS_SQL} SELECT dataset_id, candidate, round(max(ari) OVER (PARTITION BY dataset_id) - ari, 6) AS regret, round(ari - avg(ari) OVER (PARTITION BY dataset_id), 6) AS centered FROM wide",
     "last_wins": "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
 }
 A = "A_view_{0}_flat".format
@@ -179,3 +192,19 @@ ORACLE_SQL["block_a_stats"] = f"""WITH {FLAT},
         round(mad, 6) AS {A('mad')}, round(tl, 6) AS A_view_tail_mass_low_5pct, round(th, 6) AS A_view_tail_mass_high_95pct, round(oi, 6) AS A_view_outlier_ratio_iqr_1_5, round(oz, 6) AS A_view_outlier_ratio_z_3, round(az, 6) AS A_view_mean_abs_zscore,
         round(h32.e, 6) AS A_view_entropy_hist_32, round(h32.pk, 6) AS A_view_peak_bin_ratio_32, round(h32.em, 6) AS A_view_empty_bin_ratio_32, round(h64.e, 6) AS A_view_entropy_hist_64
     FROM b JOIN t USING (dataset_id, view_id) JOIN h32 USING (dataset_id, view_id) JOIN h64 USING (dataset_id, view_id) JOIN v USING (dataset_id, view_id)"""
+AXIS = ", ".join(
+    f"round(avg({c}), 6) AS B_axis{i}_mean, round(stddev_pop({c}), 6) AS B_axis{i}_std, round(min({c}), 6) AS B_axis{i}_min, round(max({c}), 6) AS B_axis{i}_max, round(max({c}) - min({c}), 6) AS B_axis{i}_range, "
+    f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS B_axis{i}_iqr, round(avg(z{c} ** 3), 6) AS B_axis{i}_skew, round(avg(z{c} ** 4) - 3, 6) AS B_axis{i}_kurtosis"
+    for i, c in enumerate("xy")
+)
+GRID = "b{0} AS (SELECT dataset_id, least(floor((x - lx) / (hx - lx) * {0}), {1}) AS i, least(floor((y - ly) / (hy - ly) * {0}), {1}) AS j, count(*) AS n FROM p GROUP BY 1, 2, 3), r{0} AS (SELECT dataset_id, n, n / CAST(sum(n) OVER (PARTITION BY dataset_id) AS DOUBLE) AS p, row_number() OVER (PARTITION BY dataset_id ORDER BY n, i, j) + {2} - count(*) OVER (PARTITION BY dataset_id) AS r FROM b{0}), g{0} AS (SELECT dataset_id, count(*) / {2}.0 AS occ, -sum(p * ln(p)) / ln({2}) AS ent, max(p) AS mx, sqrt(sum(n * n) / {2}.0 - (sum(n) / {2}.0) ** 2) / (sum(n) / {2}.0) AS cv, 2 * sum(r * n) / ({2}.0 * sum(n)) - ({2} + 1) / {2}.0 AS gini FROM r{0} GROUP BY 1)".format
+ORACLE_SQL["block_b_stats"] = f"""WITH {POINTS_SQL}, s AS (SELECT dataset_id, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points GROUP BY 1),
+    p AS (SELECT *, (x - mx) / sx AS zx, (y - my) / sy AS zy, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d FROM points JOIN s USING (dataset_id)),
+    {GRID(16, 15, 256)}, {GRID(32, 31, 1024)},
+    a AS (SELECT dataset_id, {AXIS}, count(*) AS n, max(hx - lx) AS w, max(hy - ly) AS h, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, corr(x, y) AS r, max(sqrt(mx ** 2 + my ** 2)) AS cn,
+        round(avg(d), 6) AS B_mean_distance_to_centroid, round(stddev_pop(d), 6) AS B_std_distance_to_centroid, {", ".join(f"round(quantile_cont(d, {q / 100}), 6) AS B_q{q}_distance_to_centroid" for q in (25, 50, 75, 90))} FROM p GROUP BY 1),
+    e AS (SELECT *, (vx + vy) / 2 AS hf, sqrt(((vx - vy) / 2) ** 2 + c ** 2) AS pt FROM a)
+    SELECT e.* EXCLUDE (n, w, h, vx, vy, c, r, cn, hf, pt), round(w * h, 6) AS B_bbox_area, round(greatest(w, h) / least(w, h), 6) AS B_bbox_aspect_ratio, round(n / (w * h), 6) AS B_bbox_density_points_per_area, round(vx + vy, 6) AS B_cov_trace, round(vx * vy - c * c, 6) AS B_cov_det,
+        round((hf + pt) / (hf - pt), 6) AS B_cov_condition_number, round(r, 6) AS B_corr_axis0_axis1, round(abs(r), 6) AS B_abs_corr_axis0_axis1, round(hf + pt, 6) AS B_pca_eigenvalue_1, round(hf - pt, 6) AS B_pca_eigenvalue_2, round((hf + pt) / (2 * hf), 6) AS B_pca_explained_ratio_1, round((hf - pt) / (2 * hf), 6) AS B_pca_explained_ratio_2,
+        round((hf + pt) / (hf - pt), 6) AS B_pca_anisotropy_ratio, round(cn, 6) AS B_centroid_norm, {", ".join(f"round(g{b}.occ, 6) AS B_density_grid_{b}_occupied_ratio, round(g{b}.ent, 6) AS B_density_grid_{b}_entropy, round(g{b}.mx, 6) AS B_density_grid_{b}_max_cell_ratio" for b in (16, 32))},
+        round(g32.cv, 6) AS B_density_grid_cv, round(g32.gini, 6) AS B_density_grid_gini, round(1 - g32.occ, 6) AS B_density_grid_empty_cell_ratio FROM e JOIN g16 USING (dataset_id) JOIN g32 USING (dataset_id)"""

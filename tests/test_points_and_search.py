@@ -310,3 +310,69 @@ def test_image_operations():
     s = rasters.skeleton(m)
     assert (s & ~m).sum() == 0 and len(rasters.sizes(s)) == 2 and s[100:103].sum() <= 150
     assert rasters.box_slope(np.ones((256, 256), bool)) == pytest.approx(2)
+
+
+def test_descriptors_fill_their_blocks(spark):
+    from clusterloom.operators import descriptors
+
+    df, _ = clouds_of(spark)
+    out = descriptors.describe(metafeatures.views(df), ["dataset_id", "view_id"]).toPandas()
+    two = out[out["view_id"] == "xy_2d"]
+    count = two["feature"].str[0].value_counts()
+    assert count["G"] == 60 and count["R"] == 23 and count["L"] >= 28
+    assert (out[out["view_id"] == "x_only"]["feature"].str[0] == "R").sum() == 25
+    assert two.set_index("feature")["value"]["L_kmeans_best_k_by_silhouette"] == 3
+    assert descriptors.two_segment_gain(np.arange(40.0), np.abs(np.arange(40.0) - 20)) > 0.9
+    x = np.cos(np.arange(64) * np.pi / 4)
+    assert descriptors.acf_peak(x) > 0.8 and descriptors.fft_peak(x) > 0.9
+
+
+def test_density_indices_prefer_the_true_partition(spark):
+    from clusterloom.operators import density
+
+    df, _ = clouds_of(spark)
+    bad = df.withColumn("label", (F.col("point_id") % 3).cast("int"))
+    good = {r.metric_id: r.oriented for r in density.density_indices(df, ["dataset_id"]).collect()}
+    worse = {r.metric_id: r.oriented for r in density.density_indices(bad, ["dataset_id"]).collect()}
+    assert set(good) == set(density.DENSITY) and all(good[m] > worse[m] for m in good)
+    one = df.withColumn("label", F.lit(0))
+    assert all(r.raw is None for r in density.density_indices(one, ["dataset_id"]).collect())
+
+
+def test_minimax_paths():
+    from clusterloom.operators.density import _minimax
+
+    x = np.array([[0.0], [1.0], [3.0], [3.5]])
+    want = np.array([[0, 1, 2, 2], [1, 0, 2, 2], [2, 2, 0, 0.5], [2, 2, 0.5, 0]])
+    assert np.allclose(_minimax(kernels.distances(x)), want)
+
+
+def test_utility_net_learns_and_ranks(spark):
+    from clusterloom.operators import models
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 5))
+    t = 1 / (1 + np.exp(-np.stack((x[:, 0], -x[:, 1], x[:, 2] * 0.5), 1)))
+    rows = [(int(i), [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, t, strict=True))]
+    df = models.hash_folds(spark.createDataFrame(rows, "id int, features array<double>, targets array<double>"), "id", 3)
+    net = models.fit_utility_net(df.filter("fold > 0"), [[0, 1], [2]])
+    out = models.predict_utility_net(df.filter("fold = 0"), [net, net]).collect()
+    error = np.mean([(np.array(r.predicted) - np.array(r.targets)) ** 2 for r in out])
+    assert error < 0.01
+
+
+def test_reranking(spark):
+    from clusterloom.operators import models
+
+    rows = [(g, c, c / 10 if g % 2 else (10 - c) / 10, True, {"m": c / 10, "h": 0.5}, ["m"]) for g in range(6) for c in range(10)]
+    df = spark.createDataFrame(rows, "g int, candidate int, ari double, valid boolean, norm map<string,double>, observed array<string>")
+    wide = models.masked_features(models.candidate_targets(df, ["g"]), ["m", "h"]).withColumn("odd", (F.col("g") % 2).cast("double"))
+    assert wide.filter("value__h <> 0 or observed__h <> 0").count() == 0
+    score = models.fit_reranker(wide.filter("g < 4"), ["value__m", "odd"], iterations=20)
+    chosen = ranking.select_reranked(score(wide.filter("g >= 4")), ["g"]).collect()
+    assert {r.g: r.candidate for r in chosen} == {4: 0, 5: 9}
+    r = models.recovery(spark.createDataFrame([(0.5, 0.4, 0.6), (0.5, 0.5, 0.5)], "reranked double, original double, oracle double")).collect()
+    assert r[0].recovery == pytest.approx(0.5) and r[1].recovery is None
+    p = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.1)], "row int, policy string, ari double")
+    t = models.policy_targets(p, ["row"])
+    assert models.select_policy(t, ["row"], "regret").first().policy == "a" and models.select_policy(t, ["row"], "ari").first().policy == "a"
