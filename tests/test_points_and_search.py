@@ -319,7 +319,7 @@ def test_descriptors_fill_their_blocks(spark):
     out = descriptors.describe(metafeatures.views(df), ["dataset_id", "view_id"]).toPandas()
     two = out[out["view_id"] == "xy_2d"]
     count = two["feature"].str[0].value_counts()
-    assert count["G"] == 60 and count["R"] == 23 and count["L"] >= 28
+    assert count["G"] == 60 and count["V"] == 60 and count["R"] == 23 and count["L"] >= 28
     assert (out[out["view_id"] == "x_only"]["feature"].str[0] == "R").sum() == 25
     assert two.set_index("feature")["value"]["L_kmeans_best_k_by_silhouette"] == 3
     assert descriptors.two_segment_gain(np.arange(40.0), np.abs(np.arange(40.0) - 20)) > 0.9
