@@ -157,3 +157,23 @@ ORACLE_SQL = {
     "factorial_contrasts": f"""WITH {RUNS_SQL}, cells AS (SELECT method_name, """ + ", ".join(f"max(ari) FILTER ((view_rank > 0) = ({i} = 1) AND (selected_k > 3) = ({j} = 1)) AS c{i}{j}" for i in (0, 1) for j in (0, 1)) + f""" FROM runs GROUP BY 1)
         SELECT method_name, {R('(c10 + c11 - c00 - c01) / 2')} AS effect_a, {R('(c01 + c11 - c00 - c10) / 2')} AS effect_b, {R('c11 - c10 - c01 + c00')} AS interaction FROM cells WHERE c00 IS NOT NULL AND c01 IS NOT NULL AND c10 IS NOT NULL AND c11 IS NOT NULL""",
 }
+REPRESENTATIVE_SQL = BEST_SQL + """,
+per AS (SELECT {k}method_name, avg(best_ari) AS mean, median(best_ari) AS median, stddev_samp(best_ari) AS std, avg(total_runtime_sec) AS runtime FROM best GROUP BY {k}method_name),
+placed AS (SELECT *, row_number() OVER (PARTITION BY {p} ORDER BY round_even(mean / 1e-6, 0) DESC NULLS LAST, round_even(median / 1e-6, 0) DESC NULLS LAST, std NULLS LAST, runtime NULLS LAST, method_name) AS place, max(mean) OVER (PARTITION BY {p}) AS top FROM per)
+SELECT {k}max(CASE WHEN place = 1 THEN method_name END) AS selected, max(CASE WHEN place = 2 THEN method_name END) AS runner_up, round(max(CASE WHEN place = 1 THEN mean END), 6) AS selected_mean, count(*) FILTER (place > 1 AND top - mean <= 0.001) AS n_equivalent FROM placed {g}"""
+ORACLE_SQL["representative"] = "WITH " + REPRESENTATIVE_SQL.format(k="", p="1", g="")
+ORACLE_SQL["family_representatives"] = "WITH " + REPRESENTATIVE_SQL.format(k="family, ", p="family", g="GROUP BY family")
+#: Steps are unrolled: the pool has five methods.
+STEPS = 5
+ORACLE_SQL["greedy_portfolio"] = (
+    f"WITH {BEST_SQL}, v AS (SELECT dataset_id, method_name AS m, coalesce(best_ari, 0) AS a FROM best), d AS (SELECT DISTINCT dataset_id FROM v), p0 AS (SELECT dataset_id, 0.0 AS now, CAST([] AS VARCHAR[]) AS had FROM d)"
+    + "".join(
+        f""", c{i} AS (SELECT m, round(avg(greatest(now, coalesce(a, 0))), 12) AS mean FROM (SELECT p{i - 1}.dataset_id, now, had, x.m, v.a FROM p{i - 1} CROSS JOIN (SELECT DISTINCT m FROM v) x LEFT JOIN v ON v.dataset_id = p{i - 1}.dataset_id AND v.m = x.m) WHERE NOT list_contains(had, m) GROUP BY m),
+        b{i} AS (SELECT m, mean FROM c{i} ORDER BY mean DESC, m LIMIT 1),
+        p{i} AS (SELECT p{i - 1}.dataset_id, greatest(now, coalesce(v.a, 0)) AS now, list_append(had, b{i}.m) AS had FROM p{i - 1} CROSS JOIN b{i} LEFT JOIN v ON v.dataset_id = p{i - 1}.dataset_id AND v.m = b{i}.m)"""
+        for i in range(1, STEPS + 1)
+    )
+    + ", s AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS step, m AS method_name, mean AS portfolio_mean FROM b{i}" for i in range(1, STEPS + 1))
+    + ") SELECT CAST(step AS INTEGER) AS step, method_name, round(portfolio_mean - coalesce(lag(portfolio_mean) OVER (ORDER BY step), 0), 6) AS gain, round(portfolio_mean, 6) AS portfolio_mean FROM s"
+)
