@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .words import split_words
+from .words import split_words, trim
 
 #: Tokens a block is closed at; a document is never cut.
 BLOCK_TOKENS = 1 << 20
@@ -42,14 +43,23 @@ ASK_DDL = "n int, range int, block long, keys binary, train binary, held binary"
 ANSWER_DDL = "n int, range int, block long, train binary, held binary, known long, total long, bins array<struct<bin: int, weight: double>>"
 
 
+#: Arrays shorter than this are stored plainly: at many ranges pieces are short.
+PLAIN = 64
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array, byte planes apart."""
+    """Bytes of an array: a mark, then plain or with its byte planes apart and compressed."""
     raw = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes())
+    if len(raw) < PLAIN:
+        return b"\0" + raw.tobytes()
+    return b"\1" + _squeeze.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    if data[0] == 0:
+        return np.frombuffer(data, kind, offset=1)
+    raw = np.frombuffer(_expand.decompress(data[1:]), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -81,6 +91,11 @@ class _Block:
         self.roles.append(role)
         self.size += len(words)
 
+    def record(self, name: int, kind_of_id: pa.DataType) -> pa.RecordBatch:
+        row = self.row(name)
+        docs = pa.array([row.pop("docs")], pa.list_(kind_of_id))
+        return pa.RecordBatch.from_pydict({"docs": docs} | {k: pa.array([v]) for k, v in row.items()})
+
     def row(self, name: int) -> dict:
         tokens = np.concatenate(self.ids)
         counts = np.bincount(tokens, minlength=len(self.numbers))
@@ -101,23 +116,26 @@ class _Block:
 
 
 def _tokenize(limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
         blocks = [_Block(), _Block()]  # odd blocks: held-out training documents
+        kind_of_id = None
         for batch in batches:
-            docs = batch["doc"].astype(object).where(batch["doc"].notna(), None).tolist()
-            for doc, role, text in zip(docs, batch["role"].tolist(), batch["text"], strict=True):
+            kind_of_id, texts = batch.schema.field(0).type, batch.column(2)
+            for i, (doc, role) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 kind = int(role == 2)
-                blocks[kind].add(doc, role, text)
+                blocks[kind].add(doc, role, texts[i].as_py())
                 if blocks[kind].size >= limit:
-                    yield pd.DataFrame([blocks[kind].row((part << 24 | seq) << 1 | kind)])
+                    yield blocks[kind].record((part << 24 | seq) << 1 | kind, kind_of_id)
                     blocks[kind], seq = _Block(), seq + 1
         for kind in (0, 1):
             if blocks[kind].docs:
-                yield pd.DataFrame([blocks[kind].row((part << 24 | seq) << 1 | kind)])
+                yield blocks[kind].record((part << 24 | seq) << 1 | kind, kind_of_id)
                 seq += 1
+        del blocks
+        trim()
 
     return run
 
@@ -161,6 +179,7 @@ def _ask(ranges: dict[int, int]):
                             gaps = np.diff(keys[a:z], prepend=np.uint64(0))
                             out.append((n, i, row.block, pack(gaps), pack(of_train[a:z].astype(np.uint32)), pack(of_held[a:z].astype(np.uint32)) if row.block & 1 else None))
                     yield pd.DataFrame(out, columns=["n", "range", "block", "keys", "train", "held"])
+        trim()
 
     return run
 
@@ -171,7 +190,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     parts = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
     sizes = [len(p) for p in parts]
     keys, where = np.unique(np.concatenate(parts), return_inverse=True)
-    del parts
+    parts.clear()
     train = np.bincount(where, np.concatenate([unpack(t, np.uint32) for t in rows["train"]]), len(keys)).astype(np.int64)
     held = np.bincount(where, np.concatenate([unpack(h, np.uint32) if h is not None else np.zeros(s, np.uint32) for h, s in zip(rows["held"], sizes, strict=True)]), len(keys)).astype(np.int64)
     out, end = [], 0
@@ -185,6 +204,8 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         bins = [{"bin": int(b), "weight": float(w)} for b, w in zip(bins, weights, strict=True) if w]
         out.append((n, at, -1, None, None, int((train > 0).sum()), int(train.sum()), bins))
     frame = pd.DataFrame(out, columns=["n", "range", "block", "train", "held", "known", "total", "bins"])
+    del parts, keys, where, train, held
+    trim()
     return frame.astype({"known": "Int64", "total": "Int64"})
 
 
@@ -248,6 +269,8 @@ def _ratio_histogram(total: float, vocabulary: int, share: float):
             high, low = _estimates(b.c1[b.tokens], context, b.c2[b.bigram_of], total, vocabulary, share)
             pairs, n = np.unique(np.stack((bucket(context), _bins(high / low))), axis=1, return_counts=True)
             out.append(pd.DataFrame({"bucket": pairs[0], "bin": pairs[1], "weight": n.astype(float)}))
+            del b, context, high, low
+            trim()
         return pd.concat(out) if out else pd.DataFrame({"bucket": [], "bin": [], "weight": []})
 
     return run
@@ -275,6 +298,8 @@ def _score(total: int, vocabulary: int, share: float, shares: np.ndarray):
                     }
                 )
             )
+            del b, word, context, high, low, x
+            trim()
         return pd.concat(out)
 
     return run
@@ -292,7 +317,7 @@ def lm_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_
     fold = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT_ONE_IN)) == 0
     role = F.when(F.coalesce(held_out, F.lit(False)), 0).when(fold, 2).otherwise(1).cast("int")
     given = docs.select(F.col(id_col).alias("doc"), role.alias("role"), F.col(text_col).cast("binary").alias("text"))
-    blocks = materialize(given.mapInPandas(_tokenize(block_tokens), f"docs array<{kind}>, {BLOCK_DDL}"), "blocks")
+    blocks = materialize(given.mapInArrow(_tokenize(block_tokens), f"docs array<{kind}>, {BLOCK_DDL}"), "blocks")
     n_tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     # Never more ranges a block than it has keys to fill them.
     ranges = {1: max(8, n_tokens // (8 * range_keys)), 2: max(32, n_tokens // range_keys)}

@@ -16,3 +16,16 @@ def split_words(text: bytes | None) -> list[bytes]:
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Lower-cased runs of ASCII digits and letters and all non-ASCII characters."""
     return text.translate(ALNUM).split() if text else []
+
+
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers of one stage stay alive beside those of the next."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        return
