@@ -8,7 +8,7 @@ from .decontam import contamination_digest
 from .mixing import mix_digest
 from .ngram_lm import lm_digest
 from .quality import quality_digest
-from .secret_scan import secrets_digest
+from .secret_scan import BASE_RULES, MORE_RULES, secrets_digest
 from .sharding import shard_documents
 from .simhash import simhash_digest
 from .storage import table
@@ -103,3 +103,25 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """,
 }
+
+
+def _spans_sql(rule, at: int) -> str:
+    """List of {start, at, stop, kind} of a rule's matches that are long enough, in DuckDB SQL."""
+    pattern = rule.pattern.replace("'", "''")
+    whole, own, gaps = (f"regexp_extract_all(t, '{pattern}', 0)", f"regexp_extract_all(t, '{pattern}', {rule.group})", f"string_split_regex(t, '{pattern}')")
+    long = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    start = f"CAST({long(f'({gaps})[1:i]')} + {long(f'({whole})[1:i - 1]')} AS BIGINT)"
+    spans = f"list_transform(list_filter(range(1, len({whole}) + 1), lambda i: length(({own})[i]) >= {rule.least}), lambda i: {{'start': {start}, 'at': {at}, 'stop': {start} + length(({whole})[i]), 'kind': '{rule.kind}'}})"
+    return f"CASE WHEN len({whole}) > 0 THEN {spans} ELSE [] END"
+
+
+def _listed_sql(kinds) -> str:
+    return f"coalesce(array_to_string(list_transform(list_sort(flatten([{', '.join(kinds)}])), lambda s: s.kind || ':' || s.start || ':' || s.stop), ','), '')"
+
+
+_BASE, _ALL = [r.kind for r in BASE_RULES], [r.kind for r in BASE_RULES + MORE_RULES]
+ORACLE_SQL["op6_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, {", ".join(f"{_spans_sql(r, i)} AS {r.kind}" for i, r in enumerate(BASE_RULES + MORE_RULES))} FROM d)
+SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in _BASE)}, sha256({_listed_sql(_BASE)}) AS base_sha256, {_listed_sql(_ALL)} AS spans FROM s
+"""
