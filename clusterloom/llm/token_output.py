@@ -65,44 +65,43 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _spaced(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    def _spaced(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each) of ' ' + piece; no piece is empty or ends in white space."""
-        flat, counts = [], []
-        for i in range(0, len(pieces), 256 * 64):
-            groups = [pieces[j : j + 256] for j in range(i, min(i + 256 * 64, len(pieces)), 256)]
-            found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-            for group, e in zip(groups, found, strict=True):
+        flat, counts = [np.array([], np.uint32)], [np.array([], np.int64)]
+        words, sizes = pieces.to_pylist(), pc.binary_length(pieces).to_numpy().astype(np.int64) + 1
+        for i in range(0, len(words), 256 * 64):
+            starts = range(i, min(i + 256 * 64, len(words)), 256)
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(words[j : j + 256]) for j in starts], add_special_tokens=False)
+            for j, e in zip(starts, found, strict=True):
                 ids = np.array(e.ids, np.uint32)
-                ends = np.cumsum([len(p.encode()) + 1 for p in group])
-                cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes[j : j + 256])) + 1
                 flat.append(ids)
                 counts.append(np.diff(cuts, prepend=0))
-        return flat, np.concatenate(counts) if counts else np.array([], np.int64)
+        return np.concatenate(flat), np.concatenate(counts)
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, number) of ' ' + piece for each piece; number -1: empty or ending in white space."""
-        stem_of, plain = {}, {}
-        for p in pieces:
-            last = p[-1:]
-            if last in self.stops and p[-2:-1].isalnum():
-                stem_of[p] = plain.setdefault(p[:-1], len(plain))
-            elif last and not last.isspace():
-                plain.setdefault(p, len(plain))
-        flat, counts = self._spaced([*plain])
-        ids = np.concatenate([*flat, np.array([], np.uint32)])
+        last = pc.utf8_slice_codeunits(pieces, -1)
+        blank = pc.or_(pc.utf8_is_space(last), pc.equal(pc.binary_length(pieces), 0))
+        # A stop after a letter or digit is a token of its own: such pieces share the ids of their stem.
+        stopped = pc.and_(pc.match_substring_regex(pieces, r"[\pL\pN][.,]$"), pc.invert(blank))
+        stem = pc.if_else(blank, pa.scalar(None, pa.string()), pc.if_else(stopped, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)).dictionary_encode()
+        ids, counts = self._spaced(stem.dictionary)
+        known = np.logical_not(blank.to_numpy(zero_copy_only=False))
+        at = pc.fill_null(stem.indices, 0).to_numpy().astype(np.int64)
         ends = np.cumsum(counts)
-        stems = np.fromiter(stem_of.values(), np.int64, len(stem_of))
-        stops = np.array([self.stops[p[-1]][0] for p in stem_of], np.uint32)
-        # Stems followed by their stop go behind the plain pieces.
-        own = counts[stems]
-        at = np.repeat(ends[stems] - own - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        stopped = np.insert(ids[at], np.cumsum(own), stops) if len(stems) else ids[:0]
-        starts = np.concatenate((ends - counts, len(ids) + np.cumsum(own + 1) - own - 1))
-        counts = np.concatenate((counts, own + 1))
-        place = {**plain, **{p: len(plain) + i for i, p in enumerate(stem_of)}}
-        where = np.array([place.get(p, -1) for p in pieces], np.int64)
-        known = where >= 0
-        return np.concatenate((ids, stopped)), np.where(known, starts[where] if len(starts) else 0, 0), np.where(known, counts[where] if len(counts) else 0, -1)
+        starts = np.zeros(len(known), np.int64)
+        number = np.full(len(known), -1)
+        if len(counts):
+            starts[known], number[known] = (ends - counts)[at[known]], counts[at[known]]
+        # Stems followed by their stop go behind the stems.
+        own = np.flatnonzero(stopped.to_numpy(zero_copy_only=False))
+        n = number[own]
+        take = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        stops = np.where(pc.equal(last, ".").to_numpy(zero_copy_only=False)[own], self.stops["."][0], self.stops[","][0]).astype(np.uint32)
+        behind = np.insert(ids[take], np.cumsum(n), stops) if len(own) else ids[:0]
+        starts[own], number[own] = len(ids) + np.cumsum(n + 1) - n - 1, n + 1
+        return np.concatenate((ids, behind)), starts, number
 
     def __call__(self, texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, last text + 1, ids, ids of each text), closed at `limit` ids; the end id is included."""
@@ -116,7 +115,7 @@ class Encoder:
         cut = pc.split_pattern(texts, " ")
         starts, ends = cut.offsets.to_numpy()[:-1].astype(np.int64), cut.offsets.to_numpy()[1:].astype(np.int64)
         spaced, first = cut.values.dictionary_encode(), cut.values.take(pa.array(starts)).dictionary_encode()
-        ids, at, number = self._pieces(spaced.dictionary.to_pylist())
+        ids, at, number = self._pieces(spaced.dictionary)
         heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(first.dictionary.to_pylist(), add_special_tokens=False)]
         lengths = np.array([len(h) for h in heads])
         # Pieces are numbered: between spaces, then first ones, then the end.
