@@ -1,44 +1,59 @@
 """Near-duplicates by word shingles: Jaccard similarity of 0.8 or more.
 
-At that similarity SimHash fingerprints differ in up to about 18 of 64 bits, a
-radius at which a vantage-point tree over all fingerprints prunes nothing. So
-texts first meet by equal min-hashes of their shingles (4 of them: a pair of
-similarity 0.8 shares one with a chance of 0.998, a more similar one sooner);
-within a meeting the vantage-point tree finds the near fingerprints, and the
-shingle sets (as 32-bit hashes) confirm each link exactly. Texts with equal
-sets are one node from the start, so exact copies never meet in a task. A
-meeting of many nodes is cut into blocks that meet in pairs: every pair is
-still compared.
+Texts with equal shingle sets (as 32-bit hashes) are one node from the start,
+so repeats within a text play no part and exact copies never meet in a task.
+Nodes meet by an exact prefix filter: in one order of all shingles, two sets of
+that similarity share a shingle among the first size - ceil(0.8 size) + 1 of
+each. Any order is exact; shingles that are common in a sample come last, so
+that few nodes meet by them. In a meeting, sizes and parity sketches (bounds
+of the sets' difference, never above it) spare comparisons, and the sets
+decide each pair left. A meeting of many nodes is cut into blocks that meet in
+pairs: every pair is still compared.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .simhash import Forest, hamming, majority, merge_forests, near_pairs, shingle_hashes
+from .simhash import STEP, Forest, merge_forests, shingle_hashes
 from .storage import materialize
 
-#: Bits in which fingerprints of similar texts may differ.
-RADIUS = 18
 #: Nodes of a meeting that one task compares, with as many others.
 BLOCK = 300
-#: Nodes for each pack of meetings that a task takes at once.
+#: Placed nodes for each pack of meetings that a task takes at once.
 PACK_NODES = 2000
-#: One odd number for each min-hash.
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Nodes in which common shingles are looked for, how many of these must have one, and the most that come last.
+ORDER_SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 50_000
+#: Bits of a parity sketch.
+SKETCH = 1024
+#: Room for rounding in bounds of sizes.
+SLACK = 1e-9
+
+
+def members(text: bytes | None, width: int, seed: int) -> bytes:
+    """Sorted set of shingle hashes of a text."""
+    return np.unique((np.array(shingle_hashes(text, width, seed), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes()
+
 
+def prefix(own: bytes, common: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """The shingles by which a set meets others: its first ones, where those in common (sorted) follow all others by place."""
+    x = np.frombuffer(own, "<u4")
+    n = len(x) - math.ceil(least * len(x) - SLACK) + 1 if len(x) else 0
+    at = np.minimum(np.searchsorted(common, x), max(0, len(common) - 1))
+    last = common[at] == x if len(common) else np.zeros(len(x), bool)
+    late = x[last][np.argsort(place[at[last]], kind="stable")] if last.any() else x[:0]
+    return np.concatenate((x[~last], late))[:n].view("<i4")
 
-def signature(text: bytes | None, width: int, seed: int) -> tuple[int, bytes, list[int]]:
-    """(fingerprint, sorted set of shingle hashes, min-hashes) of a text."""
-    hashes = np.array(shingle_hashes(text, width, seed), np.uint64)
-    if not len(hashes):
-        return 0, b"", [0]
-    fp = int(majority(hashes, np.array([0]))[0].astype(np.int64))
-    members = np.unique((hashes >> np.uint64(32)).astype("<u4"))
-    return fp, members.tobytes(), [int((hashes * m).min().astype(np.int64)) for m in _MULTIPLIERS]
+
+def sketch(own: bytes) -> np.ndarray:
+    """Bits that say whether an odd number of shingles falls on them: two sketches differ in no more bits than their sets in shingles."""
+    odd = np.bincount(np.frombuffer(own, "<u4") % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -53,28 +68,62 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def alike(a: bytes, b: bytes, least: float) -> bool:
     """Whether the similarity is at least so much; sets of too different sizes need no comparison."""
-    return min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) - SLACK and jaccard(a, b) >= least
 
 
-def _signatures(width: int, seed: int):
-    @F.pandas_udf("fp long, members binary, bands array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signature(t, width, seed) for t in texts], columns=["fp", "members", "bands"])
+def _members(width: int, seed: int):
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([members(t, width, seed) for t in texts], dtype=object)
 
     return run
 
 
-def link_meeting(points: np.ndarray, sets: list[bytes], side: np.ndarray, least: float) -> np.ndarray:
+def _prefixes(common: np.ndarray, place: np.ndarray, least: float):
+    @F.pandas_udf("array<int>")
+    def run(sets: pd.Series) -> pd.Series:
+        return pd.Series([prefix(s, common, place, least) for s in sets], dtype=object)
+
+    return run
+
+
+def common_shingles(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, place of each by frequency) of the shingles that are common in a sample of the nodes."""
+
+    @F.pandas_udf("array<int>")
+    def listed(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(s, "<i4") for s in sets], dtype=object)
+
+    every = max(1, prints.count() // ORDER_SAMPLE)
+    some = prints.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(every)) == 0).groupBy("node").agg(F.first("members").alias("members"))
+    counts = some.select(F.explode(listed("members")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    found = rows["s"].to_numpy(np.int32).view(np.uint32)[::-1]  # rarest first
+    order = np.argsort(found)
+    return found[order], order
+
+
+def near_sets(sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float):
+    """Positions (b, a) of all pairs whose sizes and sketches allow the similarity, in steps."""
+    sizes = np.array([len(s) // 4 for s in sets], np.int64)
+    bits = np.array([sketch(s) for s in sets])
+    step = max(1, STEP // (len(a) * bits.shape[1]))
+    for i in range(0, len(b), step):
+        part = b[i : i + step]
+        m, n = sizes[part][:, None], sizes[a][None, :]
+        apart = np.bitwise_count(bits[part][:, None, :] ^ bits[a][None, :, :]).sum(2, dtype=np.int64)
+        # Similarity s of sets of m and n shingles: they differ in (m + n) (1 - s) / (1 + s).
+        fits = (np.minimum(m, n) >= least * np.maximum(m, n) - SLACK) & (apart <= (m + n) * (1 - least) / (1 + least) + SLACK)
+        q, p = np.nonzero(fits)
+        yield part[q], a[p]
+
+
+def link_meeting(sets: list[bytes], side: np.ndarray, least: float) -> np.ndarray:
     """Root position of each node of a meeting. Nodes of side 1 meet those of side 0; without any, side 0 meets itself."""
-    forest = Forest(len(points))
+    forest = Forest(len(sets))
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1) if side.any() else a
-    if len(points) <= 16:
-        q, p = np.nonzero(hamming(points[b][:, None], points[a][None, :]) <= RADIUS)
-        pairs = [(b[q], a[p])]
-    else:
-        pairs = near_pairs(points, a, b, RADIUS)
-    for q, p in pairs:
+    for q, p in near_sets(sets, a, b, least) if len(a) else ():
         keep = q != p if b is not a else q > p
         q, p = q[keep], p[keep]
         while len(q):
@@ -92,10 +141,10 @@ def _link(least: float):
         rows = rows.sort_values(["meeting", "a", "b", "side", "node"], ignore_index=True)
         meeting = rows[["meeting", "a", "b"]].to_numpy()
         starts = np.flatnonzero(np.append(True, (meeting[1:] != meeting[:-1]).any(1)))
-        node, side, points = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["fp"].to_numpy().copy().view(np.uint64)
+        node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
         sets, nodes, roots = rows["members"].tolist(), [], []
         for i, z in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-            root = link_meeting(points[i:z], sets[i:z], side[i:z], least)
+            root = link_meeting(sets[i:z], side[i:z], least)
             more = np.bincount(root, minlength=z - i)[root] > 1
             nodes.append(node[i:z][more])
             roots.append(node[i:z][root[more]])
@@ -110,11 +159,14 @@ def near_duplicate_groups(docs: DataFrame, key: F.Column, text_col: str = "text"
     key may be of any type that can be ordered. Texts without words are copies
     of one another; texts of fewer words than width count as one shingle.
     """
-    signed = docs.select(key.alias("key"), _signatures(width, seed)(F.col(text_col).cast("binary")).alias("s"))
-    prints = materialize(signed.select("key", F.xxhash64("s.fp", "s.members").alias("node"), "s.*"), "signatures")
-    nodes = materialize(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("meeting"))
-    crowds = bands.groupBy("meeting").agg(F.count("*").alias("n")).filter("n > 1")
+    signed = docs.select(key.alias("key"), _members(width, seed)(F.col(text_col).cast("binary")).alias("members"))
+    prints = materialize(signed.select("key", F.xxhash64("members").alias("node"), "members"), "members")
+    firsts = prints.select("key", "node", _prefixes(*common_shingles(prints), least)("members").alias("prefix"))
+    nodes = materialize(firsts.groupBy("node").agg(F.min("key").alias("least"), F.first("prefix").alias("prefix")), "nodes")
+    bands = nodes.select("node", F.explode("prefix").alias("meeting"))
+    crowds = bands.groupBy("meeting").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("first")).filter("n > 1")
+    # Shingles that the same nodes share are one meeting.
+    crowds = crowds.groupBy("n", "x", "first").agg(F.min("meeting").alias("meeting")).select("meeting", "n")
     member = bands.join(crowds, "meeting").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     # A block meets itself and each other block of its meeting once.
@@ -125,12 +177,12 @@ def near_duplicate_groups(docs: DataFrame, key: F.Column, text_col: str = "text"
     # Only the sets of nodes that meet others are compared, each read from its first row: copies of one text would
     # all come to one task by node.
     first = placed.select("node").distinct().join(nodes, "node").select(F.xxhash64("least").alias("_at"))
-    meeting = prints.select("node", "fp", "members", F.xxhash64("key").alias("_at")).join(first, "_at", "left_semi")
-    facts = placed.join(meeting.groupBy("node").agg(F.first("fp").alias("fp"), F.first("members").alias("members")), "node")
-    packs = max(64, nodes.count() // PACK_NODES)
+    meeting = prints.select("node", "members", F.xxhash64("key").alias("_at")).join(first, "_at", "left_semi")
+    facts = placed.join(meeting.groupBy("node").agg(F.first("members").alias("members")), "node")
+    packs = max(64, placed.count() // PACK_NODES)
     packed = facts.withColumn("pack", F.pmod(F.xxhash64("meeting", "a", "b"), F.lit(packs)))
-    members = materialize(packed.groupBy("pack").applyInPandas(_link(least), "node long, root long"), "forests")
-    labels = merge_forests(members, "node")
+    forests = materialize(packed.groupBy("pack").applyInPandas(_link(least), "node long, root long"), "forests")
+    labels = merge_forests(forests, "node")
     labelled = materialize(nodes.select("node", "least").join(labels, "node"), "labelled")
     groups = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("group")), "label").select("node", "group")
     of_node = nodes.select("node", "least").join(groups, "node", "left").select("node", F.coalesce("group", "least").alias("group"))

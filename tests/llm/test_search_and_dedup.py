@@ -162,6 +162,30 @@ def test_a_crowded_meeting_is_compared_in_blocks(spark, monkeypatch):
     assert {r.group for r in out} == {0}
 
 
+def test_repeats_within_a_text_hide_no_near_duplicate(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(30):
+        own, line = list(rng.choice(words, 300)), list(rng.choice(words, 10))
+        times = (10, 30)[i % 2]
+        texts += [" ".join(own + line * 2), " ".join(own + line * times)]  # equal sets, other counts
+        texts.append(" ".join(own[:1] + ["new"] + own[2:] + line * times))  # a set of 0.97 or so
+    groups = {r.key: r.group for r in near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA), F.col("doc_id")).collect()}
+    assert groups == {i: i - i % 3 for i in range(len(texts))}
+
+
+def test_pairs_at_the_least_similarity_all_meet(spark):
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(5000)]
+    rows, stock = [], " ".join(f"s{i}" for i in range(6))  # a line that all texts share
+    for i in range(400):
+        own = " ".join(rng.choice(words, 30))
+        rows += [(2 * i, f"{own} {stock}"), (2 * i + 1, f"{own} {stock} " + " ".join(rng.choice(words, 8)))]  # 32 of 40 shingles
+    groups = {r.key: r.group for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), F.col("doc_id")).collect()}
+    assert groups == {i: i - i % 2 for i, _ in rows}
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(3, text, "x"), (3, text, "x"), (1, text + " more", "y"), (None, text, "z"), (9, "something else entirely here now", "q"), (None, None, None)]
