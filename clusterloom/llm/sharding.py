@@ -3,7 +3,10 @@
 Documents that share a link key (for the query: equal texts) are neighbours.
 Members of one group are interchangeable, so labels are propagated on cells
 (key, shard, count) instead of on single rows: at most n_shards cells a key,
-whatever the size of the group. Each round joins the cells with the best shard
+whatever the size of the group. Keys start whole: the few large ones are packed
+on the driver and split only where no shard has room for them, the others lie
+one after another and are cut into shares, so that a share's end splits one key
+at most. Each round joins the cells with the best shard
 of their key, sums the wished moves by target shard and strength, and admits
 them under the free capacity of the target. Rows are dealt to the cells at the
 end by a rank within (key, salt), so that no group meets in one task.
@@ -11,6 +14,8 @@ end by a rank within (key, salt), so that no group meets in one task.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from .storage import discard, materialize
 ROWS_PER_SALT = 1_000_000
 #: Parts in which the rows of a shard are ranked.
 RANK_PARTS = 1024
+#: Keys of more than this part of a quota are packed one by one, about n_shards * LARGE at most.
+LARGE = 64
 #: Strength classes of moves: floor(log2(neighbours in the target)).
 CLASSES = 40
 
@@ -42,20 +49,53 @@ def _hash01(*cols) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def pack_large(keys: list[tuple[object, int]], free: list[int]) -> list[tuple[object, int, int]]:
+    """(key, shard, n) of keys, largest first, each in the shard with most room or, where it is too large, in several. free is used up."""
+    out = []
+    for key, n in sorted(keys, key=lambda x: (-x[1], str(x[0]))):
+        while n > 0:
+            shard = max(range(len(free)), key=lambda s: (free[s], -s))
+            part = min(n, free[shard])
+            free[shard] -= part
+            n -= part
+            out.append((key, shard, part))
+    return out
+
+
+def start_cells(keys: DataFrame, quotas: list[int]) -> DataFrame:
+    """Cells (key, shard, n) in which keys (key, n) start, within the quotas."""
+    free, limit = list(quotas), max(quotas) // LARGE
+    large = pack_large([(r.key, r.n) for r in keys.filter(F.col("n") > limit).collect()], free)
+    packed = keys.sparkSession.createDataFrame(large, f"key {keys.schema['key'].dataType.simpleString()}, shard int, n long")
+    small = keys.filter(F.col("n") <= limit).withColumn("part", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(RANK_PARTS)))
+    sums = {r.part: r.n for r in small.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    offsets, rows = [0] * RANK_PARTS, 0
+    for part in range(RANK_PARTS):
+        offsets[part] = rows
+        rows += sums.get(part, 0)
+    # Each shard gets its part of the rows by its room, so that unlinked rows leave some room everywhere.
+    room, ends = sum(free), [0]
+    for s in range(len(free)):
+        ends.append(rows * sum(free[: s + 1]) // max(1, room))
+    shares = F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(a).cast("long").alias("a"), F.lit(z).cast("long").alias("z")) for s, (a, z) in enumerate(zip(ends, ends[1:], strict=False))))
+    at = F.array(*(F.lit(x).cast("long") for x in offsets))[F.col("part").cast("int")]
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("n"), "key").rowsBetween(Window.unboundedPreceding, 0))
+    placed = small.withColumn("upto", at + upto).withColumn("since", F.col("upto") - F.col("n"))
+    spread = placed.select("key", "since", "upto", F.explode(F.filter(shares, lambda x: (x.a < F.col("upto")) & (x.z > F.col("since")))).alias("share"))
+    dealt = spread.select("key", "share.shard", (F.least("share.z", "upto") - F.greatest("share.a", "since")).alias("n"))
+    return packed.union(dealt)
+
+
 def propagate(blocks: DataFrame, quotas: list[int], max_rounds: int | None = None) -> DataFrame:
     """Cells (key, shard, n) of linked rows after balanced label propagation.
 
-    blocks has (key, salt, n). Rows start on a hashed shard; a round moves rows
-    towards the shard that holds most of their neighbours and has room.
+    blocks has (key, salt, n). A round moves rows towards the shard that holds
+    most of their neighbours and has room; rounds go on until none moves, or for
+    max_rounds.
     """
-    shards = len(quotas)
-    cells = materialize(
-        blocks.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int"))
-        .groupBy("key", "shard")
-        .agg(F.sum("n").alias("n")),
-        "cells",
-    )
-    for step in range(max_rounds or shards + 4):
+    keys = materialize(blocks.groupBy("key").agg(F.sum("n").alias("n")), "keys")
+    cells = materialize(start_cells(keys, quotas), "cells")
+    for step in itertools.count() if max_rounds is None else range(max_rounds):
         load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
         room = F.array(*map(F.lit, free))
@@ -75,6 +115,7 @@ def propagate(blocks: DataFrame, quotas: list[int], max_rounds: int | None = Non
         }
         if not demand:
             break
+        before = cells.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
         shares = F.array(*(F.array(*map(F.lit, row)) for row in _admission(demand, free)))
         share = F.when(F.col("moves"), shares[F.col("best.shard")][F.col("strength")]).otherwise(0.0)
         moved = F.least("n", F.floor(F.col("n") * share + _hash01("key", "shard", F.lit(step))))
@@ -97,6 +138,9 @@ def propagate(blocks: DataFrame, quotas: list[int], max_rounds: int | None = Non
         )
         discard(cells)
         cells = after
+        # Any move grows this sum: rows go from a smaller cell of their key to a larger one.
+        if cells.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] == before:
+            break
     return cells
 
 

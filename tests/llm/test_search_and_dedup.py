@@ -44,6 +44,24 @@ def test_shards_are_even_and_keep_groups_together(spark):
     assert (pairs == 1).mean() > 0.9
 
 
+@pytest.mark.parametrize(("groups", "size"), [(2000, 2), (800, 5)])
+def test_copies_stay_together_where_every_row_has_one(spark, groups, size):
+    rows = [(i, f"text {i % groups}") for i in range(groups * size)]
+    out = shard_documents(spark.createDataFrame(rows, SCHEMA), 16).toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(out) == len(rows) and sizes.max() - sizes.min() <= 1
+    # The end of a shard's share splits one group at most.
+    assert (out.groupby("text_crc32")["shard"].nunique() > 1).sum() <= 15
+
+
+def test_only_keys_beyond_a_quota_are_split_among_large_ones(spark):
+    rows = [(i, f"large {i % 4}") for i in range(2400)] + [(9000 + i, f"small {i // 2}") for i in range(1600)]
+    out = shard_documents(spark.createDataFrame(rows, SCHEMA), 4).toPandas()
+    shards = out.groupby("text_crc32")["shard"].nunique()
+    assert set(out.groupby("shard").size()) == {1000} and (shards > 1).sum() <= 3
+    assert all(shards[c] == 1 for c in out.loc[out["doc_id"] < 2400, "text_crc32"].unique())
+
+
 def test_shards_of_an_empty_table_and_clashing_columns(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = spark.createDataFrame([(1, "a", 9, 9), (2, "a", 9, 9)], "id long, key string, shard int, slot int")
