@@ -93,7 +93,7 @@ QUERIES = {
     "knn_utility_predict": lambda s, d: rounded(neighbours.predict_utilities(_neighbours(s, d), utilities(s, d))),
     "stratified_split": lambda s, d: splits.stratified_splits(_index(s, d), "stratum"),
     "split_problems": lambda s, d: splits.split_problems(splits.stratified_splits(_index(s, d), "stratum")),
-    "loso_folds": lambda s, d: neighbours.loso_folds(splits.stratified_splits(_index(s, d).filter("dataset_id <= 60"), "stratum", n_splits=4)).groupBy("fold", "role").agg(F.count("*").alias("n")),
+    "loso_folds": lambda s, d: neighbours.loso_folds(splits.stratified_splits(_index(s, d), "stratum")).groupBy("fold", "role").agg(F.count("*").alias("n")),
     "fold_leakage": lambda s, d: neighbours.leakage(neighbours.loso_folds(splits.stratified_splits(_index(s, d), "stratum"))),
     "derived_seeds": lambda s, d: table(s, d, "nation").select("n_nationkey", splits.derive_seed("42", F.col("n_nationkey"), "x_only").alias("seed")),
     "apportion": lambda s, d: splits.apportion(table(s, d, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 1).cast("double").alias("share")), 17, ["k"]).select("k", "name", "n"),

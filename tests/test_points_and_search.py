@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.nullsafe import clean_target, clean_utility, number, safe_div, strip_prefix, truthy
 from clusterloom.operators import agreement, indices, kernels, metafeatures, neighbours, ranking, search, shapes, splits, utility
+from clusterloom.plans import point_queries
 from clusterloom.sources import clouds
 
 
@@ -376,3 +379,13 @@ def test_reranking(spark):
     p = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.1)], "row int, policy string, ari double")
     t = models.policy_targets(p, ["row"])
     assert models.select_policy(t, ["row"], "regret").first().policy == "a" and models.select_policy(t, ["row"], "ari").first().policy == "a"
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001/part.parquet").exists(), reason="no test tables here")
+def test_folds_hold_every_dataset_in_sixteen_splits(spark):
+    d = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{d}/part.parquet").count()
+    rows = point_queries.QUERIES["loso_folds"](spark, d).collect()
+    by_fold = {f: sum(r.n for r in rows if r.fold == f) for f in range(1, 17)}
+    assert {r.fold for r in rows} == set(by_fold) and set(by_fold.values()) == {parts}
+    assert sum(r.n for r in rows if r.role == "validation") == parts
