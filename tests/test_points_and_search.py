@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clusterloom.functions.nullsafe import clean_target, clean_utility, number, safe_div, strip_prefix, truthy
-from clusterloom.operators import agreement, indices, kernels, metafeatures, neighbours, ranking, search, shapes, splits, utility
+from clusterloom.operators import agreement, descriptors, indices, kernels, metafeatures, neighbours, ranking, search, shapes, splits, utility
 from clusterloom.plans import point_queries
 from clusterloom.sources import clouds
 
@@ -389,3 +389,15 @@ def test_folds_hold_every_dataset_in_sixteen_splits(spark):
     by_fold = {f: sum(r.n for r in rows if r.fold == f) for f in range(1, 17)}
     assert {r.fold for r in rows} == set(by_fold) and set(by_fold.values()) == {parts}
     assert sum(r.n for r in rows if r.role == "validation") == parts
+
+
+def test_clouds_within_the_limits_are_described_whole():
+    x = np.random.default_rng(3).normal(size=(1800, 2))
+    whole = lambda f: {k: v for k, v in f.items() if "mst" not in k and "sampled" not in k}
+    one, other = (descriptors.block_g(x, np.random.default_rng(s)) for s in (1, 2))
+    np.testing.assert_equal(whole(one), whole(other))
+    few = x[:300]  # 44,850 pairs
+    pairs = descriptors.distances(few)[np.triu_indices(300, 1)]
+    assert np.isclose(descriptors.block_g(few, np.random.default_rng(1))["G_pairwise_dist_mean_sampled"], pairs.mean(), rtol=1e-12)
+    one, other = (descriptors.block_l(x[:800], np.random.default_rng(s)) for s in (1, 2))
+    np.testing.assert_equal(one, other)
