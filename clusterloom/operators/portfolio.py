@@ -104,7 +104,7 @@ def representative(best: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col("method_name"))).alias("selected"), F.max(F.when(F.col("place") == 2, F.col("method_name"))).alias("runner_up"), F.max(F.when(F.col("place") == 1, F.col("mean"))).alias("selected_mean"), close.alias("n_equivalent"))
 
 
-def selection_stability(best: DataFrame, draws: int = 200, seed: int = 1234) -> DataFrame:
+def selection_stability(best: DataFrame, draws: int = 1000, seed: int = 1234) -> DataFrame:
     """How often each method wins the pool when datasets are resampled (PF-06, ST-12).
 
     Poisson(1) weights come from a hash of dataset, draw and seed.
@@ -122,7 +122,7 @@ def selection_stability(best: DataFrame, draws: int = 200, seed: int = 1234) ->
     return won.groupBy("method_name").agg(F.count("*").alias("wins"), (F.count("*") / draws).alias("win_share"))
 
 
-def random_subset_curve(best: DataFrame, draws: int = 50, seed: int = 1234) -> DataFrame:
+def random_subset_curve(best: DataFrame, draws: int = 200, seed: int = 1234) -> DataFrame:
     """(size, mean, low, high) of the virtual best of random subsets (PF-14).
 
     Each draw orders the methods by a hash; the prefix of length s is its

@@ -139,3 +139,16 @@ def test_bootstrap_covers_the_mean(spark):
 def test_permutation_finds_planted_groups(spark):
     planted = spark.createDataFrame([(i % 3, float(i % 3) + 0.01 * i) for i in range(60)], "g int, v double")
     assert statistics.group_permutation(planted, "g", "v").first().p_value < 0.05
+
+
+def test_registered_resampling_takes_the_protocols_draws(spark, monkeypatch):
+    from clusterloom.plans import run_queries
+
+    taken = {}
+    best = spark.createDataFrame([(i, m, float(i % 3)) for i in range(4) for m in "ab"], "dataset_id long, method_name string, best_ari double")
+    monkeypatch.setattr(run_queries, "_best", lambda s, d: best)
+    upto = F.sequence
+    for name in ("bootstrap_ci", "selection_stability", "random_subset_curve"):
+        monkeypatch.setattr(F, "sequence", lambda a, z, name=name: taken.setdefault(name, z) is None or upto(a, z))
+        run_queries.QUERIES[name](spark, "")
+    assert {k: spark.range(1).select(v).first()[0] for k, v in taken.items()} == {"bootstrap_ci": 2000, "selection_stability": 1000, "random_subset_curve": 200}
