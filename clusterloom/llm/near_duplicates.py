@@ -1,59 +1,77 @@
 """Near-duplicates by word shingles: Jaccard similarity of 0.8 or more.
 
-Texts with equal shingle sets (as 32-bit hashes) are one node from the start,
-so repeats within a text play no part and exact copies never meet in a task.
-Nodes meet by an exact prefix filter: in one order of all shingles, two sets of
-that similarity share a shingle among the first size - ceil(0.8 size) + 1 of
-each. Any order is exact; shingles that are common in a sample come last, so
-that few nodes meet by them. In a meeting, sizes and parity sketches (bounds
-of the sets' difference, never above it) spare comparisons, and the sets
-decide each pair left. A meeting of many nodes is cut into blocks that meet in
-pairs: every pair is still compared.
+Texts with equal shingle sets (as 32-bit hashes) are one node, so repeats
+within a text play no part and exact copies never meet in a task. Candidates
+come first, the sets decide afterwards:
+
+1. SimHash links (vantage-point trees) and stars around the first node of each
+   min-hash give most candidate links; they cost a few rows a node.
+2. An exact prefix filter gives the rest: in one order of all shingles, two
+   sets of that similarity share a shingle among the first
+   size - ceil(0.8 size) + 1 of each. Only shingles met by nodes that step 1
+   left apart are looked at. Any order is exact; shingles that are common in a
+   sample come last, so that few nodes meet by them. Sizes and parity sketches
+   (bounds of the sets' difference, never above it) rule pairs out, so no pair
+   of the similarity is lost.
+3. The nodes of each component of candidates are compared by their sets, which
+   travel once. Components beyond a block are cut into blocks that meet in
+   pairs: every pair is still compared.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import STEP, Forest, merge_forests, shingle_hashes
-from .storage import materialize
+from .simhash import STEP, Forest, linked_fingerprints, majority, merge_forests, shingle_hashes
+from .storage import discard, materialize
 
-#: Nodes of a meeting that one task compares, with as many others.
-BLOCK = 300
+#: Nodes, and bytes of sets, that a block holds; a task compares two blocks at most.
+BLOCK, BLOCK_BYTES = 2000, 1 << 24
 #: Placed nodes for each pack of meetings that a task takes at once.
 PACK_NODES = 2000
-#: Nodes in which common shingles are looked for, how many of these must have one, and the most that come last.
-ORDER_SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 50_000
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Nodes in which common shingles are looked for: at least so many, and one in so many of all; how many of these must have
+#: one, and the most that come last (4 bytes each are sent to the tasks).
+ORDER_SAMPLE, ORDER_SHARE, COMMON, MOST_COMMON = 10_000, 1000, 3, 50_000
+#: Odd factors of the min-hashes, and the radius of the SimHash links.
+FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+RADIUS = 3
+#: Bits of a mark table for each row marked, and the most of them: 8 MB are sent to the tasks, whatever the input.
+MARK_BITS, MOST_MARKS = 16, 1 << 26
 #: Room for rounding in bounds of sizes.
 SLACK = 1e-9
 
 
-def members(text: bytes | None, width: int, seed: int) -> bytes:
-    """Sorted set of shingle hashes of a text."""
-    return np.unique((np.array(shingle_hashes(text, width, seed), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes()
+def members(hashes: np.ndarray) -> np.ndarray:
+    """Sorted set of 32-bit shingle hashes from 64-bit ones."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))
 
 
-def prefix(own: bytes, common: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+def prefix(own: np.ndarray, common: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
     """The shingles by which a set meets others: its first ones, where those in common (sorted) follow all others by place."""
-    x = np.frombuffer(own, "<u4")
-    n = len(x) - math.ceil(least * len(x) - SLACK) + 1 if len(x) else 0
-    at = np.minimum(np.searchsorted(common, x), max(0, len(common) - 1))
-    last = common[at] == x if len(common) else np.zeros(len(x), bool)
-    late = x[last][np.argsort(place[at[last]], kind="stable")] if last.any() else x[:0]
-    return np.concatenate((x[~last], late))[:n].view("<i4")
+    n = len(own) - math.ceil(least * len(own) - SLACK) + 1 if len(own) else 0
+    at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+    last = common[at] == own if len(common) else np.zeros(len(own), bool)
+    late = own[last][np.argsort(place[at[last]], kind="stable")] if last.any() else own[:0]
+    return np.concatenate((own[~last], late))[:n].view("<i4")
 
 
-def sketch(own: bytes) -> np.ndarray:
-    """Bits that say whether an odd number of shingles falls on them: two sketches differ in no more bits than their sets in shingles."""
-    odd = np.bincount(np.frombuffer(own, "<u4") % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def sketch(own: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of shingles falls on them: two sketches differ in no more bits than their sets in
+    shingles. There are as many bits as shingles or up to twice as many, a power of two."""
+    width = 1 << max(6, (len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits((np.bincount(own % width, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows of 64-bit words) of half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -71,80 +89,137 @@ def alike(a: bytes, b: bytes, least: float) -> bool:
     return min(len(a), len(b)) >= least * max(len(a), len(b)) - SLACK and jaccard(a, b) >= least
 
 
-def _members(width: int, seed: int):
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([members(t, width, seed) for t in texts], dtype=object)
+def near(m, n, apart, least: float):
+    """Whether sizes and differing sketch bits allow the similarity: sets of m and n shingles of similarity s differ in
+    (m + n) (1 - s) / (1 + s) of them."""
+    return (np.minimum(m, n) >= least * np.maximum(m, n) - SLACK) & (apart <= (m + n) * (1 - least) / (1 + least) + SLACK)
+
+
+def near_sets(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, least: float):
+    """Positions (q, p) of all pairs that sizes and sketches allow, in steps. Side 1 meets side 0; without any, side 0 meets itself."""
+    width = np.array([len(s) // 8 for s in sketches])
+    between = bool(side.any())
+    held = {w: (own := np.flatnonzero(width == w), np.frombuffer(b"".join(sketches[i] for i in own), "<u8").reshape(-1, w)) for w in np.unique(width).tolist()}
+    for w, (wide, bits) in held.items():
+        for v in (w, w // 2):
+            if v not in held:
+                continue
+            slim, other = held[v]
+            mine = bits if v == w else fold(bits)
+            # Within a width each pair once; a pair of two sides either way round.
+            ways = [(side[wide] == 1, side[slim] == 0)] + [(side[wide] == 0, side[slim] == 1)] * (v != w) if between else [(wide >= 0, slim >= 0)]
+            for asks, owns in ways:
+                a, x, b, y = slim[owns], other[owns], wide[asks], mine[asks]
+                step = max(1, STEP // max(1, len(a) * v))
+                for i in range(0, len(b) if len(a) else 0, step):
+                    apart = np.bitwise_count(y[i : i + step][:, None, :] ^ x[None, :, :]).sum(2, dtype=np.int64)
+                    q, p = np.nonzero(near(sizes[b[i : i + step]][:, None], sizes[a][None, :], apart, least))
+                    q, p = b[i + q], a[p]
+                    keep = q > p if v == w and not between else q != p
+                    yield q[keep], p[keep]
+
+
+def link_meeting(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray, least: float, sets: list[bytes] | None = None) -> np.ndarray:
+    """Root position of each node, where the sets (or, without them, sizes and sketches) allow the similarity."""
+    forest = Forest(len(sizes))
+    for q, p in near_sets(sizes, sketches, side, least):
+        if sets is None:
+            forest.link(q, p)
+            continue
+        while len(q):
+            apart = forest.find(q) != forest.find(p)  # what is linked already needs no proof
+            q, p = q[apart], p[apart]
+            proved = [alike(sets[i], sets[j], least) for i, j in zip(q[:256].tolist(), p[:256].tolist(), strict=True)]
+            forest.link(q[:256][proved], p[:256][proved])
+            q, p = q[256:], p[256:]
+    return forest.roots()
 
-    return run
 
+def _hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    return np.array(shingle_hashes(text, width, seed), np.uint64)
 
-def _prefixes(common: np.ndarray, place: np.ndarray, least: float):
-    @F.pandas_udf("array<int>")
-    def run(sets: pd.Series) -> pd.Series:
-        return pd.Series([prefix(s, common, place, least) for s in sets], dtype=object)
+
+def _facts(width: int, seed: int, common: np.ndarray, place: np.ndarray, least: float):
+    """Of each text: node (a hash of its set), size, fp (SimHash of the set), sketch, prefix, and mins (its min-hashes)."""
+    import xxhash
+
+    @F.pandas_udf("node long, size int, fp long, sketch binary, prefix array<int>, mins array<int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            hashes = np.unique(_hashes(text, width, seed))
+            own = members(hashes)
+            fp = int(majority(hashes, np.array([0]))[0]) if len(hashes) else 0
+            mins = (own[:, None] * FACTORS).min(0).view(np.int32) if len(own) else np.zeros(0, np.int32)
+            rows.append((xxhash.xxh64_intdigest(own.tobytes(), seed), len(own), fp, sketch(own), prefix(own, common, place, least), mins))
+        out = pd.DataFrame(rows, columns=["node", "size", "fp", "sketch", "prefix", "mins"])
+        return out.assign(node=out["node"].astype("uint64").astype("int64"), fp=out["fp"].astype("uint64").astype("int64"))
 
     return run
 
 
-def common_shingles(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, place of each by frequency) of the shingles that are common in a sample of the nodes."""
+def common_shingles(texts: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, place of each by frequency) of the shingles that are common in a sample of the texts (column text)."""
 
     @F.pandas_udf("array<int>")
-    def listed(sets: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(s, "<i4") for s in sets], dtype=object)
+    def listed(own: pd.Series) -> pd.Series:
+        return pd.Series([members(_hashes(t, width, seed)).view("<i4") for t in own], dtype=object)
 
-    every = max(1, prints.count() // ORDER_SAMPLE)
-    some = prints.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(every)) == 0).groupBy("node").agg(F.first("members").alias("members"))
-    counts = some.select(F.explode(listed("members")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    every = min(ORDER_SHARE, max(1, texts.count() // ORDER_SAMPLE))
+    some = texts.select(F.col("text").cast("binary").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(every)) == 0).distinct()
+    counts = some.select(F.explode(listed("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
     found = rows["s"].to_numpy(np.int32).view(np.uint32)[::-1]  # rarest first
     order = np.argsort(found)
     return found[order], order
 
 
-def near_sets(sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float):
-    """Positions (b, a) of all pairs whose sizes and sketches allow the similarity, in steps."""
-    sizes = np.array([len(s) // 4 for s in sets], np.int64)
-    bits = np.array([sketch(s) for s in sets])
-    step = max(1, STEP // (len(a) * bits.shape[1]))
-    for i in range(0, len(b), step):
-        part = b[i : i + step]
-        m, n = sizes[part][:, None], sizes[a][None, :]
-        apart = np.bitwise_count(bits[part][:, None, :] ^ bits[a][None, :, :]).sum(2, dtype=np.int64)
-        # Similarity s of sets of m and n shingles: they differ in (m + n) (1 - s) / (1 + s).
-        fits = (np.minimum(m, n) >= least * np.maximum(m, n) - SLACK) & (apart <= (m + n) * (1 - least) / (1 + least) + SLACK)
-        q, p = np.nonzero(fits)
-        yield part[q], a[p]
-
-
-def link_meeting(sets: list[bytes], side: np.ndarray, least: float) -> np.ndarray:
-    """Root position of each node of a meeting. Nodes of side 1 meet those of side 0; without any, side 0 meets itself."""
-    forest = Forest(len(sets))
-    a = np.flatnonzero(side == 0)
-    b = np.flatnonzero(side == 1) if side.any() else a
-    for q, p in near_sets(sets, a, b, least) if len(a) else ():
-        keep = q != p if b is not a else q > p
-        q, p = q[keep], p[keep]
-        while len(q):
-            apart = forest.find(q) != forest.find(p)  # what is linked already needs no proof
-            q, p = q[apart], p[apart]
-            near = [alike(sets[i], sets[j], least) for i, j in zip(q[:256].tolist(), p[:256].tolist(), strict=True)]
-            forest.link(q[:256][near], p[:256][near])
-            q, p = q[256:], p[256:]
-    return forest.roots()
+class Marks:
+    """A bounded table of bits in which every marked hash has its bit set; others may share one."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        want = max(1 << 16, MARK_BITS * hashes.count())
+        self.width = min(MOST_MARKS, 1 << (want - 1).bit_length())
+        bit = F.pmod(F.col(column), F.lit(self.width))
+        words = hashes.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b"))
+        rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        self.words = np.zeros(self.width // 64, np.int64)
+        self.words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes % self.width
+        return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def _link(least: float):
+def _marked(marks):
+    """Whether a hash may be marked; marks is a broadcast Marks."""
+
+    @F.pandas_udf("boolean")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(marks.value.has(hashes.to_numpy(np.int64)))
+
+    return run
+
+
+def _sets(width: int, seed: int):
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([members(_hashes(t, width, seed)).tobytes() for t in texts], dtype=object)
+
+    return run
+
+
+def _link(least: float, proved: bool):
+    """Forests of all meetings of a pack, by sketches or proved by sets."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Forests of all meetings of a pack."""
         rows = rows.sort_values(["meeting", "a", "b", "side", "node"], ignore_index=True)
         meeting = rows[["meeting", "a", "b"]].to_numpy()
         starts = np.flatnonzero(np.append(True, (meeting[1:] != meeting[:-1]).any(1)))
-        node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-        sets, nodes, roots = rows["members"].tolist(), [], []
+        node, side, size, sketches = rows["node"].to_numpy(), rows["side"].to_numpy(), rows["size"].to_numpy(np.int64), rows["sketch"].tolist()
+        sets, nodes, roots = rows["members"].tolist() if proved else None, [], []
         for i, z in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-            root = link_meeting(sets[i:z], side[i:z], least)
+            root = link_meeting(size[i:z], sketches[i:z], side[i:z], least, sets and sets[i:z])
             more = np.bincount(root, minlength=z - i)[root] > 1
             nodes.append(node[i:z][more])
             roots.append(node[i:z][root[more]])
@@ -153,38 +228,104 @@ def _link(least: float):
     return run
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with node, meeting and blocks, placed in cells (meeting, a, b): a block meets itself and each other block once."""
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("partner")
+    placed = rows.withColumn("own", own).select("*", partner).drop("blocks")
+    cell = {"a": F.least("own", "partner"), "b": F.greatest("own", "partner"), "side": F.when(F.col("own") <= F.col("partner"), 0).otherwise(1)}
+    return placed.withColumns(cell).drop("own", "partner")
+
+
+def linked(placed: DataFrame, packs: int, least: float, proved: bool) -> DataFrame:
+    """(node, root) of the forests of all cells."""
+    packed = placed.withColumn("pack", F.pmod(F.xxhash64("meeting", "a", "b"), F.lit(packs)))
+    return materialize(packed.groupBy("pack").applyInPandas(_link(least, proved), "node long, root long"), "forests")
+
+
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """(node, root) of nodes whose SimHash fingerprints are equal or linked at RADIUS bits or fewer."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "fps")
+    near_fp = linked_fingerprints(firsts, RADIUS)
+    tied = materialize(firsts.join(near_fp, "fp", "left").filter("label is not null or n > 1"), "tied")
+    roots = tied.groupBy(F.coalesce("label", "fp").alias("of")).agg(F.min("first").alias("root"))
+    of_fp = tied.select("fp", F.coalesce("label", "fp").alias("of")).join(roots, "of").select("fp", "root")
+    return nodes.select("node", "fp").join(of_fp, "fp").select("node", "root")
+
+
+def star_links(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, root) of nodes that sizes and sketches allow to be alike to the smallest node of the same min-hash."""
+
+    @F.pandas_udf("boolean")
+    def allowed(size: pd.Series, own: pd.Series, hub_size: pd.Series, hub: pd.Series) -> pd.Series:
+        out = []
+        for m, a, n, b in zip(size, own, hub_size, hub, strict=True):
+            x, y = (np.frombuffer(s, "<u8")[None, :] for s in ((a, b) if len(a) >= len(b) else (b, a)))
+            while x.shape[1] > y.shape[1]:
+                x = fold(x)
+            out.append(bool(near(m, n, int(np.bitwise_count(x ^ y).sum()), least)))
+        return pd.Series(out, dtype=bool)
+
+    rows = nodes.select("node", "size", "sketch", F.posexplode("mins").alias("i", "least")).withColumn("meeting", F.xxhash64("i", "least"))
+    hubs = rows.groupBy("meeting").agg(F.min(F.struct("node", "size", "sketch")).alias("hub"), F.max("node").alias("last")).filter("hub.node < last")
+    met = rows.select("meeting", "node", "size", "sketch").join(hubs.select("meeting", "hub"), "meeting")
+    fits = F.col("size").between(F.col("hub.size") * least - SLACK, F.col("hub.size") / least + SLACK)
+    return met.filter(fits).filter(allowed("size", "sketch", "hub.size", "hub.sketch")).select("node", F.col("hub.node").alias("root"))
+
+
+def prefix_links(nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(node, root) of all pairs that share a shingle of their prefixes, have different labels, and may be alike."""
+    known = nodes.select("node", "prefix").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("meeting"))
+    crowds = known.groupBy("meeting").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor("node").alias("x")).filter("low < high")
+    # Shingles that the same nodes share are one meeting.
+    crowds = crowds.groupBy("n", "x", "low", "high").agg(F.min("meeting").alias("meeting")).select("meeting", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    member = known.select("node", "meeting").join(crowds, "meeting")
+    placed = materialize(in_blocks(member), "meetings")
+    packs = max(64, placed.count() // PACK_NODES)
+    found = linked(placed.join(nodes.select("node", "size", "sketch"), "node"), packs, least, False)
+    discard(placed)
+    return found
+
+
+def proved_links(docs: DataFrame, nodes: DataFrame, labels: DataFrame, width: int, seed: int, least: float) -> DataFrame:
+    """(node, root) of the pairs of equal label whose sets are alike. docs has at (hash of the key) and text."""
+    own = nodes.select("node", "size", "sketch", F.xxhash64("least").alias("at")).join(labels.withColumnRenamed("label", "meeting"), "node")
+    own = materialize(own, "candidates")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 4 / BLOCK_BYTES)).alias("blocks")
+    placed = materialize(in_blocks(own.join(own.groupBy("meeting").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "meeting")), "cells")
+    facts = placed.agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long") * 4).alias("bytes")).first()
+    packs = max(64, facts.n // PACK_NODES, (facts.bytes or 0) // BLOCK_BYTES)
+    marks = docs.sparkSession.sparkContext.broadcast(Marks(own, "at"))
+    some = docs.filter(_marked(marks)("at")).select("at", _sets(width, seed)("text").alias("members"))
+    sets = some.groupBy("at").agg(F.first("members").alias("members"))
+    found = linked(placed.join(sets, "at").drop("at"), packs, least, True)
+    discard(own), discard(placed)
+    return found
+
+
 def near_duplicate_groups(docs: DataFrame, key: F.Column, text_col: str = "text", width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """(key, group): group is the smallest key of the texts that links reach.
 
-    key may be of any type that can be ordered. Texts without words are copies
-    of one another; texts of fewer words than width count as one shingle.
+    key may be of any type that can be ordered. Texts without words (null,
+    empty, blanks) are copies of one another; texts of fewer words than width
+    count as one shingle. Each row of docs gives one row, repeated rows too;
+    an empty table gives none. Whole texts count, however long.
     """
-    signed = docs.select(key.alias("key"), _members(width, seed)(F.col(text_col).cast("binary")).alias("members"))
-    prints = materialize(signed.select("key", F.xxhash64("members").alias("node"), "members"), "members")
-    firsts = prints.select("key", "node", _prefixes(*common_shingles(prints), least)("members").alias("prefix"))
-    nodes = materialize(firsts.groupBy("node").agg(F.min("key").alias("least"), F.first("prefix").alias("prefix")), "nodes")
-    bands = nodes.select("node", F.explode("prefix").alias("meeting"))
-    crowds = bands.groupBy("meeting").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("first")).filter("n > 1")
-    # Shingles that the same nodes share are one meeting.
-    crowds = crowds.groupBy("n", "x", "first").agg(F.min("meeting").alias("meeting")).select("meeting", "n")
-    member = bands.join(crowds, "meeting").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    # A block meets itself and each other block of its meeting once.
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
-    placed = member.withColumn("own", own).select("node", "meeting", "own", partner)
-    placed = placed.select("node", "meeting", F.least("own", "partner").alias("a"), F.greatest("own", "partner").alias("b"), F.when(F.col("own") <= F.col("partner"), 0).otherwise(1).alias("side"))
-    placed = materialize(placed, "meetings")
-    # Only the sets of nodes that meet others are compared, each read from its first row: copies of one text would
-    # all come to one task by node.
-    first = placed.select("node").distinct().join(nodes, "node").select(F.xxhash64("least").alias("_at"))
-    meeting = prints.select("node", "members", F.xxhash64("key").alias("_at")).join(first, "_at", "left_semi")
-    facts = placed.join(meeting.groupBy("node").agg(F.first("members").alias("members")), "node")
-    packs = max(64, placed.count() // PACK_NODES)
-    packed = facts.withColumn("pack", F.pmod(F.xxhash64("meeting", "a", "b"), F.lit(packs)))
-    forests = materialize(packed.groupBy("pack").applyInPandas(_link(least), "node long, root long"), "forests")
-    labels = merge_forests(forests, "node")
-    labelled = materialize(nodes.select("node", "least").join(labels, "node"), "labelled")
-    groups = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("group")), "label").select("node", "group")
+    plain = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
+    common = common_shingles(plain, width, seed)
+    told = plain.select("key", _facts(width, seed, *common, least)("text").alias("f")).select("key", "f.*")
+    prints = materialize(told, "prints")
+    first = F.first(F.struct("size", "fp", "sketch", "prefix", "mins")).alias("f")
+    nodes = materialize(prints.groupBy("node").agg(F.min("key").alias("least"), first).select("node", "least", "f.*"), "nodes")
+    # A root is a member of its own star, so that the stars it is in meet.
+    stars = [simhash_links(nodes), star_links(nodes, least)]
+    stars = materialize(reduce(DataFrame.union, [s.union(s.select("root", "root")) for s in stars]), "stars")
+    labels = materialize(merge_forests(stars, "node"), "labels")
+    rest = prefix_links(nodes, labels, least)
+    candidates = materialize(merge_forests(stars.union(rest), "node"), "labels")
+    proved = proved_links(plain.select(F.xxhash64("key").alias("at"), "text"), nodes, candidates, width, seed, least)
+    final = materialize(nodes.select("node", "least").join(merge_forests(proved, "node"), "node"), "labelled")
+    groups = final.join(final.groupBy("label").agg(F.min("least").alias("group")), "label").select("node", "group")
     of_node = nodes.select("node", "least").join(groups, "node", "left").select("node", F.coalesce("group", "least").alias("group"))
     return prints.select("key", "node").join(of_node, "node").select("key", "group")
 
@@ -192,11 +333,19 @@ def near_duplicate_groups(docs: DataFrame, key: F.Column, text_col: str = "text"
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of docs, columns as they are, of each group: that of the smallest id, null last.
 
-    Of rows equal in id and text one stays.
+    Of rows equal in id and text one stays. Extra columns may have any names.
+    Only rows that share a key, or may go, are dealt out; the others stay where
+    they are.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     groups = near_duplicate_groups(docs, key, text_col, width, least)
-    chosen = groups.filter(F.col("key").eqNullSafe(F.col("group"))).select(F.to_json("key").alias("_key")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.to_json(key).alias("_key"))
-    one = rows.join(chosen, "_key").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return one.filter("_n = 1").select("row.*")
+    by_key = groups.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("group"))
+    touched = materialize(by_key.filter("n > 1 or not key <=> `group`").select(F.xxhash64("key").alias("at"), "key", F.expr("key <=> `group`").alias("stays")), "touched")
+    marks = docs.sparkSession.sparkContext.broadcast(Marks(touched, "at"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).withColumn("at", F.xxhash64("key"))
+    rows = rows.withColumn("marked", _marked(marks)("at"))
+    sole = rows.filter("not marked").select("row.*")
+    told = touched.select(F.to_json("key").alias("_key"), "stays")
+    met = rows.filter("marked").select("row", F.to_json("key").alias("_key")).join(told, "_key", "left")
+    one = met.filter("stays").groupBy("_key").agg(F.first("row").alias("row"))
+    return sole.union(met.filter("stays is null").select("row.*")).union(one.select("row.*"))
