@@ -21,15 +21,20 @@ come first, the sets decide afterwards:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .simhash import STEP, Forest, linked_fingerprints, majority, merge_forests, shingle_hashes
 from .storage import discard, materialize
+from .words import trim
 
 #: Nodes, and bytes of sets, that a block holds; a task compares two blocks at most.
 BLOCK, BLOCK_BYTES = 2000, 1 << 24
@@ -43,6 +48,8 @@ FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 RADIUS = 3
 #: Bits of a mark table for each row marked, and the most of them: 8 MB are sent to the tasks, whatever the input.
 MARK_BITS, MOST_MARKS = 16, 1 << 26
+#: Texts whose facts are held at once.
+SLICE = 500
 #: Room for rounding in bounds of sizes.
 SLACK = 1e-9
 
@@ -139,21 +146,46 @@ def _hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
     return np.array(shingle_hashes(text, width, seed), np.uint64)
 
 
+#: What is known of each text: node (a hash of its set), size, fp (SimHash of the set), sketch, prefix and mins (min-hashes).
+FACTS = "node long, size int, fp long, sketch binary, prefix array<int>, mins array<int>"
+
+
 def _facts(width: int, seed: int, common: np.ndarray, place: np.ndarray, least: float):
-    """Of each text: node (a hash of its set), size, fp (SimHash of the set), sketch, prefix, and mins (its min-hashes)."""
-    import xxhash
-
-    @F.pandas_udf("node long, size int, fp long, sketch binary, prefix array<int>, mins array<int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            hashes = np.unique(_hashes(text, width, seed))
-            own = members(hashes)
-            fp = int(majority(hashes, np.array([0]))[0]) if len(hashes) else 0
-            mins = (own[:, None] * FACTORS).min(0).view(np.int32) if len(own) else np.zeros(0, np.int32)
-            rows.append((xxhash.xxh64_intdigest(own.tobytes(), seed), len(own), fp, sketch(own), prefix(own, common, place, least), mins))
-        out = pd.DataFrame(rows, columns=["node", "size", "fp", "sketch", "prefix", "mins"])
-        return out.assign(node=out["node"].astype("uint64").astype("int64"), fp=out["fp"].astype("uint64").astype("int64"))
+    """FACTS of each text (column 1), beside its key (column 0). Texts are read one by one."""
+
+    def fact(text: bytes | None) -> tuple:
+        hashes = np.unique(_hashes(text, width, seed))
+        own = members(hashes)
+        fp = majority(hashes, np.array([0]))[0] if len(hashes) else np.uint64(0)
+        mins = (own[:, None] * FACTORS).min(0).view(np.int32) if len(own) else np.zeros(0, np.int32)
+        node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed))
+        return node.astype(np.int64), len(own), fp.astype(np.int64), sketch(own), prefix(own, common, place, least), mins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "size", "fp", "sketch", "prefix", "mins"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                own = batch.slice(i, SLICE)
+                rows = [fact(t.as_py()) for t in own.column(1)]
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["key", *names])
+            trim()
+
+    return run
+
+
+def _sets(width: int, seed: int, marks):
+    """(at, members) of the texts whose hash (column 0) may be marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            few = np.flatnonzero(marks.value.has(at))
+            for i in range(0, len(few), SLICE):
+                own = few[i : i + SLICE]
+                sets = pa.array([members(_hashes(batch.column(1)[j].as_py(), width, seed)).tobytes() for j in own.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at[own]), sets], ["at", "members"])
+            trim()
 
     return run
 
@@ -201,14 +233,6 @@ def _marked(marks):
     return run
 
 
-def _sets(width: int, seed: int):
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([members(_hashes(t, width, seed)).tobytes() for t in texts], dtype=object)
-
-    return run
-
-
 def _link(least: float, proved: bool):
     """Forests of all meetings of a pack, by sketches or proved by sets."""
 
@@ -296,7 +320,7 @@ def proved_links(docs: DataFrame, nodes: DataFrame, labels: DataFrame, width: in
     facts = placed.agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long") * 4).alias("bytes")).first()
     packs = max(64, facts.n // PACK_NODES, (facts.bytes or 0) // BLOCK_BYTES)
     marks = docs.sparkSession.sparkContext.broadcast(Marks(own, "at"))
-    some = docs.filter(_marked(marks)("at")).select("at", _sets(width, seed)("text").alias("members"))
+    some = docs.select("at", "text").mapInArrow(_sets(width, seed, marks), "at long, members binary")
     sets = some.groupBy("at").agg(F.first("members").alias("members"))
     found = linked(placed.join(sets, "at").drop("at"), packs, least, True)
     discard(own), discard(placed)
@@ -313,8 +337,8 @@ def near_duplicate_groups(docs: DataFrame, key: F.Column, text_col: str = "text"
     """
     plain = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
     common = common_shingles(plain, width, seed)
-    told = plain.select("key", _facts(width, seed, *common, least)("text").alias("f")).select("key", "f.*")
-    prints = materialize(told, "prints")
+    told = StructType([plain.schema["key"], *StructType.fromDDL(FACTS)])
+    prints = materialize(plain.mapInArrow(_facts(width, seed, *common, least), told), "prints")
     first = F.first(F.struct("size", "fp", "sketch", "prefix", "mins")).alias("f")
     nodes = materialize(prints.groupBy("node").agg(F.min("key").alias("least"), first).select("node", "least", "f.*"), "nodes")
     # A root is a member of its own star, so that the stars it is in meet.
