@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import trim
+
 #: Labelled rows that a fit reads at most, lowest hash of the id first.
 MAX_LABELLED = 20_000
 #: Preference pairs drawn for a fit.
@@ -102,21 +104,27 @@ class BradleyTerry:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> BradleyTerry:
-    """Fit on max_labelled labelled documents at most.
+    """Fit on the documents of max_labelled labels at most.
 
     keep is a condition on id_col of the labels (all where None). Labels other
     than 0 and 1 and null ids are left out; an id labelled both ways counts as
-    both. With one class or none every score is CUT.
+    both, rows of docs equal in id and text count once, and of ids with several
+    texts 2 * max_labelled rows are taken at most, by a hash of id and text.
+    With one class or none, as with empty tables, every score is CUT. Texts are
+    read whole, however long.
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col("quality").alias("_y")).filter("_id is not null and _y in (0, 1)")
     if keep is not None:
         own = own.join(labels.filter(keep).select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
     own = own.distinct().orderBy(F.xxhash64("_id"), "_y").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    # The sample has max_labelled rows at most.
+    # The sample has max_labelled rows at most. Rows equal in id, text and label count once; ids with several texts
+    # may make more rows, of which a hash chooses without regard to the label.
     measure = F.pandas_udf(_measured, "array<double>")
-    joined = texts.join(F.broadcast(own), "_id").select(measure("_text").alias("x"), "_y")
-    rows = joined.orderBy("_y", F.xxhash64("x")).limit(2 * max_labelled).collect()
+    one = texts.join(F.broadcast(own), "_id").groupBy("_id", "_y", F.xxhash64("_text").alias("_hash")).agg(F.first("_text").alias("_text"))
+    measured = one.select("_id", "_hash", "_y", measure("_text").alias("x"))
+    rows = measured.orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash", "_y").limit(2 * max_labelled).collect()
+    rows.sort(key=lambda r: (r._y, r.x))  # the model does not hang on the order in which rows arrive
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return BradleyTerry(x, np.array([r._y for r in rows], int))
 
@@ -130,7 +138,9 @@ def quality_score(model: BradleyTerry, text: F.Column) -> F.Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(feature_matrix(texts)), dtype="float64")
+        scores = pd.Series(model.score(feature_matrix(texts)), dtype="float64")
+        trim()
+        return scores
 
     return run(text.cast("binary"))
 
