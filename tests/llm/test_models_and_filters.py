@@ -117,6 +117,15 @@ def test_quality_is_learned_and_held_out_rows_are_not_read(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-12 for r in out)
 
 
+def test_repeated_rows_leave_the_quality_model_as_it_is(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "text"] if i % 3 else ["BAD!!", "||", "$$"], 30))) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    once = quality.fit_quality(spark.createDataFrame(rows, SCHEMA), labels, max_labelled=90)
+    often = quality.fit_quality(spark.createDataFrame(rows * 5, SCHEMA), labels, max_labelled=90)
+    assert np.allclose(once.weights, often.weights) and once.cut == often.cut and np.abs(once.weights).max() > 0.1
+
+
 def test_quality_with_one_class_or_no_labels(spark):
     docs = spark.createDataFrame([(1, "a", "row"), (2, "b", "x")], "doc_id long, text string, score string")
     for rows in ([], [(1, 1)]):
@@ -137,14 +146,14 @@ def brute_hits(text, items, width=10):
     words = alnum_words((text or "").encode())
     hit, found = set(), set()
     for item, t in items:
-        own = alnum_words(t.encode()) if t and item is not None else []
+        own = alnum_words(t.encode()) if t else []
         if not own:
             continue
         n = min(width, len(own))
         windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
         for i in range(len(words) - n + 1):
             if tuple(words[i : i + n]) in windows:
-                found.add(str(item))
+                found |= set() if item is None else {str(item)}
                 hit |= set(range(i, i + n))
     return len(words), len(hit), sorted(found)
 
@@ -160,11 +169,12 @@ def test_decontamination_equals_brute_force(spark):
     items, rows = contamination_case()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([*rows, rows[0]], SCHEMA)
-    for limit in (decontam.MAX_BYTES, 40):  # one automaton, or several
-        found = df.select("doc_id", "text", decontam.contamination(F.col("text"), bench, max_bytes=limit).alias("f")).collect()
+    for limit, windows in ((decontam.MAX_BYTES, decontam.PIECE_WINDOWS), (400, 3)):  # one automaton, or several of items in pieces
+        found = decontam.contaminated(df, bench, max_bytes=limit, piece_windows=windows).collect()
+        assert len(found) == len(rows) + 1
         for r in found:
-            n, hit, ids = brute_hits(r.text, items)
-            assert (r.f.n_words, r.f.n_hit, sorted(r.f["items"])) == (n, hit, ids), r.text
+            n, hit, ids = brute_hits(r.row.text, items)
+            assert (r.found.n_words, r.found.n_hit, sorted(r.found["items"])) == (n, hit, ids), r.row.text
     digest = {r.doc_id: r for r in decontam.contamination_digest(df, bench).collect()}
     assert digest[0].items_sha256 == hashlib.sha256(b"1,12").hexdigest() and digest[4].items_sha256 == hashlib.sha256(b"").hexdigest()
 
@@ -172,8 +182,23 @@ def test_decontamination_equals_brute_force(spark):
 def test_spans_are_offsets_of_the_original(spark):
     bench = spark.createDataFrame([(1, "big red dog")], "item_id long, text string")
     text = "É: Big, RED dog! x"
-    r = spark.createDataFrame([(1, text)], SCHEMA).select(decontam.contamination(F.col("text"), bench).alias("f")).first().f
+    df = spark.createDataFrame([(1, text)], SCHEMA)
+    r = decontam.contaminated(df, bench).first().found
     assert [text[s.start : s.end] for s in r.spans] == ["Big, RED dog"]
+    other = spark.createDataFrame([(2, "dog x")], "item_id long, text string")  # another benchmark in the same session
+    assert [text[s.start : s.end] for s in decontam.contaminated(df, other).first().found.spans] == ["dog! x"]
+
+
+def test_items_without_id_hit_words_and_are_in_no_list(spark):
+    bench = spark.createDataFrame([(None, "big red dog"), (3, "red dog"), (4, None)], "item_id long, text string")
+    r = decontam.contamination_digest(spark.createDataFrame([(1, "a big red dog")], SCHEMA), bench).first()
+    assert (r.n_hit, r.n_items, r.contaminated) == (3, 1, True)
+
+
+def test_word_codes_stay_apart_for_many_words():
+    codes = decontam._Codes([b"%d" % i for i in range(1_200_000)])
+    assert codes.digits == 4 and len(set(codes.values())) == 1_200_000 and codes[b"other"] == "\0" * 4
+    assert all(max(c) < "\ud800" for c in (codes[b"0"], codes[b"1199999"]))
 
 
 def test_decontaminate_keeps_columns(spark):
