@@ -1,21 +1,25 @@
-"""Language-model scores by deleted interpolation of bigrams, unigrams and a uniform floor.
+"""Language-model scores by deleted interpolation of trigrams, bigrams, unigrams and a uniform floor.
 
 Counts cover every training document. Texts are tokenized once into blocks of
 word numbers, which are written to the shared folder. Each block asks for the
 counts of its distinct words and bigrams with sorted 64-bit hashes, cut into
 ranges of the hash; a range meets in one task, is summed over the blocks and
 answered block by block. A frequent word is thus one entry a block, and no
-count table is broadcast or collected.
+count table is broadcast or collected. The answer says which bigrams occur in
+other blocks; only trigrams that go on from one of these are asked for in turn,
+as a block knows all others by itself.
 
 The mixture weights of each context-frequency bucket are learned by
 expectation-maximisation on a held-out part of the training documents whose
 counts are deleted from the estimates. The likelihood of a bucket depends on
 the ratios of the two estimates only, so a histogram of ratios (64 steps an
-octave) is all that reaches the driver, whatever the size of the corpus.
+octave) is all that reaches the driver, whatever the size of the corpus. Weights
+of trigrams are learned after those of bigrams, given these.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import estimated_bytes, materialize
 from .words import split_words, trim
 
-#: Tokens a block is closed at; a document is never cut.
-BLOCK_TOKENS = 1 << 20
-#: Distinct hashes that a range is meant to get from all blocks.
-RANGE_KEYS = 1 << 20
+#: Tokens a block is closed at (a document is never cut), and hashes that a range is meant to get from all blocks: the
+#: least and the most. Between them they grow with the root of the corpus, so that a block has PIECE_KEYS or more
+#: hashes for each range.
+LEAST_BLOCK, MOST_BLOCK, PIECE_KEYS = 1 << 20, 1 << 25, 64
+#: Bytes of a plan's estimated size for each token.
+TOKEN_BYTES = 4
 #: One in so many training documents is held out for the mixture weights.
 HELD_OUT_ONE_IN = 8
 #: Context-frequency buckets: 0, then one an octave.
@@ -40,7 +46,8 @@ BUCKETS, STEPS, NEVER = 48, 64, -(1 << 20)
 END = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_DDL = "block long, lengths binary, roles binary, tokens binary, vocab binary, n_tokens long"
 ASK_DDL = "n int, range int, block long, keys binary, train binary, held binary"
-ANSWER_DDL = "n int, range int, block long, train binary, held binary, known long, total long, bins array<struct<bin: int, weight: double>>"
+ANSWER_DDL = "n int, range int, block long, train binary, held binary, shared binary, known long, total long, bins array<struct<bin: int, weight: double>>"
+REPLY = ["block", "n", "range", "train", "held", "shared"]
 
 
 #: Arrays shorter than this are stored plainly: at many ranges pieces are short.
@@ -152,11 +159,28 @@ class _Tokens:
         self.word_order = np.argsort(self.vocab, kind="stable")
         self.bigrams, self.bigram_of = np.unique(pair_keys(self.vocab[self.context], self.vocab[self.tokens]), return_inverse=True)
 
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token 1 or 0: whether it trains the model, and whether it is held out for the weights."""
+        role = np.repeat(self.roles, self.lengths)
+        return (role > 0).astype(np.float64), (role == 2).astype(np.float64)
 
-def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of the equal hash ranges starts in sorted keys; the last entry is the end."""
-    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+
+def _pieces(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, last) of the equal hash ranges that sorted keys fall into; empty ones are left out."""
+    if not len(keys):
+        return []
+    of = (keys // np.uint64(-(-(1 << 64) // ranges))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
+
+
+def _questions(n: int, ranges: int, block: int, keys: np.ndarray, of_train: np.ndarray, of_held: np.ndarray) -> pd.DataFrame:
+    """ASK_DDL rows of a block's sorted keys and their own counts."""
+    out = []
+    for i, a, z in _pieces(keys, ranges):
+        gaps = np.diff(keys[a:z], prepend=np.uint64(0))
+        out.append((n, i, block, pack(gaps), pack(of_train[a:z].astype(np.uint32)), pack(of_held[a:z].astype(np.uint32)) if block & 1 else None))
+    return pd.DataFrame(out, columns=["n", "range", "block", "keys", "train", "held"])
 
 
 def _ask(ranges: dict[int, int]):
@@ -164,26 +188,29 @@ def _ask(ranges: dict[int, int]):
         for batch in batches:
             for row in batch.itertuples():
                 b = _Tokens(row)
-                role = np.repeat(b.roles, b.lengths)
-                train, held = (role > 0).astype(np.float64), (role == 2).astype(np.float64)
-                size = len(b.vocab)
-                counts = {
-                    1: (b.vocab[b.word_order], *(np.bincount(b.tokens, w, size)[b.word_order] for w in (train, held))),
-                    2: (b.bigrams, *(np.bincount(b.bigram_of, w, len(b.bigrams)) for w in (train, held))),
-                }
-                for n, (keys, of_train, of_held) in counts.items():
-                    cuts, out = _bounds(keys, ranges[n]), []
-                    for i in range(ranges[n]):
-                        a, z = cuts[i], cuts[i + 1]
-                        if z > a:
-                            gaps = np.diff(keys[a:z], prepend=np.uint64(0))
-                            out.append((n, i, row.block, pack(gaps), pack(of_train[a:z].astype(np.uint32)), pack(of_held[a:z].astype(np.uint32)) if row.block & 1 else None))
-                    yield pd.DataFrame(out, columns=["n", "range", "block", "keys", "train", "held"])
+                weights = b.weights()
+                words = (np.bincount(b.tokens, w, len(b.vocab))[b.word_order] for w in weights)
+                yield _questions(1, ranges[1], row.block, b.vocab[b.word_order], *words)
+                yield _questions(2, ranges[2], row.block, b.bigrams, *(np.bincount(b.bigram_of, w, len(b.bigrams)) for w in weights))
         trim()
 
     return run
 
 
+def _ask_trigrams(ranges: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in left.itertuples():
+            b = _Answered(row, right)
+            b.find_trigrams()
+            out.append(_questions(3, ranges, row.block, b.trigrams[b.open], b.own_train[b.open], b.own_held[b.open]))
+            del b
+            trim()
+        return pd.concat(out)
+
+    return run
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of a hash range over all blocks, to each block in the order of its keys; totals in a row of block -1."""
     n, at = int(rows["n"].iloc[0]), int(rows["range"].iloc[0])
@@ -191,19 +218,21 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = [len(p) for p in parts]
     keys, where = np.unique(np.concatenate(parts), return_inverse=True)
     parts.clear()
+    shared = np.bincount(where, minlength=len(keys)) > 1
     train = np.bincount(where, np.concatenate([unpack(t, np.uint32) for t in rows["train"]]), len(keys)).astype(np.int64)
     held = np.bincount(where, np.concatenate([unpack(h, np.uint32) if h is not None else np.zeros(s, np.uint32) for h, s in zip(rows["held"], sizes, strict=True)]), len(keys)).astype(np.int64)
     out, end = [], 0
     for block, size in zip(rows["block"].tolist(), sizes, strict=True):
         own = where[end : end + size]
         end += size
-        out.append((n, at, block, pack(train[own].astype(np.uint64)), pack(held[own].astype(np.uint64)) if block & 1 else None, None, None, None))
+        bits = pack(np.packbits(shared[own])) if n == 2 else None
+        out.append((n, at, block, pack(train[own].astype(np.uint64)), pack(held[own].astype(np.uint64)) if block & 1 else None, bits, None, None, None))
     if n == 1:
         bins, inverse = np.unique(_bins((train - held).astype(np.float64)), return_inverse=True)
         weights = np.bincount(inverse, held)
         bins = [{"bin": int(b), "weight": float(w)} for b, w in zip(bins, weights, strict=True) if w]
-        out.append((n, at, -1, None, None, int((train > 0).sum()), int(train.sum()), bins))
-    frame = pd.DataFrame(out, columns=["n", "range", "block", "train", "held", "known", "total", "bins"])
+        out.append((n, at, -1, None, None, None, int((train > 0).sum()), int(train.sum()), bins))
+    frame = pd.DataFrame(out, columns=["n", "range", "block", "train", "held", "shared", "known", "total", "bins"])
     del parts, keys, where, train, held
     trim()
     return frame.astype({"known": "Int64", "total": "Int64"})
@@ -230,27 +259,19 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(BUCKETS - 1, 1 + np.floor(np.log2(np.maximum(context, 1)))), 0).astype(np.int64)
 
 
-def _estimates(word, context, pair, total: float, vocabulary: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram estimate, interpolated unigram estimate) of each token."""
-    low = share * (word / total if total else 0.0) + (1 - share) / (vocabulary + 1)
-    return np.where(context > 0, pair / np.maximum(context, 1), 0.0), np.broadcast_to(low, np.shape(pair))
-
-
 class _Answered(_Tokens):
-    """A block with the counts of its words (c1) and bigrams (c2)."""
+    """A block with the counts of its words (c1) and bigrams (c2), and with find_trigrams() of its trigrams (c3)."""
 
     def __init__(self, row, answers: pd.DataFrame):
         super().__init__(row)
         answers = answers.sort_values(["n", "range"])
-        got = {n: answers[answers["n"] == n] for n in (1, 2)}
-
-        def join(n: int, column: str) -> np.ndarray:
-            return np.concatenate([unpack(x, np.uint64) for x in got[n][column]]).astype(np.int64)
-
+        self.got = {n: answers[answers["n"] == n] for n in (1, 2, 3)}
         self.c1 = np.empty(len(self.vocab), np.int64)
-        self.c1[self.word_order] = join(1, "train")
-        self.c2 = join(2, "train")
-        self.join = join
+        self.c1[self.word_order] = self.join(1, "train")
+        self.c2 = self.join(2, "train")
+
+    def join(self, n: int, column: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.uint64).astype(np.int64) for x in self.got[n][column])])
 
     def delete_held(self) -> None:
         held = np.empty(len(self.vocab), np.int64)
@@ -258,15 +279,66 @@ class _Answered(_Tokens):
         self.c1 -= held
         self.c2 -= self.join(2, "held")
 
+    def find_trigrams(self) -> None:
+        """Trigrams with their own counts; open ones go on from a bigram that other blocks have, too."""
+        sizes = [len(unpack(x, np.uint64)) for x in self.got[2]["train"]]
+        bits = [np.unpackbits(unpack(x, np.uint8), count=n) for x, n in zip(self.got[2]["shared"], sizes, strict=True)]
+        shared = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+        later = np.ones(len(self.tokens), bool)
+        later[self.starts] = False  # the first token of a text has no bigram before it
+        self.later = np.flatnonzero(later)
+        self.before = self.bigram_of[self.later - 1]
+        keys = pair_keys(self.bigrams[self.before], self.vocab[self.tokens[self.later]])
+        self.trigrams, self.trigram_of = np.unique(keys, return_inverse=True)
+        self.open = np.zeros(len(self.trigrams), bool)
+        self.open[self.trigram_of] = shared[self.before]
+        self.own_train, self.own_held = (np.bincount(self.trigram_of, w[self.later], len(self.trigrams)).astype(np.int64) for w in self.weights())
+
+    def count_trigrams(self, delete_held: bool) -> None:
+        self.find_trigrams()
+        self.c3 = self.own_train.copy()
+        self.c3[self.open] = self.join(3, "train")
+        if delete_held:
+            held = self.own_held
+            held[self.open] = self.join(3, "held")
+            self.c3 -= held
+
+    def low(self, total: float, vocabulary: int, share: float) -> np.ndarray:
+        """Interpolated unigram estimate of each token."""
+        return share * (self.c1[self.tokens] / total if total else 0.0) + (1 - share) / (vocabulary + 1)
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """(context count, bigram estimate) of each token."""
+        context = self.c1[self.context]
+        return context, np.where(context > 0, self.c2[self.bigram_of] / np.maximum(context, 1), 0.0)
+
+    def third(self) -> tuple[np.ndarray, np.ndarray]:
+        """(context count, trigram estimate) of each token; 0 where a text begins."""
+        context, high = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens))
+        context[self.later] = self.c2[self.before]
+        high[self.later] = np.where(context[self.later] > 0, self.c3[self.trigram_of] / np.maximum(context[self.later], 1), 0.0)
+        return context, high
+
+
+def mixed(shares: np.ndarray, context: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    x = shares[bucket(context)]
+    return x * high + (1 - x) * low
+
+
+def _ratio_histogram(total: float, vocabulary: int, share: float, second: np.ndarray | None = None):
+    """Ratios of bigram to unigram estimates or, given the weights of bigrams, of trigram to bigram mixture."""
 
-def _ratio_histogram(total: float, vocabulary: int, share: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
             b = _Answered(row, right)
             b.delete_held()
-            context = b.c1[b.context]
-            high, low = _estimates(b.c1[b.tokens], context, b.c2[b.bigram_of], total, vocabulary, share)
+            context, high = b.second()
+            low = b.low(total, vocabulary, share)
+            if second is not None:
+                low = mixed(second, context, high, low)
+                b.count_trigrams(True)
+                context, high = b.third()
             pairs, n = np.unique(np.stack((bucket(context), _bins(high / low))), axis=1, return_counts=True)
             out.append(pd.DataFrame({"bucket": pairs[0], "bin": pairs[1], "weight": n.astype(float)}))
             del b, context, high, low
@@ -276,14 +348,14 @@ def _ratio_histogram(total: float, vocabulary: int, share: float):
     return run
 
 
-def _score(total: int, vocabulary: int, share: float, shares: np.ndarray):
+def _score(total: int, vocabulary: int, share: float, second: np.ndarray, third: np.ndarray):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
             b = _Answered(row, right)
-            word, context = b.c1[b.tokens], b.c1[b.context]
-            high, low = _estimates(word, context, b.c2[b.bigram_of], total, vocabulary, share)
-            x = shares[bucket(context)]
+            chance = mixed(second, *b.second(), b.low(total, vocabulary, share))
+            b.count_trigrams(False)
+            chance = mixed(third, *b.third(), chance)
             add = np.add.reduceat
             base = np.log10((b.c1 + 0.5) / (total + 0.5 * (vocabulary + 1)))
             out.append(
@@ -292,34 +364,38 @@ def _score(total: int, vocabulary: int, share: float, shares: np.ndarray):
                         "doc": list(row.docs),
                         "held_out": b.roles == 0,
                         "n_tokens": b.lengths.astype(np.int64),
-                        "n_known": add((word > 0).astype(np.int64), b.starts),
+                        "n_known": add((b.c1[b.tokens] > 0).astype(np.int64), b.starts),
                         "base_score": add(base[b.tokens], b.starts),
-                        "score": add(np.log10(x * high + (1 - x) * low), b.starts),
+                        "score": add(np.log10(chance), b.starts),
                     }
                 )
             )
-            del b, word, context, high, low, x
+            del b, chance
             trim()
         return pd.concat(out)
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int | None = None, range_keys: int | None = None) -> DataFrame:
     """Scores of every whole text under a model of the documents where held_out is false.
 
+    block_tokens and range_keys follow from the estimated size of docs where
+    they are None.
+
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and
     score. Null texts are empty and have the end token only; repeated rows
     count and are scored each time; a null held_out counts as false. Without
     training documents every text scores 0.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    root = math.isqrt(PIECE_KEYS * estimated_bytes(docs) // TOKEN_BYTES)
+    block_tokens, range_keys = (x or min(MOST_BLOCK, max(LEAST_BLOCK, root)) for x in (block_tokens, range_keys))
     fold = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT_ONE_IN)) == 0
     role = F.when(F.coalesce(held_out, F.lit(False)), 0).when(fold, 2).otherwise(1).cast("int")
     given = docs.select(F.col(id_col).alias("doc"), role.alias("role"), F.col(text_col).cast("binary").alias("text"))
     blocks = materialize(given.mapInArrow(_tokenize(block_tokens), f"docs array<{kind}>, {BLOCK_DDL}"), "blocks")
     n_tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    # Never more ranges a block than it has keys to fill them.
     ranges = {1: max(8, n_tokens // (8 * range_keys)), 2: max(32, n_tokens // range_keys)}
     asked = blocks.select("block", "lengths", "roles", "tokens", "vocab").mapInPandas(_ask(ranges), ASK_DDL)
     answers = materialize(asked.groupBy("n", "range").applyInPandas(_answer, ANSWER_DDL), "answers")
@@ -332,15 +408,22 @@ def lm_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_
     if words and total > held:
         bins, weights = np.array(words).T
         share = learn_weight(_ratios(bins) * (vocabulary + 1) / (total - held), weights)
-    replies = answers.filter("block >= 0").select("block", "n", "range", "train", "held")
+    replies = answers.filter("block >= 0").select(REPLY)
 
-    def meet(odd: bool, run, ddl: str) -> DataFrame:
+    def meet(replies: DataFrame, odd: bool, run, ddl: str) -> DataFrame:
         kept = "block % 2 = 1" if odd else "true"
         return blocks.filter(kept).groupBy("block").cogroup(replies.filter(kept).groupBy("block")).applyInPandas(run, ddl)
 
-    found = meet(True, _ratio_histogram(total - held, vocabulary, share), "bucket int, bin int, weight double")
-    rows = [(r.bucket, r.bin, r.weight) for r in found.groupBy("bucket", "bin").agg(F.sum("weight").alias("weight")).collect()]
-    scored = meet(False, _score(total, vocabulary, share, bucket_shares(rows)), f"doc {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    def learn(replies: DataFrame, *second: np.ndarray) -> np.ndarray:
+        found = meet(replies, True, _ratio_histogram(total - held, vocabulary, share, *second), "bucket int, bin int, weight double")
+        return bucket_shares([(r.bucket, r.bin, r.weight) for r in found.groupBy("bucket", "bin").agg(F.sum("weight").alias("weight")).collect()])
+
+    second = learn(replies)
+    asked = meet(replies, False, _ask_trigrams(ranges[2]), ASK_DDL)
+    trigrams = materialize(asked.groupBy("n", "range").applyInPandas(_answer, ANSWER_DDL), "answers")
+    replies = replies.union(trigrams.select(REPLY))
+    third = learn(replies, second)
+    scored = meet(replies, False, _score(total, vocabulary, share, second, third), f"doc {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -349,7 +432,7 @@ def _ratios(bins: np.ndarray) -> np.ndarray:
 
 
 def bucket_shares(rows: list[tuple[int, int, float]]) -> np.ndarray:
-    """Weight of the bigram estimate in each bucket; a bucket without events takes that below it."""
+    """Weight of the higher estimate in each bucket; a bucket without events takes that below it."""
     shares = np.zeros(BUCKETS)
     table = np.array(rows, float).reshape(-1, 3)
     for b in range(1, BUCKETS):

@@ -69,12 +69,71 @@ def test_lm_counts_and_scores_equal_a_plain_model(spark):
     assert sum(r.score for r in held_rows) > sum(r.base_score for r in held_rows) - 60
 
 
+def plain_trigram_scores(rows, role):
+    """Scores by plain counting; role: 0 held out of the model, 1 trains, 2 trains and learns the weights."""
+    docs = [(i, [*split_words((t or "").encode()), None]) for i, t in rows]
+
+    def counts(roles):
+        c = [Counter(), Counter(), Counter()]
+        for i, w in docs:
+            if role[i] in roles:
+                c[0].update(w)
+                c[1].update(zip([None, *w[:-1]], w, strict=True))
+                c[2].update(((w[j - 2] if j > 1 else None, w[j - 1]), w[j]) for j in range(1, len(w)))
+        return c
+
+    full, learn = counts((1, 2)), counts((1,))
+    v = len(full[0])
+    bin_ = lambda r: 2 ** (round(64 * math.log2(r)) / 64) if r else 0.0
+    level = lambda n: 0 if n < 1 else 1 + int(math.log2(n))
+
+    def estimates(c, w, j):
+        """[(context count, estimate)] of words, bigrams and trigrams."""
+        first = w[j - 1] if j else None
+        out = [(sum(c[0].values()), c[0][w[j]]), (c[0][first], c[1][first, w[j]])]
+        if j:
+            before = w[j - 2] if j > 1 else None, first
+            out.append((c[1][before], c[2][before, w[j]]))
+        else:
+            out.append((0, 0))
+        return [(n, k / n if n else 0.0) for n, k in out]
+
+    def em(pairs):
+        x = {}
+        for b in range(1, 48):
+            own = [r for at, r in pairs if at == b]
+            x[b] = ngram_lm.learn_weight(np.array(own), np.ones(len(own))) if own else x.get(b - 1, 0.0)
+        return x | {0: 0.0}
+
+    held = [(w, j) for i, w in docs if role[i] == 2 for j in range(len(w))]
+    seen = [estimates(learn, w, j) for w, j in held]
+    share = ngram_lm.learn_weight(np.array([bin_(learn[0][w[j]]) * (v + 1) / sum(learn[0].values()) for w, j in held]), np.ones(len(seen)))
+    low = lambda e: share * e[0][1] + (1 - share) / (v + 1)
+    two = em([(level(e[1][0]), bin_(e[1][1] / low(e))) for e in seen])
+    mix = lambda x, e, rest: x[level(e[0])] * e[1] + (1 - x[level(e[0])]) * rest
+    three = em([(level(e[2][0]), bin_(e[2][1] / mix(two, e[1], low(e)))) for e in seen])
+    return {i: sum(math.log10(mix(three, e[2], mix(two, e[1], low(e)))) for e in (estimates(full, w, j) for j in range(len(w)))) for i, w in docs}
+
+
+def test_lm_scores_equal_a_plain_trigram_model(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*rng.choice(words, int(rng.integers(0, 30))), f"only{i}"])) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(300, None), (301, "nothing known")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fold = {r.doc_id: r.h for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(ngram_lm.HELD_OUT_ONE_IN)) == 0).alias("h")).collect()}
+    want = plain_trigram_scores(rows, {i: 0 if i % 5 == 1 else 1 + fold[i] for i, _ in rows})
+    for sizes in ({"block_tokens": 60, "range_keys": 7}, {}):
+        got = {r.doc_id: r.score for r in ngram_lm.lm_scores(df, F.col("doc_id") % 5 == 1, **sizes).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def test_mixture_is_a_distribution():
-    """Over a whole vocabulary and one unknown word the mixture sums to 1, whatever the context."""
-    word = np.array([5, 3, 2, 0])  # the last: unknown
-    for context, pair in ((np.full(4, 6), np.array([4, 2, 0, 0])), (np.zeros(4), np.zeros(4))):
-        high, low = ngram_lm._estimates(word, context, pair, 10, 3, 0.7)
-        assert abs(low.sum() - 1) < 1e-12 and (abs(high.sum() - 1) < 1e-12 or not context.any())
+    """Over a whole vocabulary the mixture sums to 1 where the estimates do, and to the lower one's sum where a context is new."""
+    shares = np.array([0.0, 0.4, 0.6, 0.7])
+    low, high = np.array([0.5, 0.3, 0.1, 0.1]), np.array([0.25, 0.75, 0.0, 0.0])
+    assert abs(ngram_lm.mixed(shares, np.full(4, 4), high, low).sum() - 1) < 1e-12
+    assert (ngram_lm.mixed(shares, np.zeros(4), np.zeros(4), low) == low).all()
 
 
 def test_em_weight_maximises_the_likelihood():

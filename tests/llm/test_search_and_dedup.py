@@ -214,9 +214,9 @@ def test_one_row_of_each_group_stays(spark):
 def brute_top_k(rows, k, step):
     ok = [(i, [np.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for n, (q, a) in enumerate(ok):
         if q % step == 0:
-            scored = sorted((-int(sum(x * y for x, y in zip(a, b, strict=False))), i) for i, b in ok if i != q)
+            scored = sorted((-int(sum(x * y for x, y in zip(a, b, strict=False))), i) for m, (i, b) in enumerate(ok) if m != n)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -229,6 +229,7 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 2)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(250)]
+    rows += rows[100:130]  # repeated rows
     rows += [(i, [0.5] * 6) for i in range(250, 320)] + [(400, None), (450, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (500, [float("nan")] * 6), (550, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (600, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, top_k_digest(df).select("query_id", "rank", "vec_id", "score").collect()))
@@ -238,7 +239,7 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, top_k_digest(df).collect()))
-    assert got == [(0, 1, 50, 256 * 512), (50, 1, 0, 256 * 512)]
+    assert got == [(0, 1, 50, 256 * 512), (0, 2, 50, 256 * 512), *[(50, 1, 50, 512 * 512)] * 2, *[(50, 2, 0, 256 * 512)] * 2]
     assert top_k_digest(df.limit(0)).count() == 0
 
 
