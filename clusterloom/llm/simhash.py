@@ -21,10 +21,11 @@ from .components import connected_components
 from .storage import materialize
 from .words import split_words
 
-#: Fingerprints from which vantage points are chosen.
-PIVOT_SAMPLE = 4096
+#: Fingerprints from which vantage points are chosen: the least, for each shard, and the most (8 MB); those that one
+#: choice looks at.
+PIVOT_SAMPLE, PIVOTS_A_SHARD, MOST_PIVOTS, CHOICE = 4096, 64, 1 << 20, 1 << 14
 #: Distinct fingerprints a shard is meant to hold, and the least number of tree levels.
-SHARD_POINTS, LEAST_LEVELS = 65_536, 6
+SHARD_POINTS, LEAST_LEVELS = 65_536, 4
 #: Points of a leaf of the local trees.
 LEAF = 64
 #: Distances that one comparison step holds.
@@ -110,7 +111,7 @@ def plan_tree(points: np.ndarray, levels: int, radius: int) -> list[tuple[int, i
     rng, nodes, todo = np.random.default_rng(7), [], [(0, points, 0)]
     while todo:
         at, own, level = todo.pop()
-        split = choose_split(own, radius, rng) if level < levels and len(own) > 1 else None
+        split = choose_split(rng.choice(own, CHOICE) if len(own) > CHOICE else own, radius, rng) if level < levels and len(own) > 1 else None
         if split:
             vp, mu = split
             near = hamming(own, np.uint64(vp)) <= mu
@@ -219,7 +220,9 @@ def linked_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
         nodes = plan_tree(points, levels, radius)
         yield pd.DataFrame([(a, np.uint64(v).astype(np.int64), m) for a, v, m in nodes], columns=["at", "vp", "mu"])
 
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(PIVOT_SAMPLE).coalesce(1)
+    pivots = min(MOST_PIVOTS, max(PIVOT_SAMPLE, PIVOTS_A_SHARD << levels))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(pivots).coalesce(1)
+    # MOST_PIVOTS nodes at most.
     tree = {r.at: (r.vp & (2**64 - 1), r.mu) for r in sample.mapInPandas(plan, "at long, vp long, mu int").collect()}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
