@@ -21,7 +21,9 @@ from .storage import materialize
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Labelled URLs a fit reads at most, lowest hash first.
 MAX_TRAINING = 50_000
-ROUNDS, DEPTH, RATE, RIDGE, BINS = 10, 2, 0.5, 1.0, 16
+ROUNDS, DEPTH, RATE, RIDGE, BINS = 16, 3, 0.4, 1.0, 16
+#: Tasks that share the training rows.
+TRAINING_TASKS = 16
 #: Buckets of hashed suffixes and first path segments.
 SUFFIXES = 256
 UNIT = float(1 << 20)
@@ -162,10 +164,12 @@ def _grow(tree, splits: dict[int, tuple], at: int = 0):
 def fit_urls(labelled: DataFrame, max_training: int = MAX_TRAINING, rounds: int = ROUNDS, depth: int = DEPTH) -> UrlModel:
     """Boosted trees on labelled (url, host, path, block boolean), max_training different URLs at most.
 
-    Without labels the model says allow, with one class that class.
+    Without labels, as with an empty table, the model says allow, with one
+    class that class. Repeated urls count once, labelled both ways as block.
+    Whole urls are measured, however long.
     """
     one = labelled.filter("block is not null").groupBy("url", "host", "path").agg(F.max("block").alias("block"))
-    sample = materialize(one.orderBy(F.xxhash64("url"), "url").limit(max_training).withColumns(_keys()), "urls")
+    sample = materialize(one.orderBy(F.xxhash64("url"), "url").limit(max_training).repartition(TRAINING_TASKS, "url").withColumns(_keys()), "urls")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("block").cast("long")), F.lit(0)).alias("y")).first()
     prior = (total.y + 0.5) / (total.n + 1)
     model = UrlModel(-1.0 if not total.n else math.log(prior / (1 - prior)), {}, [[] for _ in FEATURES], [])
@@ -201,7 +205,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_
 
     verdict is the longest fitting rule's, else 'block' where the trees give a
     chance of 0.5 or more. A url that is null or has no '://' has an empty host
-    and path and is judged by the trees; each row, repeated ones too, is judged.
+    and path and is judged by the trees; each row, repeated ones too, is judged,
+    and an empty table gives no rows. Other columns of pages are not read.
     """
     host, path = parse(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})

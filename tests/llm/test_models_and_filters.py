@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clusterloom.llm import decontam, ngram_lm, quality
+from clusterloom.llm import decontam, ngram_lm, quality, url_filter
 from clusterloom.llm.secret_scan import BASE_RULES, Rule, find_secrets, secrets_digest
 from clusterloom.llm.trigram_query import ALL, grams, trigram_query
 from clusterloom.llm.url_filter import url_digest
@@ -361,3 +361,56 @@ def test_url_trees_learn_from_labels(spark):
     model = fit_urls(df)
     got = df.withColumn("bins", model.binned()).select("block", (model.score(F.col("bins")) >= 0).alias("said")).collect()
     assert np.mean([r.block == r.said for r in got]) > 0.95
+
+
+def plain_boosting(bins, y, start):
+    """Trees by trying every split of every leaf on all rows."""
+    odds, trees = np.full(len(y), start), []
+    for _ in range(url_filter.ROUNDS):
+        p = 1 / (1 + np.exp(-odds))
+        g, h = np.round((p - y) * url_filter.UNIT) / url_filter.UNIT, np.round(p * (1 - p) * url_filter.UNIT) / url_filter.UNIT
+
+        def grow(rows, depth):
+            value = -url_filter.RATE * g[rows].sum() / (h[rows].sum() + url_filter.RIDGE)
+            score = lambda r: g[r].sum() ** 2 / (h[r].sum() + url_filter.RIDGE)  # noqa: B023, E731
+            best = (1e-6, None)
+            for f in range(bins.shape[1]):
+                for b in sorted(set(bins[rows, f]))[:-1]:
+                    low, high = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                    if score(low) + score(high) - score(rows) > best[0] + 1e-9:
+                        best = score(low) + score(high) - score(rows), (f, b, low, high)
+            if not depth or best[1] is None:
+                return value, [(rows, value)]
+            f, b, low, high = best[1]
+            (one, a), (two, z) = grow(low, depth - 1), grow(high, depth - 1)
+            return (f, int(b), one, two), a + z
+
+        tree, leaves = grow(np.arange(len(y)), url_filter.DEPTH)
+        for rows, value in leaves:
+            odds[rows] += value
+        trees.append(tree)
+    return odds, trees
+
+
+def test_url_trees_equal_plain_boosting(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"http://h{rng.integers(40)}.{rng.choice(['com', 'net', 'org'])}/{'x' * int(rng.integers(1, 9))}/{rng.integers(10 ** int(rng.integers(1, 6)))}?a={i}",) for i in range(160)]
+    host, path = url_filter.parse(F.col("url"))
+    df = spark.createDataFrame(rows, "url string").withColumns({"host": host, "path": path})
+    df = df.withColumn("block", F.length("url") % 5 + F.length("host") % 3 > 3)
+    model = url_filter.fit_urls(df)
+    seen = df.withColumns(url_filter._keys()).withColumn("bins", model.binned()).withColumn("odds", model.score(F.col("bins"))).collect()
+    odds, trees = plain_boosting(np.array([r.bins for r in seen]), np.array([float(r.block) for r in seen]), model.start)
+    assert np.allclose(odds, [r.odds for r in seen], atol=1e-5)
+    assert ((odds > 0) == [r.block for r in seen]).mean() > 0.9
+
+
+def test_url_trees_judge_urls_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = url_filter.parse(F.col("url"))
+    rule, verdict = url_filter.matched_rule(F.col("host"), F.col("path"), url_filter.RULES)
+    ruled = pages.select("url").distinct().withColumns({"host": host, "path": path}).withColumns({"rule": rule, "block": verdict == "block"}).filter("rule is not null")
+    held = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    model = url_filter.fit_urls(ruled.filter(~held))
+    told = ruled.filter(held).withColumn("odds", model.score(model.binned())).select("block", (F.col("odds") >= 0).alias("said")).collect()
+    assert np.mean([r.block == r.said for r in told]) > 0.9
