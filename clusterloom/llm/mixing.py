@@ -99,7 +99,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source size by less than 1; documents without words get the whole part of
     it. The choice depends on ids, sizes, text hashes, sources and the seed
     alone, so reruns agree. Rows equal in all of these are interchangeable.
-    Sources are a dimension: one total a source reaches the driver.
+    Sources are a dimension: one total a source reaches the driver. An empty
+    table gives no rows; texts are counted whole, however long; extra columns
+    are not read.
     """
     count = F.pandas_udf(_sizes, "long")
     text = F.col(text_col).cast("binary")
@@ -115,8 +117,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     small = F.broadcast(plan) if len(per) <= BROADCAST_SOURCES else plan
     known = sketch.withColumnRenamed("source", "_source").join(small, F.col("_source").eqNullSafe(F.col("source")), "left").drop("_source")
-    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("parts")))
-    dealt = materialize(known.groupBy("src", "part").applyInPandas(_first_round(seed), f"{_ddl(sketch)}, src int, part long, copies int, p double"), "dealt")
+    # Equal rows are counted, and dealt out PART_ROWS at a time.
+    alike = known.groupBy("src", "parts", "rate", "doc_id", "text_hash", "size").agg(F.count("*").alias("m"))
+    packs = alike.withColumn("pack", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / PART_ROWS))))
+    packs = packs.withColumn("m", F.least(F.col("m") - F.col("pack") * PART_ROWS, F.lit(PART_ROWS)))
+    packs = packs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "pack", F.lit(seed)), F.col("parts")))
+    dealt = materialize(packs.groupBy("src", "part").applyInPandas(_first_round(seed), f"{_ddl(sketch)}, src int, part long, copies int, p double"), "dealt")
     open_ = dealt.filter("p is not null").select("src", "part", "size", "p")
     settled = None
     most_parts = max((-(-rows // PART_ROWS) for _, rows, _ in per), default=1)
@@ -150,7 +156,8 @@ def _sizes(texts: pd.Series) -> pd.Series:
 
 def _first_round(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "text_hash"], ignore_index=True)  # partners of like size
+        rows = rows.sort_values(["size", "doc_id", "text_hash", "pack"], ignore_index=True)  # partners of like size
+        rows = rows.loc[rows.index.repeat(rows["m"])].reset_index(drop=True)
         rate = float(rows["rate"].iloc[0])
         whole, share = int(rate), rate - int(rate)
         copies, p = [whole] * len(rows), [None] * len(rows)
@@ -187,8 +194,9 @@ def _next_round(seed: int, last: bool):
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 9) -> DataFrame:
     """Rows of docs, columns as they are, each as often as mix() takes it.
 
-    Copies are looked up by id, text hash and source; of rows equal in these
-    the copies are shared out in order.
+    Copies are looked up by id, text hash and source (nulls are values of their
+    own); of rows equal in these the copies are shared out in order. An empty
+    table gives no rows; extra columns may have any names.
     """
     taken = mix(docs, id_col, text_col, source_col, seed).select("doc_id", "source", "text_hash", "copies")
     same = ["_id", "_source", "_hash"]

@@ -171,3 +171,16 @@ def test_pipeline_stages_on_planted_documents(spark, tmp_path):
     assert kept["decontamination"] == set(range(60))
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and {r.doc_id for r in final.collect()} == kept["mixing"]
+
+
+def test_equal_rows_are_dealt_out_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 7)
+    rows = [(None, None, "a")] * 30 + [(None, "x y", "a")] * 50 + [(i, "x y z", "b") for i in range(20)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == len(rows)
+    for source in ("a", "b"):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 3
+        assert all(abs(r.copies - r.target / r.source_size) < 1 for r in own if r["size"])
+    again = mixing.mix(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
