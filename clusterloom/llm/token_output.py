@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .storage import _hadoop, shared_dir
+from .storage import _hadoop, estimated_bytes, shared_dir
 
 #: Ids a segment is closed at; a document is never cut.
 SEGMENT_IDS = 1 << 20
+#: Bytes of the input's estimated size for each partition, and the most partitions.
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 20
 _encoders: dict = {}
 
 
@@ -197,7 +199,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, min(MOST_PARTS, estimated_bytes(docs) // PART_BYTES))
     ordered = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     segments = ordered.mapInArrow(_writer(tokenizer_path, end_id), f"part int, seq int, before long, doc_ids array<{kind}>, lengths binary, n_ids long, words binary, offsets binary")
     segments.write.mode("overwrite").option("compression", "zstd").parquet(out)
