@@ -104,8 +104,8 @@ def representative(best: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col("method_name"))).alias("selected"), F.max(F.when(F.col("place") == 2, F.col("method_name"))).alias("runner_up"), F.max(F.when(F.col("place") == 1, F.col("mean"))).alias("selected_mean"), close.alias("n_equivalent"))
 
 
-def selection_stability(best: DataFrame, draws: int = 1000, seed: int = 1234) -> DataFrame:
-    """How often each method wins the pool when datasets are resampled (PF-06, ST-12).
+def selection_stability(best: DataFrame, draws: int = 1000, seed: int = 1234, keys: Sequence[str] = ()) -> DataFrame:
+    """How often each method wins the pool, or each group's, when datasets are resampled (PF-06, PF-07, ST-12).
 
     Poisson(1) weights come from a hash of dataset, draw and seed.
     """
@@ -116,10 +116,10 @@ def selection_stability(best: DataFrame, draws: int = 1000, seed: int = 1234) ->
         chance /= k
         weight = F.when(u >= upto, k).otherwise(weight)
     drawn = best.filter("best_ari is not null").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw", "method_name").agg((F.sum(F.col("w") * F.col("best_ari")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
-    first = Window.partitionBy("draw").orderBy(F.desc_nulls_last("mean"), "method_name")
+    means = drawn.groupBy(*keys, "draw", "method_name").agg((F.sum(F.col("w") * F.col("best_ari")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    first = Window.partitionBy(*keys, "draw").orderBy(F.desc_nulls_last("mean"), "method_name")
     won = means.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return won.groupBy("method_name").agg(F.count("*").alias("wins"), (F.count("*") / draws).alias("win_share"))
+    return won.groupBy(*keys, "method_name").agg(F.count("*").alias("wins"), (F.count("*") / draws).alias("win_share"))
 
 
 def random_subset_curve(best: DataFrame, draws: int = 200, seed: int = 1234) -> DataFrame:
