@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audits, comparisons, frames, portfolio, predictions, ranking, summaries
-from .projections import BEST_SQL, RUNS_SQL, SELECTIONS_SQL, TRIALS_SQL, rounded, runs, selections, table, trial_metrics, utilities
+from ..operators import audits, comparisons, frames, learning, portfolio, predictions, ranking, shapes
+from ..sources import repository
+from .projections import BEST_SQL, POINTS_SQL, RUNS_SQL, SELECTIONS_SQL, TRIALS_SQL, points, rounded, runs, selections, table, trial_metrics, utilities
 from .run_queries import ORACLE_SQL as RUN_ORACLES
 from .run_queries import PAIRS_SQL, RUN_BLOCK, VBS_SQL
 from .trial_queries import SCORED_SQL, _scored
@@ -162,9 +163,69 @@ QUERIES = {
     "fold_composite": lambda s, d: rounded(predictions.fold_composite(_fold_scores(s, d), {"errors": {"mae": False}, "tops": {"hit": True, "rank": False}}, "metric_id")),
     "selector_scores": lambda s, d: rounded(predictions.selector_scores(runs(s, d).filter("method_name = 'click' and ari is not null").select("dataset_id", "view_id", "ari"), runs(s, d).filter("ari is not null").select("dataset_id", "view_id", F.col("method_name").alias("policy_id"), "ari"))),
     "nearest_label": lambda s, d: _nearest_label(s, d),
+    "within_patience": lambda s, d: learning.within_patience(_scored(s, d), ["dataset_id"], 3).select("dataset_id", "candidate"),
+    "config_block": lambda s, d: _configs(s, d).select("dataset_id", "candidate", *learning.config_block(["kmeans", "hdbscan_constrained"], ["n_clusters"], ["linkage"])),
+    "hidden_values": lambda s, d: learning.hidden_values(_masked(s, d), ["m_price", "m_tax"]),
+    "policy_rows": lambda s, d: rounded(_policy_rows(s, d)),
+    "candidate_trace": lambda s, d: learning.candidate_trace(_scored(s, d), {"objective": lambda _: F.col("objective"), "negated": lambda _: -F.col("objective")}),
+    "cloud_structure": lambda s, d: rounded(learning.cloud_structure(points(s, d), ["dataset_id"])),
+    "landmark_scores": lambda s, d: learning.landmark_scores(points(s, d), ["dataset_id"]),
+    "wide_trials": lambda s, d: rounded(_plain(repository.wide_trials(trial_metrics(s, d).withColumns({"raw": F.col("score"), "norm": F.least(F.lit(1.0), "score")}), ["dataset_id", "candidate"], {"m_price": 0.5, "m_tax": 1.0})), 7),
+    "column_roles": lambda s, d: _unified(s, d),
+    "training_rows": lambda s, d: rounded(_training(s, d)[0]),
+    "missing_utilities": lambda s, d: _training(s, d)[1],
+    "shape_counts": lambda s, d: shapes.generate(_shape_jobs(s), ["shape"]).groupBy("shape").agg(F.count("*").alias("n")),
 }
 
 
+def _plain(df):
+    """Columns without blanks, dots and signs in their names."""
+    return df.toDF(*(c.replace(" (w=", "_w").replace(".", "_").replace(")", "") for c in df.columns))
+
+
+def _configs(s, d):
+    named = F.when(F.col("candidate") % 2 == 0, "kmeans").otherwise("hdbscan_constrained-4")
+    return _scored(s, d).select("dataset_id", "candidate", named.alias("algorithm"), F.when(F.col("candidate") % 2 == 0, '{"n_clusters": 3}').otherwise("{}").alias("config"))
+
+
+def _masked(s, d):
+    """A feature table in which the tax of every third supplier is carried although it is not observed."""
+    wide = utilities(s, d).groupBy("dataset_id").agg(*(F.max(F.when(F.col("metric_id") == m, F.col("utility"))).alias(f"value__{m}") for m in ("m_price", "m_tax")))
+    return wide.withColumn("observed", F.when(F.col("dataset_id") % 3 == 0, F.array(F.lit("m_price"))).otherwise(F.array(F.lit("m_price"), F.lit("m_tax"))))
+
+
+def _policy_rows(s, d):
+    per = runs(s, d).filter("ari is not null")
+    meta = per.groupBy("dataset_id", "view_id").agg(F.avg("runtime_sec").alias("runtime"))
+    profile = per.select("dataset_id", "view_id", F.col("method_name").alias("metric_id"), (F.col("selected_k") / 5).alias("utility"))
+    met = learning.policy_rows(meta, profile, per.select("dataset_id", "view_id", F.col("method_name").alias("policy_id"), "ari"))
+    return met.select("dataset_id", "view_id", "runtime", F.element_at("utilities", "click").alias("u_click"), F.element_at("ari_by_policy", "view").alias("p_view"), F.size("ari_by_policy").alias("n"))
+
+
+def _unified(s, d):
+    """Rows of the training table by split, after the check of its columns."""
+    table_ = _wide_utilities(s, d).withColumn("a", F.col("dataset_id").cast("string"))
+    splits = _wide_utilities(s, d).select("dataset_id", (F.col("dataset_id") % 4).alias("split_id"))
+    met = repository.unified_table(table_, splits, ["dataset_id"], 1, 2)
+    return rounded(met.groupBy("split_id").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.avg("utility__m_price").alias("u")))
+
+
+def _wide_utilities(s, d):
+    return utilities(s, d).groupBy("dataset_id").agg(*(F.max(F.when(F.col("metric_id") == m, F.col("utility"))).alias(f"utility__{m}") for m in ("m_price", "m_tax")))
+
+
+def _training(s, d):
+    """Features of all suppliers and view, utilities of those whose number is no multiple of 5."""
+    ids = utilities(s, d).select("dataset_id").distinct().withColumns({"view_id": F.lit("x_only"), "family": F.lit("f"), "subfamily": F.lit("s"), "a": F.col("dataset_id") * 2})
+    return repository.training_rows(ids, utilities(s, d).filter("dataset_id % 5 <> 0").withColumn("view_id", F.lit("x_only")), ["m_price", "m_tax"])
+
+
+def _shape_jobs(s):
+    """One job a shape, 50 points each."""
+    plan = '{"components": [{"id": "a", "shape": "%s", "n": 50, "profiles": {"texture": "granular", "curvature": "amplify"}}]}'
+    return s.createDataFrame([(name, i, plan % name) for i, name in enumerate(sorted(shapes.SHAPES))], "shape string, seed long, plan string")
+
+
 def _broken(vbs):
     """A virtual best with planted faults."""
     return vbs.withColumns({"portfolio_runtime_sec": F.when(F.col("dataset_id") % 11 == 0, F.col("portfolio_runtime_sec") + 1).otherwise(F.col("portfolio_runtime_sec")), "winner": F.when(F.col("dataset_id") % 13 == 0, "nobody").otherwise(F.col("winner"))})
@@ -335,4 +396,16 @@ ORACLE_SQL = {
         l AS (SELECT record_id, algorithm AS best_algorithm FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ari DESC, config_id) AS rn FROM evaluations WHERE valid_result) WHERE rn = 1),
         d AS (SELECT q.record_id, r.record_id AS neighbour_id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2 + (q.c - r.c) ** 2) AS distance FROM f q JOIN f r ON q.record_id <> r.record_id AND q.record_id % 10 = 0 WHERE r.record_id IN (SELECT record_id FROM l))
         SELECT d.record_id, neighbour_id, {R('distance')} AS distance, best_algorithm FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY distance, neighbour_id) AS rn FROM d) d JOIN l ON l.record_id = neighbour_id WHERE rn = 1""",
+    "within_patience": f"""WITH {SCORED_SQL}, a AS (SELECT *, row_number() OVER w AS n, coalesce(coalesce(objective, -1e12) > max(coalesce(objective, -1e12)) OVER (PARTITION BY dataset_id ORDER BY candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM scored WINDOW w AS (PARTITION BY dataset_id ORDER BY candidate)),
+        b AS (SELECT *, n - max(CASE WHEN better THEN n END) OVER (PARTITION BY dataset_id ORDER BY n) AS since FROM a) SELECT dataset_id, candidate FROM (SELECT *, min(CASE WHEN since >= 3 THEN n END) OVER (PARTITION BY dataset_id) AS stop FROM b) WHERE stop IS NULL OR n <= stop""",
+    "config_block": f"WITH {SCORED_SQL} SELECT dataset_id, candidate, CAST(k AS DOUBLE) AS algo__kmeans, CAST(NOT k AS DOUBLE) AS algo__hdbscan_constrained, CASE WHEN k THEN 0.0 ELSE 4.0 END AS cfg__target_k, CAST(NOT k AS DOUBLE) AS cfgmask__target_k, CASE WHEN k THEN 3.0 ELSE 0.0 END AS cfg__n_clusters, CAST(k AS DOUBLE) AS cfgmask__n_clusters, 0.0 AS cfgmask__linkage FROM (SELECT *, candidate % 2 = 0 AS k FROM scored)",
+    "hidden_values": f"WITH {UTIL_SQL} SELECT metric_id, count(*) AS n FROM utilities WHERE metric_id = 'm_tax' AND dataset_id % 3 = 0 AND utility <> 0 GROUP BY 1",
+    "policy_rows": f"WITH {RUNS_SQL} SELECT dataset_id, view_id, round(avg(runtime_sec), 6) AS runtime, round(max(selected_k / 5.0) FILTER (method_name = 'click'), 6) AS u_click, round(max(ari) FILTER (method_name = 'view'), 6) AS p_view, CAST(count(*) AS INTEGER) AS n FROM runs WHERE ari IS NOT NULL GROUP BY 1, 2",
+    "candidate_trace": f"WITH {SCORED_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY objective DESC NULLS LAST, candidate) AS a, row_number() OVER (PARTITION BY dataset_id ORDER BY -objective DESC NULLS LAST, candidate) AS b FROM scored WHERE valid) SELECT dataset_id, 'objective' AS arm, candidate FROM v WHERE a = 1 UNION ALL SELECT dataset_id, 'negated', candidate FROM v WHERE b = 1",
+    "cloud_structure": f"WITH {POINTS_SQL} SELECT dataset_id, y_true, count(*) AS n, " + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("x", "y") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + ", round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY dataset_id) AS DOUBLE), 6) AS share FROM points GROUP BY 1, 2",
+    "wide_trials": f"""WITH {TRIALS_SQL} SELECT dataset_id, candidate, round(max(score) FILTER (metric_id = 'm_price'), 7) AS m_price_w0_5, round(max(least(1.0, score)) FILTER (metric_id = 'm_price'), 7) AS m_price_norm, round(max(score) FILTER (metric_id = 'm_tax'), 7) AS m_tax_w1_0, round(max(least(1.0, score)) FILTER (metric_id = 'm_tax'), 7) AS m_tax_norm FROM trials GROUP BY 1, 2""",
+    "column_roles": f"WITH {UTIL_SQL} SELECT dataset_id % 4 AS split_id, count(*) AS n, CAST(sum(dataset_id) AS DOUBLE) AS a, {R('avg(utility)')} AS u FROM utilities WHERE metric_id = 'm_price' GROUP BY 1",
+    "training_rows": f"WITH {UTIL_SQL} SELECT dataset_id, 'x_only' AS view_id, 'f' AS family, 's' AS subfamily, dataset_id * 2 AS a, {R("max(utility) FILTER (metric_id = 'm_price')")} AS utility__m_price, {R("max(utility) FILTER (metric_id = 'm_tax')")} AS utility__m_tax FROM utilities WHERE dataset_id % 5 <> 0 GROUP BY 1",
+    "missing_utilities": f"WITH {UTIL_SQL} SELECT DISTINCT 'f' AS family, 's' AS subfamily, dataset_id, 'x_only' AS view_id, 'utility_vector.json missing' AS reason FROM utilities WHERE dataset_id % 5 = 0",
+    "shape_counts": "SELECT shape, CAST(50 AS BIGINT) AS n FROM (VALUES " + ", ".join(f"('{name}')" for name in sorted(shapes.SHAPES)) + ") AS v(shape)",
 }

@@ -180,3 +180,124 @@ def test_enriched_metrics_are_named_by_the_registry(spark):
     df = spark.createDataFrame([("Davies Bouldin",), ("none",)], "n string")
     key = audits.metric_key(F.col("n"), {"davies_bouldin": "davies_bouldin"})
     assert [r.k for r in df.select(key.alias("k")).collect()] == ["davies_bouldin", None]
+
+
+def test_a_repository_of_folders_is_read(spark, tmp_path):
+    import json
+
+    from clusterloom.sources import repository as rep
+
+    for k, name in enumerate(("d1", "d2")):
+        own = tmp_path / "fam" / "subfamilies" / "sub" / name
+        for folder in ("features", "utility/x_only", "results/m"):
+            (own / folder).mkdir(parents=True)
+        (own / "features/features_records.csv").write_text(f"dataset_id,view_mode,a,b\n{name},x_only,{k}.5,bad\n")
+        if k == 0:
+            (own / "utility/x_only/utility_vector.json").write_text(json.dumps({"utilities": {"utility__s": 0.25, "t": 1.0}}))
+        (own / "results/m/x_only.json").write_text(json.dumps({"status": "success", "ari": 0.5, "runtime_sec": 1.0, "selected_k": 2, "true_k": 2}))
+    (tmp_path / "fam/subfamilies/sub/empty").mkdir()
+    root = f"file://{tmp_path}"
+    assert sorted(r.dataset_id for r in rep.dataset_index(spark, root).collect()) == ["d1", "d2"]
+    rows = rep.feature_rows(spark, root)
+    assert {r.dataset_id: r.features for r in rep.feature_vector(rows, ["b", "a", "c"]).collect()} == {"d1": [None, 0.5, None], "d2": [None, 1.5, None]}
+    utilities = rep.utility_rows(spark, root)
+    assert sorted((r.dataset_id, r.view_id, r.metric_id, r.utility) for r in utilities.collect()) == [("d1", "x_only", "s", 0.25), ("d1", "x_only", "t", 1.0)]
+    table, missing = rep.training_rows(rows, utilities, ["s", "t"])
+    assert [r.utility__s for r in table.collect()] == [0.25] and [r.dataset_id for r in missing.collect()] == ["d2"]
+    splits = spark.createDataFrame([("d1", 3)], "dataset_id string, split_id int")
+    ids = ["family", "subfamily", "dataset_id", "view_id"]
+    assert rep.unified_table(table, splits, ids, 2, 2).first().split_id == 3
+    with pytest.raises(ValueError, match="expected 5"):
+        rep.unified_table(table, splits, ids, 5)
+    runs = rep.collect_runs(spark, root).collect()
+    assert len(runs) == 6 and sum(r.status == "success" for r in runs) == 2 and sum(r.status == "missing" for r in runs) == 4
+
+
+def test_finished_records_are_final_and_reused_with_their_provenance(spark, tmp_path):
+    from clusterloom.sources.repository import IntegrityError, ResultStore
+
+    store = ResultStore(spark, f"file://{tmp_path}/store")
+    assert store.reuse("search", "a", {}) is None
+    store.put("search", "a", "RUNNING")
+    assert store.reuse("search", "a", {}) is None
+    store.put("search", "a", "COMPLETE", {"seed": 1, "code": "x"}, {"ari": 0.5})
+    assert store.reuse("search", "a", {"code": "x", "seed": 1}) == {"ari": 0.5}
+    with pytest.raises(IntegrityError, match="provenance"):
+        store.reuse("search", "a", {"seed": 2})
+    with pytest.raises(IntegrityError, match="complete"):
+        store.put("search", "a", "FAILED")
+
+
+def test_configs_of_both_shapes_and_patience(spark):
+    from clusterloom.operators import learning
+
+    new = '{"search_space": {"kmeans": {"n_clusters": [2, 3]}}, "cvi": {"metrics": {"silhouette": 0.4}}, "search_algorithm": {"type": "brute_force"}}'
+    old = '{"search_space": {"kmeans": {"n_clusters": [2, 3]}}, "cvi": {"metrics": ["silhouette"]}, "search_algorithm": "random", "search_algorithm_params": {"n": 4, "seed": 1}}'
+    assert learning.parse_config(new)["weights"] == {"silhouette": 0.4} and len(learning.candidates_of(learning.parse_config(new))) == 2
+    assert learning.parse_config(old)["weights"] == {"silhouette": 1.0} and len(learning.candidates_of(learning.parse_config(old))) == 4
+    scores = [0.1, 0.3, 0.2, None, 0.25, 0.9]
+    trials = spark.createDataFrame([("d", i, s) for i, s in enumerate(scores)], "dataset_id string, candidate int, objective double")
+    assert sorted(r.candidate for r in learning.within_patience(trials, ["dataset_id"], 2).collect()) == [0, 1, 2, 3]
+    slate = [("kmeans", {"k": 2}), ("hdbscan_constrained-3", {}), ("gmm", {"k": 2}), ("hdbscan_constrained-4", {})]
+    spare = {"kmeans": [{"k": 2}, {"k": 5}], "gmm": [{"k": 6}]}
+    assert learning.replace_constrained(slate, spare) == [("kmeans", {"k": 2}), ("gmm", {"k": 6}), ("gmm", {"k": 2}), ("kmeans", {"k": 5})]
+
+
+def test_configuration_features_masks_and_heads(spark):
+    from clusterloom.operators import learning
+
+    df = spark.createDataFrame([("kmeans", '{"n_clusters": 3}'), ("hdbscan_constrained-4", "{}")], "algorithm string, config string")
+    a, b = df.select(*learning.config_block(["kmeans", "hdbscan_constrained"], ["n_clusters"], ["linkage"])).collect()
+    assert tuple(a) == (1, 0, 0, 0, 3, 1, 0) and tuple(b) == (0, 1, 4, 1, 0, 0, 0)
+    wide = spark.createDataFrame([(["s"], 0.5, 0.7)], "observed array<string>, value__s double, value__t double")
+    assert [(r.metric_id, r.n) for r in learning.hidden_values(wide, ["s", "t"]).collect()] == [("t", 1)]
+    assert learning.head_mapping(["utility__a", "utility__b", "utility__c"], {"g": ["c", "a"], "none": ["z"]}) == {"g": [0, 2], "other": [1]}
+    frozen = learning.FrozenPredictor([[0.0], [1.0], [3.0]], [[0.1], [0.5], [0.9]], ["m"], 2)
+    assert frozen.predict([1.0], "k")["m"] == 0.5 and frozen.predict([99.0], "k")["m"] == 0.5
+
+
+def test_networks_and_forests_learn(spark):
+    from clusterloom.operators import learning
+
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b) if i % 9 else None, float(0.5 + 0.3 * a), "up" if a > 0 else "down") for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, ari double, best string")
+    told = learning.fit_ari_network(df, ["a", "b"], epochs=100, rate=0.01)(df).select("ari", "predicted_ari").toPandas()
+    assert np.corrcoef(told.ari, told.predicted_ari)[0, 1] > 0.95
+    said = learning.fit_index_classifier(df, ["a", "b"], "best", trees=10)(df).select((F.col("best") == F.col("predicted_best")).alias("hit")).collect()
+    assert np.mean([r.hit for r in said]) > 0.95
+
+
+def test_every_shape_profile_and_perturbation_keeps_its_promise(spark):
+    from clusterloom.operators import profiles, shapes
+
+    rng = lambda: np.random.default_rng(5)
+    made = {n: f(rng(), 2000) for n, f in shapes.SHAPES.items()}
+    assert all(x.shape == (2000, 2) and np.isfinite(x).all() for x in made.values()) and len(made) >= 27
+    r = np.hypot(*made["ring_annulus"].T)
+    assert r.min() >= 0.6 and r.max() <= 1
+    assert np.corrcoef(made["parabola"][:, 0] ** 2, made["parabola"][:, 1])[0, 1] > 0.99
+    sides = np.abs(shapes.SHAPES["rectangle_frame"](rng(), 500, frame_thickness=0.0)) / (1.0, 0.6)
+    assert np.allclose(sides.max(1), 1)
+    cells = np.floor(shapes.SHAPES["checker_texture"](rng(), 500, jitter=0.0) / 0.4 + 1.5 / 0.4).astype(int)
+    assert (cells.sum(1) % 2 == 0).all()
+    circle = made["circle"]
+    gap = profiles.PROFILES["occlusion"](rng(), circle, "center_occluded")
+    assert 0.6 < len(gap) / len(circle) < 0.9
+    full = profiles.PROFILES["fill"](rng(), circle, "filled")
+    assert np.median(np.hypot(*full.T)) < 1.6 < np.median(np.hypot(*circle.T))
+    wide = profiles.PROFILES["thickness"](rng(), made["band"], {"profile": "linear_taper", "low": 1.0, "high": 6.0})
+    left = wide[:, 0] < np.median(wide[:, 0])
+    assert max(wide[left, 1].std(), wide[~left, 1].std()) > 1.8 * min(wide[left, 1].std(), wide[~left, 1].std())
+    x, y = np.vstack((made["blob"], made["blob"] + 3)), np.repeat([0, 1], 2000)
+    for spec, more in (({"dropout": 0.5}, -1), ({"contamination": 0.1}, 1), ({"duplicates": 0.1}, 1), ({"bridges": 2}, 1), ({"holes": {"n_holes": 1}}, -1), ({"size_imbalance": 0.8}, -1), ({"density_imbalance": 0.8}, -1)):
+        a, b = profiles.perturb(rng(), x, y, spec)
+        assert len(a) == len(b) and np.sign(len(a) - len(x)) == more
+    _, flipped = profiles.perturb(rng(), x, y, {"difficulty": {"label_flip_rate": 0.25, "global_jitter_sigma": 0.01}})
+    assert 0.2 < (flipped != y).mean() < 0.3
+    times, _ = profiles.perturb(rng(), x, y, {"arrival_times": {"pri_dim": 0}})
+    assert (np.diff(times[:, 1]) >= 0).all()
+    with pytest.raises(ValueError, match="unknown"):
+        profiles.perturb(rng(), x, y, {"nothing": 1})
+    assert shapes.sample_prior(rng(), {"a": {"dist": "choice", "values": [7]}, "b": 2}) == {"a": 7, "b": 2}
+    assert 1e-3 <= shapes.sample_prior(rng(), {"dist": "loguniform", "low": 1e-3, "high": 1e-1}) <= 1e-1
