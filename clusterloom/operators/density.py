@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indices import MAX_PAIRWISE, clustered
+from .indices import clustered
 from .kernels import distances, mst
 
+#: Points of a key whose distances one task holds.
+MOST_POINTS = 10_000
+
 
 def _parts(labels: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(labels == c) for c in np.unique(labels)]
@@ -173,8 +176,8 @@ def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str]
     chosen, own = list(names or DENSITY), list(keys)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_PAIRWISE:
-            raise ValueError(f"density indices compare at most {MAX_PAIRWISE} points of a key; use a sample of the cloud")
+        if len(rows) > MOST_POINTS:
+            raise ValueError(f"density indices compare at most {MOST_POINTS} points of a key; use a sample of the cloud")
         rows = rows.sort_values("point_id")
         x, labels = rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy()
         raw = [DENSITY[n](x, labels) for n in chosen]

@@ -112,10 +112,10 @@ def s_dbw(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     base = per.join(whole, list(keys)) if keys else per.crossJoin(whole)
     middle = _centroid_pairs(own, keys).filter("label < label_b").withColumns({"mx": (F.col("cx") + F.col("cx_b")) / 2, "my": (F.col("cy") + F.col("cy_b")) / 2})
     spots = middle.select(*keys, F.col("label").alias("la"), F.col("label_b").alias("lb"), "cx", "cy", "cx_b", "cy_b", "mx", "my")
-    spots = spots.join(F.broadcast(base.select(*keys, "radius")), list(keys)) if keys else spots.crossJoin(base.select("radius"))
+    spots = spots.join(base.select(*keys, "radius"), list(keys)) if keys else spots.crossJoin(base.select("radius"))
     # Each point meets the pairs of its own cluster only.
     ends = F.explode(F.array("la", "lb")).alias("label")
-    facing = clustered(points).join(F.broadcast(spots.select("*", ends)), [*keys, "label"])
+    facing = clustered(points).join(spots.select("*", ends), [*keys, "label"])
     near = lambda a, b: F.count_if(F.sqrt(F.pow(F.col("x") - F.col(a), 2) + F.pow(F.col("y") - F.col(b), 2)) <= F.col("radius"))
     density = facing.groupBy(*keys, "la", "lb").agg(near("mx", "my").alias("m"), near("cx", "cy").alias("a"), near("cx_b", "cy_b").alias("b"))
     most = F.greatest("a", "b")

@@ -11,9 +11,19 @@ import heapq
 import numpy as np
 
 
+#: Cells that a distance matrix may have (0.8 GB of doubles).
+MAX_CELLS = 100_000_000
+
+
 def distances(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """All distances between two sets of points, or within one; more cells than a task should hold are an error."""
     b = a if b is None else b
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0.0))
+    if len(a) * len(b) > MAX_CELLS:
+        raise ValueError(f"{len(a)} x {len(b)} distances; use a sample of the cloud")
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        out += (a[:, k, None] - b[None, :, k]) ** 2
+    return np.sqrt(out, out=out)
 
 
 def _relabel(labels: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ def histogram(values: DataFrame, keys: Sequence[str], bins: int, value: str = "v
     span = values.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     width = F.col("_high") - F.col("_low")
     at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width * bins), F.lit(bins - 1))).otherwise(bins // 2)
-    placed = values.join(F.broadcast(span), list(keys)) if keys else values.crossJoin(span)
+    placed = values.join(span, list(keys)) if keys else values.crossJoin(span)
     return placed.groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -72,7 +72,7 @@ def block_a(viewed: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg("value").alias(f"{p}_mean_flat"), F.stddev_pop("value").alias(f"{p}_std_flat"), F.min("value").alias(f"{p}_min_flat"), F.max("value").alias(f"{p}_max_flat"), (F.max("value") - F.min("value")).alias(f"{p}_range_flat"),
         *(c.alias(f"{p}_{n}_flat") for n, c in level.items()), (level["q75"] - level["q25"]).alias(f"{p}_iqr_flat"), m["skew"].alias(f"{p}_skew_flat"), m["kurtosis"].alias(f"{p}_kurtosis_flat"),
     )
-    near = values.join(F.broadcast(basic), list(keys))
+    near = values.join(basic, list(keys))
     v, col = F.col("value"), lambda n: F.col(f"{p}_{n}_flat")
     z = F.when(col("std") < EPS, 0.0).otherwise((v - col("mean")) / col("std"))
     share = lambda c: F.avg(c.cast("double"))
@@ -96,7 +96,7 @@ def density_grid(points: DataFrame, keys: Sequence[str], bins: int) -> DataFrame
     """Occupied share, entropy, largest share, CV, Gini and empty share of a bins x bins grid (MF-04)."""
     span = points.groupBy(*keys).agg(*(f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("l", F.min), ("h", F.max))))
     cell = lambda c: F.when(F.col(f"_h{c}") > F.col(f"_l{c}"), F.least(F.floor((F.col(c) - F.col(f"_l{c}")) / (F.col(f"_h{c}") - F.col(f"_l{c}")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = points.join(F.broadcast(span), list(keys)).groupBy(*keys, cell("x").alias("i"), cell("y").alias("j")).agg(F.count("*").alias("n"))
+    counts = points.join(span, list(keys)).groupBy(*keys, cell("x").alias("i"), cell("y").alias("j")).agg(F.count("*").alias("n"))
     whole = Window.partitionBy(*keys)
     total = bins * bins
     ranked = counts.withColumns({"_p": F.col("n") / F.sum("n").over(whole), "_r": F.row_number().over(whole.orderBy("n", "i", "j")) + (total - F.count("*").over(whole))})
@@ -140,7 +140,7 @@ def block_b(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         }
     ).drop("_n", "_vx", "_vy", "_c")
     d = F.sqrt(F.pow(F.col("x") - F.col("B_axis0_mean"), 2) + F.pow(F.col("y") - F.col("B_axis1_mean"), 2))
-    far = points.join(F.broadcast(shaped.select(*keys, "B_axis0_mean", "B_axis1_mean")), list(keys)).withColumn("_d", d)
+    far = points.join(shaped.select(*keys, "B_axis0_mean", "B_axis1_mean"), list(keys)).withColumn("_d", d)
     distances = far.groupBy(*keys).agg(F.avg("_d").alias("B_mean_distance_to_centroid"), F.stddev_pop("_d").alias("B_std_distance_to_centroid"), *(q("_d", a / 100).alias(f"B_q{a}_distance_to_centroid") for a in (25, 50, 75, 90)))
     g16, g32 = density_grid(points, keys, 16), density_grid(points, keys, 32)
     names = ("occupied_ratio", "entropy", "max_cell_ratio")
@@ -153,7 +153,7 @@ def mutual_information(points: DataFrame, keys: Sequence[str], bins: int = 16) -
     """MI of x and y from the joint histogram, natural log (FN-11, FN-12)."""
     span = points.groupBy(*keys).agg(*(f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("l", F.min), ("h", F.max))))
     cell = lambda c: F.when(F.col(f"_h{c}") > F.col(f"_l{c}"), F.least(F.floor((F.col(c) - F.col(f"_l{c}")) / (F.col(f"_h{c}") - F.col(f"_l{c}")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    joint = points.join(F.broadcast(span), list(keys)).groupBy(*keys, cell("x").alias("i"), cell("y").alias("j")).agg(F.count("*").alias("n"))
+    joint = points.join(span, list(keys)).groupBy(*keys, cell("x").alias("i"), cell("y").alias("j")).agg(F.count("*").alias("n"))
     over = lambda *by: F.sum("n").over(Window.partitionBy(*keys, *by))
     full = joint.withColumns({"_t": over(), "_a": over("i"), "_b": over("j")})
     return full.groupBy(*keys).agg(F.sum(F.col("n") / F.col("_t") * F.ln(F.col("n") * F.col("_t") / (F.col("_a").cast("double") * F.col("_b")))).alias("mutual_information"))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .ranking import average_rank
 
 
+#: Rows of an effect table whose labels are permuted.
+MOST_PERMUTED = 1_000_000
+
+
 def signed_ranks(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     """(keys, n, w_plus, w_minus, rank_biserial) with zeros dropped and average ranks (ST-03, ST-07)."""
     moved = deltas.filter(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("_size", F.abs(value))
@@ -84,8 +88,11 @@ def poisson_bootstrap(values: DataFrame, keys: Sequence[str], value: str, unit:
 def group_permutation(values: DataFrame, group: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
     """One row: variance between groups, and the share of label permutations that reach it (ST-22).
 
-    values is a small effect table: it is permuted in one NumPy task.
+    values is an effect table of MOST_PERMUTED rows at most: it is permuted in
+    one NumPy task, and a larger one is an error.
     """
+    if values.limit(MOST_PERMUTED + 1).count() > MOST_PERMUTED:
+        raise ValueError(f"{MOST_PERMUTED} rows at most are permuted")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna().sort_values([group, value])

@@ -1,8 +1,8 @@
 """Utility of a validity index: how well its values order candidates by agreement with the truth.
 
 Long frames: a row per group, candidate and metric with score and relevance.
-Candidate pairs meet within one group only; a group has at most MAX_CANDIDATES
-rows, which callers check.
+Candidate pairs meet within one group only; a group is a slate of fixed size
+(32 in the protocol), and its pairs grow with the square of that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .ranking import average_rank
 
-MAX_CANDIDATES = 5_000
 # Weights of the utility target's parts.
 WEIGHTS = {"spearman": 0.18, "kendall": 0.12, "pairwise": 0.20, "ndcg": 0.20, "overlap_top": 0.05, "overlap_bottom": 0.05, "ndcg_5": 0.10, "ndcg_10": 0.10}
 MIN_ROWS, MIN_SHARE = 10, 0.2

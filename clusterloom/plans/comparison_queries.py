@@ -8,7 +8,7 @@ from ..operators import audits, comparisons, frames, learning, portfolio, predic
 from ..sources import repository
 from .projections import BEST_SQL, POINTS_SQL, RUNS_SQL, SELECTIONS_SQL, TRIALS_SQL, points, rounded, runs, selections, table, trial_metrics, utilities
 from .run_queries import ORACLE_SQL as RUN_ORACLES
-from .run_queries import PAIRS_SQL, RUN_BLOCK, VBS_SQL
+from .run_queries import NORMAL_P, PAIRS_SQL, RUN_BLOCK, VBS_SQL
 from .trial_queries import SCORED_SQL, _scored
 
 #: Declared contrasts of the methods in the projected frames.
@@ -119,7 +119,7 @@ QUERIES = {
     "paired_contrast": lambda s, d: rounded(comparisons.paired_contrast(_deltas(s, d), ["method", "baseline"])),
     "hypothesis_statistics": lambda s, d: _no_p(comparisons.run_hypotheses(_best(s, d), HYPOTHESES, ["family"])),
     "hypotheses": lambda s, d: rounded(comparisons.run_hypotheses(_best(s, d), HYPOTHESES)),
-    "mann_whitney": lambda s, d: _no_p(comparisons.mann_whitney(_best(s, d).withColumn("inside", F.col("family") < 4), ["method_name"], "inside", "best_ari")),
+    "mann_whitney": lambda s, d: rounded(comparisons.mann_whitney(_best(s, d).withColumn("inside", F.col("family") < 4), ["method_name"], "inside", "best_ari")),
     "bootstrap_columns": lambda s, d: rounded(comparisons.bootstrap_columns(_best(s, d), ["best_ari", "view_mean"], "dataset_id")),
     "family_divergence": lambda s, d: rounded(comparisons.family_divergence(_best(s, d))),
     "global_choice_by_family": lambda s, d: rounded(comparisons.global_choice_by_family(_best(s, d))),
@@ -333,7 +333,7 @@ ORACLE_SQL = {
         SELECT k.*, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('(w_plus - w_minus) / (w_plus + w_minus)')} AS rank_biserial FROM k LEFT JOIN s USING (hypothesis, family)""",
     "mann_whitney": f"""WITH {BEST_SQL}, r AS (SELECT method_name, family < 4 AS inside, rank() OVER (PARTITION BY method_name ORDER BY best_ari) + (count(*) OVER (PARTITION BY method_name, best_ari) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method_name, best_ari) AS t FROM best WHERE best_ari IS NOT NULL),
         g AS (SELECT method_name, count(*) FILTER (inside) AS n_in, count(*) FILTER (NOT inside) AS n_out, sum(r) FILTER (inside) - count(*) FILTER (inside) * (count(*) FILTER (inside) + 1) / 2.0 AS u, sum(CAST(t AS DOUBLE) * t - 1) AS ties, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY 1)
-        SELECT method_name, n_in, n_out, {R('u')} AS u, CASE WHEN n_in >= 3 AND n_out >= 3 THEN {R('(abs(u - n_in * n_out / 2.0) - 0.5) / sqrt(n_in * n_out / 12.0 * (n + 1 - ties / (n * (n - 1))))')} END AS z FROM g""",
+        SELECT method_name, n_in, n_out, {R('u')} AS u, CASE WHEN n_in >= 3 AND n_out >= 3 THEN {R('(abs(u - n_in * n_out / 2.0) - 0.5) / sqrt(n_in * n_out / 12.0 * (n + 1 - ties / (n * (n - 1))))')} END AS z, round(least(1.0, CASE WHEN n_in >= 3 AND n_out >= 3 THEN {NORMAL_P('((abs(u - n_in * n_out / 2.0) - 0.5) / sqrt(n_in * n_out / 12.0 * (n + 1 - ties / (n * (n - 1)))))')} END), 6) AS p_value FROM g""",
     "family_divergence": f"WITH {PICK_SQL} SELECT family, chosen.method_name AS family_selected, {R('mean')} AS family_mean, leader.method_name AS global_selected, chosen.method_name <> leader.method_name AS differs, {R('avg(CAST(chosen.method_name <> leader.method_name AS DOUBLE)) OVER ()')} AS divergence_rate FROM chosen, leader",
     "global_choice_by_family": f"""WITH {PICK_SQL} SELECT family, method_name, count(*) AS n_datasets, count(best_ari) AS n_success, {R('avg(best_ari)')} AS best_ari_mean, {R('median(best_ari)')} AS best_ari_median, {R('stddev_samp(best_ari)')} AS best_ari_std, {R('quantile_cont(best_ari, 0.25)')} AS best_ari_q25,
         {R('quantile_cont(best_ari, 0.75)')} AS best_ari_q75, {R('sum(total_runtime_sec)')} AS total_runtime_sec, {R('quantile_cont(best_runtime_sec, 0.9)')} AS runtime_p90, {R("avg(CAST(best_view = 'x_only' AS DOUBLE))")} AS x_only_share, bool_and(n_success = n_views) AS all_views_ok FROM best JOIN leader USING (method_name) GROUP BY 1, 2""",

@@ -62,7 +62,7 @@ split AS (SELECT dataset_id, stratum, CAST((row_number() OVER (PARTITION BY stra
 QUERIES = {
     "contingency": lambda s, d: agreement.contingency(_labels(s, d), KEY),
     "external_agreement": lambda s, d: rounded(agreement.agreement(_labels(s, d), KEY)),
-    "adjusted_mutual_information": lambda s, d: agreement.adjusted_mutual_information(_labels(s, d), KEY),
+    "adjusted_mutual_information": lambda s, d: rounded(agreement.adjusted_mutual_information(_labels(s, d), KEY)),
     "noise_scores": lambda s, d: rounded(agreement.noise_scores(_labels(s, d).withColumn("y_true", F.when(F.col("point_id") % 15 == 0, -1).otherwise(F.col("y_true"))), KEY)),
     "k_metrics": lambda s, d: agreement.k_metrics(_labels(s, d), KEY),
     "label_stats": lambda s, d: rounded(agreement.label_stats(_labels(s, d), KEY)),
@@ -103,8 +103,8 @@ QUERIES = {
     "kmeans_kernel": lambda s, d: search.labels_of(points(s, d), "kmeans", {"n_clusters": 3}),
     "dbscan_kernel": lambda s, d: search.labels_of(points(s, d), "dbscan", {"eps": 0.05, "min_samples": 4}),
     "hdbscan_constrained_kernel": lambda s, d: search.labels_of(points(s, d), "hdbscan_constrained-3", {}),
-    "search_trials": lambda s, d: search.run_trials(points(s, d), search.candidate_table(s, search.random_space(8, 1234))),
-    "cluster_pipeline": lambda s, d: search.cluster(points(s, d), search.candidate_table(s, search.random_space(6, 7))),
+    "search_trials": lambda s, d: search.run_trials(points(s, d), search.candidate_table(s, search.random_space(32, 1234))),
+    "cluster_pipeline": lambda s, d: search.cluster(points(s, d), search.candidate_table(s, search.random_space(32, 7))),
     "pattern_indices": lambda s, d: patterns.pattern_indices(points(s, d), KEY),
     "raster_indices": lambda s, d: rasters.raster_indices(points(s, d), KEY),
     "density_indices": lambda s, d: density.density_indices(points(s, d), KEY),
@@ -208,3 +208,10 @@ ORACLE_SQL["block_b_stats"] = f"""WITH {POINTS_SQL}, s AS (SELECT dataset_id, av
         round((hf + pt) / (hf - pt), 6) AS B_cov_condition_number, round(r, 6) AS B_corr_axis0_axis1, round(abs(r), 6) AS B_abs_corr_axis0_axis1, round(hf + pt, 6) AS B_pca_eigenvalue_1, round(hf - pt, 6) AS B_pca_eigenvalue_2, round((hf + pt) / (2 * hf), 6) AS B_pca_explained_ratio_1, round((hf - pt) / (2 * hf), 6) AS B_pca_explained_ratio_2,
         round((hf + pt) / (hf - pt), 6) AS B_pca_anisotropy_ratio, round(cn, 6) AS B_centroid_norm, {", ".join(f"round(g{b}.occ, 6) AS B_density_grid_{b}_occupied_ratio, round(g{b}.ent, 6) AS B_density_grid_{b}_entropy, round(g{b}.mx, 6) AS B_density_grid_{b}_max_cell_ratio" for b in (16, 32))},
         round(g32.cv, 6) AS B_density_grid_cv, round(g32.gini, 6) AS B_density_grid_gini, round(1 - g32.occ, 6) AS B_density_grid_empty_cell_ratio FROM e JOIN g16 USING (dataset_id) JOIN g32 USING (dataset_id)"""
+ORACLE_SQL["adjusted_mutual_information"] = f"""WITH {POINTS_SQL}, c AS (SELECT dataset_id, y_true, y_pred, CAST(count(*) AS DOUBLE) AS k FROM points GROUP BY 1, 2, 3),
+    a AS (SELECT dataset_id, y_true, sum(k) AS a FROM c GROUP BY 1, 2), b AS (SELECT dataset_id, y_pred, sum(k) AS b FROM c GROUP BY 1, 2), t AS (SELECT dataset_id, sum(k) AS n FROM c GROUP BY 1),
+    mi AS (SELECT dataset_id, sum(k / n * ln(n * k / (a * b))) AS mi FROM c JOIN a USING (dataset_id, y_true) JOIN b USING (dataset_id, y_pred) JOIN t USING (dataset_id) GROUP BY 1),
+    ha AS (SELECT dataset_id, -sum(a / n * ln(a / n)) AS ha FROM a JOIN t USING (dataset_id) GROUP BY 1), hb AS (SELECT dataset_id, -sum(b / n * ln(b / n)) AS hb FROM b JOIN t USING (dataset_id) GROUP BY 1),
+    cells AS (SELECT dataset_id, a, b, n, unnest(range(CAST(greatest(1, a + b - n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS k FROM a JOIN b USING (dataset_id) JOIN t USING (dataset_id)),
+    emi AS (SELECT dataset_id, sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS emi FROM cells GROUP BY 1)
+    SELECT dataset_id, round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM mi JOIN ha USING (dataset_id) JOIN hb USING (dataset_id) JOIN emi USING (dataset_id)"""

@@ -81,7 +81,7 @@ QUERIES = {
     "top_metric_frequency": lambda s, d: summaries.top_metric_frequency(selections(s, d)),
     "weight_entropy": lambda s, d: rounded(summaries.weight_entropy(selections(s, d))),
     "signed_rank": lambda s, d: rounded(statistics.signed_ranks(_deltas(s, d), ["method", "baseline"])),
-    "signed_rank_p": lambda s, d: statistics.signed_rank_p(_deltas(s, d), ["method", "baseline"]),
+    "signed_rank_p": lambda s, d: rounded(statistics.signed_rank_p(_deltas(s, d), ["method", "baseline"])),
     "effect_sizes": lambda s, d: rounded(statistics.effect_sizes(_deltas(s, d), ["method", "baseline"])),
     "holm": lambda s, d: rounded(statistics.holm(_tests(s, d), ["method"])),
     "bh_fdr": lambda s, d: rounded(statistics.bh_fdr(_tests(s, d), ["method"])),
@@ -177,3 +177,10 @@ ORACLE_SQL["greedy_portfolio"] = (
     + " UNION ALL ".join(f"SELECT {i} AS step, m AS method_name, mean AS portfolio_mean FROM b{i}" for i in range(1, STEPS + 1))
     + ") SELECT CAST(step AS INTEGER) AS step, method_name, round(portfolio_mean - coalesce(lag(portfolio_mean) OVER (ORDER BY step), 0), 6) AS gain, round(portfolio_mean, 6) AS portfolio_mean FROM s"
 )
+ORACLE_SQL["min_portfolio_size"] = f"WITH g AS ({ORACLE_SQL['greedy_portfolio']}) SELECT CAST(min(step) AS INTEGER) AS min_size FROM g WHERE portfolio_mean >= 0.95 * (SELECT max(portfolio_mean) FROM g) - 1e-6"
+#: Two-sided normal p of a score, by the series of the error function.
+NORMAL_P = "CASE WHEN {0} = 0 THEN 1.0 ELSE 1 - exp(-{0} * {0} / 2) * list_sum(list_transform(range(0, 160), lambda term: exp((2 * term + 1) * ln(abs({0}) / sqrt(2.0)) - lgamma(term + 1.5)))) END".format
+ORACLE_SQL["signed_rank_p"] = f"""WITH {SIGNED_SQL}, w AS (SELECT method, baseline, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN delta < 0 THEN r ELSE 0 END) AS w_minus FROM sized GROUP BY 1, 2),
+    t AS (SELECT method, baseline, sum(c * c * c - c) AS ties FROM (SELECT method, baseline, CAST(count(*) AS DOUBLE) AS c FROM sized GROUP BY method, baseline, abs(delta)) GROUP BY 1, 2),
+    z AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w JOIN t USING (method, baseline))
+    SELECT method, baseline, CAST(n AS BIGINT) AS n, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('(w_plus - w_minus) / (w_plus + w_minus)')} AS rank_biserial, {R('z')} AS z, round({NORMAL_P('z')}, 6) AS p_value FROM z"""
