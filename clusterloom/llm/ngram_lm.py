@@ -386,7 +386,8 @@ def lm_scores(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score and
     score. Null texts are empty and have the end token only; repeated rows
     count and are scored each time; a null held_out counts as false. Without
-    training documents every text scores 0.
+    training documents every text scores 0; an empty table gives no rows.
+    Whole texts count, however long; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     root = math.isqrt(PIECE_KEYS * estimated_bytes(docs) // TOKEN_BYTES)

@@ -146,7 +146,11 @@ def quality_score(model: BradleyTerry, text: F.Column) -> F.Column:
 
 
 def keep_quality(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
-    """Rows of docs, columns as they are, that the model scores CUT or more."""
+    """Rows of docs, columns as they are, that the model scores CUT or more.
+
+    Null and empty texts are scored as texts without features, repeated rows
+    each; an empty table gives no rows. Extra columns may have any names.
+    """
     found = docs.select(F.struct(*docs.columns).alias("row"), quality_score(model, F.col(text_col)).alias("score"))
     return found.filter(F.col("score") >= CUT).select("row.*")
 
@@ -156,7 +160,7 @@ def fold(id_col: str = "doc_id") -> F.Column:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The result of the registered query; labels of the documents of remainder 0 are not read."""
+    """The result of the registered query; labels of the documents of remainder 0 are not read. A null id has a null held_out."""
     model = fit_quality(docs, labels, fold() != 0)
     scored = docs.select("doc_id", quality_score(model, F.col("text")).alias("score"))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -116,7 +116,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """(id_col, found): spans array<struct<start, end>> of each rule by kind, in a map.
 
     Spans are code points, end exclusive. Null and empty texts have none. Each
-    input row gives one row, repeated rows and null ids too.
+    input row gives one row, repeated rows and null ids too; an empty table
+    gives none. Whole texts are scanned, however long; columns beside id and
+    text are not read, whatever their names.
     """
     texts = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     full = [r for r in rules if trigram_query(r.pattern) == ALL]

@@ -25,6 +25,8 @@ from .storage import discard, materialize
 ROWS_PER_SALT = 1_000_000
 #: Parts in which the rows of a shard are ranked.
 RANK_PARTS = 1024
+#: Rows of a shard for each of its parts, beyond RANK_PARTS of them, and the most parts.
+PART_ROWS, MOST_RANK_PARTS = 1_000_000, 1 << 16
 #: Keys of more than this part of a quota are packed one by one, about n_shards * LARGE at most.
 LARGE = 64
 #: Strength classes of moves: floor(log2(neighbours in the target)).
@@ -177,11 +179,12 @@ def balanced_shards(rows: DataFrame, n_shards: int, id_col: str = "id", key_col:
     )
     dealt = blocks.join(spans, "key").select("key", "salt", "before", "spans")
     in_block = Window.partitionBy("key", "salt").orderBy("id", F.xxhash64("row"))
+    parts = min(MOST_RANK_PARTS, max(RANK_PARTS, max(quotas) // PART_ROWS))
     placed = materialize(
         salted.join(dealt, ["key", "salt"], "left")
         .withColumn("at", F.col("before") + F.row_number().over(in_block) - 1)
         .withColumn("wish", F.coalesce(F.filter("spans", lambda x: x.upto > F.col("at"))[0].shard, F.lit(n_shards)))
-        .select("row", "id", "wish", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(RANK_PARTS)).alias("part")),
+        .select("row", "id", "wish", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(parts)).alias("part")),
         "placed",
     )
     counts = placed.groupBy("wish", "part").agg(F.count("*").alias("n"))
@@ -203,7 +206,7 @@ def balanced_shards(rows: DataFrame, n_shards: int, id_col: str = "id", key_col:
         return F.array(*(F.lit(int(v)).cast("long") for v in values))
 
     limit, pool_base = longs([*kept_n, 0]), longs([*over_at, 0])
-    # The offsets have (n_shards + 1) * RANK_PARTS rows at most.
+    # The offsets have (n_shards + 1) * MOST_RANK_PARTS rows at most.
     ranked = placed.join(F.broadcast(offsets), ["wish", "part"]).withColumn(
         "rank", F.col("offset") + F.row_number().over(Window.partitionBy("wish", "part").orderBy("id", F.xxhash64("row"))) - 1
     )

@@ -263,6 +263,8 @@ def simhash_groups(
     included. A text that is null or has no word has fingerprint 0 and is
     linked like any other. Each input row gives one row, repeated rows too; a
     null id takes part in linking and gets the smallest other id (null if none).
+    An empty table gives no rows; whole texts count, however long; columns
+    beside id and text are not read, whatever their names.
     """
     prints = materialize(docs.select(F.col(id_col).alias("row"), fingerprint(F.col(text_col), width, seed).alias("fp")), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("row").alias("least")), "distinct")

@@ -195,7 +195,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
     """Write the ids of every whole text (null: empty), each followed by end_id, to the folder `out`.
 
     Documents are in ascending order of id, null first, repeated ids by the
-    hash of their text. The tokenizer's file must be at one path on all nodes.
+    hash of their text; repeated rows are written each time, an empty table
+    gives no segments, and columns beside id and text are not read. Whole texts
+    are encoded, however long. The tokenizer's file must be at one path on all nodes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections import Counter
+
 import pytest
 
 from clusterloom.llm import queries
@@ -42,9 +46,81 @@ def test_queries_on_hard_and_empty_tables(spark, tables, name):
     rows = queries.QUERIES[name](spark, tables(False)).collect()
     op = name.split("_")[0]
     assert len(rows) == EXPECTED.get(op, len(rows))
+    CHECKS[op](sorted(rows, key=str))
     assert queries.QUERIES[name](spark, tables(True)).count() == 0
 
 
+def by_id(rows) -> dict:
+    """Rows by id; repeated ones are equal in what is checked."""
+    return {r[0]: r for r in rows}
+
+
+def sharded(rows):
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) <= set(range(16)) and max(counts.values()) == 1  # ten rows in sixteen shards
+    assert all(r.slot == 0 and r.law == "rows" and r.grown_shard is None for r in rows)
+    assert by_id(rows)[4]["size"] == 300_001 and by_id(rows)[None].text_crc32 in (0, zlib.crc32(b"a b c"))
+
+
+def scored(rows):
+    own = by_id(rows)
+    assert own[4].n_tokens == 60_001 and own[1].n_tokens == 1 and own[5].n_tokens == 2 and own[6].n_tokens == 2
+    assert len({r.train_tokens for r in rows}) == 1 and all(r.score < 0 and r.base_score < 0 for r in rows)
+    assert [r.score for r in rows if r.doc_id == 2][0] == [r.score for r in rows if r.doc_id == 2][1]
+
+
+def rated(rows):
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert by_id(rows)[None].held_out is None and sum(r.doc_id == 2 for r in rows) == 2
+
+
+def decontaminated(rows):
+    own = by_id(rows)
+    assert {(r.n_words, r.n_hit) for r in rows if r.doc_id is None} == {(0, 0), (3, 3)}
+    assert (own[2].n_words, own[2].n_hit, own[2].n_items, own[2].contaminated) == (6, 3, 1, True)
+    assert own[4].n_words == 60_000 and own[6].n_words == 1 and own[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def nearest(rows):
+    """Vectors 0 and 2 are whole, and the two empty ones; all others take no part."""
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in rows if r.query_id == 0]
+    assert got == [(0, 1, 2, 256 * 256 * 5), (0, 2, 150, 0), (0, 3, 150, 0)]
+    assert sorted((r.vec_id, r.score) for r in rows if r.query_id == 150) == sorted([(0, 0), (2, 0), (150, 0)] * 2)
+
+
+def secrets(rows):
+    assert all((r.n_assign, r.n_access, r.n_hex) == (0, 0, 0) and r.spans == "" for r in rows)
+
+
+def fingerprints(rows):
+    own = by_id(rows)
+    assert own[1].fingerprint == "0" * 16 and own[1].component_id == 1 and own[5].component_id == 5
+    assert own[2].fingerprint == own[3].fingerprint and own[2].component_id == own[3].component_id == 2
+    assert {r.component_id for r in rows if r.doc_id is None} >= {1}
+
+
+def judged(rows):
+    own = by_id(rows)
+    assert (own[1].host, own[1].path, own[1].rule) == ("", "", None) and (own[3].host, own[3].rule, own[3].verdict) == ("a.com", "com/en/", "block")
+    assert own[None].verdict == "block" and {r.verdict for r in rows} <= {"allow", "block"}
+
+
+def taken(rows):
+    own = by_id(rows)
+    assert own[4]["size"] == 60_000 and own[1].taken == own[1]["size"] == 0 and own[5]["size"] == 1
+    assert all(r.taken <= 3 * r["size"] for r in rows)
+
+
+def encoded(rows):
+    order = sorted(rows, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None, None, -7, 1, 2, 2, 3, 4, 5, 6]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:], strict=False)) and order[0].start == 0
+    assert by_id(rows)[1].n_tokens == 1 and by_id(rows)[1].ids_crc32 == zlib.crc32(bytes(4))
+
+
+CHECKS = {"op1": sharded, "op2": scored, "op3": rated, "op4": decontaminated, "op5": nearest, "op6": secrets, "op7": fingerprints, "op8": judged, "op9": taken, "op10": encoded}
+
+
 def test_stages_on_hard_and_empty_tables(spark, tables):
     import corpus_pipeline
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -13,6 +16,7 @@ from clusterloom.llm.near_duplicates import drop_near_duplicates, near_duplicate
 from clusterloom.llm.sharding import balanced_shards, shard_documents
 from clusterloom.llm.simhash import Forest, majority, near_pairs, plan_tree, route, shingle_hashes, simhash_digest
 from clusterloom.llm.topk import exact_top_k, top_k_digest
+from clusterloom.llm.words import split_words
 
 SCHEMA = "doc_id long, text string"
 
@@ -140,7 +144,7 @@ def test_simhash_with_null_ids_and_repeated_rows(spark):
 
 
 def shingles(text, width=5):
-    w = text.lower().split()
+    w = split_words(text.encode())
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
@@ -204,6 +208,58 @@ def test_pairs_at_the_least_similarity_all_meet(spark):
     assert groups == {i: i - i % 2 for i, _ in rows}
 
 
+def brute_groups(rows, least=0.8):
+    """Group of each id by comparing every pair of sets that share a shingle."""
+    by_set = {}
+    for i, t in rows:
+        by_set.setdefault(frozenset(shingles(t or "")), []).append(i)
+    sets = list(by_set)
+    parent, having = list(range(len(sets))), {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for g in s for j in having.get(g, ()))
+        for j, n in shared.items():
+            if n / (len(s) + len(sets[j]) - n) >= least:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for g in s:
+            having.setdefault(g, []).append(i)
+    first = {}
+    for i, s in enumerate(sets):
+        first[find(i)] = min(first.get(find(i), min(by_set[s])), min(by_set[s]))
+    return {d: first[find(i)] for i, s in enumerate(sets) for d in by_set[s]}
+
+
+def test_groups_of_edited_texts_equal_brute_force(spark):
+    """Families of edits at all distances, short texts of nine words among them, and lines that many texts share."""
+    rng = np.random.default_rng(12)
+    words, lines = [f"w{i}" for i in range(4000)], [" ".join(f"l{j}x{i}" for i in range(12)) for j in range(5)]
+    texts = []
+    for i in range(150):
+        own = list(rng.choice(words, int(rng.choice([9, 30, 120, 700]))))
+        for edits in (0, 1, 1, 2, 4, 8, 16):
+            copy = own.copy()
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = str(rng.choice(words))
+            texts.append(" ".join(copy) + (" " + lines[i % 5]) * int(rng.integers(0, 4)))
+    rows = list(enumerate(texts))
+    got = {r.key: r.group for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), F.col("doc_id")).collect()}
+    want = brute_groups(rows)
+    assert got == want and 300 < len(set(want.values())) < len(rows)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables here")
+def test_groups_of_ten_thousand_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.key: r.group for r in near_duplicate_groups(docs, F.col("doc_id")).collect()}
+    assert got == brute_groups([tuple(r) for r in docs.collect()])
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(3, text, "x"), (3, text, "x"), (1, text + " more", "y"), (None, text, "z"), (9, "something else entirely here now", "q"), (None, None, None)]
