@@ -181,8 +181,8 @@ def _cuts(i: int, j: int, least: int, most: int) -> np.ndarray:
     return c if len(c) <= most else c[np.linspace(0, len(c) - 1, most).astype(int)]
 
 
-@pattern("piecewise_linearity", 5)
-def piecewise_linearity(z: np.ndarray, least: int = 6, most: int = 60, scale: float = 0.2, min_r2: float = 0.2, weight: float = 0.3) -> float:
+@pattern("piecewise_linearity", 12)
+def piecewise_linearity(z: np.ndarray, least: int = 6, most: int = 60, scale: float = 0.2, min_r2: float = 0.2, weight: float = 0.35) -> float:
     """CVI-21: what two or three line pieces gain over one."""
     x, y = z[np.argsort(z[:, 0], kind="stable")].T
     if x.std() <= EPS:
@@ -209,20 +209,23 @@ def piecewise_linearity(z: np.ndarray, least: int = 6, most: int = 60, scale: fl
 
 @pattern("bimodality_anti_thickness", 20, 0.6)
 def bimodality_anti_thickness(z: np.ndarray) -> float:
-    """CVI-23: two peaks across the line, by their distance and the depth of the valley."""
+    """CVI-23: 0.7 of two peaks across the line (0.55 depth of the valley, 0.45 their distance in deviations) and 0.3 of the elongation."""
     t, d = principal(z)
+    long = stretch(t, d)
     if d.std() <= EPS:
-        return 0.0
-    h = np.histogram((d - d.mean()) / d.std(), int(np.clip(np.sqrt(len(d)), 32, 128)))[0].astype(float)
-    if np.count_nonzero(h) < 10:
-        return 0.0
-    h = np.convolve(h, np.array([1, 2, 3, 2, 1]) / 9, "same")
-    top = peaks(h, 0.1 * h.max(), 4)
-    if len(top) < 2:
-        return 0.0
-    a, b = sorted(top[np.argsort(-h[top], kind="stable")[:2]])
-    valley = h[a : b + 1].min() / min(h[a], h[b])
-    return float(np.clip((1 - valley) * (1 - np.exp(-4 * (b - a) / len(h))) * stretch(t, d), 0, 1))
+        return 0.3 * long
+    h, edges = np.histogram((d - d.mean()) / d.std(), int(np.clip(np.sqrt(len(d)), 32, 128)))
+    two = 0.0
+    if np.count_nonzero(h) >= 10:
+        h = np.convolve(h, np.array([1, 2, 3, 2, 1]) / 9, "same")
+        inner = np.flatnonzero((h[1:-1] >= h[:-2]) & (h[1:-1] >= h[2:]) & (h[1:-1] >= 0.15 * h.max())) + 1
+        inner = inner[np.argsort(-h[inner], kind="stable")]
+        other = inner[np.abs(inner - inner[0]) >= 6] if len(inner) else inner
+        if len(other):
+            a, b = sorted((inner[0], other[0]))
+            valley = (min(h[a], h[b]) - h[a : b + 1].min()) / max(h[a], h[b])
+            two = 0.55 * valley + 0.45 * (1 - np.exp(-(edges[b] - edges[a])))
+    return float(np.clip(0.7 * two + 0.3 * long, 0, 1))
 
 
 def triangulation(z: np.ndarray) -> np.ndarray:
@@ -301,7 +304,7 @@ def curvature_consistency(z: np.ndarray) -> float:
     return float(0.7 * (0.6 * one_way + 0.4 * even) + 0.3 * stretch(z[:, 0], z[:, 1]))
 
 
-@pattern("turning_points_count", 5, 0.6)
+@pattern("turning_points_count", 18, 0.6)
 def turning_points_count(z: np.ndarray) -> float:
     """CVI-26: changes of direction of the binned trajectory, above its noise."""
     x, n = z[:, 0], len(z)
@@ -315,7 +318,7 @@ def turning_points_count(z: np.ndarray) -> float:
         return 0.0
     steps = np.diff([v.mean() for v in own])
     signs = np.sign(steps[np.abs(steps) >= max(1e-6, 1.5 * np.median([v.std() for v in own]))])
-    return float(1 - np.exp(-np.count_nonzero(np.diff(signs)) / 1.8))
+    return float(0.7 * (1 - np.exp(-np.count_nonzero(np.diff(signs)) / 1.8)) + 0.3 * stretch(z[:, 0], z[:, 1]))
 
 
 @pattern("direction_entropy", 18, 0.5)
@@ -330,7 +333,8 @@ def direction_entropy(z: np.ndarray) -> float:
         return 0.0
     top = np.argsort(-size, kind="stable")[: max(12, len(v) // 4)]
     w, a = size[top] / size[top].sum(), 2 * np.arctan2(v[top, 1], v[top, 0])
-    return float(np.clip(1 - np.hypot((w * np.cos(a)).sum(), (w * np.sin(a)).sum()), 0, 1))
+    spread = 1 - min(1.0, np.hypot((w * np.cos(a)).sum(), (w * np.sin(a)).sum()))
+    return float(0.75 * spread + 0.25 * stretch(z[:, 0], z[:, 1]))
 
 
 @pattern("gridness_2d", 40, 0.5)
@@ -422,7 +426,7 @@ def corner_sharpness(z: np.ndarray) -> float:
     return float(0.6 * (angle < np.deg2rad(130)).mean() + 0.4 * (1 - np.exp(-angle.std() / (angle.mean() + EPS))))
 
 
-@pattern("hollow_score", 20, 0.5)
+@pattern("hollow_score", 40, 0.5)
 def hollow_score(z: np.ndarray, bins: int = 20) -> float:
     """CVI-35: an empty inside and a full ring."""
     r = np.linalg.norm(z - z.mean(0), axis=1)
@@ -434,8 +438,8 @@ def hollow_score(z: np.ndarray, bins: int = 20) -> float:
     return float((1 - p[:inner].sum()) * best)
 
 
-@pattern("radial_uniformity", 20, 0.5)
-def radial_uniformity(z: np.ndarray, bins: int = 36) -> float:
+@pattern("radial_uniformity", 50, 0.5)
+def radial_uniformity(z: np.ndarray, bins: int = 20) -> float:
     """CVI-36: inner mass times the entropy of the radial histogram."""
     r = np.linalg.norm(z - z.mean(0), axis=1)
     if r.max() <= EPS:

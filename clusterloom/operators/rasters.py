@@ -26,10 +26,11 @@ SIZE = 256
 
 @dataclass(frozen=True)
 class Raster:
-    """A drawn cluster: point counts scaled to [0, 1] and smoothed, and the filled mask."""
+    """A drawn cluster: point counts scaled to [0, 1] and smoothed, the filled mask, and the counts before smoothing."""
 
     gray: np.ndarray
     mask: np.ndarray
+    raw: np.ndarray | None = None
 
 
 @dataclass(frozen=True)
@@ -174,7 +175,7 @@ def draw(z: np.ndarray, box: tuple[float, float, float, float], size: int = SIZE
     py = np.clip((1 - (z[:, 1] - y0) / max(y1 - y0, 1e-9)) * (size - 1), 0, size - 1).astype(int)
     count = np.zeros((size, size))
     np.add.at(count, (py, px), 1)
-    return Raster(blur(count / count.max(), 1.0), erode(dilate(count > 0, 3)))
+    return Raster(blur(count / count.max(), 1.0), erode(dilate(count > 0, 3)), count / count.max())
 
 
 def _coords(m: np.ndarray) -> np.ndarray:
@@ -193,25 +194,44 @@ def _hough(points: np.ndarray, angles: int = 90) -> np.ndarray:
     return np.stack([np.bincount(rho[:, i], minlength=4 * SIZE) for i in range(angles)])
 
 
+def _segments(points: np.ndarray, votes: int, least: float, gap: float, tries: int = 64) -> np.ndarray:
+    """Lengths of straight runs of edge pixels, strongest lines first; the pixels of a run are used up."""
+    angle, found, left = np.arange(180) * np.pi / 180, [], points
+    for _ in range(tries):
+        if len(left) < votes:
+            break
+        rho = np.round(left @ np.stack((np.sin(angle), np.cos(angle)))).astype(int) + 2 * SIZE
+        count = np.stack([np.bincount(rho[:, i], minlength=4 * SIZE) for i in range(180)])
+        i, offset = np.unravel_index(count.argmax(), count.shape)
+        if count[i, offset] < votes:
+            break
+        on = np.flatnonzero(np.abs(rho[:, i] - offset) <= 1)
+        t = left[on] @ np.array((np.cos(angle[i]), -np.sin(angle[i])))
+        order = np.argsort(t)
+        runs = np.split(order, np.flatnonzero(np.diff(t[order]) > gap) + 1)
+        found += [float(np.ptp(t[run])) for run in runs if np.ptp(t[run]) >= least]
+        left = np.delete(left, on, 0)
+    return np.array(found)
+
+
 @raster_index("hough_line_strength", 30, 0.6)
 def hough_line_strength(r: Raster) -> float:
-    """CVI-37: length of the strong lines over the number of edge pixels."""
+    """CVI-37: length of the straight runs of 30 pixels or more over the number of edge pixels."""
     e = _coords(edges(r.mask))
-    if len(e) < 10:
-        return 0.0
-    best = np.sort(_hough(e).max(1))[::-1][:4]
-    return float(np.clip(best[best >= 20].sum() / len(e), 0, 1))
+    return float(min(1.0, _segments(e, 50, 30, 5).sum() / len(e))) if len(e) else 0.0
 
 
 @raster_index("peak_to_background_hough", 30, 0.7)
 def peak_to_background_hough(r: Raster) -> float:
-    """CVI-38: the strongest line over it and the mean of the others."""
+    """CVI-38: (longest run - mean of the shorter ones) over their sum; 1 for a single run."""
     e = _coords(edges(r.mask))
-    if len(e) < 10:
-        return 0.0
-    votes = _hough(e).ravel().astype(float)
-    rest = votes[votes > 0]
-    return float(rest.max() / (rest.max() + (rest.sum() - rest.max()) / max(1, len(rest) - 1) + EPS))
+    runs = _segments(e, 40, round(0.12 * SIZE), round(0.03 * SIZE)) if len(e) >= 10 else np.zeros(0)
+    if len(runs) < 2:
+        return float(len(runs))
+    peak = runs.max()
+    rest = runs[runs < peak - 1e-6]
+    back = rest.mean() if len(rest) else runs.mean()
+    return float((peak - back) / (peak + back + 1e-9))
 
 
 def _strong(size: np.ndarray, least: int) -> np.ndarray | None:
@@ -242,7 +262,7 @@ def edge_coherence(r: Raster) -> float:
     return float(np.clip(np.hypot(a - c, 2 * b) / max(a + c, 1e-9), 0, 1))
 
 
-@raster_index("hough_arc_circle_strength", 20, 0.4)
+@raster_index("hough_arc_circle_strength", 60, 0.4)
 def hough_arc_circle_strength(r: Raster) -> float:
     """CVI-41: rim precision, covered angles and edge support of the least-squares circle (FN-23)."""
     e = _coords(edges(r.mask))
@@ -257,7 +277,7 @@ def hough_arc_circle_strength(r: Raster) -> float:
     return float(np.clip(near.mean() * np.exp(-off.mean() / max(3.0, 0.1 * radius)) * (0.5 + 0.5 * cover), 0, 1))
 
 
-@raster_index("convexity_ratio_image_based", 20)
+@raster_index("convexity_ratio_image_based", 60)
 def solidity(r: Raster) -> float:
     """CVI-42: area over the hull's."""
     m = _largest(r.mask)
@@ -271,7 +291,7 @@ def _moments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p.mean(0), values, vectors
 
 
-@raster_index("ellipse_fit_score", 5)
+@raster_index("ellipse_fit_score", 80)
 def ellipse_fit_score(r: Raster) -> float:
     """CVI-43: overlap of the shape with the ellipse of its moments."""
     m = _largest(r.mask)
@@ -283,7 +303,7 @@ def ellipse_fit_score(r: Raster) -> float:
     return float((e & m).sum() / max(1, (e | m).sum()))
 
 
-@raster_index("circularity_compactness", 5, 0.5)
+@raster_index("circularity_compactness", 60, 0.5)
 def circularity_compactness(r: Raster) -> float:
     """CVI-44: 4 pi area over the squared rim."""
     m = _largest(r.mask)
@@ -302,7 +322,7 @@ def _simplify(p: np.ndarray, tol: float) -> np.ndarray:
     return p
 
 
-@raster_index("polygonality", 5)
+@raster_index("polygonality", 120)
 def polygonality(r: Raster) -> float:
     """CVI-45: overlap with a simplified outline, times its simplicity."""
     m = _largest(r.mask)
@@ -311,10 +331,10 @@ def polygonality(r: Raster) -> float:
         return 0.0
     p = _simplify(h, 0.02 * polygon(h)[1])
     overlap = min(m.sum(), polygon(p)[0]) / max(m.sum(), polygon(p)[0], 1)
-    return float(overlap * np.exp(-max(0, len(p) - 4) / 8))
+    return float(overlap * (1 - (min(len(p), 12) - 3) / 9))
 
 
-@raster_index("rectangularity", 5)
+@raster_index("rectangularity", 80)
 def rectangularity(r: Raster) -> float:
     """CVI-46: area over that of the smallest rectangle around it."""
     m = _largest(r.mask)
@@ -329,14 +349,27 @@ def rectangularity(r: Raster) -> float:
 
 @raster_index("morphological_band_count", 80, 0.6)
 def morphological_band_count(r: Raster) -> float:
-    """CVI-47: peaks of the profile across the main axis."""
+    """CVI-47: number, regularity and height of the bands that remain of the shape, turned level, after an opening by a line of 31 pixels."""
     p = _coords(r.mask)
-    if len(p) < 10:
+    if len(p) < 20:
         return 0.0
-    across = (p - p.mean(0)) @ _moments(r.mask)[2][:, 0]
-    h = np.convolve(np.histogram(across, 128)[0].astype(float), np.ones(7) / 7, "same")
-    n = len(peaks(h, 0.06 * h.max(), 5))
-    return float(1 - np.exp(-max(0, n - 1) / 2))
+    across, along = (p - p.mean(0)) @ _moments(r.mask)[2][:, 0], (p - p.mean(0)) @ _moments(r.mask)[2][:, 1]
+    level = np.zeros((2 * SIZE, 2 * SIZE), bool)
+    level[np.floor(across).astype(int) + SIZE, np.floor(along).astype(int) + SIZE] = True
+    level = level | (np.roll(level, 1, 1) & np.roll(level, -1, 1))  # pixels that turning left out
+    width = np.zeros(2 * SIZE)
+    for y in np.flatnonzero(level.any(1)):
+        ends = np.flatnonzero(np.diff(np.concatenate(([0], level[y].astype(int), [0]))))
+        runs = ends[1::2] - ends[::2]
+        width[y] = runs[runs >= 31].sum()
+    if width.max() <= 0:
+        return 0.0
+    h = np.convolve(width / width.max(), np.ones(11) / 11, "same")
+    top = [i for i in peaks(h, 0.0, 10) if h[i] - h[max(0, i - 10) : i + 11].min() >= 0.06]
+    if len(top) < 2:
+        return 0.0
+    gaps = np.diff(top)
+    return float((1 - np.exp(-0.35 * len(top))) / (1 + gaps.std() / gaps.mean()) * h[top].mean())
 
 
 def _crossings(s: np.ndarray) -> tuple[int, int]:
@@ -345,24 +378,26 @@ def _crossings(s: np.ndarray) -> tuple[int, int]:
     return int((s & (near == 1)).sum()), int((s & (near >= 3)).sum())
 
 
-@raster_index("skeleton_connectivity", 30, 0.5)
+@raster_index("skeleton_connectivity", 80, 0.3)
 def skeleton_connectivity(r: Raster) -> float:
-    """CVI-48: one part, few ends and junctions, enough pixels."""
+    """CVI-48: one part, few ends and junctions, and a dense skeleton in its box."""
     s = skeleton(r.mask)
     if not s.any():
         return 0.0
     ends, junctions = _crossings(s)
-    parts = len(sizes(s))
-    return float(np.exp(-0.5 * (parts - 1)) * np.exp(-0.1 * max(0, ends - 2)) * np.exp(-0.02 * junctions) * (1 - np.exp(-s.sum() / 50)))
+    filled = s.sum() / np.prod(np.ptp(np.argwhere(s), axis=0) + 1)
+    return float(np.exp(-0.4 * (len(sizes(s)) - 1) - 0.005 * max(0, ends - 2) - 0.01 * junctions) * (1 - np.exp(-8 * filled)))
 
 
 @raster_index("contour_graph_connectivity", 80, 0.5)
 def contour_graph_connectivity(r: Raster) -> float:
-    """CVI-49: few edge parts, a large first one."""
-    n = sizes(edges(r.mask))
-    if n.sum() < 40:
+    """CVI-49: share of the largest closed edge part, less for more parts of half a percent of the image."""
+    e = edges(r.mask)
+    if e.sum() < 40:
         return 0.0
-    return float(np.exp(-0.9 * (len(n) - 1) / 10) * n.max() / n.sum())
+    n = sizes(erode(dilate(e, 2), 2))
+    large = n[n >= max(8, int(0.005 * e.size))]
+    return float(np.exp(-0.05 * (len(large) - 1)) * large.max() / n.sum()) if len(large) else 0.0
 
 
 @raster_index("ridge_strength", 80, 0.6)
@@ -383,7 +418,7 @@ def ridge_strength(r: Raster) -> float:
     return float(np.sort(own)[-max(1, len(own) // 20) :].mean()) if len(own) else 0.0
 
 
-@raster_index("thickness_uniformity", 30, 0.6)
+@raster_index("thickness_uniformity", 120, 0.7)
 def thickness_uniformity(r: Raster) -> float:
     """CVI-51: even depth along the skeleton."""
     s = skeleton(r.mask)
@@ -436,7 +471,7 @@ def fractal_dimension(r: Raster) -> float:
     return float(np.clip(2 - box_slope(edges(r.mask)), 0, 1))
 
 
-@raster_index("gridness_fft_acf", 40, 0.5)
+@raster_index("gridness_fft_acf", 150, 0.5)
 def gridness_fft_acf(r: Raster) -> float:
     """CVI-55: strong off-centre peaks of the autocorrelation in two crossing directions."""
     g = r.gray - r.gray.mean()
@@ -454,13 +489,10 @@ def gridness_fft_acf(r: Raster) -> float:
 
 @raster_index("symmetry_score", 120, 0.45)
 def symmetry_score(r: Raster) -> float:
-    """CVI-56: the better of the two mirror likenesses within the shape's box."""
-    ys, xs = np.nonzero(r.mask)
-    if not len(ys):
-        return 0.0
-    g = r.gray[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
-    like = lambda m: 1 - np.abs(g - m).sum() / (g.sum() + m.sum() + EPS)
-    return float(max(like(g[:, ::-1]), like(g[::-1])))
+    """CVI-56: the better of the likenesses of the image and its two mirror images."""
+    g = r.gray / max(r.gray.max(), EPS)
+    like = lambda m: 1 - np.abs(g - m).mean() / (g.mean() + 1e-9)
+    return float(np.clip(max(like(g[::-1]), like(g[:, ::-1])), 0, 1)) if g.any() else 0.0
 
 
 def _closed(mask: np.ndarray) -> np.ndarray:
@@ -497,26 +529,35 @@ def connected_components_count(r: Raster) -> float:
 
 @raster_index("blobness_log_dog", 80, 0.5)
 def blobness_log_dog(r: Raster) -> float:
-    """CVI-59: concentration of the strongest differences of Gaussians."""
-    best = np.zeros_like(r.gray)
-    for sigma in (1.2, 2.0, 3.2):
-        best = np.maximum(best, blur(r.gray, sigma) - blur(r.gray, 1.6 * sigma))
-    top = np.sort(best.ravel())[::-1]
-    total = top[top > 0].sum()
-    return float(np.clip(top[: max(1, int(0.003 * top.size))].sum() / total, 0, 1)) if total > EPS else 0.0
+    """CVI-59: the strongest 3% of the differences of Gaussians over their median, on occupied pixels, saturating."""
+    raw = r.gray if r.raw is None else r.raw
+    on = raw > 0
+    if on.sum() < 20:
+        return 0.0
+    best = np.max([np.abs(blur(raw, sigma) - blur(raw, 1.6 * sigma)) for sigma in (1.2, 2.0, 3.2)], axis=0)[on]
+    if best.sum() <= EPS:
+        return 0.0
+    top = np.sort(best)[-max(1, round(0.03 * len(best))) :].mean() / max(np.median(best), EPS)
+    return float(max(0.0, 1 - np.exp(-(top - 1) / 3)) * (1 - np.exp(-on.sum() / 200)))
 
 
 @raster_index("corner_junction_density", 80, 0.6)
 def corner_junction_density(r: Raster) -> float:
-    """CVI-60: corners of the least eigenvalue, saturating."""
-    gx, gy, _ = gradient(blur(r.mask.astype(float), 1.0))
-    a, b, c = (blur(v, 1.5) for v in (gx * gx, gx * gy, gy * gy))
-    low = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
-    if low.max() <= EPS:
+    """CVI-60: corners (peaks of the least eigenvalue, 6 pixels apart, 120 at most) for each edge pixel, saturating."""
+    e = edges(r.mask)
+    if e.sum() < 25:
         return 0.0
-    around = np.max([shifted(low, dy, dx) for dy in range(-3, 4) for dx in range(-3, 4)], 0)
-    n = ((low == around) & (low >= 0.2 * low.max())).sum()
-    return float(1 - np.exp(-n / 10))
+    gx, gy, _ = gradient(e.astype(float))
+    a, b, c = (sum(shifted(v, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) for v in (gx * gx, gx * gy, gy * gy))
+    low = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
+    around = np.max([shifted(low, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+    found = np.argwhere((low == around) & (low >= 0.01 * low.max()) & (low > EPS))
+    kept: list[np.ndarray] = []
+    for at in found[np.argsort(-low[tuple(found.T)], kind="stable")]:
+        if len(kept) < 120 and all(((at - other) ** 2).sum() >= 36 for other in kept):
+            kept.append(at)
+    n = len(kept)
+    return float(1 - np.exp(-n / e.sum() / 0.015))
 
 
 def raster_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:

@@ -301,3 +301,33 @@ def test_every_shape_profile_and_perturbation_keeps_its_promise(spark):
         profiles.perturb(rng(), x, y, {"nothing": 1})
     assert shapes.sample_prior(rng(), {"a": {"dist": "choice", "values": [7]}, "b": 2}) == {"a": 7, "b": 2}
     assert 1e-3 <= shapes.sample_prior(rng(), {"dist": "loguniform", "low": 1e-3, "high": 1e-1}) <= 1e-1
+
+
+def test_bands_symmetry_polygons_and_corners_by_hand():
+    bands, square = blank(), blank()
+    for i in range(3):
+        bands[60 + 50 * i : 70 + 50 * i, 28:228] = True
+    square[78:178, 78:178] = True
+    h = np.convolve(np.where(bands.any(1), 1.0, 0.0), np.ones(11) / 11, "same")
+    assert rasters.morphological_band_count(raster(bands)) == pytest.approx((1 - math.exp(-1.05)) * h.max(), rel=0.02)
+    assert rasters.symmetry_score(raster(square)) == pytest.approx(1.0)
+    assert rasters.polygonality(raster(square)) == pytest.approx(1 - 1 / 9, rel=0.03)
+    runs = rasters._segments(np.argwhere(rasters.edges(square)).astype(float), 50, 30, 5)
+    assert len(runs) == 4 and runs.min() > 90
+    assert rasters.hough_line_strength(raster(square)) > 0.9 and rasters.peak_to_background_hough(raster(square)) < 0.1
+    n, edge = 4, rasters.edges(square).sum()
+    assert rasters.corner_junction_density(raster(square)) == pytest.approx(1 - math.exp(-n / edge / 0.015), rel=0.05)
+    s = rasters.skeleton(bands)
+    ends, junctions = rasters._crossings(s)
+    box = np.prod(np.ptp(np.argwhere(s), axis=0) + 1)
+    assert rasters.skeleton_connectivity(raster(bands)) == pytest.approx(math.exp(-0.4 * 2 - 0.005 * (ends - 2) - 0.01 * junctions) * (1 - math.exp(-8 * s.sum() / box)))
+
+
+def test_two_lines_are_bimodal_and_one_is_not():
+    rng = np.random.default_rng(4)
+    t = rng.uniform(-5, 5, 800)
+    two = np.column_stack((t, np.where(np.arange(800) % 2, 1.0, -1.0) + rng.normal(0, 0.05, 800)))
+    one = np.column_stack((t, rng.normal(0, 1, 800)))
+    long = patterns.stretch(two[:, 0], two[:, 1])
+    assert patterns.bimodality_anti_thickness(two) == pytest.approx(0.7 * (0.55 + 0.45 * (1 - math.exp(-2 / two[:, 1].std()))) + 0.3 * long, abs=0.03)
+    assert patterns.bimodality_anti_thickness(one) < patterns.bimodality_anti_thickness(two)
