@@ -45,7 +45,7 @@ core AS (SELECT metric_id, count(*) AS n_groups, count(*) FILTER (position <= 2)
 
 QUERIES = {
     "global_utility": lambda s, d: rounded(atlas.global_utility(utilities(s, d))),
-    "family_utility": lambda s, d: rounded(atlas.global_utility(_grouped(s, d), keys=["family"])),
+    "family_utility": lambda s, d: rounded(atlas.global_utility(_grouped(s, d), keys=["family"]), 9),
     "group_contrast": lambda s, d: rounded(atlas.group_contrast(utilities(s, d), _catalog(utilities(s, d)), "grp")),
     "utility_uplift": lambda s, d: rounded(atlas.uplift(_grouped(s, d), "family")),
     "core_breadth": lambda s, d: rounded(atlas.core_breadth(_grouped(s, d), "family")),
@@ -58,7 +58,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "global_utility": f"WITH {RANKED_SQL} SELECT metric_id, {GLOBAL} FROM ranked GROUP BY 1",
-    "family_utility": f"WITH {RANKED_SQL} SELECT family, metric_id, {GLOBAL} FROM ranked GROUP BY 1, 2",
+    "family_utility": f"WITH {RANKED_SQL} SELECT family, metric_id, {GLOBAL.replace(', 6)', ', 9)')} FROM ranked GROUP BY 1, 2",
     "group_contrast": f"""WITH {RANKED_SQL}, g AS (SELECT *, CASE WHEN metric_id IN ('m_tax', 'm_discount') THEN 'new' ELSE 'old' END AS grp FROM ranked),
         p AS (SELECT g.dataset_id, x.grp, avg(utility) FILTER (g.grp = x.grp) AS i, avg(utility) FILTER (g.grp <> x.grp) AS o FROM g, (SELECT unnest(['new', 'old']) AS grp) x GROUP BY 1, 2)
         SELECT grp, count(*) AS n, round(avg(i), 6) AS inside_mean, round(avg(i - o), 6) AS contrast_mean, round(median(i - o), 6) AS contrast_median, round(avg(CAST(i - o > 0 AS DOUBLE)), 6) AS positive_share FROM p GROUP BY 1""",

@@ -171,7 +171,7 @@ ORACLE_SQL = {
         r AS (SELECT *, 17 - sum(floor(x)) OVER (PARTITION BY k) AS missing, row_number() OVER (PARTITION BY k ORDER BY x - floor(x) DESC, name) AS rn FROM x) SELECT k, name, CAST(floor(x) + CAST(rn <= missing AS INTEGER) AS BIGINT) AS n FROM r""",
     "expand_jobs": "WITH j AS (SELECT n_nationkey, unnest(range(1, n_nationkey % 3 + 1)) AS local_idx FROM nation WHERE n_nationkey % 3 > 0) SELECT n_nationkey, local_idx, CAST(row_number() OVER (ORDER BY n_nationkey, local_idx) AS INTEGER) AS job_id FROM j",
     "policy_slots": "SELECT p_partkey AS dataset_id, CAST((row_number() OVER (PARTITION BY p_type ORDER BY md5('s|' || p_partkey), p_partkey) - 1) % 10 AS INTEGER) AS slot FROM part",
-    "loso_folds": f"WITH part_ix AS (SELECT p_partkey AS dataset_id, p_type AS stratum FROM part WHERE p_partkey <= 60), split AS (SELECT dataset_id, (row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || dataset_id), dataset_id) - 1 + CAST(('0x' || substr(md5('42:' || stratum), 1, 8)) AS BIGINT) % 4) % 4 + 1 AS s FROM part_ix), f AS (SELECT DISTINCT s AS f FROM split) SELECT CAST(f AS INTEGER) AS fold, CASE WHEN s = f THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM split, f GROUP BY 1, 2",
+    "loso_folds": f"WITH {SPLIT_SQL}, f AS (SELECT DISTINCT split_id AS f FROM split) SELECT CAST(f AS INTEGER) AS fold, CASE WHEN split_id = f THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM split, f GROUP BY 1, 2",
     "candidate_targets": f"WITH {TRIALS_SQL} SELECT dataset_id, candidate, round(max(ari) OVER (PARTITION BY dataset_id) - ari, 6) AS regret, CAST(rank() OVER (PARTITION BY dataset_id ORDER BY ari DESC) AS INTEGER) AS rank FROM wide WHERE valid",
     "policy_targets": f"WITH {TRIALS_SQL} SELECT dataset_id, candidate, round(max(ari) OVER (PARTITION BY dataset_id) - ari, 6) AS regret, round(ari - avg(ari) OVER (PARTITION BY dataset_id), 6) AS centered FROM wide",
     "last_wins": "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
