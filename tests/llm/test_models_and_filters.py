@@ -359,7 +359,7 @@ def test_url_trees_learn_from_labels(spark):
     rows = [(f"http://site{i}.example.{'org' if i % 2 else 'net'}/page/{i}", bool(i % 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "url string, block boolean").withColumns({"host": host, "path": path})
     model = fit_urls(df)
-    got = df.withColumn("bins", model.binned()).select("block", (model.score(F.col("bins")) >= 0).alias("said")).collect()
+    got = df.withColumn("bins", model.binned()).select("block", (model.score() >= 0).alias("said")).collect()
     assert np.mean([r.block == r.said for r in got]) > 0.95
 
 
@@ -399,7 +399,7 @@ def test_url_trees_equal_plain_boosting(spark):
     df = spark.createDataFrame(rows, "url string").withColumns({"host": host, "path": path})
     df = df.withColumn("block", F.length("url") % 5 + F.length("host") % 3 > 3)
     model = url_filter.fit_urls(df)
-    seen = df.withColumns(url_filter._keys()).withColumn("bins", model.binned()).withColumn("odds", model.score(F.col("bins"))).collect()
+    seen = df.withColumns(url_filter._keys()).withColumn("bins", model.binned()).withColumn("odds", model.score()).collect()
     odds, trees = plain_boosting(np.array([r.bins for r in seen]), np.array([float(r.block) for r in seen]), model.start)
     assert np.allclose(odds, [r.odds for r in seen], atol=1e-5)
     assert ((odds > 0) == [r.block for r in seen]).mean() > 0.9
@@ -412,5 +412,5 @@ def test_url_trees_judge_urls_they_have_not_seen(spark):
     ruled = pages.select("url").distinct().withColumns({"host": host, "path": path}).withColumns({"rule": rule, "block": verdict == "block"}).filter("rule is not null")
     held = F.crc32(F.col("url").cast("binary")) % 5 == 0
     model = url_filter.fit_urls(ruled.filter(~held))
-    told = ruled.filter(held).withColumn("odds", model.score(model.binned())).select("block", (F.col("odds") >= 0).alias("said")).collect()
+    told = ruled.filter(held).withColumn("bins", model.binned()).withColumn("odds", model.score()).select("block", (F.col("odds") >= 0).alias("said")).collect()
     assert np.mean([r.block == r.said for r in told]) > 0.9
