@@ -25,7 +25,7 @@ from .words import split_words
 #: choice looks at.
 PIVOT_SAMPLE, PIVOTS_A_SHARD, MOST_PIVOTS, CHOICE = 4096, 64, 1 << 20, 1 << 14
 #: Distinct fingerprints a shard is meant to hold, and the least number of tree levels.
-SHARD_POINTS, LEAST_LEVELS = 65_536, 4
+SHARD_POINTS, LEAST_LEVELS = 1 << 17, 4
 #: Points of a leaf of the local trees.
 LEAF = 64
 #: Distances that one comparison step holds.
