@@ -8,6 +8,7 @@ from .decontam import contamination_digest
 from .fill_middle import fill_digest
 from .mixing import mix_digest
 from .ngram_lm import lm_digest
+from .projection_dedup import linked_vectors
 from .quality import quality_digest
 from .ranked_search import search_digest
 from .secret_scan import BASE_RULES, MORE_RULES, secrets_digest
@@ -65,6 +66,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_digest(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
     "op11_ranked_search": op11_ranked_search,
+    "op12_projection_dedup": op12_projection_dedup,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -125,6 +131,19 @@ s AS (
     SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
     FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY item_id, doc_id HAVING score > 0)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 50
+""",
+    "op12_projection_dedup": """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (
+    SELECT r, e, sqrt(list_inner_product(e, e)) AS size FROM v
+    WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN n USING (r)
 """,
     "op13_fill_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
