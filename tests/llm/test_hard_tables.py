@@ -36,7 +36,7 @@ def tables(spark, tmp_path):
     return write
 
 
-EXPECTED = {"op1": 10, "op2": 10, "op3": 10, "op4": 10, "op6": 10, "op7": 10, "op8": 6, "op9": 10, "op10": 10}
+EXPECTED = {"op1": 10, "op2": 10, "op3": 10, "op4": 10, "op6": 10, "op7": 10, "op8": 6, "op9": 10, "op10": 10, "op12": 8, "op13": 10}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -118,7 +118,28 @@ def encoded(rows):
     assert by_id(rows)[1].n_tokens == 1 and by_id(rows)[1].ids_crc32 == zlib.crc32(bytes(4))
 
 
-CHECKS = {"op1": sharded, "op2": scored, "op3": rated, "op4": decontaminated, "op5": nearest, "op6": secrets, "op7": fingerprints, "op8": judged, "op9": taken, "op10": encoded}
+def ranked(rows):
+    """Item None asks for a, b, c and item 3 twice for three words; "has" and the like are in three documents."""
+    own = [(r.item_id, r.rank, r.doc_id) for r in rows]
+    assert own.count((3, 1, 2)) == 2 and own.count((3, 3, 3)) == 2 and (None, 1, None) in own
+    assert not [r for r in rows if r.item_id in (1, 2)] and all(r.score > 0 for r in rows)
+
+
+def alike(rows):
+    """[3, 1] and [1], which is padded, are near; null, empty and broken vectors keep their own id."""
+    own = by_id(rows)
+    assert own[2][1:] == (1, 2, True) and own[None][1:] == (1, 2, False)
+    assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in rows if r.vec_id not in (2, None))
+
+
+def filled(rows):
+    own = by_id(rows)
+    assert own[1].form == "plain" and own[1].n == 0 and own[1].output_sha256 == own[1].restored_sha256
+    assert own[4].n == 1 and own[4].prefix_chars + own[4].middle_chars in (0, 300_000) and own[4].form != "plain"
+    assert own[6].restored_sha256 == hashlib.sha256(b"x" * 300_000).hexdigest()
+
+
+CHECKS = {"op11": ranked, "op12": alike, "op13": filled, "op1": sharded, "op2": scored, "op3": rated, "op4": decontaminated, "op5": nearest, "op6": secrets, "op7": fingerprints, "op8": judged, "op9": taken, "op10": encoded}
 
 
 def test_stages_on_hard_and_empty_tables(spark, tables):
