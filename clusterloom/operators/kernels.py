@@ -354,9 +354,9 @@ def register(name: str, kernel) -> None:
     ALGORITHMS[name] = kernel
 
 
-def resolve(name: str):
-    """Kernel and fixed parameters of a name; 'hdbscan_constrained-N' carries N (OBJ-15)."""
-    base, _, n = name.partition("-")
-    if base not in ALGORITHMS:
+def resolve(name: str, known=None):
+    """Kernel and fixed parameters of a name; 'hdbscan_constrained-N' carries N (OBJ-15). known: the registry, ALGORITHMS by default."""
+    known, (base, _, n) = ALGORITHMS if known is None else known, name.partition("-")
+    if base not in known:
         raise KeyError(f"no algorithm {name!r}")
-    return ALGORITHMS[base], {"n": int(n)} if n else {}
+    return known[base], {"n": int(n)} if n else {}

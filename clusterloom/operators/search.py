@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import os
+import pickle
+import select
+import signal
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -26,7 +32,36 @@ SPACE = {
     "optics": {"min_samples": (3, 5, 10), "xi": (0.03, 0.05, 0.1), "min_cluster_size": (0.02, 0.05, 0.1)},
     **{f"hdbscan_constrained-{n}": {} for n in K_RANGE},
 }
-METRICS = {"silhouette": indices.silhouette_kernel, "neighborhood_purity": indices.purity_kernel, "min_intercluster_distance": indices.min_distance_kernel}
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index that searches can maximise (OBJ-02, UDF-07): a kernel of points and labels, its squash to [0, 1], its direction."""
+
+    kernel: Callable
+    squash: Callable[[float], float] = float
+    higher_is_better: bool = True
+
+    def normalised(self, raw: float | None) -> float:
+        """0 for a failed index; 1 minus the squash where lower is better."""
+        if raw is None or not np.isfinite(raw):
+            return 0.0
+        value = float(np.clip(self.squash(raw), 0.0, 1.0))
+        return value if self.higher_is_better else 1.0 - value
+
+
+METRICS = {
+    "silhouette": Index(indices.silhouette_kernel, lambda v: (v + 1) / 2),
+    "neighborhood_purity": Index(indices.purity_kernel),
+    "min_intercluster_distance": Index(indices.min_distance_kernel, lambda v: 1 - np.exp(-max(0.0, v))),
+}
+#: Configurations that a task runs on one copy of a cloud, and those of a candidate table at most (a few hundred bytes each).
+CHUNK, MOST_CANDIDATES = 16, 100_000
+
+
+def register_index(name: str, kernel: Callable, squash: Callable[[float], float] = float, higher_is_better: bool = True) -> None:
+    """Add a user's index (UDF-07): trials, objectives and searches take it by name from then on."""
+    METRICS[name] = Index(kernel, squash, higher_is_better)
 
 
 def enumerate_space(space: dict = SPACE) -> list[tuple[int, str, str]]:
@@ -56,42 +91,115 @@ def candidate_table(spark: SparkSession, rows: Sequence[tuple[int, str, str]]) -
 
 def normalised(metric: str, raw: float | None) -> float:
     """The index's squash to [0, 1], 0 for a failed index (OBJ-02)."""
-    if raw is None or not np.isfinite(raw):
-        return 0.0
-    value = (raw + 1) / 2 if metric == "silhouette" else 1 - np.exp(-max(0.0, raw)) if metric == "min_intercluster_distance" else raw
-    return float(np.clip(value, 0.0, 1.0))
+    return METRICS[metric].normalised(raw)
 
 
-def run_trials(points: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("dataset_id",), metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
-    """Trial log, long: keys, candidate, algorithm, config, labels statistics, exception, metric, raw, norm (OBJ-03, OBJ-19, CLU-14, SRC-25).
+class ChildError(Exception):
+    """What a child process raised, in words."""
+
 
-    A task holds one cloud and one configuration; failures become rows.
+def within(seconds: float | None, run: Callable):
+    """run(), in a child process that is ended after so many seconds (UDF-05); a TimeoutError tells of it."""
+    if seconds is None:
+        return run()
+    read, write = os.pipe()
+    child = os.fork()
+    if not child:
+        try:
+            try:
+                told = pickle.dumps((run(), None))
+            except Exception as e:  # the parent raises it
+                told = pickle.dumps((None, f"{type(e).__name__}: {e}"))
+            with os.fdopen(write, "wb") as out:
+                out.write(told)
+        finally:
+            os._exit(0)
+    os.close(write)
+    parts, until = [], time.monotonic() + seconds
+    try:
+        while select.select([read], [], [], max(0.0, until - time.monotonic()))[0]:
+            part = os.read(read, 1 << 20)
+            if not part:
+                break
+            parts.append(part)
+        else:
+            raise TimeoutError(f"no labels after {seconds:g} s")
+    finally:
+        os.close(read)
+        os.kill(child, signal.SIGKILL)
+        os.waitpid(child, 0)
+    labels, error = pickle.loads(b"".join(parts)) if parts else (None, "the child process died")
+    if error:
+        raise ChildError(error)
+    return labels
+
+
+def _safe(kernel: Callable, x: np.ndarray, labels: np.ndarray) -> float | None:
+    """An index, None where it fails."""
+    try:
+        return kernel(x, labels)
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+        return None
+
+
+def evaluator(metrics: Sequence[str], algorithms: Sequence[str] = (), seconds: float | None = None) -> Callable:
+    """A function of points, algorithm and parameters that clusters and takes the indices; failures become results (OBJ-03, OBJ-19).
+
+    It carries the registered indices and algorithms of this process, so that
+    tasks know those that a user has added.
     """
-    names = list(keys)
+    chosen, known = {m: METRICS[m] for m in metrics}, dict(kernels.ALGORITHMS)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        x, error = rows[["x", "y"]].to_numpy(float), None
-        name, config = rows["algorithm"].iloc[0], json.loads(rows["config"].iloc[0])
+    def run(x: np.ndarray, name: str, config: dict) -> dict:
+        error = None
         try:
-            kernel, fixed = kernels.resolve(name)
-            labels = np.asarray(kernel(x, **config, **fixed))
+            kernel, fixed = kernels.resolve(name, known)
+            labels = np.asarray(within(seconds, lambda: np.asarray(kernel(x, **config, **fixed))))
+        except ChildError as e:
+            labels, error = np.full(len(x), -1), str(e)
         except Exception as e:  # a failed trial is a result, too
             labels, error = np.full(len(x), -1), f"{type(e).__name__}: {e}"
         inside = labels >= 0
         k = len(np.unique(labels[inside]))
         valid = bool(k >= 2 and error is None)
-        base = {**{c: rows[c].iloc[0] for c in names}, "candidate": rows["candidate"].iloc[0], "algorithm": name, "config": rows["config"].iloc[0], "valid": valid, "n_clusters": k, "noise_ratio": float((~inside).mean()), "exception": error}
-        out = []
-        for m in metrics:
-            raw = METRICS[m](x[inside], labels[inside]) if valid else None
-            out.append({**base, "metric_id": m, "raw": raw, "norm": normalised(m, raw)})
-        return pd.DataFrame(out)
-
-    pairs = points.select(*names, "point_id", "x", "y").join(F.broadcast(candidates))
+        raws = {m: _safe(i.kernel, x[inside], labels[inside]) if valid else None for m, i in chosen.items()}
+        norms = {m: i.normalised(raws[m]) for m, i in chosen.items()}
+        return {"valid": valid, "n_clusters": k, "noise_ratio": float((~inside).mean()) if len(x) else 0.0, "exception": error, "raws": raws, "norms": norms}
+
+    return run
+
+
+def log_ddl(points: DataFrame, names: Sequence[str]) -> str:
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in names)
-    ddl = f"{kinds}, candidate int, algorithm string, config string, valid boolean, n_clusters int, noise_ratio double, exception string, metric_id string, raw double, norm double"
-    return pairs.groupBy(*names, "candidate").applyInPandas(run, ddl)
+    return f"{kinds}, candidate int, algorithm string, config string, valid boolean, n_clusters int, noise_ratio double, exception string, metric_id string, raw double, norm double"
+
+
+def run_trials(points: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("dataset_id",), metrics: Sequence[str] = tuple(METRICS), seconds: float | None = None) -> DataFrame:
+    """Trial log, long: keys, candidate, algorithm, config, labels statistics, exception, metric, raw, norm (OBJ-03, OBJ-19, CLU-14, SRC-25).
+
+    A task holds one cloud and CHUNK configurations, so a cloud is copied once
+    a chunk; failures, and trials beyond the given seconds, become rows. More
+    than MOST_CANDIDATES configurations are refused.
+    """
+    names = list(keys)
+    given = sorted((r.candidate, r.algorithm, r.config) for r in candidates.select("candidate", "algorithm", "config").limit(MOST_CANDIDATES + 1).collect())
+    if len(given) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} configurations")
+    chunks = max(1, -(-len(given) // CHUNK))
+    evaluate = evaluator(metrics, tuple({a for _, a, _ in given}), seconds)
+    ddl = log_ddl(points, names)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("point_id"), []
+        x, chunk = rows[["x", "y"]].to_numpy(float), int(rows["_chunk"].iloc[0])
+        for candidate, name, config in given[chunk::chunks]:
+            found = evaluate(x, name, json.loads(config))
+            base = {**{c: rows[c].iloc[0] for c in names}, "candidate": candidate, "algorithm": name, "config": config, **{c: found[c] for c in ("valid", "n_clusters", "noise_ratio", "exception")}}
+            out += [{**base, "metric_id": m, "raw": found["raws"][m], "norm": found["norms"][m]} for m in metrics]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
+
+    copies = points.select(*names, "point_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    return copies.groupBy(*names, "_chunk").applyInPandas(run, ddl)
 
 
 def best_trials(log: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
@@ -110,11 +218,11 @@ def best_per_algorithm(log: DataFrame, keys: Sequence[str] = ("dataset_id",)) ->
 
 def labels_of(points: DataFrame, algorithm: str, config: dict, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """points with 'label' from one algorithm."""
-    names = list(keys)
+    names, known = list(keys), dict(kernels.ALGORITHMS)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_id")
-        kernel, fixed = kernels.resolve(algorithm)
+        kernel, fixed = kernels.resolve(algorithm, known)
         return rows.assign(label=np.asarray(kernel(rows[["x", "y"]].to_numpy(float), **config, **fixed)).astype("int32"))[[*names, "point_id", "x", "y", "label"]]
 
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in [*names, "point_id"])

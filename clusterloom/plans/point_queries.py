@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, density, descriptors, indices, metafeatures, models, neighbours, patterns, rasters, search, shapes, splits
+from ..operators import agreement, density, descriptors, indices, metafeatures, models, neighbours, patterns, rasters, search, sequential, shapes, splits
 from ..sources import clouds
 from .projections import POINTS_SQL, TRIALS_SQL, UTILITIES_SQL, points, rounded, table, trial_metrics, utilities
 
@@ -23,6 +23,12 @@ def _neighbours(s, d, k=5):
     return neighbours.knn_join(_vectors(s, d).filter("vec_id % 10 = 0"), _vectors(s, d), k, "vec_id", "v")
 
 
+def _small_clouds(s, d):
+    """Clouds of 64 vectors, as many as the table has."""
+    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    return table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("dataset_id"), F.col("vec_id").alias("point_id"), x.alias("x"), y.alias("y"))
+
+
 def _index(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("dataset_id"), F.col("p_type").alias("stratum"))
 
@@ -104,6 +110,7 @@ QUERIES = {
     "dbscan_kernel": lambda s, d: search.labels_of(points(s, d), "dbscan", {"eps": 0.05, "min_samples": 4}),
     "hdbscan_constrained_kernel": lambda s, d: search.labels_of(points(s, d), "hdbscan_constrained-3", {}),
     "search_trials": lambda s, d: search.run_trials(points(s, d), search.candidate_table(s, search.random_space(32, 1234))),
+    "sequential_search": lambda s, d: rounded(sequential.run_search(_small_clouds(s, d), n_trials=25, seed=7)),
     "cluster_pipeline": lambda s, d: search.cluster(points(s, d), search.candidate_table(s, search.random_space(32, 7))),
     "pattern_indices": lambda s, d: patterns.pattern_indices(points(s, d), KEY),
     "raster_indices": lambda s, d: rasters.raster_indices(points(s, d), KEY),
