@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .contours import enclosing_circle, fit_ellipse, hull, polygon
 from .indices import clustered
 from .kernels import distances, mst
 
@@ -69,50 +70,18 @@ def peaks(h: np.ndarray, least: float, apart: int) -> np.ndarray:
     return np.array(sorted(kept), int)
 
 
-def enclosing_circle(z: np.ndarray) -> tuple[np.ndarray, float]:
-    """Centre and radius of the smallest circle around the points, by stepping to the farthest point."""
-    c = z.mean(0)
-    for i in range(1, 2000):
-        far = z[((z - c) ** 2).sum(1).argmax()]
-        c = c + (far - c) / (i + 1)
-    return c, float(np.sqrt(((z - c) ** 2).sum(1).max()))
-
-
-def hull(z: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise, by a monotone chain (FN-22)."""
-    pts = np.unique(z, axis=0)
-    if len(pts) < 3:
-        return pts
-
-    def half(points):
-        out: list[np.ndarray] = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(pts) + half(pts[::-1]))
-
-
-def polygon(p: np.ndarray) -> tuple[float, float]:
-    """(area, perimeter)."""
-    q = np.roll(p, -1, 0)
-    return abs(float((p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]).sum())) / 2, float(np.sqrt(((p - q) ** 2).sum(1)).sum())
-
-
 def neighbours(z: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(distances(z), 1, kind="stable")[:, :k]
 
 
 @pattern("arc_circle_fit", 5)
 def arc_circle_fit(z: np.ndarray) -> float | None:
-    """CVI-15: evenness of the distances to the enclosing circle's centre, weighed by the axis ratio of the point spread."""
+    """CVI-15: evenness of the distances to the enclosing circle's centre, weighed by the axis ratio of the fitted ellipse."""
     r = np.sqrt(((z - enclosing_circle(z)[0]) ** 2).sum(1))
     if r.mean() <= EPS:
         return None
-    low, high = np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(z.T)), 0))
-    ratio = low / high if high > EPS else 1.0
+    fitted = fit_ellipse(z)
+    ratio = fitted[2] / fitted[1] if fitted else 1.0
     return float(np.exp(-min(2.0, r.std() / r.mean())) * (0.6 + 0.4 * ratio))
 
 

@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .contours import fit_ellipse, fill, hull, largest_contour, least_rectangle, polygon, simplify_closed
 from .indices import clustered
-from .patterns import hull, peaks, polygon
+from .patterns import peaks
 
 EPS = 1e-12
 SIZE = 256
@@ -262,19 +263,108 @@ def edge_coherence(r: Raster) -> float:
     return float(np.clip(np.hypot(a - c, 2 * b) / max(a + c, 1e-9), 0, 1))
 
 
+def density_image(r: Raster, binary: bool = False, weights: Sequence[int] = (1, 2, 1), wider: int = 1) -> np.ndarray:
+    """Point counts (or occupied pixels) as whole gray values to 255, smoothed by the weights and widened by some pixels."""
+    raw = r.mask.astype(float) if r.raw is None else r.raw
+    g = 255.0 * (raw > 0) if binary else np.floor(255 * raw / max(raw.max(), EPS))
+    half = len(weights) // 2
+    for dy, dx in ((1, 0), (0, 1)):
+        g = sum(w * shifted(g, (k - half) * dy, (k - half) * dx) for k, w in enumerate(weights)) / sum(weights)
+    g = np.rint(g)
+    for _ in range(wider):
+        g = np.max([shifted(g, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+    return g
+
+
+def canny(g: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edges of a gray image (Canny): ridges of the gradient above low that hang together with one above high."""
+    gx, gy = _derivative(g, (1, 2, 1), (-1, 0, 1)), _derivative(g, (-1, 0, 1), (1, 2, 1))
+    size = np.abs(gx) + np.abs(gy)
+    flat, steep = np.abs(gy) <= np.abs(gx) * np.tan(np.pi / 8), np.abs(gy) > np.abs(gx) * np.tan(3 * np.pi / 8)
+    before, after = np.zeros_like(size), np.zeros_like(size)
+    for at, (dy, dx) in ((flat, (0, 1)), (steep, (1, 0)), (~flat & ~steep & (gx * gy > 0), (1, 1)), (~flat & ~steep & (gx * gy <= 0), (1, -1))):
+        before[at], after[at] = shifted(size, dy, dx)[at], shifted(size, -dy, -dx)[at]
+    ridge = (size > low) & (size > before) & (size >= after)
+    labels, n = components(ridge)
+    strong = np.zeros(n + 1, bool)
+    strong[labels[ridge & (size > high)]] = True
+    strong[0] = False
+    return strong[labels]
+
+
+def _derivative(g: np.ndarray, along_y: Sequence[int], along_x: Sequence[int]) -> np.ndarray:
+    """Weighted sums over three rows and three columns, borders repeated inwards."""
+    for axis, weights in ((0, along_y), (1, along_x)):
+        wide = np.pad(g, [(1, 1) if i == axis else (0, 0) for i in range(2)], mode="reflect")
+        g = sum(w * np.take(wide, range(k, k + g.shape[axis]), axis) for k, w in enumerate(weights))
+    return g
+
+
+def near(mask: np.ndarray, r: int) -> np.ndarray:
+    """Pixels within r of the mask."""
+    return np.any([shifted(mask, dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r + 1], axis=0)
+
+
+def least_squares_circle(p: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Centre and radius of the circle of least algebraic distance (FN-23)."""
+    if len(p) < 6:
+        return None
+    c = np.linalg.lstsq(np.column_stack((2 * p, np.ones(len(p)))), (p * p).sum(1), rcond=None)[0]
+    square = c[2] + c[:2] @ c[:2]
+    return (c[:2], float(np.sqrt(square))) if square > EPS else None
+
+
+def voted_circles(g: np.ndarray, edge: np.ndarray, least: int, most: int, apart: float, votes: int = 22, cell: float = 1.2, wanted: int = 8) -> list[tuple[np.ndarray, float]]:
+    """Circles by gradient voting: each edge pixel votes for the centres along its gradient, each centre takes its commonest distance."""
+    b = blur(g, 1.2)
+    gx, gy = _derivative(b, (1, 2, 1), (-1, 0, 1))[edge], _derivative(b, (-1, 0, 1), (1, 2, 1))[edge]
+    size = np.hypot(gx, gy)
+    at, way = _coords(edge)[size > EPS], np.stack((gy, gx), 1)[size > EPS] / size[size > EPS][:, None]
+    n = int(np.ceil(SIZE / cell))
+    steps = np.concatenate([np.arange(least, most + 1), -np.arange(least, most + 1)])
+    spots = np.floor((at[:, None, :] + steps[None, :, None] * way[:, None, :]) / cell).astype(int).reshape(-1, 2)
+    spots = spots[((spots >= 0) & (spots < n)).all(1)]
+    count = np.bincount(spots[:, 0] * n + spots[:, 1], minlength=n * n).reshape(n, n)
+    around = np.max([shifted(count, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+    tops = np.argwhere((count == around) & (count > votes))
+    found: list[tuple[np.ndarray, float]] = []
+    for top in tops[np.argsort(-count[tuple(tops.T)], kind="stable")]:
+        c = (top + 0.5) * cell
+        if len(found) < wanted and all(np.hypot(*(c - other)) >= apart for other, _ in found):
+            d = np.rint(np.hypot(*(at - c).T)).astype(int)
+            d = d[(d >= least) & (d <= most)]
+            if len(d):
+                found.append((c, float(np.bincount(d).argmax())))
+    return found
+
+
 @raster_index("hough_arc_circle_strength", 60, 0.4)
 def hough_arc_circle_strength(r: Raster) -> float:
-    """CVI-41: rim precision, covered angles and edge support of the least-squares circle (FN-23)."""
-    e = _coords(edges(r.mask))
-    if len(e) < 10:
+    """CVI-41: the best circle's rim on edges, points on rim, covered angles and edge support; circles are voted or fitted."""
+    g = density_image(r, weights=(1, 4, 6, 4, 1), wider=2)
+    middle = float(np.median(g))
+    e = canny(g, int(0.67 * middle), int(1.33 * middle)) if middle >= 1 else canny(g, 50, 150)
+    at = _coords(e)
+    if len(at) < 25:
         return 0.0
-    c = np.linalg.lstsq(np.column_stack((2 * e, np.ones(len(e)))), (e * e).sum(1), rcond=None)[0]
-    d = e - c[:2]
-    radius = np.sqrt(max(c[2] + c[:2] @ c[:2], EPS))
-    off = np.abs(np.hypot(*d.T) - radius)
-    near = off <= max(3.0, 0.08 * radius)
-    cover = len(np.unique(((np.arctan2(d[near, 0], d[near, 1]) + np.pi) / (2 * np.pi) * 36).astype(int))) / 37
-    return float(np.clip(near.mean() * np.exp(-off.mean() / max(3.0, 0.1 * radius)) * (0.5 + 0.5 * cover), 0, 1))
+    raw = r.mask.astype(float) if r.raw is None else r.raw
+    points, weight = _coords(raw > 0), raw[raw > 0]
+    circles = voted_circles(g, canny(g, 70, 140), round(0.08 * SIZE), round(0.55 * SIZE), 0.3 * SIZE)
+    fitted = least_squares_circle(np.repeat(points, np.maximum(1, np.rint(weight / weight.min())).astype(int), 0))
+    wide, best = near(e, 2), 0.0
+    turns = np.arange(240) * 2 * np.pi / 240
+    for c, radius in [*circles, *([fitted] if fitted else [])]:
+        rim = np.rint(c + radius * np.column_stack((np.sin(turns), np.cos(turns)))).astype(int)
+        rim = rim[((rim >= 0) & (rim < SIZE)).all(1)]
+        if radius <= 2 or not len(rim):
+            continue
+        on = np.abs(np.hypot(*(at - c).T) - radius) <= 2
+        angle = np.arctan2(*(at[on] - c).T)
+        cover = len(np.unique(np.minimum(((angle + np.pi) / (2 * np.pi) * 36).astype(int), 35))) / 36
+        own = weight[np.abs(np.hypot(*(points - c).T) - radius) <= 2].sum() / weight.sum()
+        if own >= 0.12 and cover >= 0.08 and on.mean() >= 0.01:
+            best = max(best, float(np.sqrt(wide[tuple(rim.T)].mean() * own * cover) * (0.5 + 0.5 * on.mean())))
+    return min(1.0, best)
 
 
 @raster_index("convexity_ratio_image_based", 60)
@@ -291,60 +381,57 @@ def _moments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p.mean(0), values, vectors
 
 
+def _outline(r: Raster) -> np.ndarray | None:
+    """The traced border of the part with the largest area."""
+    return largest_contour(*components(r.mask))
+
+
 @raster_index("ellipse_fit_score", 80)
 def ellipse_fit_score(r: Raster) -> float:
-    """CVI-43: overlap of the shape with the ellipse of its moments."""
-    m = _largest(r.mask)
-    if m.sum() < 10:
+    """CVI-43: share of the least-squares ellipse's rim that lies within 2 pixels of an edge."""
+    p, e = _outline(r), canny(density_image(r, binary=True), 60, 160)
+    fitted = fit_ellipse(p) if p is not None else None
+    if fitted is None or e.sum() < 30 or 2 * fitted[2] <= 1:
         return 0.0
-    c, values, vectors = _moments(m)
-    d = (np.stack(np.indices(m.shape), -1) - c) @ vectors
-    e = (d**2 / (4 * np.maximum(values, EPS))).sum(-1) <= 1
-    return float((e & m).sum() / max(1, (e | m).sum()))
+    c, major, minor, turn = fitted
+    t = np.arange(0, 360, 2) * np.pi / 180
+    own = np.column_stack((major * np.cos(t), minor * np.sin(t))) @ np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]])
+    rim = np.rint(c + own).astype(int)
+    rim = rim[((rim >= 0) & (rim < r.mask.shape[0])).all(1)]
+    return float(near(e, 2)[tuple(rim.T)].mean()) if len(rim) else 0.0
 
 
 @raster_index("circularity_compactness", 60, 0.5)
 def circularity_compactness(r: Raster) -> float:
-    """CVI-44: 4 pi area over the squared rim."""
-    m = _largest(r.mask)
-    rim = edges(m).sum()
-    return float(np.clip(4 * np.pi * m.sum() / max(rim, 1) ** 2 / 1.3, 0, 1))
-
-
-def _simplify(p: np.ndarray, tol: float) -> np.ndarray:
-    """Corners left after dropping those nearer than tol to the line of their neighbours."""
-    while len(p) > 3:
-        a, b = np.roll(p, 1, 0), np.roll(p, -1, 0)
-        d = np.abs((b - a)[:, 0] * (p - a)[:, 1] - (b - a)[:, 1] * (p - a)[:, 0]) / (np.linalg.norm(b - a, axis=1) + EPS)
-        if d.min() > tol:
-            break
-        p = np.delete(p, d.argmin(), 0)
-    return p
+    """CVI-44: 4 pi area over the squared length of the outline."""
+    p = _outline(r)
+    if p is None:
+        return 0.0
+    area, length = polygon(p)
+    return float(np.clip(4 * np.pi * area / (length**2 + 1e-9), 0, 1))
 
 
 @raster_index("polygonality", 120)
 def polygonality(r: Raster) -> float:
-    """CVI-45: overlap with a simplified outline, times its simplicity."""
-    m = _largest(r.mask)
-    h = hull(_coords(m))
-    if len(h) < 3:
+    """CVI-45: overlap of the outline with its simplification within 2% of its length, times the simplicity of that."""
+    p = _outline(r)
+    if p is None:
         return 0.0
-    p = _simplify(h, 0.02 * polygon(h)[1])
-    overlap = min(m.sum(), polygon(p)[0]) / max(m.sum(), polygon(p)[0], 1)
-    return float(overlap * (1 - (min(len(p), 12) - 3) / 9))
+    corners = simplify_closed(p, 0.02 * polygon(p)[1])
+    if len(corners) < 3:
+        return 0.0
+    a, b = fill(r.mask.shape, p), fill(r.mask.shape, corners)
+    return float((a & b).sum() / ((a | b).sum() + 1e-9) * (1 - (min(len(corners), 12) - 3) / 9))
 
 
 @raster_index("rectangularity", 80)
 def rectangularity(r: Raster) -> float:
-    """CVI-46: area over that of the smallest rectangle around it."""
-    m = _largest(r.mask)
-    h = hull(_coords(m))
-    if len(h) < 3:
+    """CVI-46: area of the outline over that of the smallest rectangle around it."""
+    p = _outline(r)
+    if p is None:
         return 0.0
-    side = np.roll(h, -1, 0) - h
-    a = np.arctan2(side[:, 1], side[:, 0])
-    best = min(np.prod(np.ptp(h @ np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]]), axis=0) + 1) for t in a)
-    return float(np.clip(m.sum() / best, 0, 1))
+    along, across = least_rectangle(p)
+    return float(np.clip(polygon(p)[0] / (along * across + 1e-9), 0, 1)) if along * across > 0 else 0.0
 
 
 @raster_index("morphological_band_count", 80, 0.6)
@@ -400,22 +487,29 @@ def contour_graph_connectivity(r: Raster) -> float:
     return float(np.exp(-0.05 * (len(large) - 1)) * large.max() / n.sum()) if len(large) else 0.0
 
 
+def ridge_response(g: np.ndarray, sigmas: Sequence[float] = (1.0, 1.6, 2.4, 3.4), beta: float = 0.5, c: float = 15.0) -> np.ndarray:
+    """Largest response over the scales of a bright line: from the eigenvalues of the Hessian, the larger in size below 0."""
+    best, smooth, second, first = np.zeros_like(g), (1, 2, 1), (1, -2, 1), (-1, 0, 1)
+    for sigma in sigmas:
+        b = blur(g / max(1.0, g.max()), sigma)
+        xx, yy, xy = (sigma**2 * _derivative(b, *w) for w in ((smooth, second), (second, smooth), (first, first)))
+        half, part = (xx + yy) / 2, np.sqrt(np.maximum(0, ((xx + yy) / 2) ** 2 - (xx * yy - xy * xy)))
+        a, z = half - part, half + part
+        small, large = np.where(np.abs(a) > np.abs(z), z, a), np.where(np.abs(a) > np.abs(z), a, z)
+        blob = (np.abs(small) / (np.abs(large) + 1e-9)) ** 2
+        value = np.exp(-blob / (2 * beta**2)) * (1 - np.exp(-(small**2 + large**2) / (2 * c**2)))
+        best = np.maximum(best, np.where(large < 0, value, 0))
+    return np.clip(best, 0, 1)
+
+
 @raster_index("ridge_strength", 80, 0.6)
 def ridge_strength(r: Raster) -> float:
-    """CVI-50: mean of the strongest multi-scale ridge responses."""
-    best = np.zeros_like(r.gray)
-    for sigma in (1.0, 1.6, 2.4, 3.4):
-        g = blur(r.gray, sigma)
-        gy, gx = np.gradient(g)
-        yy, yx = np.gradient(gy)
-        xx = np.gradient(gx)[1]
-        half, part = (xx + yy) / 2, np.sqrt(((xx - yy) / 2) ** 2 + yx**2)
-        low, high = half - part, half + part
-        blob = np.abs(high) / (np.abs(low) + EPS)
-        size = np.sqrt(low**2 + high**2) * sigma**2
-        best = np.maximum(best, np.where(low < 0, np.exp(-(blob**2) / 0.5) * (1 - np.exp(-size / (size.mean() + EPS))), 0))
-    own = best[r.mask]
-    return float(np.sort(own)[-max(1, len(own) // 20) :].mean()) if len(own) else 0.0
+    """CVI-50: pixels with a quarter of the strongest ridge response or more, for each occupied one, saturating."""
+    g = density_image(r)
+    best, on = ridge_response(g), int((g > 0).sum())
+    if on < 30 or best.max() <= 0:
+        return 0.0
+    return float(np.clip(1 - np.exp(-(best >= 0.25 * best.max()).sum() / on / 0.045), 0, 1))
 
 
 @raster_index("thickness_uniformity", 120, 0.7)
@@ -467,24 +561,52 @@ def lbp_stationarity(r: Raster, tiles: int = 4) -> float:
 
 @raster_index("fractal_dimension", 120, 0.6)
 def fractal_dimension(r: Raster) -> float:
-    """CVI-54: 1 for a smooth outline, 0 for a filled plane."""
-    return float(np.clip(2 - box_slope(edges(r.mask)), 0, 1))
+    """CVI-54: 1 for a smooth outline, 0 for a filled plane and for fewer than 40 edge pixels."""
+    e = edges(r.mask)
+    return float(np.clip(2 - box_slope(e), 0, 1)) if e.sum() >= 40 else 0.0
+
+
+def _strongest(a: np.ndarray, n: int, apart: int, least: float) -> np.ndarray:
+    """(dy, dx, value) of the strongest places from the centre, none within a square of half side apart of the centre or another."""
+    a, c, out = a.copy(), np.array(a.shape) // 2, []
+    blank = lambda y, x: a[max(0, y - apart) : y + apart + 1, max(0, x - apart) : x + apart + 1].fill(0)
+    blank(*c)
+    for _ in range(n):
+        y, x = np.unravel_index(a.argmax(), a.shape)
+        if a[y, x] < max(least, EPS):
+            break
+        out.append((y - c[0], x - c[1], a[y, x]))
+        blank(int(y), int(x))
+    return np.array(out, float).reshape(-1, 3)
+
+
+def grid_score(peaks: np.ndarray, tolerance: float = 25.0) -> float:
+    """Strength of autocorrelation peaks in opposite pairs, more where the two strongest pairs cross at a right angle."""
+    if len(peaks) < 2:
+        return 0.0
+    way = peaks[:, :2] / np.hypot(peaks[:, 0], peaks[:, 1])[:, None]
+    facing = np.where(-way[:6] @ way.T > 0.65, peaks[None, :, 2], 0).max(1)
+    strength = np.minimum(peaks[:6, 2], facing)
+    paired = np.flatnonzero(strength > 0)
+    if len(paired) < 2:
+        return float(np.clip(0.6 * peaks[:, 2].mean(), 0, 1))
+    angle = np.degrees(np.arctan2(peaks[paired, 0], peaks[paired, 1])) % 180
+    one, two = np.argsort(-strength[paired], kind="stable")[:2]
+    gap = abs(angle[one] - angle[two])
+    right = np.exp(-((min(gap, 180 - gap) - 90) ** 2) / (2 * tolerance**2))
+    return float(np.clip(strength[paired].mean(), 0, 1) * (0.6 + 0.4 * right))
 
 
 @raster_index("gridness_fft_acf", 150, 0.5)
 def gridness_fft_acf(r: Raster) -> float:
-    """CVI-55: strong off-centre peaks of the autocorrelation in two crossing directions."""
-    g = r.gray - r.gray.mean()
-    acf = np.fft.fftshift(np.fft.ifft2(np.abs(np.fft.fft2(g)) ** 2).real)
-    if acf.max() <= EPS:
+    """CVI-55: the ten strongest peaks of the autocorrelation apart from its centre and from each other, as a grid."""
+    g = density_image(r)
+    if g.max() <= 0:
         return 0.0
-    acf /= acf.max()
-    y, x = np.indices(acf.shape) - SIZE // 2
-    far = np.hypot(y, x) > 12
-    top = np.unravel_index(np.argsort(-np.where(far, acf, -1).ravel())[:50], acf.shape)
-    a = np.arctan2(y[top], x[top])
-    crossed = np.abs(np.sin(a[:, None] - a[None, :])).max()
-    return float(np.clip(acf[top].mean() * crossed, 0, 1))
+    g = g / g.max()
+    acf = np.fft.fftshift(np.fft.ifft2(np.abs(np.fft.fft2(g - g.mean())) ** 2).real)
+    acf -= acf.min()
+    return grid_score(_strongest(acf / acf.max(), 10, 10, 0.12)) if acf.max() > EPS else 0.0
 
 
 @raster_index("symmetry_score", 120, 0.45)
