@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indices import clustered
+from . import tiles
+from .indices import clustered, split_large
 from .kernels import distances, mst
 
-#: Points of a key whose distances one task holds.
+#: Points of a key whose distances one task holds; larger clouds are compared in tiles.
 MOST_POINTS = 10_000
 
 
@@ -171,19 +172,45 @@ DENSITY = {"dbcv": dbcv, "cop": cop, "coggins_jain": coggins_jain, "cdbw": cdbw,
 SMALLER_IS_BETTER = ("cop", "davies_bouldin", "s_dbw", "avg_within_cluster_dispersion")
 
 
+#: Plans for clouds beyond MOST_POINTS, and indices whose memory grows with the points alone, at any size in one task.
+WHOLE = {"dbcv": tiles.dbcv, "cop": tiles.cop, "dcsi": tiles.dcsi}
+LINEAR = ("cdbw", "coggins_jain")
+
+
 def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    """(keys, metric_id, raw, oriented): oriented is higher-is-better (BL-07, BL-14). A task holds one partition."""
+    """(keys, metric_id, raw, oriented): oriented is higher-is-better (BL-07, BL-14).
+
+    A task holds one partition of up to MOST_POINTS; larger ones are compared in
+    tiles (WHOLE), but for cvdd, whose paths join all points of a cloud: it is
+    refused there.
+    """
     chosen, own = list(names or DENSITY), list(keys)
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in own)
+    ddl = ", ".join(filter(None, (kinds, "metric_id string, raw double, oriented double")))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_POINTS:
-            raise ValueError(f"density indices compare at most {MOST_POINTS} points of a key; use a sample of the cloud")
-        rows = rows.sort_values("point_id")
-        x, labels = rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy()
-        raw = [DENSITY[n](x, labels) for n in chosen]
-        oriented = [None if v is None else -v if n in SMALLER_IS_BETTER else v for n, v in zip(chosen, raw, strict=True)]
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(chosen) for k in own}, "metric_id": chosen, "raw": pd.Series(raw, dtype="float64"), "oriented": pd.Series(oriented, dtype="float64")})
+    def scored(some: Sequence[str]):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("point_id")
+            x, labels = rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy()
+            raw = [DENSITY[n](x, labels) for n in some]
+            oriented = [None if v is None else -v if n in SMALLER_IS_BETTER else v for n, v in zip(some, raw, strict=True)]
+            return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(some) for k in own}, "metric_id": list(some), "raw": pd.Series(raw, dtype="float64"), "oriented": pd.Series(oriented, dtype="float64")})
+
+        return run
 
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in own)
     kept = clustered(points).select(*own, "point_id", "x", "y", "label")
-    return kept.groupBy(*(own or [F.lit(1).alias("_one")])).applyInPandas(run, ", ".join(filter(None, (kinds, "metric_id string, raw double, oriented double"))))
+    small, large = split_large(kept, own, MOST_POINTS)
+    by = own or [F.lit(1).alias("_one")]
+    out = small.groupBy(*by).applyInPandas(scored(chosen), ddl)
+    if large is None:
+        return out
+    if "cvdd" in chosen:
+        raise ValueError(f"cvdd compares at most {MOST_POINTS} points of a key; use a sample of the cloud or leave it out")
+    linear = [n for n in chosen if n in LINEAR]
+    if linear:
+        out = out.unionByName(large.groupBy(*by).applyInPandas(scored(linear), ddl))
+    for n in chosen:
+        if n in WHOLE:
+            sign = -1 if n in SMALLER_IS_BETTER else 1
+            out = out.unionByName(WHOLE[n](large, own).select(*own, F.lit(n).alias("metric_id"), "raw", (sign * F.col("raw")).alias("oriented")))
+    return out

@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
+
 NOISE = -1
-#: Points of a key that one NumPy task compares in pairs.
+#: Points of a key that one NumPy task compares in pairs; larger clouds are compared in tiles.
 MAX_PAIRWISE = 20_000
 
 
@@ -125,20 +127,33 @@ def s_dbw(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return joined.select(*keys, (F.when(scale > 0, F.col("mean_spread") / scale).otherwise(0.0) + F.col("dens")).alias("raw"))
 
 
-def _pairwise(name: str, kernel):
+def split_large(points: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Points of the keys with at most so many, and those of the others; None where there are none."""
+    large = points.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    if not large.limit(1).count():
+        return points, None
+    if not keys:
+        return points.limit(0), points
+    large = large.select(*keys)
+    return points.join(large, list(keys), "left_anti"), points.join(large, list(keys), "left_semi")
+
+
+def _pairwise(name: str, kernel, whole):
+    """kernel: of clouds that one task compares, up to MAX_PAIRWISE points. whole: a plan for larger ones."""
+
     def make(points: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
         names = list(keys)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            if len(rows) > MAX_PAIRWISE:
-                raise ValueError(f"{name} compares at most {MAX_PAIRWISE} points of a key; use a sample of the cloud")
             rows = rows.sort_values("point_id")
             raw = kernel(rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy(), **options)
             return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in names}, "raw": [raw]})
 
         own = clustered(points).select(*names, "point_id", "x", "y", "label")
         ddl = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in names), "raw double"])
-        return own.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, ddl)
+        small, large = split_large(own, names, MAX_PAIRWISE)
+        out = small.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, ddl)
+        return out if large is None else out.unionByName(whole(large, names, **options).select(*names, "raw"))
 
     make.__name__ = name
     make.__doc__ = kernel.__doc__
@@ -205,10 +220,10 @@ def dunn_kernel(x: np.ndarray, labels: np.ndarray) -> float | None:
     return float(least / most) if most > 0 and np.isfinite(least) else None
 
 
-silhouette = _pairwise("silhouette", silhouette_kernel)
-neighborhood_purity = _pairwise("neighborhood_purity", purity_kernel)
-min_intercluster_distance = _pairwise("min_intercluster_distance", min_distance_kernel)
-dunn = _pairwise("dunn", dunn_kernel)
+silhouette = _pairwise("silhouette", silhouette_kernel, tiles.silhouette)
+neighborhood_purity = _pairwise("neighborhood_purity", purity_kernel, tiles.neighborhood_purity)
+min_intercluster_distance = _pairwise("min_intercluster_distance", min_distance_kernel, tiles.min_intercluster_distance)
+dunn = _pairwise("dunn", dunn_kernel, tiles.dunn)
 
 
 def noise_aware_silhouette(points: DataFrame, keys: Sequence[str] = (), alpha: float = 1.0) -> DataFrame:

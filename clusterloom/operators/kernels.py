@@ -203,17 +203,27 @@ def mean_shift(x: np.ndarray, bandwidth: float | None = None, max_iter: int = 10
 
 
 def mst(d: np.ndarray) -> list[tuple[float, int, int]]:
-    """Prim's minimum spanning tree of a distance matrix: (length, a, b) by length."""
+    """Prim's minimum spanning tree of a distance matrix: (length, a, b) by length.
+
+    Equal lengths go by the smaller and then the larger end, so there is one tree.
+    """
     n = len(d)
     if n < 2:
         return []
+    at = np.arange(n)
     best, parent, left, edges = d[0].copy(), np.zeros(n, int), np.ones(n, bool), []
     left[0] = False
     for _ in range(n - 1):
-        j = int(np.where(left, best, np.inf).argmin())
+        open_ = np.flatnonzero(left)
+        near = open_[best[open_] == best[open_].min()]
+        if len(near) > 1:
+            near = near[np.lexsort((np.maximum(near, parent[near]), np.minimum(near, parent[near])))]
+        j = int(near[0])
         edges.append((float(best[j]), int(parent[j]), j))
         left[j] = False
-        closer = left & (d[j] < best)
+        same = left & (d[j] == best)
+        same[same] = (np.minimum(at, j) * n + np.maximum(at, j))[same] < (np.minimum(at, parent) * n + np.maximum(at, parent))[same]
+        closer = left & (d[j] < best) | same
         best[closer], parent[closer] = d[j][closer], j
     return sorted(edges)
 
