@@ -9,57 +9,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metric_tree import TreeJoin
 from .summaries import q
 
 EXACT = 1e-12
 #: Reference vectors that may be broadcast as one matrix, in bytes of doubles.
-BROADCAST_BYTES = 64 << 20
-#: Queries of a block that meets a chunk of references in one task.
-QUERY_BLOCK = 4096
+BROADCAST_BYTES = 8 << 20
 
 
 def knn_join(queries: DataFrame, references: DataFrame, k: int, id_col: str, vector: str, metric: str = "euclidean", exclude_self: bool = True) -> DataFrame:
     """(query id, neighbour id, distance, position) of the k nearest references (JOIN-15, ML-03).
 
     The size of the references is checked: up to BROADCAST_BYTES they are one
-    broadcast matrix. Beyond that nothing passes through the driver: chunks of
-    references meet blocks of queries in cogrouped tasks, and the k best of all
-    chunks are kept.
+    broadcast matrix, read through Arrow. Beyond that they go into the cells of
+    a pivot tree, and a query visits only cells within its kth distance.
     """
     spark = queries.sparkSession
     facts = references.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    chunks = max(1, -(-(facts.n * (facts.d or 1) * 8) // BROADCAST_BYTES))
+    if facts.n * (facts.d or 1) * 8 > BROADCAST_BYTES:
+        return TreeJoin(queries, references, k, id_col, vector, metric, exclude_self).found
     kind = queries.schema[id_col].dataType.simpleString()
-    ddl, asked = f"query_id {kind}, neighbour_id {kind}, distance double", queries.select(id_col, vector)
-    if chunks == 1:
-        rows = references.select(id_col, vector).collect()
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
-        found = asked.mapInPandas(_nearest(held, k, metric, exclude_self), ddl)
-    else:
-        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        dealt = lambda m, name: F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int").alias(name)
-        every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
-        left = references.select(id_col, vector, dealt(chunks, "chunk"), every(blocks, "block"))
-        right = asked.select("*", dealt(blocks, "block"), every(chunks, "chunk"))
-        found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(_nearest_of(k, metric, exclude_self), ddl)
+    rows = references.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).toPandas()
+    held = spark.sparkContext.broadcast((rows["id"].to_numpy(), np.array(rows["v"].tolist(), float).reshape(len(rows), -1)))
+    found = queries.select(id_col, vector).mapInPandas(_nearest(held, k, metric, exclude_self), f"query_id {kind}, neighbour_id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-class _Held:
-    def __init__(self, value):
-        self.value = value
-
-
-def _nearest_of(k: int, metric: str, exclude_self: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = _Held((left.iloc[:, 0].to_numpy(), np.array(left.iloc[:, 1].tolist(), float).reshape(len(left), -1)))
-        parts = list(_nearest(held, k, metric, exclude_self)([right.iloc[:, :2]]))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": right.iloc[:0, 0], "neighbour_id": right.iloc[:0, 0], "distance": np.zeros(0)})
-
-    return run
-
-
 def _nearest(held, k: int, metric: str, exclude_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = held.value
