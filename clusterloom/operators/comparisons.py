@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import portfolio, statistics
+from . import portfolio, resampling, statistics
 from .frames import UNIT, best_view_frame, succeeded
 from .pairing import all_pairs
 from .ranking import average_rank
@@ -216,7 +216,7 @@ def paired_contrast(deltas: DataFrame, keys: Sequence[str], draws: int = 2000) -
     effect = statistics.effect_sizes(deltas, keys)
     ranks = statistics.signed_rank_p(deltas, keys).select(*keys, "w_plus", "w_minus", "rank_biserial", "p_value")
     t = paired_t(deltas, keys).select(*keys, "t", "t_p")
-    interval = statistics.poisson_bootstrap(deltas, keys, "delta", "dataset_id", draws)
+    interval = resampling.bootstrap(deltas, keys, "delta", "dataset_id", draws)
     return reduce(lambda a, b: a.join(b, list(keys), "left"), (ranks, t, interval), effect)
 
 
@@ -246,7 +246,7 @@ def mann_whitney(values: DataFrame, keys: Sequence[str], side: str, value: str)
 def bootstrap_columns(values: DataFrame, columns: Sequence[str], unit: str, draws: int = 2000) -> DataFrame:
     """(column_name, low, high): bootstrap interval of the mean of each column (ST-19)."""
     stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")
-    return statistics.poisson_bootstrap(values.select(unit, stacked).select(unit, "x.*"), ["column_name"], "value", unit, draws)
+    return resampling.bootstrap(values.select(unit, stacked).select(unit, "x.*"), ["column_name"], "value", unit, draws)
 
 
 def family_divergence(best: DataFrame, scope: str = "family") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resampling
 from .summaries import q
 
 TIE = 1e-12
@@ -105,21 +105,8 @@ def representative(best: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def selection_stability(best: DataFrame, draws: int = 1000, seed: int = 1234, keys: Sequence[str] = ()) -> DataFrame:
-    """How often each method wins the pool, or each group's, when datasets are resampled (PF-06, PF-07, ST-12).
-
-    Poisson(1) weights come from a hash of dataset, draw and seed.
-    """
-    u = F.pmod(F.xxhash64("dataset_id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, chance, upto = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 8):
-        upto += chance
-        chance /= k
-        weight = F.when(u >= upto, k).otherwise(weight)
-    drawn = best.filter("best_ari is not null").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy(*keys, "draw", "method_name").agg((F.sum(F.col("w") * F.col("best_ari")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
-    first = Window.partitionBy(*keys, "draw").orderBy(F.desc_nulls_last("mean"), "method_name")
-    won = means.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return won.groupBy(*keys, "method_name").agg(F.count("*").alias("wins"), (F.count("*") / draws).alias("win_share"))
+    """How often each method wins the pool, or each group's, when datasets are resampled (PF-06, PF-07, ST-12)."""
+    return resampling.winners(best, keys, "method_name", "best_ari", "dataset_id", draws, seed)
 
 
 def random_subset_curve(best: DataFrame, draws: int = 200, seed: int = 1234) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Paired tests, multiple-testing corrections and bootstraps."""
+"""Paired tests, multiple-testing corrections and factorial effects."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 from .ranking import average_rank
 
 
-#: Rows of an effect table whose labels are permuted.
-MOST_PERMUTED = 1_000_000
-
-
 def signed_ranks(deltas: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     """(keys, n, w_plus, w_minus, rank_biserial) with zeros dropped and average ranks (ST-03, ST-07)."""
     moved = deltas.filter(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("_size", F.abs(value))
@@ -64,51 +59,6 @@ def bh_fdr(tests: DataFrame, family: Sequence[str], p: str = "p_value", name: st
     return tests.withColumn("_step", F.least(F.lit(1.0), step)).withColumn("q_value", F.min("_step").over(down)).drop("_step")
 
 
-def poisson_bootstrap(values: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 2000, confidence: float = 0.95, seed: int = 1234) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap over units (ST-01, ST-02, ST-08).
-
-    The default is ST-08's draws; the protocol takes 10,000 for ST-01 and ST-02.
-
-    Each unit gets a Poisson(1) count a draw from a hash of the unit, the draw
-    and the seed, so rows of one unit are resampled together and reruns agree.
-    Partial sums combine map-side: the shuffle has draws rows a group and task.
-    """
-    u = F.pmod(F.xxhash64(F.col(unit), "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    count, chance, upto = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 9):
-        upto += chance
-        chance /= k
-        count = F.when(u >= upto, k).otherwise(count)
-    drawn = values.filter(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_c", count)
-    means = drawn.groupBy(*keys, "draw").agg((F.sum(F.col("_c") * F.col(value)) / F.nullif(F.sum("_c"), F.lit(0))).alias("m"))
-    tail = (1 - confidence) / 2
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-
-
-def group_permutation(values: DataFrame, group: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """One row: variance between groups, and the share of label permutations that reach it (ST-22).
-
-    values is an effect table of MOST_PERMUTED rows at most: it is permuted in
-    one NumPy task, and a larger one is an error.
-    """
-    if values.limit(MOST_PERMUTED + 1).count() > MOST_PERMUTED:
-        raise ValueError(f"{MOST_PERMUTED} rows at most are permuted")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna().sort_values([group, value])
-        codes, x = pd.factorize(rows[group])[0], rows[value].to_numpy(float)
-        n = np.bincount(codes)
-
-        def between(c: np.ndarray) -> float:
-            return float((n * (np.bincount(c, x) / n - x.mean()) ** 2).sum() / len(x))
-
-        seen, rng = between(codes), np.random.default_rng(seed)
-        reached = sum(between(rng.permutation(codes)) >= seen - 1e-12 for _ in range(draws))
-        return pd.DataFrame({"between": [seen], "p_value": [(1 + reached) / (1 + draws)]})
-
-    return values.select(group, value).groupBy(F.lit(1).alias("_one")).applyInPandas(run, "between double, p_value double")
-
-
 def factorial_effects(arms: DataFrame, unit: str, a: str, b: str, value: str) -> DataFrame:
     """Main effects and interaction of a 2 x 2 design per unit (ST-25)."""
     at = lambda i, j: F.max(F.when((F.col(a) == i) & (F.col(b) == j), F.col(value)))

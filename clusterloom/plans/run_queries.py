@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frames, pairing, portfolio, statistics, summaries
+from ..operators import frames, pairing, portfolio, resampling, statistics, summaries
 from .projections import BEST_SQL, RUNS_SQL, SELECTIONS_SQL, rounded, runs, selections
 
 
@@ -85,8 +85,8 @@ QUERIES = {
     "effect_sizes": lambda s, d: rounded(statistics.effect_sizes(_deltas(s, d), ["method", "baseline"])),
     "holm": lambda s, d: rounded(statistics.holm(_tests(s, d), ["method"])),
     "bh_fdr": lambda s, d: rounded(statistics.bh_fdr(_tests(s, d), ["method"])),
-    "bootstrap_ci": lambda s, d: statistics.poisson_bootstrap(_best(s, d), ["method_name"], "best_ari", "dataset_id"),
-    "group_permutation": lambda s, d: statistics.group_permutation(_best(s, d), "family", "best_ari"),
+    "bootstrap_ci": lambda s, d: resampling.bootstrap(_best(s, d), ["method_name"], "best_ari", "dataset_id"),
+    "group_permutation": lambda s, d: resampling.permutation(_best(s, d), "family", "best_ari"),
     "factorial_contrasts": lambda s, d: rounded(statistics.factorial_effects(runs(s, d).withColumns({"fa": (F.col("view_rank") > 0).cast("int"), "fb": (F.col("selected_k") > 3).cast("int")}), "method_name", "fa", "fb", "ari")),
 }
 
