@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
@@ -214,3 +214,61 @@ def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str]
             sign = -1 if n in SMALLER_IS_BETTER else 1
             out = out.unionByName(WHOLE[n](large, own).select(*own, F.lit(n).alias("metric_id"), "raw", (sign * F.col("raw")).alias("oriented")))
     return out
+
+
+def cvnn_parts(x: np.ndarray, labels: np.ndarray, k: int = 5) -> tuple[float, float] | None:
+    """Separation and compactness of BL-13: the largest mean share of a cluster's k nearest neighbours that lie outside,
+    and the sum over clusters of the mean distance within. Equal distances by position; singletons have distance 0."""
+    if len(x) < 2:
+        return None
+    outside, inner = np.zeros(len(x)), 0.0
+    most = min(k, len(x) - 1)
+    for a in range(0, len(x), 512):
+        d = distances(x[a : a + 512], x)
+        at = np.arange(len(d))
+        d[at, a + at] = np.inf
+        near = np.argsort(d, 1, kind="stable")[:, :most]
+        outside[a : a + len(d)] = (labels[near] != labels[a : a + len(d), None]).mean(1)
+        for c in np.unique(labels[a : a + len(d)]):
+            own = labels[a : a + len(d)] == c
+            n = (labels == c).sum()
+            within = d[np.ix_(own, labels == c)]
+            inner += within[np.isfinite(within)].sum() / max(n * (n - 1), 1)
+    return float(max(outside[labels == c].mean() for c in np.unique(labels))), float(inner)
+
+
+def _cvnn_large(points: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    names = list(keys)
+    near = tiles.neighbours(tiles.blocks_of(points, names), names, k)
+    out = near.groupBy(*names, "label", "point_id").agg(F.avg((F.col("label") != F.col("other_label")).cast("double")).alias("o"))
+    sep = out.groupBy(*names, "label").agg(F.avg("o").alias("o")).groupBy(*names).agg(F.max("o").alias("sep"))
+    within = tiles.point_sums(points, names, tiles.blocks_of(points, names), tiles.distances_within)
+    own = points.select(*names, F.col("point_id").cast("long").alias("point_id"), "label").join(within, [*names, "point_id"])
+    each = own.groupBy(*names, "label").agg(F.sum("total").alias("t"), F.count("*").alias("n"))
+    com = each.groupBy(*names).agg(F.sum(F.col("t") / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1))).alias("com"))
+    return sep.join(com, names)
+
+
+def cvnn(points: DataFrame, keys: Sequence[str], candidate: str, k: int = 5) -> DataFrame:
+    """(keys, candidate, sep, com, raw): BL-13 of each candidate partition, relative to the others of its key; lower is better.
+
+    points: keys, candidate, point_id, x, y, label. Partitions with fewer than
+    two clusters without noise have no value, but count for the maxima.
+    """
+    names = [*keys, candidate]
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("point_id")
+        found = cvnn_parts(rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy(), k)
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in names}, "sep": [found and found[0]], "com": [found and found[1]]}).astype({"sep": "float64", "com": "float64"})
+
+    kept = clustered(points).select(*names, "point_id", "x", "y", "label")
+    small, large = split_large(kept, names, MOST_POINTS)
+    parts = small.groupBy(*names).applyInPandas(run, f"{kinds}, sep double, com double")
+    if large is not None:
+        parts = parts.unionByName(_cvnn_large(large, names, k))
+    count = kept.groupBy(*names).agg(F.countDistinct("label").alias("_k"))
+    over = Window.partitionBy(*keys)
+    value = F.col("sep") / F.nullif(F.max("sep").over(over), F.lit(0.0)) + F.col("com") / F.nullif(F.max("com").over(over), F.lit(0.0))
+    return parts.withColumn("_v", value).join(count, names).select(*names, "sep", "com", F.when(F.col("_k") > 1, F.col("_v")).alias("raw"))

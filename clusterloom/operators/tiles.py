@@ -326,7 +326,7 @@ def _merged(state: DataFrame, picked: DataFrame, names: list[str]) -> DataFrame:
     return state.join(up, [*names, "comp"], "left").select(*[c for c in state.columns if c != "comp"], F.coalesce("root", "comp").alias("comp"))
 
 
-def _sums(points: DataFrame, keys: Sequence[str], blocks: DataFrame, fold: Callable) -> DataFrame:
+def point_sums(points: DataFrame, keys: Sequence[str], blocks: DataFrame, fold: Callable) -> DataFrame:
     """(keys, point_id, total) over all blocks of what fold(distances, own labels, other labels) gives each point."""
 
     def run(own: Block, others: list[Block], row) -> pd.DataFrame:
@@ -340,6 +340,10 @@ def _sums(points: DataFrame, keys: Sequence[str], blocks: DataFrame, fold: Calla
     return found.groupBy(*keys, "point_id").agg(F.sum("total").alias("total"))
 
 
+def distances_within(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a == b, d, 0.0).sum(1)
+
+
 def _inverse_squares(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return (np.where((d > 0) & (a == b), 1 / d, 0.0) ** 2).sum(1)
@@ -371,7 +375,7 @@ def dbcv(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     names = list(keys)
     count = points.groupBy(*names, "label").agg(F.count("*").alias("size"))
     own = points.join(count.filter("size > 2").select(*names, "label"), [*names, "label"]).select(*names, F.col("point_id").cast("long").alias("point_id"), "x", "y", F.col("label").cast("long").alias("label"))
-    sums = _sums(own, names, blocks_of(own, names), _inverse_squares)
+    sums = point_sums(own, names, blocks_of(own, names), _inverse_squares)
     sized = own.join(count.withColumn("label", F.col("label").cast("long")), [*names, "label"]).join(sums, [*names, "point_id"])
     core = F.pow(F.greatest(F.col("total") / F.greatest(F.lit(1), F.col("size") - 1), F.lit(1e-300)), F.lit(-0.5))
     cored = written(sized.select(*names, "point_id", "x", "y", "label", core.alias("core")), "cores")

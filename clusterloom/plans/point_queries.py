@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, density, descriptors, indices, metafeatures, models, neighbours, patterns, rasters, search, sequential, shapes, splits
+from ..operators import agreement, boosting, density, descriptors, indices, metafeatures, models, neighbours, patterns, rasters, search, sequential, shapes, splits
 from ..sources import clouds
 from .projections import POINTS_SQL, TRIALS_SQL, UTILITIES_SQL, points, rounded, table, trial_metrics, utilities
 
@@ -29,6 +29,21 @@ def _small_clouds(s, d):
     return table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("dataset_id"), F.col("vec_id").alias("point_id"), x.alias("x"), y.alias("y"))
 
 
+def _partitions(s, d):
+    """Two partitions of each cloud: the quadrants, and the sides of x."""
+    side = F.when(F.col("label") == -1, -1).otherwise((F.col("x") >= 0).cast("int"))
+    both = F.explode(F.array(F.struct(F.lit(1).alias("candidate"), F.col("label").alias("label")), F.struct(F.lit(2).alias("candidate"), side.alias("label")))).alias("p")
+    return points(s, d).select("dataset_id", "point_id", "x", "y", both).select("dataset_id", "point_id", "x", "y", "p.*")
+
+
+def _boosted(s, d):
+    """The first component of each vector, predicted from the next eight, of which every eleventh row lacks one."""
+    cells = [F.when(F.col("vec_id") % 11 != i, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(1, 9)]
+    rows = table(s, d, "embeddings").select("vec_id", *cells, F.col("embedding")[0].cast("double").alias("target"))
+    model = boosting.fit(rows, [f"e{i}" for i in range(1, 9)], "target")
+    return model.transform(rows).select("vec_id", "predicted", "target")
+
+
 def _index(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("dataset_id"), F.col("p_type").alias("stratum"))
 
@@ -114,6 +129,8 @@ QUERIES = {
     "cluster_pipeline": lambda s, d: search.cluster(points(s, d), search.candidate_table(s, search.random_space(32, 7))),
     "pattern_indices": lambda s, d: patterns.pattern_indices(points(s, d), KEY),
     "raster_indices": lambda s, d: rasters.raster_indices(points(s, d), KEY),
+    "cvnn": lambda s, d: rounded(density.cvnn(_partitions(s, d), KEY, "candidate")),
+    "histogram_boosting": lambda s, d: rounded(_boosted(s, d)),
     "density_indices": lambda s, d: density.density_indices(points(s, d), KEY),
     "meta_descriptors": lambda s, d: descriptors.describe(metafeatures.views(points(s, d)), ["dataset_id", "view_id"]),
     "candidate_targets": lambda s, d: rounded(models.candidate_targets(_slates(s, d), KEY).select("dataset_id", "candidate", "regret", "rank")),
@@ -154,6 +171,14 @@ ORACLE_SQL = {
     "neighborhood_purity": f"WITH {PAIRWISE}, r AS (SELECT dataset_id, point_id, label = lb AS same, row_number() OVER (PARTITION BY point_id ORDER BY d, pb) AS rn FROM pd) SELECT dataset_id, round(avg(CAST(same AS DOUBLE)), 6) AS raw FROM r WHERE rn <= 10 GROUP BY 1",
     "neighborhood_purity_multi_k": f"WITH {PAIRWISE}, r AS (SELECT dataset_id, point_id, label = lb AS same, row_number() OVER (PARTITION BY point_id ORDER BY d, pb) AS rn FROM pd) SELECT dataset_id, round((avg(CAST(same AS DOUBLE)) FILTER (rn <= 5) + avg(CAST(same AS DOUBLE)) FILTER (rn <= 10) + avg(CAST(same AS DOUBLE)) FILTER (rn <= 20)) / 3, 6) AS raw FROM r GROUP BY 1",
     "min_intercluster_distance": f"WITH {PAIRWISE} SELECT dataset_id, round(min(d) FILTER (label <> lb), 6) AS raw FROM pd GROUP BY 1",
+    "cvnn": f"""WITH {POINTS_SQL},
+cands AS (SELECT dataset_id, 1 AS candidate, point_id, x, y, label FROM points UNION ALL SELECT dataset_id, 2, point_id, x, y, CASE WHEN label = -1 THEN -1 ELSE CAST(x >= 0 AS INTEGER) END FROM points),
+own AS (SELECT * FROM cands WHERE label <> -1),
+pd AS (SELECT a.dataset_id, a.candidate, a.point_id, a.label, b.label AS lb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, b.point_id AS other FROM own a JOIN own b ON a.dataset_id = b.dataset_id AND a.candidate = b.candidate AND a.point_id <> b.point_id),
+near AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY dataset_id, candidate, point_id ORDER BY d, other) <= 5),
+sep AS (SELECT dataset_id, candidate, max(o) AS sep FROM (SELECT dataset_id, candidate, label, avg(CASE WHEN label <> lb THEN 1.0 ELSE 0.0 END) AS o FROM near GROUP BY 1, 2, 3) GROUP BY 1, 2),
+com AS (SELECT dataset_id, candidate, sum(m) AS com FROM (SELECT dataset_id, candidate, label, avg(d) AS m FROM pd WHERE label = lb GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT dataset_id, candidate, round(sep, 6) AS sep, round(com, 6) AS com, round(sep / max(sep) OVER (PARTITION BY dataset_id) + com / max(com) OVER (PARTITION BY dataset_id), 6) AS raw FROM sep JOIN com USING (dataset_id, candidate)""",
     "dunn": f"WITH {PAIRWISE} SELECT dataset_id, round(min(d) FILTER (label <> lb) / max(d) FILTER (label = lb), 6) AS raw FROM pd GROUP BY 1",
     "density_grid": f"""WITH {POINTS_SQL}, sp AS (SELECT dataset_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points GROUP BY 1),
         c AS (SELECT dataset_id, least(floor((x - lx) / (hx - lx) * 16), 15) AS i, least(floor((y - ly) / (hy - ly) * 16), 15) AS j, count(*) AS n FROM points JOIN sp USING (dataset_id) GROUP BY 1, 2, 3),
