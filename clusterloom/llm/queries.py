@@ -161,23 +161,21 @@ FROM p
 }
 
 
-def _spans_sql(rule, at: int) -> str:
-    """List of {start, at, stop, kind} of a rule's matches that are long enough, in DuckDB SQL."""
+def _matches_sql(rule, at: int) -> str:
+    """Rows (r, kind, place, start, stop) of a rule's long enough matches, in DuckDB SQL: running sums of gaps and matches are the offsets."""
     pattern = rule.pattern.replace("'", "''")
-    whole, own, gaps = (f"regexp_extract_all(t, '{pattern}', 0)", f"regexp_extract_all(t, '{pattern}', {rule.group})", f"string_split_regex(t, '{pattern}')")
-    long = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
-    start = f"CAST({long(f'({gaps})[1:i]')} + {long(f'({whole})[1:i - 1]')} AS BIGINT)"
-    spans = f"list_transform(list_filter(range(1, len({whole}) + 1), lambda i: length(({own})[i]) >= {rule.least}), lambda i: {{'start': {start}, 'at': {at}, 'stop': {start} + length(({whole})[i]), 'kind': '{rule.kind}'}})"
-    return f"CASE WHEN len({whole}) > 0 THEN {spans} ELSE [] END"
+    found = f"SELECT r, regexp_extract_all(t, '{pattern}', 0) AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d"
+    each = f"SELECT r, unnest(range(len(w))) AS i, unnest(w) AS whole, unnest(g) AS own, unnest(s[1:len(w)]) AS gap FROM ({found}) WHERE len(w) > 0"
+    ends = f"SELECT r, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop, length(whole) AS n, length(own) AS own FROM ({each})"
+    return f"SELECT r, '{rule.kind}' AS kind, {at} AS place, stop - n AS start, stop FROM ({ends}) WHERE own >= {rule.least}"
 
 
-def _listed_sql(kinds) -> str:
-    return f"coalesce(array_to_string(list_transform(list_sort(flatten([{', '.join(kinds)}])), lambda s: s.kind || ':' || s.start || ':' || s.stop), ','), '')"
-
-
-_BASE, _ALL = [r.kind for r in BASE_RULES], [r.kind for r in BASE_RULES + MORE_RULES]
+_BASE, _RULES = [r.kind for r in BASE_RULES], BASE_RULES + MORE_RULES
+_LISTED = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place){0}, '')"
 ORACLE_SQL["op6_secrets"] = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, {", ".join(f"{_spans_sql(r, i)} AS {r.kind}" for i, r in enumerate(BASE_RULES + MORE_RULES))} FROM d)
-SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in _BASE)}, sha256({_listed_sql(_BASE)}) AS base_sha256, {_listed_sql(_ALL)} AS spans FROM s
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches_sql(r, i) for i, r in enumerate(_RULES))})
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE)},
+    sha256({_LISTED.format(f" FILTER (place < {len(_BASE)})")}) AS base_sha256, {_LISTED.format("")} AS spans
+FROM d LEFT JOIN m USING (r) GROUP BY r, doc_id
 """
