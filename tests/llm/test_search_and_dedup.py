@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.components import connected_components
 from clusterloom.llm.near_duplicates import drop_near_duplicates, near_duplicate_groups
-from clusterloom.llm.sharding import balanced_shards, shard_documents
+from clusterloom.llm import sharding
+from clusterloom.llm.sharding import admitted, balanced_shards, fitted, shard_documents
 from clusterloom.llm.simhash import Forest, majority, near_pairs, plan_tree, route, shingle_hashes, simhash_digest
 from clusterloom.llm.topk import exact_top_k, top_k_digest
 from clusterloom.llm.words import split_words
@@ -66,6 +67,65 @@ def test_only_keys_beyond_a_quota_are_split_among_large_ones(spark):
     assert all(shards[c] == 1 for c in out.loc[out["doc_id"] < 2400, "text_crc32"].unique())
 
 
+@pytest.mark.parametrize("size", [2, 4, 10])
+def test_propagation_joins_what_the_hash_has_parted(spark, size):
+    """Without unlinked rows, so that nothing can move but in exchange."""
+    n, shards = 2400 // size * size, 8
+    linked = spark.createDataFrame([(f"k{i // size}", i) for i in range(n)], "key string, uid long")
+    quotas = [n // shards] * shards
+    packed, start, free = sharding.start_cells(linked, quotas)
+    assert packed.count() == 0 and free == quotas
+    cut, wished = sharding.cut_rows(start), []
+    cells = sharding.propagate(start, free, seen=wished)
+    assert cut > n * 0.4 and wished[0] == cut and len(wished) > 1 and wished[-1] == 0
+    last = sharding.settle(cells, free).toPandas()
+    assert last["n"].sum() == n and (last.groupby("shard")["n"].sum() <= n // shards).all()
+    assert (last.groupby("key").size() > 1).sum() < shards  # as few as packing leaves
+    one = sharding.propagate(start, free, max_rounds=1)
+    assert sharding.cut_rows(one) < cut
+
+
+def test_flows_keep_to_the_quotas():
+    share, whole = admitted([[0, 10], [10, 0]], [50, 50], [50, 50], [0, 0])
+    assert share == [[1.0, 1.0], [1.0, 1.0]] and whole == [[0, 0], [0, 0]]  # exchanges are free
+    share, whole = admitted([[0, 10], [0, 0]], [50, 50], [50, 50], [0, 0])
+    assert share[0][1] == pytest.approx(0.0, abs=0.11)  # no room, nothing to swap
+    share, whole = admitted([[0, 10], [0, 0]], [50, 50], [50, 50], [0, 40])
+    assert share[0][1] == 1.0 and whole == [[0, 0], [10, 0]]  # whole keys go the other way
+    share, whole = admitted([[0, 10], [0, 0]], [30, 50], [50, 56], [0, 0])
+    assert share[0][1] == pytest.approx(0.6, abs=0.11)
+
+
+def test_last_keys_fit_whole_where_they_can():
+    moves = fitted({0: [("a", 5), ("b", 3), ("c", 2)]}, [5, 0, 0], [0, 3, 2])
+    assert sorted(moves) == [("b", 0, 1, 3), ("c", 0, 2, 2)]
+    moves = fitted({0: [("a", 5)]}, [3, 0], [0, 9])
+    assert moves == [("a", 0, 1, 3)]
+
+
+def test_rows_equal_in_everything_spread(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "same")] * 900 + [(i, None) for i in range(100)], "id long, key string")
+    out = balanced_shards(df, 4).toPandas()
+    assert sorted(out.groupby("shard").size()) == [250] * 4
+    for _, own in out.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(250))
+
+
+def test_sharding_equals_its_contract_by_brute_force(spark):
+    """Size, checksum, gapless slots and even counts of each document, by plain Python."""
+    import zlib
+
+    texts = ["é" * 3, "", None, "same", "same", "x" * 1000] * 7
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    out = shard_documents(spark.createDataFrame(rows, SCHEMA), 16).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows") for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law) for r in out) == want
+    counts = Counter(r.shard for r in out)
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(16)) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(counts[s]))
+
+
 def test_shards_of_an_empty_table_and_clashing_columns(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = spark.createDataFrame([(1, "a", 9, 9), (2, "a", 9, 9)], "id long, key string, shard int, slot int")
