@@ -106,7 +106,7 @@ def cut_rows(cells: DataFrame) -> int:
 
 
 def propagate(start: DataFrame, quotas: list[int], max_rounds: int | None = None, seen: list[int] | None = None) -> DataFrame:
-    """Cells (key, shard, n, size) after balanced label propagation from the cells of start (the docstring above tells how).
+    """Cells (key, shard, n, size) after balanced label propagation from the cells of start.
 
     Rounds go on until no row wishes to move, PATIENCE rounds have not lowered
     the number that do, or for max_rounds. seen gets that number before each round.
