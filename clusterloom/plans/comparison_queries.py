@@ -153,7 +153,7 @@ QUERIES = {
     "slate_problems": lambda s, d: audits.slate_problems(_evaluations(s, d).filter("record_id % 7 <> 0 or config_id < 30").withColumn("valid", F.col("valid_result")), ["record_id"], ["algorithm", "config_id"], ["objective"]),
     "eligible_trials": lambda s, d: audits.eligible(_scored(s, d).withColumn("n_clusters", F.col("candidate") % 4)).select("dataset_id", "candidate"),
     "warmstart": lambda s, d: audits.warmstart(_scored(s, d).withColumn("ari", F.round("ari", 9)), ["dataset_id"]).select("dataset_id", "candidate", "position"),
-    "metric_key": lambda s, d: s.createDataFrame([("Davies Bouldin",), ("m_tax",), (" S-Dbw ",), ("nothing",), (None,)], "name string").withColumn("key", audits.metric_key(F.col("name"), {"davies_bouldin": "davies_bouldin", "m_tax": "m_tax", "SDbw": "s_dbw"})),
+    "metric_key": lambda s, d: _shown(s, d).withColumn("key", audits.metric_key(F.col("name"), {"davies_bouldin": "davies_bouldin", "m_tax": "m_tax", "SDbw": "s_dbw"})),
     "top1_scores": lambda s, d: rounded(predictions.top1_scores(_vectors(s, d), ["dataset_id"])),
     "top_k_scores": lambda s, d: rounded(predictions.top_k_scores(_vectors(s, d), ["dataset_id"], 2)),
     "rank_scores": lambda s, d: rounded(predictions.rank_scores(_vectors(s, d), ["dataset_id"])),
@@ -163,7 +163,7 @@ QUERIES = {
     "resolve_weights": lambda s, d: rounded(predictions.resolve_weights(utilities(s, d), ["dataset_id"], 3)),
     "resolve_weights_dynamic": lambda s, d: rounded(predictions.resolve_weights(utilities(s, d).withColumn("metric_id", F.concat(F.lit("utility__"), "metric_id")), ["dataset_id"], "dynamic", "normalized_positive", pool=["m_price", "m_quantity", "m_tax"])),
     "weights_with_fallback": lambda s, d: rounded(predictions.with_fallback(predictions.resolve_weights(utilities(s, d).filter("dataset_id % 3 <> 0"), ["dataset_id"], 1), utilities(s, d), ["dataset_id"], {"silhouette": 0.6, "s_dbw": 0.4})),
-    "neighbour_grid": lambda s, d: s.createDataFrame(predictions.neighbour_grid(), "config_id string, n_neighbors int, scaler string, distance string, weighting string"),
+    "neighbour_grid": lambda s, d: table(s, d, "part").select(F.col("p_brand").alias("family")).distinct().join(F.broadcast(s.createDataFrame(predictions.neighbour_grid(), "config_id string, n_neighbors int, scaler string, distance string, weighting string"))),
     "grid_predictions": lambda s, d: rounded(predictions.grid_predictions(_neighbours(s, d), utilities(s, d), (1, 3, 5))),
     "fold_composite": lambda s, d: rounded(predictions.fold_composite(_fold_scores(s, d), {"errors": {"mae": False}, "tops": {"hit": True, "rank": False}}, "metric_id")),
     "selector_scores": lambda s, d: rounded(predictions.selector_scores(runs(s, d).filter("method_name = 'click' and ari is not null").select("dataset_id", "view_id", "ari"), runs(s, d).filter("ari is not null").select("dataset_id", "view_id", F.col("method_name").alias("policy_id"), "ari"))),
@@ -179,7 +179,7 @@ QUERIES = {
     "column_roles": lambda s, d: _unified(s, d),
     "training_rows": lambda s, d: rounded(_training(s, d)[0]),
     "missing_utilities": lambda s, d: _training(s, d)[1],
-    "shape_counts": lambda s, d: shapes.generate(_shape_jobs(s), ["shape"]).groupBy("shape").agg(F.count("*").alias("n")),
+    "shape_counts": lambda s, d: shapes.generate(_shape_jobs(s, d), ["dataset_id", "shape"]).groupBy("shape").agg(F.count("*").alias("n"), F.countDistinct("dataset_id").alias("clouds")),
 }
 
 
@@ -225,10 +225,19 @@ def _training(s, d):
     return repository.training_rows(ids, utilities(s, d).filter("dataset_id % 5 <> 0").withColumn("view_id", F.lit("x_only")), ["m_price", "m_tax"])
 
 
-def _shape_jobs(s):
-    """One job a shape, 50 points each."""
+def _shape_jobs(s, d):
+    """A cloud of 50 points a supplier, shapes in turn."""
     plan = '{"components": [{"id": "a", "shape": "%s", "n": 50, "profiles": {"texture": "granular", "curvature": "amplify"}}]}'
-    return s.createDataFrame([(name, i, plan % name) for i, name in enumerate(sorted(shapes.SHAPES))], "shape string, seed long, plan string")
+    names, k = sorted(shapes.SHAPES), F.col("s_suppkey")
+    at = (k % len(names) + 1).cast("int")
+    return table(s, d, "supplier").select(k.alias("dataset_id"), F.array(*map(F.lit, names))[at - 1].alias("shape"), k.cast("long").alias("seed"), F.array(*(F.lit(plan % n) for n in names))[at - 1].alias("plan"))
+
+
+def _shown(s, d):
+    """Display names of metrics beside the events that report them; some are unknown, some missing."""
+    kind = F.col("event_type")
+    name = F.when(kind == "click", "Davies Bouldin").when(kind == "view", "m_tax").when(kind == "error", " S-Dbw ").when(kind == "signup", "nothing")
+    return table(s, d, "events").select("event_id", name.alias("name"))
 
 
 def _broken(vbs):
@@ -370,7 +379,7 @@ ORACLE_SQL = {
     "slate_problems": f"WITH {EVALUATIONS_SQL} SELECT record_id, 'count' AS problem FROM evaluations WHERE record_id % 7 <> 0 OR config_id < 30 GROUP BY 1 HAVING count(*) <> 32",
     "eligible_trials": f"WITH {SCORED_SQL} SELECT dataset_id, candidate FROM scored WHERE valid AND objective IS NOT NULL AND candidate % 4 >= 2",
     "warmstart": f"WITH {SCORED_SQL} SELECT dataset_id, candidate, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY round(ari, 9) DESC NULLS LAST, candidate) AS INTEGER) AS position FROM scored",
-    "metric_key": "SELECT * FROM (VALUES ('Davies Bouldin', 'davies_bouldin'), ('m_tax', 'm_tax'), (' S-Dbw ', 's_dbw'), ('nothing', NULL), (NULL, NULL)) AS v(name, key)",
+    "metric_key": "SELECT event_id, CASE event_type WHEN 'click' THEN 'Davies Bouldin' WHEN 'view' THEN 'm_tax' WHEN 'error' THEN ' S-Dbw ' WHEN 'signup' THEN 'nothing' END AS name, CASE event_type WHEN 'click' THEN 'davies_bouldin' WHEN 'view' THEN 'm_tax' WHEN 'error' THEN 's_dbw' END AS key FROM events",
     "top1_scores": f"WITH {SUITE_SQL} SELECT dataset_id, hit = 1 AS hit, rank_distance, {R('utility_error')} AS utility_error, {R('calibration_error')} AS calibration_error FROM one",
     "top_k_scores": f"WITH {SUITE_SQL} SELECT dataset_id, {R('overlap')} AS overlap, {R('ordered')} AS ordered, {R('jaccard')} AS jaccard, {R('abs_error')} AS abs_error, {R('squared_error')} AS squared_error, n_union FROM tops",
     "rank_scores": f"WITH {SUITE_SQL} SELECT dataset_id, {R('spearman')} AS spearman, {R('displacement_mean')} AS displacement_mean, {R('displacement_median')} AS displacement_median, displacement_max, {R('pairwise')} AS pairwise, {R('kendall')} AS kendall FROM ranked",
@@ -385,7 +394,7 @@ ORACLE_SQL = {
         SELECT dataset_id, metric_id, round(CASE WHEN sum(e) OVER w > 0 THEN e / sum(e) OVER w ELSE 1.0 / count(*) OVER w END, 6) AS weight, CAST(position AS INTEGER) AS position FROM e WINDOW w AS (PARTITION BY dataset_id)""",
     "weights_with_fallback": f"""WITH {UTIL_SQL} SELECT dataset_id, metric_id, 1.0 AS weight, false AS used_fallback FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY utility DESC, metric_id) AS rn FROM utilities WHERE dataset_id % 3 <> 0) WHERE rn = 1
         UNION ALL SELECT dataset_id, m, w, true FROM (SELECT DISTINCT dataset_id FROM utilities WHERE dataset_id % 3 = 0), (VALUES ('silhouette', 0.6), ('s_dbw', 0.4)) AS f(m, w)""",
-    "neighbour_grid": """SELECT printf('n%03d__%s__%s__%s', n, s, d, w) AS config_id, CAST(n AS INTEGER) AS n_neighbors, s AS scaler, d AS distance, w AS weighting FROM (SELECT unnest([1, 2, 3, 5, 7, 10, 15, 20, 30, 50, 75, 100]) AS n), (SELECT unnest(['standard', 'robust']) AS s), (SELECT unnest(['euclidean', 'cosine']) AS d), (SELECT unnest(['uniform', 'inverse_distance']) AS w)""",
+    "neighbour_grid": """SELECT family, printf('n%03d__%s__%s__%s', n, s, d, w) AS config_id, CAST(n AS INTEGER) AS n_neighbors, s AS scaler, d AS distance, w AS weighting FROM (SELECT DISTINCT p_brand AS family FROM part), (SELECT unnest([1, 2, 3, 5, 7, 10, 15, 20, 30, 50, 75, 100]) AS n), (SELECT unnest(['standard', 'robust']) AS s), (SELECT unnest(['euclidean', 'cosine']) AS d), (SELECT unnest(['uniform', 'inverse_distance']) AS w)""",
     "grid_predictions": f"""WITH {GRID_SQL}, p AS (SELECT n_neighbors, query_id, metric_id, avg(utility) AS u, sum(w * utility) / sum(w) AS i FROM met JOIN sized ON position <= n_neighbors GROUP BY 1, 2, 3)
         SELECT CAST(n_neighbors AS INTEGER) AS n_neighbors, 'uniform' AS weighting, query_id, metric_id, {R('greatest(0.0, least(1.0, u))')} AS utility FROM p UNION ALL SELECT CAST(n_neighbors AS INTEGER), 'inverse_distance', query_id, metric_id, {R('greatest(0.0, least(1.0, i))')} FROM p""",
     "fold_composite": f"""WITH {TRIALS_SQL}, s AS (SELECT dataset_id % 3 AS fold, metric_id, round(avg(abs(score - ari)), 6) AS mae, round(avg(score), 6) AS hit, round(max(score), 6) AS r FROM trials GROUP BY 1, 2),
@@ -412,5 +421,5 @@ ORACLE_SQL = {
     "column_roles": f"WITH {UTIL_SQL} SELECT dataset_id % 4 AS split_id, count(*) AS n, CAST(sum(dataset_id) AS DOUBLE) AS a, {R('avg(utility)')} AS u FROM utilities WHERE metric_id = 'm_price' GROUP BY 1",
     "training_rows": f"WITH {UTIL_SQL} SELECT dataset_id, 'x_only' AS view_id, 'f' AS family, 's' AS subfamily, dataset_id * 2 AS a, {R("max(utility) FILTER (metric_id = 'm_price')")} AS utility__m_price, {R("max(utility) FILTER (metric_id = 'm_tax')")} AS utility__m_tax FROM utilities WHERE dataset_id % 5 <> 0 GROUP BY 1",
     "missing_utilities": f"WITH {UTIL_SQL} SELECT DISTINCT 'f' AS family, 's' AS subfamily, dataset_id, 'x_only' AS view_id, 'utility_vector.json missing' AS reason FROM utilities WHERE dataset_id % 5 = 0",
-    "shape_counts": "SELECT shape, CAST(50 AS BIGINT) AS n FROM (VALUES " + ", ".join(f"('{name}')" for name in sorted(shapes.SHAPES)) + ") AS v(shape)",
+    "shape_counts": "SELECT shape, CAST(50 * count(*) AS BIGINT) AS n, count(*) AS clouds FROM supplier JOIN (VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(sorted(shapes.SHAPES))) + f") AS v(k, shape) ON s_suppkey % {len(shapes.SHAPES)} = k GROUP BY shape",
 }

@@ -25,6 +25,12 @@ TEXTS_SQL = """texts AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'nan'
     CASE c_custkey % 11 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN NULL ELSE c_acctbal / 5000 END AS v, CASE WHEN c_custkey % 2 = 0 THEN 'utility__' ELSE 'u__' END || c_custkey AS name FROM customer)"""
 
 
+def _open_slots(s, d):
+    """Configurations of the whole space that a supplier's trials have not reached."""
+    done = trial_metrics(s, d).groupBy("dataset_id").agg(F.max("candidate").alias("done"))
+    return done.join(F.broadcast(search.candidate_table(s, search.enumerate_space()))).filter("candidate > done")
+
+
 def _cells(s, d):
     k = F.col("n_nationkey")
     weights = F.concat(F.lit('{"a": '), (k / 10).cast("string"), F.lit(', "b": 2}'))
@@ -68,10 +74,10 @@ QUERIES = {
     "one_se_rule": lambda s, d: rounded(neighbours.one_se_rule(_fold_rows(s, d)).select("config", "n_neighbors", "mean", "se")),
     "merged_tables": lambda s, d: clouds.merge_tables([table(s, d, t).select(F.col(k).cast("long").alias("key"), F.col(n).alias("name")) for t, k, n in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))]),
     "pending_work": lambda s, d: clouds.pending(table(s, d, "supplier").select("s_suppkey"), table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "COMPLETE").otherwise("FAILED").alias("state")), ["s_suppkey"]),
-    "search_space": lambda s, d: search.candidate_table(s, search.enumerate_space()).groupBy("algorithm").agg(F.count("*").alias("n"), F.min("candidate").alias("first")),
+    "search_space": lambda s, d: _open_slots(s, d).groupBy("dataset_id", "algorithm").agg(F.count("*").alias("n"), F.min("candidate").alias("first")),
     "best_per_algorithm": lambda s, d: rounded(search.best_per_algorithm(_log(s, d))),
     "label_free_log": lambda s, d: clouds.assert_label_free(trial_metrics(s, d).select("dataset_id", "candidate", "metric_id", "score")).groupBy("metric_id").agg(F.count("*").alias("n")),
-    "policies": lambda s, d: s.createDataFrame(splits.policies(), "source string, size string, weighting string"),
+    "policies": lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("dataset_id")).join(F.broadcast(s.createDataFrame(splits.policies(), "source string, size string, weighting string"))),
 }
 
 
@@ -105,5 +111,7 @@ ORACLE_SQL = {
     "best_per_algorithm": f"""WITH {TRIALS_SQL}, s AS (SELECT dataset_id, 'a' || (candidate % 5) AS algorithm, candidate, round(avg(least(1.0, score)), 9) AS objective FROM trials WHERE valid GROUP BY 1, 2, 3)
         SELECT dataset_id, algorithm, candidate, {_R('objective')} AS objective FROM s QUALIFY row_number() OVER (PARTITION BY dataset_id, algorithm ORDER BY objective DESC, candidate) = 1""",
     "label_free_log": f"WITH {TRIALS_SQL} SELECT metric_id, count(*) AS n FROM trials GROUP BY 1",
-    "policies": "SELECT a AS source, b AS size, c AS weighting FROM (SELECT unnest(['mlp', 'knn']) AS a), (SELECT unnest(['1', '3', '5', '10', 'dynamic']) AS b), (SELECT unnest(['raw', 'softmax']) AS c)",
+    "policies": "SELECT s_suppkey AS dataset_id, a AS source, b AS size, c AS weighting FROM supplier, (SELECT unnest(['mlp', 'knn']) AS a), (SELECT unnest(['1', '3', '5', '10', 'dynamic']) AS b), (SELECT unnest(['raw', 'softmax']) AS c)",
+    "search_space": "WITH space(candidate, algorithm) AS (VALUES " + ", ".join(f"({c}, '{a}')" for c, a, _ in search.enumerate_space()) + """), done AS (SELECT l_suppkey AS dataset_id, least(32, count(*)) AS n FROM lineitem GROUP BY 1)
+SELECT dataset_id, algorithm, count(*) AS n, CAST(min(candidate) AS INTEGER) AS first FROM done, space WHERE candidate > done.n GROUP BY 1, 2""",
 }
