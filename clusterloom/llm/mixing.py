@@ -3,11 +3,12 @@
 Every document of a source gets the same expected number of copies, target
 over source size. The whole part is kept; the fractional parts are paired, and
 mass moves at random from one of the pair to the other until one of them is
-integral. Partners are of like size. Moves are measured in words, so the expected words of a pair never
-change. A part of a source leaves one undecided document at most; these
+integral. Partners are of like size, taken from long to short. Moves are measured in words, so the
+expected words of a pair never change. A part of a source leaves one undecided document at most; these
 residuals are paired again in a reduction tree until one is left a source,
-which is rounded to the nearer side: a source misses its target by half a
-document at most.
+which is rounded to the nearer side. Where a few documents hold much of a
+source that may still be a large share; the miss is made up by single copies
+more or less of the documents whose size is nearest to it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents that one task pairs, and residuals that meet in one node of the tree.
 PART_ROWS, FAN_IN = 2_000, 64
+#: Documents of a source that may make up for what its last residual missed, one a round.
+REPAIRS = 8
 #: Sources whose totals may be broadcast; more are joined by shuffling.
 BROADCAST_SOURCES = 100_000
 
@@ -142,8 +145,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sure = dealt.filter("p is null").select("src", "doc_id", "text_hash", "size", "copies")
     # One residual a source and part at most.
     late = dealt.filter("p is not null").join(settled, ["src", "part"]).select("src", "doc_id", "text_hash", "size", (F.col("copies") + F.col("up")).alias("copies"))
+    taken = materialize(sure.union(late).withColumn("uid", F.monotonically_increasing_id()), "copies")
+    rates = {i: min(most, goal[s] / n) if n else 0.0 for i, (s, _, n) in enumerate(sorted(per, key=lambda x: (x[0] is None, x[0] or "")))}
+    flips = _repairs(taken, {i: float(goal[s]) for i, (s, _, _) in enumerate(sorted(per, key=lambda x: (x[0] is None, x[0] or "")))}, rates)
     facts = small.select("src", "source", "source_size", "target")
-    return sure.union(late).join(facts, "src").select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies")
+    mended = taken.join(F.broadcast(flips), "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+    return mended.join(facts, "src").select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies")
+
+
+def _repairs(taken: DataFrame, goal: dict[int, float], rates: dict[int, float]) -> DataFrame:
+    """(uid, more): REPAIRS documents a source at most that take one copy more or less, so that it comes nearer its goal.
+
+    Copies stay between the whole numbers around the source's rate. Of equally
+    good documents the one with the smallest id, then text hash, is taken.
+    """
+    spark = taken.sparkSession
+    missed = {r.src: goal[r.src] - r.n for r in taken.groupBy("src").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    moved: list[tuple[int, int]] = []
+    for _ in range(REPAIRS):
+        rows = [(s, float(m), int(rates[s])) for s, m in missed.items() if 1e-9 < rates[s] - int(rates[s]) < 1 - 1e-9 and abs(m) > 0.5]
+        if not rows:
+            break
+        open_ = spark.createDataFrame(rows, "src int, missed double, whole int")
+        near = taken.join(F.broadcast(open_), "src").filter(F.when(F.col("missed") > 0, F.col("copies") == F.col("whole")).otherwise(F.col("copies") > F.col("whole")))
+        gain = F.abs("missed") - F.abs(F.abs("missed") - F.col("size"))
+        best = near.withColumn("gain", gain).filter((F.col("gain") > 0.5) & ~F.col("uid").isin([u for u, _ in moved]))
+        # A source's best document: one row a source.
+        picked = best.groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("g"), "doc_id", "text_hash", "uid", "size")).alias("b"), F.max("missed").alias("missed")).collect()
+        for r in picked:
+            step = 1 if r.missed > 0 else -1
+            moved.append((r.b.uid, step))
+            missed[r.src] -= step * r.b.size
+        if not picked:
+            break
+    return spark.createDataFrame(moved, "uid long, more int")
 
 
 def _ddl(sketch: DataFrame) -> str:
@@ -156,7 +191,8 @@ def _sizes(texts: pd.Series) -> pd.Series:
 
 def _first_round(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "text_hash", "pack"], ignore_index=True)  # partners of like size
+        # Of two the longer is left over more often; from long to short, what is left at the end is among the shortest.
+        rows = rows.sort_values(["size", "doc_id", "text_hash", "pack"], ascending=[False, True, True, True], ignore_index=True)
         rows = rows.loc[rows.index.repeat(rows["m"])].reset_index(drop=True)
         rate = float(rows["rate"].iloc[0])
         whole, share = int(rate), rate - int(rate)
@@ -179,7 +215,7 @@ def _first_round(seed: int):
 
 def _next_round(seed: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part", ignore_index=True)
+        rows = rows.sort_values(["size", "part"], ascending=[False, True], ignore_index=True)
         source = int(rows["src"].iloc[0])
         done, left = settle([(k, int(n), p) for k, n, p in zip(rows["part"].tolist(), rows["size"], rows["p"], strict=True)], (seed, source, "tree"))
         if left and last:
