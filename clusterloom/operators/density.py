@@ -239,10 +239,11 @@ def cvnn_parts(x: np.ndarray, labels: np.ndarray, k: int = 5) -> tuple[float, fl
 
 def _cvnn_large(points: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     names = list(keys)
-    near = tiles.neighbours(tiles.blocks_of(points, names), names, k)
+    blocks = tiles.blocks_of(points, names)
+    near = tiles.neighbours(blocks, names, k)
     out = near.groupBy(*names, "label", "point_id").agg(F.avg((F.col("label") != F.col("other_label")).cast("double")).alias("o"))
     sep = out.groupBy(*names, "label").agg(F.avg("o").alias("o")).groupBy(*names).agg(F.max("o").alias("sep"))
-    within = tiles.point_sums(points, names, tiles.blocks_of(points, names), tiles.distances_within)
+    within = tiles.point_sums(points, names, blocks, tiles.distances_within)
     own = points.select(*names, F.col("point_id").cast("long").alias("point_id"), "label").join(within, [*names, "point_id"])
     each = own.groupBy(*names, "label").agg(F.sum("total").alias("t"), F.count("*").alias("n"))
     com = each.groupBy(*names).agg(F.sum(F.col("t") / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1))).alias("com"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import tiles
 
 NOISE = -1
@@ -128,14 +129,14 @@ def s_dbw(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def split_large(points: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Points of the keys with at most so many, and those of the others; None where there are none."""
+    """Points of the keys with at most so many, and those of the others, written once as many passes read them; None where there are none."""
     large = points.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
     if not large.limit(1).count():
         return points, None
     if not keys:
-        return points.limit(0), points
+        return points.limit(0), written(points, "large")
     large = large.select(*keys)
-    return points.join(large, list(keys), "left_anti"), points.join(large, list(keys), "left_semi")
+    return points.join(large, list(keys), "left_anti"), written(points.join(large, list(keys), "left_semi"), "large")
 
 
 def _pairwise(name: str, kernel, whole):
