@@ -235,7 +235,12 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 10, min_samples: int = 5) ->
         return np.full(n, -1), {}
     d = distances(x)
     core = np.sort(d, 1)[:, min(min_samples, n - 1)]
-    edges = mst(np.maximum(d, np.maximum(core[:, None], core[None, :])))
+    return condensed(n, mst(np.maximum(d, np.maximum(core[:, None], core[None, :]))), min_cluster_size)
+
+
+def condensed(n: int, edges, min_cluster_size: int) -> tuple[np.ndarray, dict[int, float]]:
+    """(labels, persistence by label) of n points from the edges (length, a, b) of their spanning tree."""
+    edges = sorted((e, min(a, b), max(a, b)) for e, a, b in edges)
     root, size, children, height = list(range(2 * n - 1)), [1] * n, {}, {}
 
     def find(i: int) -> int:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import indices, kernels
+from . import indices, kernels, tiles
 
 # The search space of the x_only view.
 K_RANGE = (2, 3, 4, 5)
@@ -57,6 +57,8 @@ METRICS = {
 }
 #: Configurations that a task runs on one copy of a cloud, and those of a candidate table at most (a few hundred bytes each).
 CHUNK, MOST_CANDIDATES = 16, 100_000
+#: Points of a cloud whose distances one task holds for hdbscan.
+HDBSCAN_POINTS = 10_000
 
 
 def register_index(name: str, kernel: Callable, squash: Callable[[float], float] = float, higher_is_better: bool = True) -> None:
@@ -217,8 +219,15 @@ def best_per_algorithm(log: DataFrame, keys: Sequence[str] = ("dataset_id",)) ->
 
 
 def labels_of(points: DataFrame, algorithm: str, config: dict, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """points with 'label' from one algorithm."""
+    """points with 'label' from one algorithm. Clouds beyond HDBSCAN_POINTS are clustered by hdbscan in tiles."""
     names, known = list(keys), dict(kernels.ALGORITHMS)
+    if algorithm == "hdbscan":
+        points, large = indices.split_large(points, names, HDBSCAN_POINTS)
+        if large is not None:
+            labels = tiles.hdbscan(large, names, **config)
+            many = large.select(*names, "point_id", "x", "y").join(labels, [*names, "point_id"])
+            kinds = [F.col(c).cast(points.schema[c].dataType) for c in [*names, "point_id"]]
+            return labels_of(points, algorithm, config, keys).union(many.select(*kinds, F.col("x").cast("double"), F.col("y").cast("double"), "label")) if names else many.select(*kinds, "x", "y", "label")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_id")

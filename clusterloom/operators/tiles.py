@@ -442,3 +442,24 @@ def dcsi(points: DataFrame, keys: Sequence[str], min_points: int = 5) -> DataFra
     q = F.col("apart") / F.greatest("joined", "joined2", F.lit(1e-300))
     both = _gaps(kept, names).join(joined, [*names, "label"]).join(other, [*names, "other"])
     return both.groupBy(*names).agg(F.avg(q / (1 + q)).alias("raw"))
+
+
+def hdbscan(points: DataFrame, keys: Sequence[str], min_cluster_size: int = 10, min_samples: int = 5) -> DataFrame:
+    """(keys, point_id, label) of whole clouds (CLU-06): the tree of mutual reachability is made in tiles; one task reads its edges, n - 1 a cloud.
+
+    points: keys, point_id, x, y.
+    """
+    from .kernels import condensed
+
+    names = list(keys)
+    own = written(points.select(*names, F.col("point_id").cast("long").alias("point_id"), "x", "y", F.lit(0).cast("long").alias("label")), "cloud")
+    near = neighbours(blocks_of(own, names), names, min_samples).groupBy(*names, "point_id").agg(F.max("d").alias("core"))
+    tree = spanning_edges(own.join(near, [*names, "point_id"]), names)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(rows[["u", "v"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        labels = condensed(len(ids), zip(rows["w"].tolist(), ends[:, 0].tolist(), ends[:, 1].tolist(), strict=True), min_cluster_size)[0]
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in names}, "point_id": ids, "label": labels})
+
+    return tree.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, _named(points, names) + "point_id long, label int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from clusterloom.operators import density, indices, kernels, tiles
+from clusterloom.operators import density, indices, kernels, search, tiles
 
 POINTS = "dataset_id long, point_id long, x double, y double, label int"
 
@@ -77,3 +77,23 @@ def test_density_indices_in_tiles(spark, clouds, small_tiles, monkeypatch):
     assert values(density.density_indices(clouds, ["dataset_id"], names), "dataset_id", "metric_id") == want
     with pytest.raises(ValueError, match="cvdd"):
         density.density_indices(clouds, ["dataset_id"], ["cvdd"])
+
+
+def test_shared_neighbour_index_by_hand_and_in_tiles(spark, clouds, small_tiles, monkeypatch):
+    x = np.array([[0.0, 0], [1, 0], [10, 0], [11, 0], [12, 0]])
+    sep, com = density.cvnn_parts(x, np.array([0, 0, 0, 1, 1]), 1)
+    # Of (11, 0) both neighbours are as near, the first is outside; so is that of (10, 0). Pairs of cluster 0: 1, 10, 9.
+    assert sep == pytest.approx(1 / 2) and com == pytest.approx(20 / 3 + 1)
+    both = clouds.filter("label >= 0").selectExpr("*", "explode(array(1, 2)) as candidate").selectExpr("dataset_id", "candidate", "point_id", "x", "y", "if(candidate = 1, label, label % 2) as label")
+    got = lambda: {(r.dataset_id, r.candidate): (round(r.sep, 9), round(r.com, 9), round(r.raw, 9)) for r in density.cvnn(both, ["dataset_id"], "candidate").collect()}
+    want = got()
+    assert len(want) == 4
+    monkeypatch.setattr(density, "MOST_POINTS", 100)
+    assert got() == want
+
+
+def test_hdbscan_in_tiles(spark, clouds, small_tiles, monkeypatch):
+    want = {(r.dataset_id, r.point_id): r.label for r in search.labels_of(clouds, "hdbscan", {"min_cluster_size": 8}).collect()}
+    assert len(set(want.values())) > 2
+    monkeypatch.setattr(search, "HDBSCAN_POINTS", 100)
+    assert {(r.dataset_id, r.point_id): r.label for r in search.labels_of(clouds, "hdbscan", {"min_cluster_size": 8}).collect()} == want
