@@ -173,7 +173,7 @@ SMALLER_IS_BETTER = ("cop", "davies_bouldin", "s_dbw", "avg_within_cluster_dispe
 
 
 #: Plans for clouds beyond MOST_POINTS, and indices whose memory grows with the points alone, at any size in one task.
-WHOLE = {"dbcv": tiles.dbcv, "cop": tiles.cop, "dcsi": tiles.dcsi}
+WHOLE = {"dbcv": tiles.dbcv, "cop": tiles.cop, "cvdd": tiles.cvdd, "dcsi": tiles.dcsi}
 LINEAR = ("cdbw", "coggins_jain")
 
 
@@ -181,8 +181,7 @@ def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str]
     """(keys, metric_id, raw, oriented): oriented is higher-is-better (BL-07, BL-14).
 
     A task holds one partition of up to MOST_POINTS; larger ones are compared in
-    tiles (WHOLE), but for cvdd, whose paths join all points of a cloud: it is
-    refused there.
+    tiles (WHOLE), or in one task where memory grows with the points alone.
     """
     chosen, own = list(names or DENSITY), list(keys)
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in own)
@@ -204,8 +203,6 @@ def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str]
     out = small.groupBy(*by).applyInPandas(scored(chosen), ddl)
     if large is None:
         return out
-    if "cvdd" in chosen:
-        raise ValueError(f"cvdd compares at most {MOST_POINTS} points of a key; use a sample of the cloud or leave it out")
     linear = [n for n in chosen if n in LINEAR]
     if linear:
         out = out.unionByName(large.groupBy(*by).applyInPandas(scored(linear), ddl))

@@ -171,6 +171,11 @@ def evaluator(metrics: Sequence[str], algorithms: Sequence[str] = (), seconds: f
     return run
 
 
+def spread(points: DataFrame, *by: str) -> DataFrame:
+    """points dealt out by columns to as many tasks as shuffles have: work on a cloud doesn't follow its bytes, by which small ones would share a task."""
+    return points.repartition(max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def log_ddl(points: DataFrame, names: Sequence[str]) -> str:
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in names)
     return f"{kinds}, candidate int, algorithm string, config string, valid boolean, n_clusters int, noise_ratio double, exception string, metric_id string, raw double, norm double"
@@ -201,7 +206,7 @@ def run_trials(points: DataFrame, candidates: DataFrame, keys: Sequence[str] = (
         return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
 
     copies = points.select(*names, "point_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-    return copies.groupBy(*names, "_chunk").applyInPandas(run, ddl)
+    return spread(copies, *names, "_chunk").groupBy(*names, "_chunk").applyInPandas(run, ddl)
 
 
 def best_trials(log: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:

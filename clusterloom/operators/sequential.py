@@ -222,7 +222,7 @@ def run_search(
         return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
 
     ddl = search.log_ddl(points, names) + ", objective double"
-    cloud = points.select(*names, "point_id", "x", "y").groupBy(*names)
+    cloud = search.spread(points.select(*names, "point_id", "x", "y"), *names).groupBy(*names)
     if log is None:
         return cloud.applyInPandas(lambda key, rows: run(key, rows), ddl)
     told = log.select(*names, "candidate", "algorithm", "config", "objective").distinct()

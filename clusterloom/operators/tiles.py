@@ -246,11 +246,21 @@ def neighborhood_purity(points: DataFrame, keys: Sequence[str], ks: Sequence[int
 # --- spanning trees --------------------------------------------------------------------------------
 
 
-def spanning_edges(points: DataFrame, keys: Sequence[str], size: int = BLOCK) -> DataFrame:
+def reachability(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest of the distances and both core values."""
+    return np.maximum(d, np.maximum(a, b))
+
+
+def stretched(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances made longer by both factors, by themselves at most twice."""
+    return d + np.sqrt(a * b) * d
+
+
+def spanning_edges(points: DataFrame, keys: Sequence[str], size: int = BLOCK, weigh: Callable = reachability) -> DataFrame:
     """(keys, label, u, v, w) of the least spanning tree of each cluster of points (keys, point_id, x, y, label, core), written.
 
-    The weight of two points is the largest of their distance and both core
-    values. Boruvka's rounds: each part of a tree takes its lightest edge to
+    The weight of two points is weigh(distance, core, core), the distance or
+    more. Boruvka's rounds: each part of a tree takes its lightest edge to
     another part of its cluster (ties by ids), which at least halves the parts.
     A round looks into a point's own block first; other blocks are visited only
     where their box is nearer than the lightest edge that a part of the block
@@ -273,7 +283,7 @@ def spanning_edges(points: DataFrame, keys: Sequence[str], size: int = BLOCK) ->
             for o in others:
                 there = o.extra[:, 1].astype(np.int64)
                 for at, d in own.steps(o):
-                    w = np.maximum(d, np.maximum(core[at, None], o.extra[None, :, 0]))
+                    w = weigh(d, core[at, None], o.extra[None, :, 0])
                     w[(own.labels[at, None] != o.labels[None, :]) | (comp[at, None] == there[None, :])] = np.inf
                     least = w.min(1)
                     for i in np.flatnonzero((least <= limit[at]) & np.isfinite(least)):
@@ -463,3 +473,59 @@ def hdbscan(points: DataFrame, keys: Sequence[str], min_cluster_size: int = 10,
         return pd.DataFrame({**{k: rows[k].iloc[0] for k in names}, "point_id": ids, "label": labels})
 
     return tree.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, _named(points, names) + "point_id long, label int")
+
+
+def cvdd(points: DataFrame, keys: Sequence[str], k: int = 7) -> DataFrame:
+    """(keys, raw): BL-11 of whole clouds: separation over compactness in minimax paths of density-weighted distances.
+
+    A minimax path lies on the spanning tree. The nearest point outside a
+    cluster is over the tree's least edge out of it; within it, an edge is the
+    path of all pairs that it joins when edges are added by length.
+    """
+    names = list(keys)
+    own = written(points.select(*names, F.col("point_id").cast("long").alias("point_id"), "x", "y", F.col("label").cast("long").alias("label")), "cloud")
+    near = neighbours(blocks_of(own, names), names, k).groupBy(*names, "point_id").agg(F.avg("d").alias("local"))
+    most = near.groupBy(*names).agg(F.greatest(F.max("local"), F.lit(1e-300)).alias("most"))
+    factor = _on(near, most, names).select(*names, "point_id", (F.col("local") / F.col("most")).alias("core"))
+    one = own.join(factor, [*names, "point_id"]).select(*names, "point_id", "x", "y", F.lit(0).cast("long").alias("label"), "core")
+    end = lambda c: own.select(*names, F.col("point_id").alias(c), F.col("label").alias(f"l{c}"))
+    tree = spanning_edges(one, names, weigh=stretched).join(end("u"), [*names, "u"]).join(end("v"), [*names, "v"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("w")
+        ids, ends = np.unique(rows[["u", "v"]].to_numpy(), return_inverse=True)
+        label = dict(zip(ends.ravel().tolist(), rows[["lu", "lv"]].to_numpy().ravel().tolist(), strict=True))
+        root, held = list(range(len(ids))), {i: {label[i]: 1} for i in range(len(ids))}
+        total: dict[int, list[float]] = {c: [0.0, 0.0] for c in set(label.values())}
+        count, out = {c: 0 for c in total}, dict.fromkeys(total, np.inf)
+        for c in label.values():
+            count[c] += 1
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for w, a, b in zip(rows["w"].tolist(), *ends.reshape(-1, 2).T.tolist(), strict=True):
+            if label[a] != label[b]:
+                out[label[a]], out[label[b]] = min(out[label[a]], w), min(out[label[b]], w)
+            a, b = find(a), find(b)
+            if sum(held[a].values()) < sum(held[b].values()):
+                a, b = b, a
+            for c, n in held.pop(b).items():
+                pairs = 2 * n * held[a].get(c, 0)
+                total[c][0] += pairs * w
+                total[c][1] += pairs * w * w
+                held[a][c] = held[a].get(c, 0) + n
+            root[b] = a
+        value = 0.0
+        for c, n in count.items():
+            if n > 1:
+                mean = total[c][0] / n**2
+                spread = np.sqrt(max(0.0, total[c][1] / n**2 - mean**2))
+                value += out[c] / max(mean * (1 + spread), 1e-300)
+        raw = value / len(count) if len(count) > 1 else None
+        return pd.DataFrame({**{k: rows[k].iloc[:1].tolist() for k in names}, "raw": pd.Series([raw], dtype="float64")})
+
+    return tree.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, _named(points, names) + "raw double")
