@@ -169,7 +169,9 @@ def _repairs(taken: DataFrame, goal: dict[int, float], rates: dict[int, float])
         open_ = spark.createDataFrame(rows, "src int, missed double, whole int")
         near = taken.join(F.broadcast(open_), "src").filter(F.when(F.col("missed") > 0, F.col("copies") == F.col("whole")).otherwise(F.col("copies") > F.col("whole")))
         gain = F.abs("missed") - F.abs(F.abs("missed") - F.col("size"))
-        best = near.withColumn("gain", gain).filter((F.col("gain") > 0.5) & ~F.col("uid").isin([u for u, _ in moved]))
+        best = near.withColumn("gain", gain).filter(F.col("gain") > 0.5)
+        if moved:
+            best = best.join(F.broadcast(spark.createDataFrame(moved, "uid long, more int")), "uid", "left_anti")
         # A source's best document: one row a source.
         picked = best.groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("g"), "doc_id", "text_hash", "uid", "size")).alias("b"), F.max("missed").alias("missed")).collect()
         for r in picked:
