@@ -50,6 +50,11 @@ def _on(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def blocks_of(points: DataFrame, keys: Sequence[str], extra: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
     """Packed blocks (keys, PACKED) of points (keys, point_id, x, y, label, extra); about size points each, written."""
+    return packed(laid_out(points, keys, extra, size), keys, extra)
+
+
+def packed(placed: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Packed blocks, written, of points that have their _block."""
     names, more = list(keys), list(extra)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +64,14 @@ def blocks_of(points: DataFrame, keys: Sequence[str], extra: Sequence[str] = (),
         data = {"ids": rows["point_id"].to_numpy("<i8"), "xy": np.column_stack((x, y)).astype("<f8"), "labels": rows["label"].to_numpy("<i8"), "extra": rows[more].to_numpy("<f8")}
         return pd.DataFrame({k: [v] for k, v in (facts | {k: v.tobytes() for k, v in data.items()}).items()})
 
-    own = points.select(*names, F.col("point_id").cast("long").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("label").cast("long").alias("label"), *(F.col(c).cast("double").alias(c) for c in more))
+    own = placed.select(*names, "_block", "point_id", "x", "y", "label", *(F.col(c).cast("double").alias(c) for c in more))
+    return written(own.groupBy(*names, "_block").applyInPandas(pack, _named(placed, names) + PACKED), "blocks")
+
+
+def laid_out(points: DataFrame, keys: Sequence[str], extra: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
+    """points (keys, point_id, x, y, label, extra) with the number of their _block."""
+    names = list(keys)
+    own = points.select(*names, F.col("point_id").cast("long").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("label").cast("long").alias("label"), *extra)
     sizes = own.groupBy(*names).agg(F.count("*").alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1")).withColumn("_parts", F.ceil(F.sqrt(F.col("_n") / size)))
     # Strips by histogram: equal widths would crowd; the quantiles of a fixed grid of 1,024 bins are near enough.
     bins = lambda c, low, high: F.least(F.lit(1023), F.floor((F.col(c) - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1e-300)) * 1024)).cast("int")
@@ -68,8 +80,8 @@ def blocks_of(points: DataFrame, keys: Sequence[str], extra: Sequence[str] = (),
     tall = strips.groupBy(*names, "_strip").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     placed = _dealt(strips.join(tall, [*names, "_strip"]).withColumn("_bin", bins("y", "_y0", "_y1")), [*names, "_strip"], "_parts", "_row")
     crowd = placed.groupBy(*names, "_strip", "_row").agg(F.ceil(F.count("*") / (2 * size)).alias("_split"))
-    split = placed.join(crowd, [*names, "_strip", "_row"]).withColumn("_block", (F.col("_strip") * F.col("_parts") + F.col("_row")) * (1 << 20) + F.pmod(F.xxhash64("point_id"), F.col("_split")))
-    return written(split.select(*names, "_block", "point_id", "x", "y", "label", *more).groupBy(*names, "_block").applyInPandas(pack, _named(points, names) + PACKED), "blocks")
+    block = (F.col("_strip") * F.col("_parts") + F.col("_row")) * (1 << 20) + F.pmod(F.xxhash64("point_id"), F.col("_split"))
+    return placed.join(crowd, [*names, "_strip", "_row"]).select(*names, block.alias("_block"), "point_id", "x", "y", "label", *extra)
 
 
 def _dealt(rows: DataFrame, by: Sequence[str], parts: str, name: str) -> DataFrame:
@@ -269,12 +281,12 @@ def spanning_edges(points: DataFrame, keys: Sequence[str], size: int = BLOCK, we
     names = list(keys)
     ddl = "comp long, w double, u long, v long, label long, to long"
     order = lambda *c: F.min(F.struct(*c))
-    state = written(points.select(*names, "point_id", "x", "y", "label", "core", F.col("point_id").cast("long").alias("comp")), "parts")
-    tree, boxes = None, None
+    placed = laid_out(points.select(*names, "point_id", "x", "y", "label", "core"), names, ("core",), size)
+    state, tree, pairs = written(placed.withColumn("comp", F.col("point_id")), "parts"), None, None
     while True:
         # Ids travel as doubles in the packed rows: they are numbers of rows, below 2^53.
-        blocks = blocks_of(state, names, ("core", "comp"), size)
-        pairs = block_pairs(blocks, names)
+        blocks = packed(state, names, ("core", "comp"))
+        pairs = written(block_pairs(blocks, names), "gaps") if pairs is None else pairs
 
         def lightest(own: Block, others: list[Block], row) -> pd.DataFrame:
             best: dict[int, tuple] = {}
@@ -303,13 +315,13 @@ def spanning_edges(points: DataFrame, keys: Sequence[str], size: int = BLOCK, we
                     own = Block(r)
                     yield pd.DataFrame({**{k: [getattr(r, k)] * len(own.ids) for k in names}, "i": r.block, "at": np.arange(len(own.ids)), "comp": own.extra[:, 1].astype(np.int64)})
 
-        def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        def bound(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("at")
             limit = rows["limit"].fillna(np.inf).to_numpy("<f8")
             return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in names}, "i": [int(rows["i"].iloc[0])], "limits": [limit.tobytes()], "most": [float(limit.max())]})
 
         asked = blocks.mapInPandas(listed, _named(points, names) + "i long, at long, comp long").join(known, [*names, "comp"], "left")
-        limits = written(asked.groupBy(*names, "i").applyInPandas(packed, _named(points, names) + "i long, limits binary, most double"), "limits")
+        limits = written(asked.groupBy(*names, "i").applyInPandas(bound, _named(points, names) + "i long, limits binary, most double"), "limits")
         more = pairs.filter("i <> j").join(limits.select(*names, "i", "most"), [*names, "i"]).filter("gap <= most")
         found = home.union(visit(blocks, more, names, lightest, ddl, limits.drop("most")).select(home.columns))
         picked = found.groupBy(*names, "comp").agg(order("w", "u", "v", "label", "to").alias("e")).select(*names, "comp", "e.*")

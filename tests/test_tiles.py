@@ -28,8 +28,8 @@ def clouds(spark):
 @pytest.fixture
 def small_tiles(monkeypatch):
     monkeypatch.setattr(tiles, "CHUNK", 3)
-    make = tiles.blocks_of
-    monkeypatch.setattr(tiles, "blocks_of", lambda points, keys, extra=(), size=40: make(points, keys, extra, 40))
+    make = tiles.laid_out
+    monkeypatch.setattr(tiles, "laid_out", lambda points, keys, extra=(), size=40: make(points, keys, extra, 40))
 
 
 def values(df, *by):
@@ -83,7 +83,7 @@ def test_shared_neighbour_index_by_hand_and_in_tiles(spark, clouds, small_tiles,
     # Of (11, 0) both neighbours are as near, the first is outside; so is that of (10, 0). Pairs of cluster 0: 1, 10, 9.
     assert sep == pytest.approx(1 / 2) and com == pytest.approx(20 / 3 + 1)
     both = clouds.filter("label >= 0").selectExpr("*", "explode(array(1, 2)) as candidate").selectExpr("dataset_id", "candidate", "point_id", "x", "y", "if(candidate = 1, label, label % 2) as label")
-    got = lambda: {(r.dataset_id, r.candidate): (round(r.sep, 9), round(r.com, 9), round(r.raw, 9)) for r in density.cvnn(both, ["dataset_id"], "candidate").collect()}
+    got = lambda: {(r.dataset_id, r.candidate): tuple(None if v is None else round(v, 9) for v in (r.sep, r.com, r.raw)) for r in density.cvnn(both, ["dataset_id"], "candidate").collect()}
     want = got()
     assert len(want) == 4
     monkeypatch.setattr(density, "MOST_POINTS", 65)
