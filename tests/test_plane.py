@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from clusterloom.operators import kernels, learning, plane, search
+from clusterloom.operators import kernels, plane, search
 
 SCHEMA = "dataset_id long, point_id long, x double, y double"
 
@@ -47,3 +47,22 @@ def test_clouds_beyond_a_matrix_are_clustered(spark, name, config):
     labels = np.array([r.label for r in search.labels_of(df, name, config).orderBy("point_id").collect()]).reshape(3, -1)
     assert [np.bincount(own[own >= 0], minlength=3).argmax() for own in labels] == [0, 1, 2]
     assert all((own == c).mean() > 0.9 for c, own in enumerate(labels))
+
+
+def test_silhouettes_of_several_partitions_are_those_of_each():
+    from clusterloom.operators import indices
+
+    for x in clouds():
+        one = np.arange(len(x)) % 3
+        two = np.where(one == 1, -1, (x[:, 0] > 0).astype(int))
+        expected = [indices.silhouette_kernel(x[p >= 0], p[p >= 0]) for p in (one, two)]
+        assert indices.silhouettes(x, [one, np.zeros(len(x), int), two]) == [pytest.approx(expected[0]), None, pytest.approx(expected[1])]
+
+
+def test_trials_of_clouds_beyond_a_matrix_are_no_failures(spark):
+    x = np.concatenate([np.random.default_rng(c).normal(c, 0.05, (3_500, 2)) for c in range(3)])
+    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(x)], SCHEMA)
+    rows = [(1, "dbscan", '{"eps": 0.05, "min_samples": 4}'), (2, "hdbscan_constrained-3", "{}"), (3, "dbscan", '{"eps": 0.05, "min_samples": 4}')]
+    log = search.run_trials(df, search.candidate_table(spark, rows), metrics=("silhouette", "neighborhood_purity")).collect()
+    assert len(log) == 6 and all(r.exception is None and r.valid for r in log)
+    assert sorted((r.metric_id, r.raw) for r in log if r.candidate == 1) == sorted((r.metric_id, r.raw) for r in log if r.candidate == 3)
