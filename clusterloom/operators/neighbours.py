@@ -15,6 +15,8 @@ from .summaries import q
 EXACT = 1e-12
 #: Reference vectors that may be broadcast as one matrix, in bytes of doubles.
 BROADCAST_BYTES = 8 << 20
+#: Distances that a step holds.
+STEP = 1 << 21
 
 
 def knn_join(queries: DataFrame, references: DataFrame, k: int, id_col: str, vector: str, metric: str = "euclidean", exclude_self: bool = True) -> DataFrame:
@@ -36,6 +38,12 @@ def knn_join(queries: DataFrame, references: DataFrame, k: int, id_col: str, vec
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
+def _least(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k least distances, equal ones by id, missing ones last."""
+    near = np.flatnonzero(~(row > np.partition(row, k - 1)[k - 1])) if len(row) > k else np.arange(len(row))
+    return near[np.lexsort((ids[near], row[near]))][:k]
+
+
 def _nearest(held, k: int, metric: str, exclude_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = held.value
@@ -44,18 +52,19 @@ def _nearest(held, k: int, metric: str, exclude_self: bool):
             a = np.array(batch.iloc[:, 1].tolist(), float).reshape(len(batch), -1)
             if not len(ids) or not len(a):
                 continue
-            for i in range(0, len(a), 256):
-                part = a[i : i + 256]
+            size = max(1, min(256, STEP // len(ids)))
+            for i in range(0, len(a), size):
+                part = a[i : i + size]
                 if metric == "cosine":
                     norms = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
                     d = 1 - (part @ x.T) / np.maximum(norms, 1e-300)
                 else:
                     d = np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in part])
                 if exclude_self:
-                    d[own[i : i + 256, None] == ids[None, :]] = np.inf
-                near = np.stack([np.lexsort((ids, row))[:k] for row in d])
+                    d[own[i : i + size, None] == ids[None, :]] = np.inf
+                near = np.stack([_least(row, ids, k) for row in d])
                 at = np.repeat(np.arange(len(part)), near.shape[1])
-                out = pd.DataFrame({"query_id": own[i : i + 256][at], "neighbour_id": ids[near.ravel()], "distance": d[at, near.ravel()]})
+                out = pd.DataFrame({"query_id": own[i : i + size][at], "neighbour_id": ids[near.ravel()], "distance": d[at, near.ravel()]})
                 yield out[np.isfinite(out["distance"])]
 
     return run
