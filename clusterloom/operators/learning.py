@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import search
 
 VIEWS = ("x_only", "y_only", "xy_2d")
@@ -200,7 +201,7 @@ def landmark_scores(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Indices of a mean-shift partition of each cloud (BL-06): keys, n_clusters, silhouette, calinski_harabasz, davies_bouldin."""
     from . import indices
 
-    labelled = search.labels_of(points, "mean_shift", {}, keys)
+    labelled = written(search.labels_of(points, "mean_shift", {}, keys), "labels")  # several passes read it
     own = list(keys)
     out = labelled.groupBy(*own).agg(F.countDistinct("label").alias("n_clusters"))
     for name, f in (("silhouette", indices.silhouette), ("calinski_harabasz", indices.calinski_harabasz), ("davies_bouldin", indices.davies_bouldin)):

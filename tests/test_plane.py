@@ -66,3 +66,10 @@ def test_trials_of_clouds_beyond_a_matrix_are_no_failures(spark):
     log = search.run_trials(df, search.candidate_table(spark, rows), metrics=("silhouette", "neighborhood_purity")).collect()
     assert len(log) == 6 and all(r.exception is None and r.valid for r in log)
     assert sorted((r.metric_id, r.raw) for r in log if r.candidate == 1) == sorted((r.metric_id, r.raw) for r in log if r.candidate == 3)
+
+
+def test_mean_shift_and_optics_hold_no_matrix(monkeypatch):
+    x = np.concatenate([np.random.default_rng(c).normal(c, 0.05, (600, 2)) for c in range(2)])
+    monkeypatch.setattr(kernels, "MAX_CELLS", 100_000)
+    assert len(set(kernels.mean_shift(x).tolist())) == 2
+    assert len(kernels.optics(x)) == 1_200
