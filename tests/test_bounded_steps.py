@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 
-from clusterloom.operators import neighbours, shapes
+from clusterloom.operators import indices, kernels, neighbours, search, shapes
 
 
 def test_clouds_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
@@ -23,3 +23,43 @@ def test_steps_of_a_broadcast_join_hold_bounded_distances(monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     assert pd.concat(parts)["neighbour_id"].tolist() == np.stack([np.lexsort((ids, r))[:4] for r in d]).ravel().tolist()
+
+
+def test_trials_leave_their_cloud_as_it_is():
+    x = np.asfortranarray(np.random.default_rng(1).normal(size=(60, 2)))  # the layout of columns of pandas
+    before, labels = x.copy(), kernels.optics(x, 5)
+    assert (x == before).all() and (labels == kernels.optics(before, 5)).all()
+
+
+def test_trials_of_large_clouds_are_shared_by_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    clouds = [(d, i, float(a), float(b)) for d in (0, None) for i, (a, b) in enumerate(np.concatenate([rng.normal(c, 0.3, (70, 2)) for c in ((0, 0), (3, 1))]))]
+    points = spark.createDataFrame(clouds, "dataset_id int, point_id long, x double, y double")
+    space = [("kmeans", {"n_clusters": 2}), ("optics", {"min_samples": 5}), ("hdbscan", {}), ("dbscan", {"eps": 9.0}), ("none", {}), ("kmeans", {"n_clusters": 3})]
+    candidates = search.candidate_table(spark, [(i, a, json.dumps(c)) for i, (a, c) in enumerate(space)])
+    log = lambda: {(r.dataset_id, r.candidate, r.metric_id): (r.valid, r.n_clusters, r.noise_ratio, r.exception, r.raw and round(r.raw, 9), round(r.norm, 9)) for r in search.run_trials(points, candidates).collect()}
+    want = log()
+    for name, value in (("TASK_POINTS", 100), ("LARGE_CHUNK", 2), ("PART", 64)):
+        monkeypatch.setattr(search, name, value)
+    assert log() == want and len(want) == 36
+    by_hand = {}
+    for i, (a, c) in enumerate(space[:3]):
+        x = np.array([r[2:] for r in clouds if r[0] == 0])
+        labels = kernels.resolve(a)[0](x, **c)
+        by_hand[i] = round(indices.silhouette_kernel(x[labels >= 0], labels[labels >= 0]), 9)
+    assert {i: want[0, i, "silhouette"][4] for i in by_hand} == by_hand
+
+
+def test_silhouettes_by_product_and_by_runs_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, labels = rng.normal(size=(300, 2)), [rng.integers(-1, 40, 300), rng.integers(0, 3, 300), np.zeros(300, int)]
+    want = indices.silhouettes(x, labels)
+    for product in (1, 100):
+        monkeypatch.setattr(indices, "PRODUCT", product)
+        monkeypatch.setattr(indices, "STEPS", (16, 50))
+        assert np.allclose(want[:2], indices.silhouettes(x, labels)[:2], atol=1e-12) and want[2] is None
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = labels[1]
+    means = np.array([[d[i, (own == c) & (np.arange(300) != i)].mean() for c in range(3)] for i in range(300)])
+    a, b = means[np.arange(300), own], np.where(np.arange(3) == own[:, None], np.inf, means).min(1)
+    assert np.isclose(want[1], ((b - a) / np.maximum(a, b)).mean())
