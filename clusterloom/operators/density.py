@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tiles
+from . import kernels, plane, tiles
+from .contours import hull
 from .indices import clustered, split_large
-from .kernels import distances, mst
+from .kernels import distances, in_blocks, mst
+from .search import spread
 
-#: Points of a key whose distances one task holds; larger clouds are compared in tiles.
-MOST_POINTS = 10_000
+#: Points of a key that one task compares, beyond kernels.MATRIX_POINTS in blocks of the plane; larger clouds are compared in tiles.
+MOST_POINTS = 400_000
 
 
 def _parts(labels: np.ndarray) -> list[np.ndarray]:
@@ -33,6 +35,8 @@ def dbcv(x: np.ndarray, labels: np.ndarray) -> float | None:
     parts = [p for p in _parts(labels) if len(p) > 2]
     if len(parts) < 2:
         return None
+    if in_blocks(x):
+        return _dbcv_in_blocks(x, labels, parts)
     d = distances(x)
     core = np.zeros(len(x))
     for p in parts:
@@ -52,15 +56,43 @@ def dbcv(x: np.ndarray, labels: np.ndarray) -> float | None:
     return float(total)
 
 
+def _core_in_blocks(x: np.ndarray) -> np.ndarray:
+    """_core() of all distances of a cluster, a few rows at a time."""
+    total, step = np.zeros(len(x)), max(1, plane.STEP // (8 * len(x)))
+    for i in range(0, len(x), step):
+        d = plane.between(x[i : i + step], x)
+        with np.errstate(divide="ignore"):
+            np.divide(1.0, d, out=d)
+        d[np.isinf(d)] = 0.0
+        total[i : i + step] = np.einsum("ij,ij->i", d, d) if x.shape[1] == 2 else (d ** x.shape[1]).sum(1)
+    return np.maximum(total / max(1, len(x) - 1), 1e-300) ** (-1 / x.shape[1])
+
+
+def _dbcv_in_blocks(x: np.ndarray, labels: np.ndarray, parts: list[np.ndarray]) -> float:
+    core, sparse, inner = np.zeros(len(x)), [], []
+    for p in parts:
+        core[p] = _core_in_blocks(x[p])
+        edges = plane.spanning_tree(x[p], core[p])
+        degree = np.bincount([i for _, a, b in edges for i in (a, b)], minlength=len(p))
+        inside = [e for e, a, b in edges if degree[a] > 1 and degree[b] > 1]
+        sparse.append(max(inside or [e for e, _, _ in edges]))
+        inner.append(p[degree > 1] if (degree > 1).any() else p)
+    kept = np.concatenate(inner)
+    apart = plane.least_apart(x[kept], labels[kept], core[kept])
+    return float(sum(len(p) / len(x) * (a - s) / max(a, s, 1e-300) for p, a, s in zip(parts, apart.tolist(), sparse, strict=True)))
+
+
 def cop(x: np.ndarray, labels: np.ndarray) -> float | None:
     """BL-01: mean distance to the centroid over the least greatest distance to a point outside; lower is better."""
-    parts, d = _parts(labels), distances(x)
+    parts, blocks = _parts(labels), in_blocks(x)
     if len(parts) < 2:
         return None
-    out = 0.0
+    d, out = None if blocks else distances(x), 0.0
     for p in parts:
         rest = np.setdiff1d(np.arange(len(x)), p)
-        out += len(p) * np.linalg.norm(x[p] - x[p].mean(0), axis=1).mean() / max(d[np.ix_(rest, p)].max(1).min(), 1e-300)
+        # The farthest point of a cluster is a corner of its hull.
+        far = min(float(plane.between(x[rest[i : i + 4096]], corners).max(1).min()) for i in range(0, len(rest), 4096)) if blocks and len(corners := hull(x[p])) else d[np.ix_(rest, p)].max(1).min()
+        out += len(p) * np.linalg.norm(x[p] - x[p].mean(0), axis=1).mean() / max(far, 1e-300)
     return float(out / len(x))
 
 
@@ -132,6 +164,9 @@ def cvdd(x: np.ndarray, labels: np.ndarray, k: int = 7) -> float | None:
     parts = _parts(labels)
     if len(parts) < 2:
         return None
+    if in_blocks(x):
+        local = plane.Plane(x).neighbours(k)[1].mean(1)
+        return tiles.separation_in_tree(plane.spanning_tree(x, local / max(local.max(), 1e-300), tiles.stretched), labels)
     d = distances(x)
     local = np.sort(d, 1)[:, 1 : k + 1].mean(1)
     factor = local / max(local.max(), 1e-300)
@@ -146,12 +181,19 @@ def cvdd(x: np.ndarray, labels: np.ndarray, k: int = 7) -> float | None:
 
 def dcsi(x: np.ndarray, labels: np.ndarray, min_points: int = 5) -> float | None:
     """BL-12: mean over pairs of separation against connectedness of the core points."""
-    parts, d = _parts(labels), distances(x)
-    cores, joined = [], []
+    parts, blocks = _parts(labels), in_blocks(x)
+    d, cores, joined = None if blocks else distances(x), [], []
     for p in parts:
-        own = d[np.ix_(p, p)]
         if len(p) <= min_points:
             continue
+        if blocks:
+            near = plane.Plane(x[p]).neighbours(2 * min_points)[1]
+            core = p[near[:, min_points - 1] <= np.median(near[:, -1])]
+            if len(core) > 1:
+                cores.append(core)
+                joined.append(max(e for e, _, _ in plane.spanning_tree(x[core], np.zeros(len(core)))))
+            continue
+        own = d[np.ix_(p, p)]
         eps = float(np.median(np.sort(own, 1)[:, min(2 * min_points, len(p) - 1)]))
         core = p[(own <= eps).sum(1) > min_points]
         if len(core) > 1:
@@ -162,7 +204,9 @@ def dcsi(x: np.ndarray, labels: np.ndarray, min_points: int = 5) -> float | None
     out = []
     for i in range(len(cores)):
         for j in range(i):
-            q = d[np.ix_(cores[i], cores[j])].min() / max(joined[i], joined[j], 1e-300)
+            both = np.concatenate((cores[i], cores[j]))
+            gap = plane.least_between(x[both], labels[both]) if blocks else d[np.ix_(cores[i], cores[j])].min()
+            q = gap / max(joined[i], joined[j], 1e-300)
             out.append(q / (1 + q))
     return float(np.mean(out))
 
@@ -180,8 +224,9 @@ LINEAR = ("cdbw", "coggins_jain")
 def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """(keys, metric_id, raw, oriented): oriented is higher-is-better (BL-07, BL-14).
 
-    A task holds one partition of up to MOST_POINTS; larger ones are compared in
-    tiles (WHOLE), or in one task where memory grows with the points alone.
+    A task holds one partition of up to kernels.MATRIX_POINTS, or one index of
+    up to MOST_POINTS, in memory that grows with the points; larger ones are
+    compared in tiles (WHOLE).
     """
     chosen, own = list(names or DENSITY), list(keys)
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in own)
@@ -198,9 +243,18 @@ def density_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str]
         return run
 
     kept = clustered(points).select(*own, "point_id", "x", "y", "label")
-    small, large = split_large(kept, own, MOST_POINTS)
+    small, large = split_large(kept, own, min(kernels.MATRIX_POINTS, MOST_POINTS))
     by = own or [F.lit(1).alias("_one")]
     out = small.groupBy(*by).applyInPandas(scored(chosen), ddl)
+    if large is None:
+        return out
+    middle, large = split_large(large, own, MOST_POINTS)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return scored([rows["_index"].iloc[0]])(rows)
+
+    each = spread(middle.withColumn("_index", F.explode(F.array(*map(F.lit, chosen)))), *own, "_index")
+    out = out.unionByName(each.groupBy(*own, "_index").applyInPandas(one, ddl))
     if large is None:
         return out
     linear = [n for n in chosen if n in LINEAR]

@@ -504,40 +504,47 @@ def cvdd(points: DataFrame, keys: Sequence[str], k: int = 7) -> DataFrame:
     tree = spanning_edges(one, names, weigh=stretched).join(end("u"), [*names, "u"]).join(end("v"), [*names, "v"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("w")
         ids, ends = np.unique(rows[["u", "v"]].to_numpy(), return_inverse=True)
-        label = dict(zip(ends.ravel().tolist(), rows[["lu", "lv"]].to_numpy().ravel().tolist(), strict=True))
-        root, held = list(range(len(ids))), {i: {label[i]: 1} for i in range(len(ids))}
-        total: dict[int, list[float]] = {c: [0.0, 0.0] for c in set(label.values())}
-        count, out = {c: 0 for c in total}, dict.fromkeys(total, np.inf)
-        for c in label.values():
-            count[c] += 1
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for w, a, b in zip(rows["w"].tolist(), *ends.reshape(-1, 2).T.tolist(), strict=True):
-            if label[a] != label[b]:
-                out[label[a]], out[label[b]] = min(out[label[a]], w), min(out[label[b]], w)
-            a, b = find(a), find(b)
-            if sum(held[a].values()) < sum(held[b].values()):
-                a, b = b, a
-            for c, n in held.pop(b).items():
-                pairs = 2 * n * held[a].get(c, 0)
-                total[c][0] += pairs * w
-                total[c][1] += pairs * w * w
-                held[a][c] = held[a].get(c, 0) + n
-            root[b] = a
-        value = 0.0
-        for c, n in count.items():
-            if n > 1:
-                mean = total[c][0] / n**2
-                spread = np.sqrt(max(0.0, total[c][1] / n**2 - mean**2))
-                value += out[c] / max(mean * (1 + spread), 1e-300)
-        raw = value / len(count) if len(count) > 1 else None
+        label = np.empty(len(ids), np.int64)
+        label[ends.ravel()] = rows[["lu", "lv"]].to_numpy().ravel()
+        raw = separation_in_tree(zip(rows["w"].tolist(), *ends.reshape(-1, 2).T.tolist(), strict=True), label)
         return pd.DataFrame({**{k: rows[k].iloc[:1].tolist() for k in names}, "raw": pd.Series([raw], dtype="float64")})
 
     return tree.groupBy(*(names or [F.lit(1).alias("_one")])).applyInPandas(run, _named(points, names) + "raw double")
+
+
+def separation_in_tree(edges, labels: np.ndarray) -> float | None:
+    """CVDD of the spanning tree (length, a, b) of points with labels: separation over compactness of minimax paths."""
+    label = labels.tolist()
+    root, held = list(range(len(label))), [{c: 1} for c in label]
+    size, count = [1] * len(label), {}
+    for c in label:
+        count[c] = count.get(c, 0) + 1
+    total, out = {c: [0.0, 0.0] for c in count}, dict.fromkeys(count, np.inf)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for w, a, b in sorted(edges):
+        if label[a] != label[b]:
+            out[label[a]], out[label[b]] = min(out[label[a]], w), min(out[label[b]], w)
+        a, b = find(a), find(b)
+        if size[a] < size[b]:
+            a, b = b, a
+        for c, n in held[b].items():
+            pairs = 2 * n * held[a].get(c, 0)
+            total[c][0] += pairs * w
+            total[c][1] += pairs * w * w
+            held[a][c] = held[a].get(c, 0) + n
+        root[b], held[b] = a, {}
+        size[a] += size[b]
+    value = 0.0
+    for c, n in count.items():
+        if n > 1:
+            mean = total[c][0] / n**2
+            spread = np.sqrt(max(0.0, total[c][1] / n**2 - mean**2))
+            value += out[c] / max(mean * (1 + spread), 1e-300)
+    return float(value / len(count)) if len(count) > 1 else None

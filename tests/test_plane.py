@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from clusterloom.operators import kernels, plane, search
+from clusterloom.operators import density, kernels, plane, search
 
 SCHEMA = "dataset_id long, point_id long, x double, y double"
 
@@ -73,3 +73,15 @@ def test_mean_shift_and_optics_hold_no_matrix(monkeypatch):
     monkeypatch.setattr(kernels, "MAX_CELLS", 100_000)
     assert len(set(kernels.mean_shift(x).tolist())) == 2
     assert len(kernels.optics(x)) == 1_200
+
+
+@pytest.mark.parametrize("name", ["dbcv", "cop", "cvdd", "dcsi"])
+def test_density_indices_in_blocks_are_those_of_a_matrix(monkeypatch, name):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.6, (n, 2)) for c, n in (((0, 0), 150), ((3, 0.5), 90), ((1, 4), 60))])
+    x[7], x[20:23] = x[8], x[24]
+    labels = np.repeat([4, 1, 2, 9], (150, 90, 57, 3))
+    want = density.DENSITY[name](x, labels)
+    monkeypatch.setattr(kernels, "MATRIX_POINTS", 10)
+    monkeypatch.setattr(kernels, "MAX_CELLS", 4_000)  # no matrix of all distances
+    assert density.DENSITY[name](x, labels) == pytest.approx(want, rel=1e-12)
