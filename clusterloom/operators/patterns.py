@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .contours import enclosing_circle, fit_ellipse, hull, polygon
 from .indices import clustered
-from .kernels import distances, mst
+from .kernels import distances, in_blocks, mst
+from .plane import Plane, spanning_tree
+from .search import spread
 
 EPS = 1e-12
 
@@ -71,6 +73,9 @@ def peaks(h: np.ndarray, least: float, apart: int) -> np.ndarray:
 
 
 def neighbours(z: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest points of each point, which is one of them."""
+    if in_blocks(z):
+        return np.column_stack((np.arange(len(z)), Plane(z).neighbours(k - 1)[0]))
     return np.argsort(distances(z), 1, kind="stable")[:, :k]
 
 
@@ -202,7 +207,8 @@ def triangulation(z: np.ndarray) -> np.ndarray:
     n = len(z)
     c, w = z.mean(0), 20 * max(np.ptp(z, 0).max(), EPS)
     p = np.vstack((z, c + np.array([[-w, -w], [w, -w], [0, w]])))
-    tri = np.array([[n, n + 1, n + 2]])
+    # Triangles with the centres and squared radii of their circles, in slots: new ones take those of the ones that go.
+    tri, centre, radius = np.zeros((2 * n + 8, 3), int), np.zeros((2, 2 * n + 8)), np.zeros(2 * n + 8)
 
     def circles(t):
         a, b, q = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
@@ -210,22 +216,50 @@ def triangulation(z: np.ndarray) -> np.ndarray:
         d = np.where(np.abs(d) < 1e-300, 1e-300, d)
         bb, qq = ((b - a) ** 2).sum(1), ((q - a) ** 2).sum(1)
         ux, uy = ((q - a)[:, 1] * bb - (b - a)[:, 1] * qq) / d, ((b - a)[:, 0] * qq - (q - a)[:, 0] * bb) / d
-        return a + np.stack((ux, uy), 1), ux * ux + uy * uy
+        return a + np.stack((ux, uy), 1), (ux * ux + uy * uy) * (1 + 1e-12)
 
-    centre, radius = circles(tri)
+    def put(at: np.ndarray, t: np.ndarray) -> None:
+        c, r = circles(t)
+        tri[at], centre[:, at], radius[at] = t, c.T, r
+
+    put(np.array([0]), np.array([[n, n + 1, n + 2]]))
+    m = 1
     for i in np.random.default_rng(0).permutation(n):
-        hit = ((p[i] - centre) ** 2).sum(1) < radius * (1 + 1e-12)
+        d, e = centre[0, :m] - p[i, 0], centre[1, :m] - p[i, 1]
+        d *= d
+        e *= e
+        d += e
+        hit = np.flatnonzero(d < radius[:m])
         edges = np.concatenate((tri[hit][:, [0, 1]], tri[hit][:, [1, 2]], tri[hit][:, [2, 0]]))
-        _, first, times = np.unique(np.sort(edges, 1), axis=0, return_index=True, return_counts=True)
+        ends = np.sort(edges, 1)
+        _, first, times = np.unique(ends[:, 0] * (n + 3) + ends[:, 1], return_index=True, return_counts=True)
         rim = edges[first[times == 1]]
-        fresh = np.column_stack((rim, np.full(len(rim), i)))
-        fc, fr = circles(fresh) if len(fresh) else (np.empty((0, 2)), np.empty(0))
-        tri, centre, radius = np.concatenate((tri[~hit], fresh)), np.concatenate((centre[~hit], fc)), np.concatenate((radius[~hit], fr))
+        left = hit[len(rim) :]  # more go than come only by rounding
+        if len(rim):
+            at = np.concatenate((hit[: len(rim)], np.arange(m, m + max(0, len(rim) - len(hit)))))
+            m += max(0, len(rim) - len(hit))
+            if m > len(radius):
+                tri, centre, radius = np.pad(tri, ((0, m), (0, 0))), np.pad(centre, ((0, 0), (0, m))), np.pad(radius, (0, m))
+            put(at, np.column_stack((rim, np.full(len(rim), i))))
+        if len(left):
+            tri[left], radius[left] = n, -1.0
+    tri = tri[:m]
     return tri[(tri < n).all(1)]
 
 
+#: The last cloud of alpha_shape() with its result, as several patterns ask for it.
+_shape: tuple | None = None
+
+
 def alpha_shape(z: np.ndarray, factor: float = 2.5) -> tuple[float, float]:
     """(area, perimeter) of the triangles with a circumradius of at most factor median neighbour distances."""
+    global _shape
+    if _shape is None or _shape[0] is not z or _shape[1] != factor:
+        _shape = z, factor, _alpha_shape(z, factor)
+    return _shape[2]
+
+
+def _alpha_shape(z: np.ndarray, factor: float) -> tuple[float, float]:
     z = np.unique(z, axis=0)
     if len(z) < 4:
         return 0.0, 0.0
@@ -233,7 +267,7 @@ def alpha_shape(z: np.ndarray, factor: float = 2.5) -> tuple[float, float]:
     sides = [np.sqrt(((z[tri[:, i]] - z[tri[:, j]]) ** 2).sum(1)) for i, j in ((0, 1), (1, 2), (2, 0))]
     u, v = z[tri[:, 1]] - z[tri[:, 0]], z[tri[:, 2]] - z[tri[:, 0]]
     area = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / 2
-    near = np.sort(distances(z), 1)[:, 1]
+    near = Plane(z).neighbours(1)[1][:, 0] if in_blocks(z) else np.sort(distances(z), 1)[:, 1]
     keep = sides[0] * sides[1] * sides[2] / np.maximum(4 * area, EPS) <= factor * np.median(near) * 2
     edges = np.sort(np.concatenate((tri[keep][:, [0, 1]], tri[keep][:, [1, 2]], tri[keep][:, [2, 0]])), 1)
     if not len(edges):
@@ -328,7 +362,7 @@ def gridness_2d(z: np.ndarray, size: int = 32) -> float:
 def mst_smoothness(z: np.ndarray) -> float:
     """CVI-29: straight passages and few branches of the minimum spanning tree."""
     near: list[list[int]] = [[] for _ in z]
-    for _, a, b in mst(distances(z)):
+    for _, a, b in spanning_tree(z, np.zeros(len(z))) if in_blocks(z) else mst(distances(z)):
         near[a].append(b), near[b].append(a)
     straight = []
     for i, own in enumerate(near):
@@ -419,32 +453,45 @@ def radial_uniformity(z: np.ndarray, bins: int = 20) -> float:
     return float(np.clip(p[: int(0.2 * bins)].sum() * spread, 0, 1))
 
 
+def cluster_score(name: str, z: np.ndarray) -> float | None:
+    """A pattern of the centred points of a cluster; None where they are too few or have none."""
+    own = PATTERNS[name]
+    s = own.kernel(z) if len(z) >= own.least else None
+    return float(np.clip(s, 0, 1)) if s is not None and np.isfinite(s) else None
+
+
 def partition_score(name: str, x: np.ndarray, labels: np.ndarray) -> float | None:
     """Size-weighted mean of a pattern over the clusters that have a score."""
-    own, total = PATTERNS[name], 0.0
-    weight = 0
-    for c in np.unique(labels):
-        z = x[labels == c]
-        if len(z) >= own.least:
-            s = own.kernel(z - z.mean(0))
-            if s is not None and np.isfinite(s):
-                total, weight = total + len(z) * float(np.clip(s, 0, 1)), weight + len(z)
-    return total / weight if weight else None
+    own = [x[labels == c] for c in np.unique(labels)]
+    return weighted([(cluster_score(name, z - z.mean(0)), len(z)) for z in own])
+
+
+def weighted(scores: Sequence[tuple[float | None, int]]) -> float | None:
+    own = [(s, n) for s, n in scores if s is not None]
+    return sum(n * s for s, n in own) / sum(n for _, n in own) if own else None
+
+
+def band(z: np.ndarray) -> list[float] | None:
+    """[direction, centre, weight] of a cluster that is like a line."""
+    if len(z) < 8:
+        return None
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    straight = values[-1] / max(values.sum(), EPS)
+    return [*vectors[:, -1], *z.mean(0), len(z) * straight] if straight >= 0.6 else None
 
 
 def parallel_bands(x: np.ndarray, labels: np.ndarray) -> float | None:
     """CVI-17: like directions and even offsets of two or more line-like clusters."""
-    found = []
-    for c in np.unique(labels):
-        z = x[labels == c]
-        if len(z) >= 8:
-            values, vectors = np.linalg.eigh(np.cov(z.T))
-            straight = values[-1] / max(values.sum(), EPS)
-            if straight >= 0.6:
-                found.append((vectors[:, -1], z.mean(0), len(z) * straight))
+    return bands([band(x[labels == c]) for c in np.unique(labels)])
+
+
+def bands(found: Sequence[Sequence[float] | None]) -> float | None:
+    """parallel_bands() of what band() tells of the clusters."""
+    found = [list(f) for f in found if f is not None]
     if len(found) < 2:
         return None
-    u, centre, w = (np.array(v) for v in zip(*found, strict=True))
+    told = np.array(found)
+    u, centre, w = told[:, :2], told[:, 2:4], told[:, 4]
     a = 2 * np.arctan2(u[:, 1], u[:, 0])
     angle = np.hypot(np.average(np.cos(a), weights=w), np.average(np.sin(a), weights=w))
     main = np.linalg.eigh((w[:, None, None] * u[:, :, None] * u[:, None, :]).sum(0))[1][:, -1]
@@ -458,18 +505,31 @@ POWERS = {**{n: p.power for n, p in PATTERNS.items()}, "parallel_bands": 0.7}
 
 
 def pattern_indices(points: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    """(keys, metric_id, raw, norm) of the pattern indices of each partition; noise is left out."""
+    """(keys, metric_id, raw, norm) of the pattern indices of each partition; noise is left out.
+
+    A task holds one cluster; partitions are put together from their scores.
+    """
     chosen, own = list(names or POWERS), list(keys)
+    kinds = "".join(f"{c} {points.schema[c].dataType.simpleString()}, " for c in own)
+    kept = clustered(points).select(*own, "point_id", "x", "y", "label")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_id")
-        x, labels, out = rows[["x", "y"]].to_numpy(float), rows["label"].to_numpy(), []
+        x = rows[["x", "y"]].to_numpy(float)
+        z = x - x.mean(0)
+        told = [{"metric_id": m, "score": None if m == "parallel_bands" else cluster_score(m, z), "band": band(x) if m == "parallel_bands" else None} for m in chosen]
+        return pd.DataFrame(told).assign(**{k: rows[k].iloc[0] for k in own}, label=rows["label"].iloc[0], n=len(x)).astype({"score": "float64"})
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("label"), []
         for name in chosen:
-            raw = parallel_bands(x, labels) if name == "parallel_bands" else partition_score(name, x, labels)
+            mine = rows[rows["metric_id"] == name]
+            scores = [(None if np.isnan(s) else float(s), int(n)) for s, n in zip(mine["score"], mine["n"], strict=True)]
+            raw = bands(mine["band"].tolist()) if name == "parallel_bands" else weighted(scores)
             norm = 0.0 if raw is None else float(np.clip(raw, 0, 1) ** POWERS[name])
             out.append({**{k: rows[k].iloc[0] for k in own}, "metric_id": name, "raw": raw, "norm": norm})
         return pd.DataFrame(out).astype({"raw": "float64"})
 
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in own)
-    kept = clustered(points).select(*own, "point_id", "x", "y", "label")
-    return kept.groupBy(*(own or [F.lit(1).alias("_one")])).applyInPandas(run, ", ".join(filter(None, (kinds, "metric_id string, raw double, norm double"))))
+    kind = points.schema["label"].dataType.simpleString()
+    scored = spread(kept, *own, "label").groupBy(*own, "label").applyInPandas(score, f"{kinds}label {kind}, n long, metric_id string, score double, band array<double>")
+    return scored.groupBy(*(own or [F.lit(1).alias("_one")])).applyInPandas(together, f"{kinds}metric_id string, raw double, norm double")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from clusterloom.operators import density, kernels, plane, search
+from clusterloom.operators import density, kernels, patterns, plane, search
 
 SCHEMA = "dataset_id long, point_id long, x double, y double"
 
@@ -85,3 +85,14 @@ def test_density_indices_in_blocks_are_those_of_a_matrix(monkeypatch, name):
     monkeypatch.setattr(kernels, "MATRIX_POINTS", 10)
     monkeypatch.setattr(kernels, "MAX_CELLS", 4_000)  # no matrix of all distances
     assert density.DENSITY[name](x, labels) == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("name", ["alpha_shape_compactness", "convexity_ratio", "direction_entropy", "mst_smoothness", "connectivity_components"])
+def test_patterns_in_blocks_are_those_of_a_matrix(monkeypatch, name):
+    for x in clouds():
+        z = x - x.mean(0)
+        want = patterns.cluster_score(name, z)
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "MATRIX_POINTS", 10)
+            m.setattr(kernels, "MAX_CELLS", 4_000)  # no matrix of all distances
+            assert patterns.cluster_score(name, z.copy()) == pytest.approx(want, rel=1e-12)
