@@ -53,13 +53,14 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
 
 
 def _bucketed(rows: DataFrame, keys: list[str], unit: str, weight: str) -> DataFrame:
-    """rows with their bucket and the list of the key's bucket sizes; rows of one unit share a bucket."""
+    """rows with their bucket, those of one unit in the same, and a row a bucket with the list of the key's bucket sizes, all else of it NULL."""
     units = rows.groupBy(*keys, unit).agg(F.max(weight).alias("_w"))
     many = units.groupBy(*keys).agg(F.ceil(F.count("*") / UNITS).alias("_buckets"))
     bucket = F.pmod(F.xxhash64(unit), F.col("_buckets")).alias("bucket")
-    sizes = _met(units, many, keys).select(*keys, bucket, "_w", "_buckets").groupBy(*keys, "bucket").agg(F.sum("_w").alias("n"), F.max("_buckets").alias("_b"))
-    listed = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sizes"), F.max("_b").alias("_buckets"))  # units / UNITS entries
-    return _met(rows, listed, keys).withColumn("bucket", F.pmod(F.xxhash64(unit), F.col("_buckets"))).drop("_buckets")
+    sizes = _met(units, many, keys).select(*keys, bucket, "_w").groupBy(*keys, "bucket").agg(F.sum("_w").alias("n"))
+    listed = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sizes"))  # units / UNITS entries
+    heads = listed.select(*keys, F.explode("sizes.bucket").alias("bucket"), "sizes")
+    return _met(rows, many, keys).withColumn("bucket", bucket).drop("_buckets").unionByName(heads, allowMissingColumns=True)
 
 
 def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,10 +72,11 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(renamed, same).drop(*(f"_key{i}" for i in range(len(keys))))
 
 
-def _place(rows: pd.DataFrame) -> tuple[int, np.ndarray]:
-    """(position of the bucket among those with units, sizes of these)."""
-    listed = rows["sizes"].iloc[0]
-    return [s["bucket"] for s in listed].index(rows["bucket"].iloc[0]), np.array([s["n"] for s in listed], np.int64)
+def _place(rows: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray]:
+    """(rows of units, position of the bucket among those with units, sizes of these)."""
+    head = rows["sizes"].notna()
+    listed = rows.loc[head, "sizes"].iloc[0]
+    return rows[~head], [s["bucket"] for s in listed].index(rows["bucket"].iloc[0]), np.array([s["n"] for s in listed], np.int64)
 
 
 def _summed(parts: DataFrame, keys: list[str], arrays: Sequence[str]) -> DataFrame:
@@ -101,7 +103,7 @@ def resampled_sums(values: DataFrame, keys: Sequence[str], value: str, unit: str
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         key = [own[k].iloc[0] for k in names]
-        place, sizes = _place(own)
+        own, place, sizes = _place(own)
         codes, found = pd.factorize(own["_unit"].astype(str), sort=True)
         columns, labels = pd.factorize(own[series], sort=True, use_na_sentinel=False) if series else (np.zeros(len(own), int), [None])
         m, base = len(found), [seed & 0xFFFFFFFF, key_code(key)]
@@ -177,12 +179,13 @@ def permutation(values: DataFrame, group: str, value: str, draws: int = 200, see
     groups = sizes.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_g", "_n"))).alias("groups"))
     entries = own.groupBy(*names, "_v").agg(F.count("*").alias("_times"))
     rows = _bucketed(entries, names, "_v", "_times")
-    rows = _met(rows, groups, names)
+    # The groups of a key travel with the bucket's list of sizes.
+    rows = rows.filter("sizes is null").withColumn("groups", F.lit(None).cast(groups.schema["groups"].dataType)).unionByName(_met(rows.filter("sizes is not null"), groups, names))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        key, n = [part[k].iloc[0] for k in names], np.array([g["_n"] for g in part["groups"].dropna().iloc[0]], np.int64)
+        part, place, listed = _place(part)
         part = part.sort_values("_v")
-        key, (place, listed) = [part[k].iloc[0] for k in names], _place(part)
-        n = np.array([g["_n"] for g in part["groups"].iloc[0]], np.int64)
         base = [seed & 0xFFFFFFFF, key_code(key)]
         dealt, rng = labels_of(place, listed, n, draws, base), np.random.default_rng([*base, place, len(listed), 1])
         v, times = part["_v"].to_numpy(float), part["_times"].to_numpy(np.int64)

@@ -100,3 +100,14 @@ def test_permutation_within_families(spark):
     inside = permutation(df, "s", "v", 500, within=["f"]).first()
     assert inside.p_value > 0.02 and inside.between > 1
     assert permutation(df.limit(0), "s", "v").count() == 0
+
+
+def test_the_list_of_bucket_sizes_comes_once_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "UNITS", 8)
+    rows = spark.createDataFrame([(k, i, 1) for k in ("a", None) for i in range(60) for _ in range(3)], "k string, unit int, w int")
+    found = resampling._bucketed(rows, ["k"], "unit", "w").toPandas()
+    heads = found[found["sizes"].notna()]
+    assert len(found) == 360 + len(heads) and heads["unit"].isna().all()
+    for k in ("a", None):
+        own = heads[heads["k"].isna() if k is None else heads["k"] == k]
+        assert len(own) == own["bucket"].nunique() == len(own["sizes"].iloc[0]) and sum(s["n"] for s in own["sizes"].iloc[0]) == 60
