@@ -274,6 +274,11 @@ def cvnn_parts(x: np.ndarray, labels: np.ndarray, k: int = 5) -> tuple[float, fl
         return None
     outside, inner = np.zeros(len(x)), 0.0
     most = min(k, len(x) - 1)
+    if in_blocks(x):
+        near = plane.Plane(x).neighbours(most)[0]
+        outside = (labels[near] != labels[:, None]).mean(1)
+        found = [(outside[p].mean(), plane.distance_sum(x[p]) / max(len(p) * (len(p) - 1), 1)) for p in _parts(labels)]
+        return float(max(o for o, _ in found)), float(sum(c for _, c in found))
     for a in range(0, len(x), 512):
         d = distances(x[a : a + 512], x)
         at = np.arange(len(d))
@@ -317,7 +322,7 @@ def cvnn(points: DataFrame, keys: Sequence[str], candidate: str, k: int = 5) ->
 
     kept = clustered(points).select(*names, "point_id", "x", "y", "label")
     small, large = split_large(kept, names, MOST_POINTS)
-    parts = small.groupBy(*names).applyInPandas(run, f"{kinds}, sep double, com double")
+    parts = spread(small, *names).groupBy(*names).applyInPandas(run, f"{kinds}, sep double, com double")
     if large is not None:
         parts = parts.unionByName(_cvnn_large(large, names, k))
     count = kept.groupBy(*names).agg(F.countDistinct("label").alias("_k"))

@@ -96,3 +96,14 @@ def test_patterns_in_blocks_are_those_of_a_matrix(monkeypatch, name):
             m.setattr(kernels, "MATRIX_POINTS", 10)
             m.setattr(kernels, "MAX_CELLS", 4_000)  # no matrix of all distances
             assert patterns.cluster_score(name, z.copy()) == pytest.approx(want, rel=1e-12)
+
+
+def test_shared_neighbour_index_in_blocks_is_that_of_a_matrix(monkeypatch):
+    for x in clouds():
+        labels = np.random.default_rng(2).integers(0, 3, len(x))
+        want = density.cvnn_parts(x, labels)
+        assert plane.distance_sum(x, 16, 50) == pytest.approx(kernels.distances(x).sum(), rel=1e-12)
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "MATRIX_POINTS", 10)
+            m.setattr(kernels, "MAX_CELLS", 4_000)
+            assert density.cvnn_parts(x, labels) == pytest.approx(want, rel=1e-12)
