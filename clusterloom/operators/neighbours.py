@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metric_tree import TreeJoin
-from .summaries import q
+from .summaries import exact_percentiles
 
 EXACT = 1e-12
 #: Reference vectors that may be broadcast as one matrix, in bytes of doubles.
@@ -72,12 +72,15 @@ def _nearest(held, k: int, metric: str, exclude_self: bool):
 
 def scaler(train: DataFrame, columns: Sequence[str], robust: bool = False) -> DataFrame:
     """One row of medians, centres and scales learned from the training rows only (ML-01)."""
+    shares = (0.5, 0.25, 0.75) if robust else (0.5,)
+    found = exact_percentiles(train, [(c, at) for c in columns for at in shares])
     out = []
-    for c in columns:
-        centre = q(c, 0.5) if robust else F.avg(F.coalesce(F.col(c), F.lit(None)))
-        width = (q(c, 0.75) - q(c, 0.25)) if robust else F.stddev_pop(c)
-        out += [F.coalesce(q(c, 0.5), F.lit(0.0)).alias(f"{c}_fill"), F.coalesce(centre, F.lit(0.0)).alias(f"{c}_centre"), F.when(width > EXACT, width).otherwise(1.0).alias(f"{c}_scale")]
-    return train.agg(*out)
+    for i, c in enumerate(columns):
+        middle, *sides = (F.lit(v).cast("double") for v in found[i * len(shares) : (i + 1) * len(shares)])
+        centre = middle if robust else F.avg(F.coalesce(F.col(c), F.lit(None)))
+        width = sides[1] - sides[0] if robust else F.stddev_pop(c)
+        out += [F.coalesce(middle, F.lit(0.0)).alias(f"{c}_fill"), F.coalesce(centre, F.lit(0.0)).alias(f"{c}_centre"), F.when(width > EXACT, width).otherwise(1.0).alias(f"{c}_scale")]
+    return train.agg(F.count("*").alias("_n"), *out).drop("_n")
 
 
 def scale(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:

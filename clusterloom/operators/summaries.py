@@ -15,6 +15,41 @@ def q(c: Column | str, at: float) -> Column:
     return F.percentile(c, F.lit(at))
 
 
+#: Accuracy of the sketches that bracket exact percentiles.
+ACCURACY = 2_000
+
+
+def exact_percentiles(df: DataFrame, wanted: Sequence[tuple[str, float]]) -> list[float | None]:
+    """q() of (column, share) pairs over the whole table, of which no task reads all values.
+
+    Sketches bracket each percentile; values between the edges, some thousandth
+    of the rows, are counted and ranked. Where an edge misses, q() decides.
+    """
+    value, off = [F.col(c).cast("double") for c, _ in wanted], 2 / ACCURACY
+    sketched = [F.percentile_approx(v, F.array(F.lit(max(0.0, at - off)), F.lit(min(1.0, at + off))), F.lit(ACCURACY)).alias(f"e{i}") for i, (v, (_, at)) in enumerate(zip(value, wanted, strict=True))]
+    told = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(value)), *sketched).first()
+    held = [i for i in range(len(wanted)) if told[f"n{i}"]]
+    found: list[float | None] = [None] * len(wanted)
+    if not held:
+        return found
+    below = df.agg(*(F.count_if(value[i] < told[f"e{i}"][0]).alias(f"b{i}") for i in held)).first()
+    inside = F.array(*(F.when(value[i].between(*told[f"e{i}"]), F.struct(F.lit(i).alias("i"), value[i].alias("v"))) for i in held))
+    counted = df.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+    place = {i: wanted[i][1] * (told[f"n{i}"] - 1) for i in held}
+    ranks = F.array(*(F.struct(F.lit(int(place[i])).cast("long").alias("low"), F.lit(-int(-place[i] // 1)).cast("long").alias("high"), F.lit(below[f"b{i}"]).cast("long").alias("below")) if i in place else F.lit(None) for i in range(len(wanted))))
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v")) + ranks[F.col("i")]["below"]
+    at = lambda c: F.min(F.when(F.col("_upto") > ranks[F.col("i")][c], F.col("v"))).alias(c)
+    for r in counted.withColumn("_upto", upto).groupBy("i").agg(at("low"), at("high")).collect():
+        if below[f"b{r.i}"] <= int(place[r.i]) and r.low is not None and r.high is not None:
+            part = place[r.i] - int(place[r.i])
+            found[r.i] = r.low if r.low == r.high else (1 - part) * r.low + part * r.high
+    missed = [i for i in held if found[i] is None]
+    if missed:
+        for i, v in zip(missed, df.agg(*(q(value[i], wanted[i][1]) for i in missed)).first(), strict=True):
+            found[i] = v
+    return found
+
+
 def _share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 

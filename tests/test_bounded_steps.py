@@ -3,8 +3,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from clusterloom.operators import indices, kernels, neighbours, search, shapes
+from clusterloom.operators import indices, kernels, neighbours, search, shapes, summaries
 
 
 def test_clouds_are_dealt_to_as_many_tasks_as_shuffles_have(spark):
@@ -63,3 +64,18 @@ def test_silhouettes_by_product_and_by_runs_agree(monkeypatch):
     means = np.array([[d[i, (own == c) & (np.arange(300) != i)].mean() for c in range(3)] for i in range(300)])
     a, b = means[np.arange(300), own], np.where(np.arange(3) == own[:, None], np.inf, means).min(1)
     assert np.isclose(want[1], ((b - a) / np.maximum(a, b)).mean())
+
+
+def test_exact_percentiles_are_those_of_all_values(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), int(b), None if i % 3 else float(c), None, 4.0) for i, (a, b, c) in enumerate(zip(rng.lognormal(0, 4, 5000), rng.integers(0, 4, 5000), rng.normal(size=5000), strict=True))]
+    rows += [(float("nan"), 2, -0.5, None, 4.0)] * 7
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double").repartition(5)
+    wanted = [(c, at) for c in "abcde" for at in (0.0, 0.25, 0.5, 0.7501, 1.0)]
+    got = summaries.exact_percentiles(df, wanted)
+    want = list(df.agg(*(summaries.q(c, at) for c, at in wanted)).first())
+    for g, w in zip(got, want, strict=True):
+        assert (g is None) == (w is None) and (g is None or g == pytest.approx(w, rel=1e-12, nan_ok=True))
+    assert summaries.exact_percentiles(df.limit(0), [("a", 0.5)]) == [None]
+    plan = neighbours.scaler(df, ["a", "c"])._jdf.queryExecution().toString()
+    assert "percentile(" not in plan  # no task gathers all values
