@@ -162,8 +162,10 @@ def metric_usage(selections: DataFrame) -> DataFrame:
 
     selections: run_id, metric_id, weight.
     """
-    total = selections.agg(F.countDistinct("run_id").alias("runs"), F.count("*").alias("slots"))
-    per = selections.groupBy("metric_id").agg(F.countDistinct("run_id").alias("n_runs"), F.count("*").alias("n_slots"), F.avg("weight").alias("weight_mean"), F.sum("weight").alias("weight_mass"))
+    # Distinct runs are groups: where selections lie together by run, rows don't travel again.
+    total = selections.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.count("run_id").alias("runs"), F.coalesce(F.sum("n"), F.lit(0)).alias("slots"))
+    each = selections.groupBy("run_id", "metric_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.count("weight").alias("c"))
+    per = each.groupBy("metric_id").agg(F.count("run_id").alias("n_runs"), F.sum("n").alias("n_slots"), (F.sum("w") / F.nullif(F.sum("c"), F.lit(0))).alias("weight_mean"), F.sum("w").alias("weight_mass"))
     return per.join(F.broadcast(total)).select("metric_id", "n_runs", "n_slots", (F.col("n_runs") / F.col("runs")).alias("run_share"), (F.col("n_slots") / F.col("slots")).alias("slot_share"), "weight_mean", "weight_mass")
 
 

@@ -79,3 +79,17 @@ def test_exact_percentiles_are_those_of_all_values(spark):
     assert summaries.exact_percentiles(df.limit(0), [("a", 0.5)]) == [None]
     plan = neighbours.scaler(df, ["a", "c"])._jdf.queryExecution().toString()
     assert "percentile(" not in plan  # no task gathers all values
+
+
+def test_parts_of_selections_follow_the_rows(spark, monkeypatch, tmp_path):
+    from clusterloom.plans import projections
+
+    rows = [(i // 5, "RNA"[i % 3], "OF"[i % 2], float(i % 7 + 1)) for i in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(projections, "TASK_ROWS", 25, raising=False)
+    found = projections.selections(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 16
+    usage = {r.metric_id: r for r in summaries.metric_usage(found).collect()}
+    pairs = {(o, f + s) for o, f, s, _ in rows}
+    assert {m: (r.n_runs, r.n_slots) for m, r in usage.items()} == {m: (n, n) for m in {m for _, m in pairs} for n in [sum(p[1] == m for p in pairs)]}
+    assert sum(r.weight_mass for r in usage.values()) == pytest.approx(80) and sum(r.slot_share for r in usage.values()) == pytest.approx(1)
