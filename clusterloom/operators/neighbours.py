@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metric_tree import TreeJoin
+from .metric_tree import NearestRows, TreeJoin, matrix
 from .summaries import exact_percentiles
 
 EXACT = 1e-12
-#: Reference vectors that may be broadcast as one matrix, in bytes of doubles.
-BROADCAST_BYTES = 8 << 20
+#: Reference vectors that may be broadcast as one matrix, in bytes of doubles and in rows; queries are dealt out from so many rows.
+BROADCAST_BYTES, BROADCAST_ROWS, DEALT = 32 << 20, 1 << 16, 4096
 #: Distances that a step holds.
 STEP = 1 << 21
 
@@ -22,50 +22,30 @@ STEP = 1 << 21
 def knn_join(queries: DataFrame, references: DataFrame, k: int, id_col: str, vector: str, metric: str = "euclidean", exclude_self: bool = True) -> DataFrame:
     """(query id, neighbour id, distance, position) of the k nearest references (JOIN-15, ML-03).
 
-    The size of the references is checked: up to BROADCAST_BYTES they are one
-    broadcast matrix, read through Arrow. Beyond that they go into the cells of
-    a pivot tree, and a query visits only cells within its kth distance.
+    The size of the references is checked: up to BROADCAST_BYTES and
+    BROADCAST_ROWS they are one broadcast matrix, read through Arrow. Beyond
+    that they go into the cells of a pivot tree, and a query visits only cells
+    within its kth distance.
     """
     spark = queries.sparkSession
     facts = references.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    if facts.n * (facts.d or 1) * 8 > BROADCAST_BYTES:
+    if facts.n * (facts.d or 1) * 8 > BROADCAST_BYTES or facts.n > BROADCAST_ROWS:
         return TreeJoin(queries, references, k, id_col, vector, metric, exclude_self).found
     kind = queries.schema[id_col].dataType.simpleString()
     rows = references.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).toPandas()
-    held = spark.sparkContext.broadcast((rows["id"].to_numpy(), np.array(rows["v"].tolist(), float).reshape(len(rows), -1)))
-    found = queries.select(id_col, vector).mapInPandas(_nearest(held, k, metric, exclude_self), f"query_id {kind}, neighbour_id {kind}, distance double")
+    held = spark.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["v"], facts.d or 1)))
+    asks = queries.select(id_col, vector)
+    asks = asks.repartition(2 * spark.sparkContext.defaultParallelism, id_col) if facts.n > DEALT else asks
+    found = asks.mapInPandas(_nearest(held, k, metric, exclude_self), f"query_id {kind}, neighbour_id {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-def _least(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k least distances, equal ones by id, missing ones last."""
-    near = np.flatnonzero(~(row > np.partition(row, k - 1)[k - 1])) if len(row) > k else np.arange(len(row))
-    return near[np.lexsort((ids[near], row[near]))][:k]
-
-
 def _nearest(held, k: int, metric: str, exclude_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x = held.value
+        rows = NearestRows(*held.value, k, metric, exclude_self)
         for batch in batches:
-            own = batch.iloc[:, 0].to_numpy()
-            a = np.array(batch.iloc[:, 1].tolist(), float).reshape(len(batch), -1)
-            if not len(ids) or not len(a):
-                continue
-            size = max(1, min(256, STEP // len(ids)))
-            for i in range(0, len(a), size):
-                part = a[i : i + size]
-                if metric == "cosine":
-                    norms = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    d = 1 - (part @ x.T) / np.maximum(norms, 1e-300)
-                else:
-                    d = np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in part])
-                if exclude_self:
-                    d[own[i : i + size, None] == ids[None, :]] = np.inf
-                near = np.stack([_least(row, ids, k) for row in d])
-                at = np.repeat(np.arange(len(part)), near.shape[1])
-                out = pd.DataFrame({"query_id": own[i : i + size][at], "neighbour_id": ids[near.ravel()], "distance": d[at, near.ravel()]})
-                yield out[np.isfinite(out["distance"])]
+            yield from rows.steps(batch.iloc[:, 0].to_numpy(), matrix(batch.iloc[:, 1], rows.x.shape[1]), most=STEP)
 
     return run
 
@@ -92,11 +72,11 @@ def scale(rows: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFra
 
 def predict_utilities(neighbours: DataFrame, utilities: DataFrame, weighting: str = "inverse", eps: float = 1e-9) -> DataFrame:
     """(query_id, metric_id, utility): weighted mean over neighbours, exact matches alone where there are any (ML-04, ML-05)."""
-    exact = F.max((F.col("distance") <= EXACT).cast("int")).over(Window.partitionBy("query_id"))
-    w = F.when(F.col("_exact") == 1, (F.col("distance") <= EXACT).cast("double")).otherwise(1 / (F.col("distance") + eps) if weighting == "inverse" else F.lit(1.0))
-    weighed = neighbours.withColumn("_exact", exact).withColumn("w", w)
-    met = weighed.join(utilities.withColumnRenamed("dataset_id", "neighbour_id"), "neighbour_id")
-    mean = F.sum(F.col("w") * F.col("utility")) / F.sum("w")
+    met = neighbours.join(utilities.withColumnRenamed("dataset_id", "neighbour_id"), "neighbour_id")
+    # Only neighbours that have the utility can decide it.
+    exact, w = F.col("distance") <= EXACT, 1 / (F.col("distance") + eps) if weighting == "inverse" else F.lit(1.0)
+    alone = F.sum(F.when(exact, F.col("utility"))) / F.nullif(F.sum(exact.cast("double")), F.lit(0.0))
+    mean = F.when(F.max(exact), alone).otherwise(F.sum(w * F.col("utility")) / F.sum(w))
     return met.groupBy("query_id", "metric_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("utility"))
 
 
