@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits, comparisons, frames, learning, portfolio, predictions, ranking, shapes
 from ..sources import repository
+from ..sources.scratch import written
 from .projections import BEST_SQL, POINTS_SQL, RUNS_SQL, SELECTIONS_SQL, TRIALS_SQL, points, rounded, runs, selections, table, trial_metrics, utilities
 from .run_queries import ORACLE_SQL as RUN_ORACLES
 from .run_queries import NORMAL_P, PAIRS_SQL, RUN_BLOCK, VBS_SQL
@@ -258,9 +259,10 @@ def _fold_scores(s, d):
 
 
 def _nearest_label(s, d):
-    facts = utilities(s, d).groupBy(F.col("dataset_id").alias("record_id")).agg(*(F.max(F.when(F.col("metric_id") == m, F.col("utility"))).alias(m) for m in ("m_price", "m_quantity", "m_tax")))
-    labels = audits.best_algorithm(_evaluations(s, d)).select("record_id", "best_algorithm")
-    return rounded(predictions.nearest_label(facts.filter("record_id % 10 = 0"), facts, labels, ["m_price", "m_quantity", "m_tax"]))
+    # A row a supplier each, which the join reads more than once.
+    facts = written(utilities(s, d).groupBy(F.col("dataset_id").alias("record_id")).agg(*(F.max(F.when(F.col("metric_id") == m, F.col("utility"))).alias(m) for m in ("m_price", "m_quantity", "m_tax"))), "facts")
+    labels = written(audits.best_algorithm(_evaluations(s, d)).select("record_id", "best_algorithm"), "labels")
+    return rounded(predictions.nearest_label(facts, facts, labels, ["m_price", "m_quantity", "m_tax"]))
 
 
 R = "round({0}, 6)".format
@@ -408,7 +410,7 @@ ORACLE_SQL = {
         SELECT {R('s')} AS selector, {R('b')} AS best_single, {R('w')} AS best_by_view, {R('o')} AS oracle, {R('(s - b) / (o - b)')} AS recovery_single, {R('(s - w) / (o - w)')} AS recovery_view FROM own, best, one, by_view""",
     "nearest_label": f"""WITH {EVALUATIONS_SQL}, u AS (SELECT dataset_id AS record_id, metric_id, round(avg(score), 6) AS v FROM trials GROUP BY 1, 2), f AS (SELECT record_id, coalesce(max(v) FILTER (metric_id = 'm_price'), 0) AS a, coalesce(max(v) FILTER (metric_id = 'm_quantity'), 0) AS b, coalesce(max(v) FILTER (metric_id = 'm_tax'), 0) AS c FROM u GROUP BY 1),
         l AS (SELECT record_id, algorithm AS best_algorithm FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ari DESC, config_id) AS rn FROM evaluations WHERE valid_result) WHERE rn = 1),
-        d AS (SELECT q.record_id, r.record_id AS neighbour_id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2 + (q.c - r.c) ** 2) AS distance FROM f q JOIN f r ON q.record_id <> r.record_id AND q.record_id % 10 = 0 WHERE r.record_id IN (SELECT record_id FROM l))
+        d AS (SELECT q.record_id, r.record_id AS neighbour_id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2 + (q.c - r.c) ** 2) AS distance FROM f q JOIN f r ON q.record_id <> r.record_id WHERE r.record_id IN (SELECT record_id FROM l))
         SELECT d.record_id, neighbour_id, {R('distance')} AS distance, best_algorithm FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY distance, neighbour_id) AS rn FROM d) d JOIN l ON l.record_id = neighbour_id WHERE rn = 1""",
     "within_patience": f"""WITH {SCORED_SQL}, a AS (SELECT *, row_number() OVER w AS n, coalesce(coalesce(objective, -1e12) > max(coalesce(objective, -1e12)) OVER (PARTITION BY dataset_id ORDER BY candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM scored WINDOW w AS (PARTITION BY dataset_id ORDER BY candidate)),
         b AS (SELECT *, n - max(CASE WHEN better THEN n END) OVER (PARTITION BY dataset_id ORDER BY n) AS since FROM a) SELECT dataset_id, candidate FROM (SELECT *, min(CASE WHEN since >= 3 THEN n END) OVER (PARTITION BY dataset_id) AS stop FROM b) WHERE stop IS NULL OR n <= stop""",

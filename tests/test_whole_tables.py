@@ -41,6 +41,13 @@ def test_every_vector_asks_for_utilities(spark, tmp_path):
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
 
 
+def test_every_record_asks_for_its_nearest_label(spark, tmp_path):
+    tables(tmp_path, suppliers=23)
+    got, want = answers(spark, tmp_path, "nearest_label")
+    assert len(got) == 23 and [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
 def test_exact_neighbours_without_the_utility_do_not_decide(spark):
     near = spark.createDataFrame([(1, 2, 0.0, 1), (1, 3, 1.0, 2), (1, 4, 3.0, 3)], "query_id long, neighbour_id long, distance double, position int")
     u = spark.createDataFrame([(3, "m", 0.4), (4, "m", 0.8), (2, "z", 0.3), (3, "z", 0.9)], "dataset_id long, metric_id string, utility double")
